@@ -23,6 +23,18 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_docs(spark, sf_dir), _path("byte_bpe_50k.json"), window=2048, end_id=1)
 
 
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kerbside.llm import transport
+
+    return transport.media_features(_docs(spark, sf_dir))
+
+
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kerbside.llm import simhash
+
+    return simhash.near_duplicates(_docs(spark, sf_dir))
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kerbside.llm import wavelet
 
@@ -35,9 +47,23 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(_docs(spark, sf_dir), _path("word_bpe_49k.json"), limit=2048)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kerbside.llm import decontaminate
+
+    return decontaminate.contamination(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kerbside.llm import language
+
+    return language.identify(_docs(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op5_token_output, op7_token_counts)}
+    return {f.__name__: f for f in (op1_packing, op2_media_columns, op4_simhash_near_dedup, op5_token_output, op7_token_counts, op8_decontamination, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from kerbside.llm import decontaminate
+
+    return {"op8_decontamination": decontaminate.CONTAMINATION_SQL}
