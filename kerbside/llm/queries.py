@@ -41,6 +41,12 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_output(_docs(spark, sf_dir), _path("byte_bpe_50k.json"), end_id=0)
 
 
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kerbside.llm import licences
+
+    return licences.scan(_docs(spark, sf_dir))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kerbside.llm import counts
 
@@ -59,11 +65,17 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_docs(spark, sf_dir))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kerbside.llm import quality
+
+    return quality.classify(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_media_columns, op4_simhash_near_dedup, op5_token_output, op7_token_counts, op8_decontamination, op9_language_id)}
+    return {f.__name__: f for f in (op1_packing, op2_media_columns, op4_simhash_near_dedup, op5_token_output, op6_licence_scan, op7_token_counts, op8_decontamination, op9_language_id, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from kerbside.llm import decontaminate
+    from kerbside.llm import decontaminate, licences
 
-    return {"op8_decontamination": decontaminate.CONTAMINATION_SQL}
+    return {"op6_licence_scan": licences.scan_sql(), "op8_decontamination": decontaminate.CONTAMINATION_SQL}
