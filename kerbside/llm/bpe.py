@@ -1,27 +1,63 @@
 """Byte-level BPE ids through the tokenizers library, each segment encoded once.
 
 The pre-tokenizer of a byte-level vocabulary always has a boundary before a
-space that is followed by a visible character, so the ids of a text are the
-ids of its space-led segments, one after the other.  Segments repeat far more
-often than texts do; a bounded per-worker memo keeps their ids as packed
-little-endian 16-bit units.
+space that is followed by a visible character, and between a run of letters
+and a full stop or comma after it, so the ids of a text are the ids of such
+segments, one after the other.  Segments repeat far more often than texts do;
+a bounded per-worker memo keeps their ids as packed little-endian 16-bit units.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
-import numpy as np
+if sys.byteorder != "little" or array("H").itemsize != 2:
+    raise ImportError("packed ids are little-endian 16-bit units")
 
 #: Ids must fit 16 bits for the packed form.
 MAX_ID = 0xFFFF
-#: Segments kept in the memo of one Python worker; it is emptied when full.
-MEMO_SEGMENTS = 600_000
+#: Segments in each of the two generations of a worker's memo; the older goes when the younger is full.
+MEMO_SEGMENTS = 800_000
 #: Longer segments are encoded anew each time, so that the memo's bytes are bounded.
 MEMO_CHARS = 48
 #: A space at the end, or before something that some library may take for white space.
-_IRREGULAR = re.compile("[ ](?=[\\s᠎​-‏﻿]|$)")
+_IRREGULAR = re.compile("[ ](?=[\\s\u180e\u200b-\u200f\ufeff]|$)")
+#: Letters by any version of Unicode: with the space before them they are one pre-token.
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+")
+
+
+def _byte_characters() -> dict[int, str]:
+    """The characters by which byte-level vocabularies write bytes: printable ones as they are, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_CHARACTERS = _byte_characters()
+
+
+class Memo(dict):
+    """Packed ids by segment (without its leading space), filled on demand."""
+
+    def __init__(self, compute):
+        super().__init__()
+        self.compute, self.older = compute, {}
+
+    def __missing__(self, segment: str) -> bytes:
+        got = self.older.get(segment)
+        if got is None:
+            got = self.compute(segment)
+        if len(segment) <= MEMO_CHARS:
+            self[segment] = got
+        return got
+
+    def tidy(self) -> None:
+        if len(self) > MEMO_SEGMENTS:
+            self.older = dict(self)
+            self.clear()
 
 
 class SegmentEncoder:
@@ -35,35 +71,36 @@ class SegmentEncoder:
         if self.tokenizer.get_vocab_size(with_added_tokens=True) > MAX_ID + 1:
             raise ValueError("the packed form holds ids below 65,536")
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u2").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _segments(self, text: str) -> list[str] | None:
-        """The segments of a text, or None where only the whole text is sure."""
+        self.memo = Memo(self._spaced)
+        self.stops = {x: self._whole(x) for x in ".,"}
+        self.model, self.space = self.tokenizer.model, _CHARACTERS[32]
+
+    def _whole(self, text: str) -> bytes:
+        return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _spaced(self, segment: str) -> bytes:
+        """The ids of a segment with a space before it."""
+        if _LETTERS.fullmatch(segment):
+            written = segment if segment.isascii() else segment.encode().decode("latin-1").translate(_CHARACTERS)
+            return array("H", [t.id for t in self.model.tokenize(self.space + written)]).tobytes()
+        if segment[-1:] in ".," and _LETTERS.fullmatch(segment, 0, len(segment) - 1):
+            return self.memo[segment[:-1]] + self.stops[segment[-1]]
+        return self._whole(" " + segment)
+
+    def _text(self, text: str) -> bytes:
         if any(s in text for s in self.specials) or _IRREGULAR.search(text):
-            return None
+            return self._whole(text)
         first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
+        ids = b"".join(map(self.memo.__getitem__, rest))
+        return self._whole(first) + ids if first else ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [self._segments(t) for t in texts]
-        whole = [t for t, p in zip(texts, parts) if p is None]
-        direct = iter(self._library(whole) if whole else ())
-        if len(self.memo) > MEMO_SEGMENTS:
-            self.memo.clear()
-        memo = self.memo
-        missing = list({s for p in parts if p is not None for s in p if s not in memo})
-        extra: dict[str, bytes] = {}
-        for i in range(0, len(missing), 20_000):
-            some = missing[i : i + 20_000]
-            for s, ids in zip(some, self._library(some)):
-                (memo if len(s) <= MEMO_CHARS else extra)[s] = ids
-        if extra:
-            return [next(direct) if p is None else b"".join([memo[s] if s in memo else extra[s] for s in p]) for p in parts]
-        get = memo.__getitem__
-        return [next(direct) if p is None else b"".join(map(get, p)) for p in parts]
+        got = []
+        for i, t in enumerate(texts):
+            got.append(self._text(t))
+            if i % 64 == 0:
+                self.memo.tidy()
+        return got
 
 
 _ENCODERS: dict[str, SegmentEncoder] = {}
