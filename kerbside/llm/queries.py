@@ -29,6 +29,12 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport.media_features(_docs(spark, sf_dir))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kerbside.llm import substrings
+
+    return substrings.repeats(_docs(spark, sf_dir))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kerbside.llm import simhash
 
@@ -72,7 +78,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_media_columns, op4_simhash_near_dedup, op5_token_output, op6_licence_scan, op7_token_counts, op8_decontamination, op9_language_id, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_packing, op2_media_columns, op3_suffix_array_dedup, op4_simhash_near_dedup, op5_token_output, op6_licence_scan, op7_token_counts, op8_decontamination, op9_language_id, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
