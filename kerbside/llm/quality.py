@@ -80,8 +80,8 @@ def labelled_sample(labels: DataFrame, most: int = LABELLED) -> DataFrame:
 
 def with_labels(docs: DataFrame, sample: DataFrame) -> DataFrame:
     """doc_id, text and good (null if not in the sample); the sample's size is bounded, so it is broadcast."""
-    docs = docs.select("doc_id", "text")
-    return docs.join(F.broadcast(sample), docs["doc_id"] == sample["l_id"], "left").select("doc_id", "text", "good")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return docs.join(F.broadcast(sample), docs["doc_id"] == sample["l_id"], "left").select("doc_id", "text", "text_hash", "good")
 
 
 def learn(labelled: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
@@ -137,10 +137,10 @@ def score(labelled: DataFrame, counts: np.ndarray, seed: int = SEED) -> DataFram
                 w.append(round(float(ratio[f].sum() / max(1, len(f)) * STANDARD), 6))
                 k.append(round(w[-1] + gumbel(doc_id, text, seed), 6))
                 fair.append(without_own(f, counts[1], raw) if good == 1 else w[-1])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("good"), pa.array(n, pa.int64()), pa.array(w, pa.float64()), pa.array(k, pa.float64()), pa.array(fair, pa.float64())], ["doc_id", "good", "n_grams", "log_weight", "key", "fair"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), batch.column("good"), pa.array(n, pa.int64()), pa.array(w, pa.float64()), pa.array(k, pa.float64()), pa.array(fair, pa.float64())], ["doc_id", "text_hash", "good", "n_grams", "log_weight", "key", "fair"])
 
     kind = labelled.schema["doc_id"].dataType.simpleString()
-    return labelled.mapInArrow(weigh, f"doc_id {kind}, good int, n_grams long, log_weight double, key double, fair double")
+    return labelled.mapInArrow(weigh, f"doc_id {kind}, text_hash long, good int, n_grams long, log_weight double, key double, fair double")
 
 
 def level(scored: DataFrame) -> float | None:
@@ -177,11 +177,11 @@ def kth_largest(keys: DataFrame, k: int) -> tuple[float, int]:
     return lo, above
 
 
-def classify(docs: DataFrame, labels: DataFrame, k: int | None = None, buckets: int = BUCKETS, labelled: int = LABELLED) -> DataFrame:
-    """doc_id, n_grams, log_weight, key and keep for each row of ``docs``."""
+def decide(docs: DataFrame, labels: DataFrame, k: int | None = None, buckets: int = BUCKETS, labelled: int = LABELLED) -> DataFrame:
+    """doc_id, text_hash, n_grams, log_weight, key and keep for each row of ``docs``."""
     with_ = with_labels(docs, materialise(labelled_sample(labels, labelled)))
     scored = materialise(score(with_, learn(with_, buckets)))
-    out = scored.select("doc_id", "n_grams", "log_weight", "key")
+    out = scored.select("doc_id", "text_hash", "n_grams", "log_weight", "key")
     if k is None:
         at = level(scored)
         if at is None:
@@ -203,3 +203,14 @@ def classify(docs: DataFrame, labels: DataFrame, k: int | None = None, buckets:
     for d in chosen:
         same = same | F.col("doc_id").eqNullSafe(F.lit(d))
     return out.withColumn("keep", (F.col("key") > least) | ((F.col("key") == least) & same))
+
+
+def classify(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
+    """doc_id, n_grams, log_weight, key and keep for each row of ``docs``."""
+    return decide(docs, labels, k).drop("text_hash")
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
+    """The rows of ``docs`` that are kept, as they were."""
+    bad = decide(docs, labels, k).where("not keep").select(F.col("doc_id").alias("b_id"), F.col("text_hash").alias("b_hash")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["b_id"]) & (F.xxhash64(docs["text"]) == bad["b_hash"]), "left_anti")

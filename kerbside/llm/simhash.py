@@ -66,17 +66,17 @@ def fingerprint(text: str | None, shingle: int = 3, seeds: tuple[int, ...] = (42
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seeds: tuple[int, ...] = (42,), distinct: bool = False) -> DataFrame:
-    """(doc_id, w0, w1, ..) for each row."""
+    """(doc_id, text_hash, w0, w1, ..) for each row."""
     names = [f"w{i}" for i in range(len(seeds))]
 
     def compute(batches):
         for batch in batches:
             got = [fingerprint(t, shingle, seeds, distinct) for t in batch.column("text").to_pylist()]
             words = np.array(got, dtype=np.uint64).reshape(-1, len(seeds)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(words[:, i]) for i in range(len(seeds))]], ["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *[pa.array(words[:, i]) for i in range(len(seeds))]], ["doc_id", "text_hash", *names])
 
-    docs = docs.select("doc_id", "text")
-    return docs.mapInArrow(compute, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names))
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return docs.mapInArrow(compute, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, " + ", ".join(f"{n} long" for n in names))
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -266,14 +266,29 @@ def links(distinct: DataFrame, words: int, radius: int) -> DataFrame:
 
 
 def groups(docs: DataFrame, shingle: int = 3, radius: int = 2, seeds: tuple[int, ...] = (42,), distinct: bool = False) -> DataFrame:
-    """doc_id, the fingerprint's words, and component_id for each row of ``docs``."""
+    """doc_id, text_hash, the fingerprint's words, root (of its group) and component_id for each row of ``docs``."""
     names = [f"w{i}" for i in range(len(seeds))]
     fps = materialise(fingerprints(docs, shingle, seeds, distinct).withColumn("node", F.col("w0") if len(seeds) == 1 else F.xxhash64(*names)))
     each = materialise(fps.groupBy("node", *names).agg(F.min("doc_id").alias("least")))
     root = components(links(each, len(seeds), radius))
     named = each.join(root, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    ids = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
-    return fps.join(ids, "node").select("doc_id", *names, "component_id")
+    ids = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "root", "component_id")
+    return fps.join(ids, "node").select("doc_id", "text_hash", *names, "root", "component_id")
+
+
+#: For whole documents: five words, a similarity of 0.8 or more.  Two fingerprints of 64 bits differ in
+#: 128 * acos(2 * 0.8 / 1.8) / pi = 19.4 bits on average where 0.8 of all distinct shingles are shared.
+SHINGLE, WIDE_RADIUS = 5, 19
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = WIDE_RADIUS, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: the one with the least doc_id (nulls last), then text hash."""
+    found = groups(docs, shingle, radius, seeds, distinct=True)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("m")
+    stay = found.groupBy("root").agg(first).select(F.col("m.doc_id").alias("s_id"), F.col("m.text_hash").alias("s_hash")).distinct()
+    keyed = docs.withColumn("near_duplicate_hash", F.xxhash64("text"))
+    left = keyed.join(stay, keyed["doc_id"].eqNullSafe(stay["s_id"]) & (keyed["near_duplicate_hash"] == stay["s_hash"]), "left_semi")
+    return left.dropDuplicates(["doc_id", "near_duplicate_hash"]).select(*docs.columns)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
