@@ -54,12 +54,16 @@ def correct(s: Column) -> Column:
     return F.when(F.length(s).between(8, 11), F.when(part(s, 3, 2).isin(BHARAT_MARKS), _bharat(s)).otherwise(_standard(s)))
 
 
+def _windows(s: Column, n: Column, size: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), n - (size - 1)), lambda i: F.substr(s, i, F.lit(size)))
+
+
 def extract(s: Column) -> Column:
     """A valid plate in cleaned text: the whole, else the first of its windows of 10, 9 and 8 characters; or null."""
     n = F.length(s)
     windows = [F.array(s)]
     for w in (10, 9, 8):
-        windows.append(F.when((n >= w) & (n > 8), F.transform(F.sequence(F.lit(1), n - (w - 1)), lambda i, w=w: F.substr(s, i, F.lit(w)))).otherwise(F.array().cast("array<string>")))
+        windows.append(F.when((n >= w) & (n > 8), _windows(s, n, w)).otherwise(F.array().cast("array<string>")))
     return F.get(F.filter(F.transform(F.flatten(F.array(*windows)), correct), lambda x: x.isNotNull()), F.lit(0))
 
 

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("traffic",)
+MODULES = ("traffic", "vehicles")
 
 
 def _all() -> dict:
