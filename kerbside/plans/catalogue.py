@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("traffic", "vehicles")
+MODULES = ("traffic", "vehicles", "reports")
 
 
 def _all() -> dict:
