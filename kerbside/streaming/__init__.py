@@ -1 +1 @@
-"""Trajectory and observation analytics on Spark."""
+"""The engine's live side: Structured Streaming over observations."""
