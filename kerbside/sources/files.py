@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kerbside.operators.reports import LOG_SCHEMA, REPORT_TITLE, SECTIONS
 
-FILE = F.col("_metadata.file_path")
+FILE = "_metadata.file_path"
 
 
 def stem(path: Column) -> Column:
@@ -22,7 +22,7 @@ def snapshot_log(spark: SparkSession, path: str) -> DataFrame:
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, line) of text files: a file is one row until its lines are told apart."""
-    whole = spark.read.text(path, wholetext=True).select(FILE.alias("file"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.col(FILE).alias("file"), "value")
     return whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
 
 
@@ -53,7 +53,7 @@ def report_section(body: DataFrame, name: str) -> DataFrame:
 
 def yolo_labels(spark: SparkSession, path: str) -> DataFrame:
     """Boxes of label files: lines of five numbers; the class becomes 0, the old one is kept beside it."""
-    lines = spark.read.text(path, recursiveFileLookup=True, pathGlobFilter="*.txt").select(stem(FILE).alias("stem"), F.split(F.trim("value"), r"\s+").alias("t")).where(F.size("t") == 5)
+    lines = spark.read.text(path, recursiveFileLookup=True, pathGlobFilter="*.txt").select(stem(F.col(FILE)).alias("stem"), F.split(F.trim("value"), r"\s+").alias("t")).where(F.size("t") == 5)
     n = lambda i: F.col("t")[i].try_cast("double")
     return lines.select("stem", F.lit(0).alias("class_id"), F.col("t")[0].try_cast("int").alias("raw_class"), n(1).alias("cx"), n(2).alias("cy"), n(3).alias("w"), n(4).alias("h")).where("cx is not null and cy is not null and w is not null and h is not null")
 
@@ -92,7 +92,7 @@ def training_curve(spark: SparkSession, path: str) -> DataFrame:
 
 
 def inventory(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(path, stem, folder, length) of the files below a folder; contents are not read."""
+    """(path, stem, folder, length) of the files below a folder; contents are not read, and files without a byte are not listed."""
     d = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
     return d.select("path", stem(F.col("path")).alias("stem"), F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("folder"), "length")
 

@@ -182,6 +182,22 @@ def test_op9(spark, edge, empty):
     assert {r.lang_pred for r in language.predict(edge, {}).collect()} == {"und"}
 
 
-def test_op9_profile_is_the_sorted_list():
-    c = Counter({f"g{i}": i % 7 for i in range(900)})
-    assert language.profile(c) == [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:300]]
+def test_op9_grams_and_profiles():
+    for text in ("Ab, cab!  éa", " -x", "", None, "12 3", "aaa aaa b"):
+        want = Counter()
+        for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
+            w = f"_{w}_"
+            want.update(g for n in (1, 2, 3) for i in range(len(w) - n + 1) if (g := w[i : i + n]) != "_")
+        codes, counts = language.grams(text)
+        spelt = {"".join(chr(c >> s & 0x1FFFFF) for s in (0, 21, 42) if c >> s & 0x1FFFFF): n for c, n in zip(codes.tolist(), counts.tolist())}
+        assert spelt == want
+    codes, counts = np.arange(900), np.arange(900) % 7
+    assert language.profile(codes, counts).tolist() == sorted(range(900), key=lambda i: (-counts[i], i))[:300]
+
+
+def test_op9_distance_by_hand():
+    a, b = (language.profile(*language.grams(t)) for t in ("the cat and the hat", "der Hund und der Hut"))
+    sorted_ = {k: (np.sort(p), np.argsort(p, kind="stable")) for k, p in (("en", a), ("de", b))}
+    own = language.profile(*language.grams("the and")).tolist()
+    far = {k: sum(abs(i - p.tolist().index(g)) if g in p.tolist() else 300 for i, g in enumerate(own)) for k, p in (("en", a), ("de", b))}
+    assert language.nearest("the and", sorted_) == ("en", round(1 - far["en"] / (300 * len(own)), 6)) and far["en"] < far["de"]
