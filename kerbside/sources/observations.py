@@ -124,12 +124,12 @@ _SQL = {
         """SELECT event_id, ts, camera_id, track_id, frame_idx, x1, y1, x2, y2, head_no, hx1, hy1, hx1 + side AS hx2, hy1 + side AS hy2, (20 + (event_id + head_no * 17) % 75) / 100.0::DOUBLE AS conf,
         CASE (track_id + head_no + event_id % 5) % 3 WHEN 0 THEN 'without_helmet' WHEN 1 THEN 'with_helmet' ELSE CASE WHEN event_id % 2 = 0 THEN 'head' ELSE 'helmet' END END AS class_name
         FROM (SELECT *, x1 + (event_id * 29 + head_no * 53) % 100 AS hx1, y1 + (event_id * 7 + head_no * 31) % 40 AS hy1, 18 + (event_id + head_no) % 9 AS side
-        FROM (SELECT *, unnest([0, 1, 2]) AS head_no FROM vehicles WHERE raw_class IN ('motorcycle', 'scooter')) WHERE head_no < event_id % 4)""",
+        FROM (SELECT *, unnest([0::BIGINT, 1::BIGINT, 2::BIGINT]) AS head_no FROM vehicles WHERE raw_class IN ('motorcycle', 'scooter')) WHERE head_no < event_id % 4)""",
     ),
     "tokens": (
         ("plate_reads",),
         """SELECT image_id, tok_no, text, conf, tx1, ty1, tx1 + 50 AS tx2, ty1 + 20 AS ty2 FROM (SELECT event_id AS image_id, tok_no, CASE WHEN tok_no = 0 THEN left(raw_text, 4) ELSE substr(raw_text, 5) END AS text, ocr_conf AS conf, CASE WHEN event_id % 2 = 0 THEN 0 ELSE tok_no * 60 END AS tx1, CASE WHEN event_id % 2 = 0 THEN tok_no * 24 ELSE tok_no * 2 END AS ty1
-        FROM (SELECT *, unnest([0, 1]) AS tok_no FROM plate_reads WHERE length(raw_text) >= 5))""",
+        FROM (SELECT *, unnest([0::BIGINT, 1::BIGINT]) AS tok_no FROM plate_reads WHERE length(raw_text) >= 5))""",
     ),
     "snaps": (("vehicles",), "SELECT *, (event_id * 37) % 500 AS sharpness FROM vehicles WHERE (frame_idx + track_id) % 2 = 0"),
 }
