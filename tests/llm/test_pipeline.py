@@ -39,7 +39,7 @@ def test_stages(spark):
         return i
 
     for a, i in enumerate(ids):
-        near = np.flatnonzero(np.bitwise_count(fps[:a] ^ fps[a]).sum(axis=1) <= 19)
+        near = np.flatnonzero(np.bitwise_count(fps[:a] ^ fps[a]).sum(axis=1) <= simhash.WIDE_RADIUS)
         for b in near.tolist():
             x, y = sorted((find(i), find(ids[b])))
             root[y] = x
