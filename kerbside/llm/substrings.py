@@ -12,7 +12,7 @@ bytes repeat.
 
 Keys that very many runs share (a common line in ever new surroundings) are
 split by the bytes around it: windows that hold the line at much the same
-place must also agree in the 169 bytes that all of these have in common.
+place must also agree in the 137 bytes that all of these have in common.
 
 Two bitmaps of a fixed size tell each scan which keys to pass on; what they
 let through by chance is dropped, or sorted to no effect, later on.
@@ -28,7 +28,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbside.llm.common import materialise
@@ -37,7 +37,7 @@ from kerbside.llm.suffixes import Store, suffix_order
 LENGTH, GRAM = 200, 64
 SPAN = LENGTH - GRAM + 1
 #: Runs of a key beyond which it is split; windows of a part.
-HOT, PART = 1_000, 32
+HOT, PART = 1_000, 64
 CORE = LENGTH - PART + 1
 #: The bitmaps have so many bits: 16 MB and 2 MB, at any size of the corpus.
 BITS, HOT_BITS = 1 << 27, 1 << 24
@@ -83,18 +83,22 @@ def has(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bitmap[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) != 0
 
 
-def pieces(raw: bytes, repeated: np.ndarray, hot: np.ndarray):
-    """(key, content, start, windows, itself) of the runs, or parts of runs, that may repeat."""
+def pieces(raw: bytes, repeated: np.ndarray, hot: np.ndarray, wanted: np.ndarray | None = None):
+    """(key, content, start, windows, itself) of the runs, or parts of runs, that may repeat; wanted keys only, where these are given."""
     import xxhash
 
     got = runs(raw)
     if got is None:
         return
     key, first, n, places, place, starts = got
-    for r in np.flatnonzero(has(repeated, key)).tolist():
-        k, a, m, itself = int(key[r]), int(first[r]), int(n[r]), places[r] > 1
-        if not has(hot, key[r : r + 1])[0]:
-            yield k, xxhash.xxh64_intdigest(raw[a : a + m + LENGTH - 1]), a, m, bool(itself)
+    some = np.flatnonzero(has(repeated, key))
+    is_hot = has(hot, key[some])
+    if wanted is not None:
+        stay = is_hot | has(wanted, key[some])
+        some, is_hot = some[stay], is_hot[stay]
+    for r, k, a, m, itself, split in zip(some.tolist(), key[some].tolist(), first[some].tolist(), n[some].tolist(), (places[some] > 1).tolist(), is_hot.tolist()):
+        if not split:
+            yield k, xxhash.xxh64_intdigest(raw[a : a + m + LENGTH - 1]), a, m, itself
             continue
         own = place[starts[r] : starts[r] + places[r]]
         w = np.arange(a, a + m)
@@ -103,7 +107,7 @@ def pieces(raw: bytes, repeated: np.ndarray, hot: np.ndarray):
         cut = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (part[1:] != part[:-1])]))
         for x, y in zip(cut.tolist(), np.append(cut[1:], m).tolist()):
             core = int(own[i[x]]) - int(part[x]) * PART
-            yield xxhash.xxh64_intdigest(raw[core : core + CORE], k ^ int(part[x])), xxhash.xxh64_intdigest(raw[a + x : a + y + LENGTH - 1]), a + x, y - x, bool(itself)
+            yield xxhash.xxh64_intdigest(raw[core : core + CORE], k ^ int(part[x])), xxhash.xxh64_intdigest(raw[a + x : a + y + LENGTH - 1]), a + x, y - x, itself
 
 
 def _raw(text) -> bytes:
@@ -114,10 +118,6 @@ def _signed(x: list[int]) -> pa.Array:
     return pa.array(np.array(x, dtype=np.uint64).view(np.int64))
 
 
-def _mark(k: Column, ch: Column) -> Column:
-    return k.bitwiseXOR(F.shiftrightunsigned(ch, 7))
-
-
 def _bitmap(keys: DataFrame, column: str, bits: int) -> np.ndarray:
     """A bitmap of a fixed size, put together in Spark word by word."""
     at = F.col(column).bitwiseAND(F.lit(bits - 1))
@@ -218,7 +218,7 @@ def spans(docs: DataFrame) -> DataFrame:
     verdict = materialise(verdict.where("whole or sort"))
     size = verdict.where("sort").agg(F.sum(F.col("n") + LENGTH)).first()[0] or 0
     shards = int(max(1, min(MOST_SHARDS, -(-size // SHARD_BYTES))))
-    wanted = spark.sparkContext.broadcast(_bitmap(verdict.where("sort").select(_mark(F.col("k"), F.col("ch")).alias("m")), "m", BITS))
+    wanted = spark.sparkContext.broadcast(_bitmap(verdict.where("sort").select("k"), "k", BITS))
 
     def texts(batches):
         seen: set = set()
@@ -226,8 +226,9 @@ def spans(docs: DataFrame) -> DataFrame:
             out = [[], [], [], []]
             for text in batch.column("text").to_pylist():
                 raw = _raw(text)
-                for k, ch, begin, n, _ in pieces(raw, repeated.value, hot.value):
-                    if (k, ch) not in seen and has(wanted.value, np.array([k ^ (ch >> 7)], dtype=np.uint64))[0]:
+                got = list(pieces(raw, repeated.value, hot.value, wanted.value))
+                for (k, ch, begin, n, _), yes in zip(got, has(wanted.value, np.array([x[0] for x in got], dtype=np.uint64))):
+                    if yes and (k, ch) not in seen:
                         seen.add((k, ch))
                         for o, v in zip(out, (k, ch, n, raw[begin : begin + n + LENGTH - 1])):
                             o.append(v)
@@ -239,6 +240,8 @@ def spans(docs: DataFrame) -> DataFrame:
     dealt = docs.select("text").mapInArrow(texts, "k long, ch long, n int, raw binary").repartition(shards, "k")
     parts = materialise(dealt.mapInArrow(sort_shard, "k long, ch long, off long, len long"))
     whole = found.join(verdict.where("whole").select("k", "ch"), ["k", "ch"]).select("r1", "r2", "begin", (F.col("begin") + F.col("n") + LENGTH - 1).alias("end"))
+    # what repeats as a whole is done with; the others occur once, so a row has its own ranges only
+    parts = parts.join(verdict.where("not whole").select("k", "ch"), ["k", "ch"], "left_semi")
     some = found.join(parts, ["k", "ch"]).select("r1", "r2", (F.col("begin") + F.col("off")).alias("begin"), (F.col("begin") + F.col("off") + F.col("len") + LENGTH - 1).alias("end"))
     return whole.unionByName(some)
 

@@ -21,7 +21,7 @@ import numpy as np
 #: Tuples that a queue holds in memory, and elements of an array that is kept in memory.
 IN_MEMORY = 4_000_000
 #: Tuples of a range of symbols, where a symbol has no more than that itself.
-RANGE = 2_048
+RANGE = 16_384
 NONE = np.iinfo(np.int64).max
 
 
