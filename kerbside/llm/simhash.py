@@ -12,7 +12,16 @@ for each 16-bit part, rotated to the front: within the radius, some part
 differs in at most (radius / parts) bits, and that part's table finds the pair.
 
 A pair of blocks hands on a spanning forest of its links, never all pairs, and
-the components are found by Spark.  A text that is null or has no word has the
+the components are found by Spark.
+
+Where a similarity is asked for, fingerprints only propose: each candidate link
+is checked on the two texts' distinct shingles before it counts.  The forest's
+links come first; a second search hands on every pair of what these leave apart,
+so no link is lost for having been proposed by way of another.  Texts with the
+same distinct shingles are one node.  Pairs are checked in groups of two sets of
+some CHECKED nodes, so that no task holds a large group of candidates.
+
+A text that is null or has no word has the
 fingerprint zero, linked like any other; of repeated rows each has a result;
 a null doc_id is never a component's id unless it has no other.  Other columns
 are not read.  An empty table gives no rows.
@@ -20,6 +29,8 @@ are not read.  An empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,6 +44,8 @@ BLOCKS, FEWEST, MOST = 32, 256, 1_000_000
 FANOUT = 16
 #: Queries that go down a tree together.
 TOGETHER = 2_048
+#: Nodes of a set whose candidate links are checked together.
+CHECKED = 1_000
 SEEDS = (42, 43)
 
 
@@ -40,43 +53,58 @@ def words_of(text: str | None) -> list[bytes]:
     return text_bytes(text).lower().split()  # bytes: A-Z, and the six white bytes
 
 
-def fingerprint(text: str | None, shingle: int = 3, seeds: tuple[int, ...] = (42,), distinct: bool = False) -> list[int]:
-    """A 64-bit word for each seed."""
-    import xxhash
-
+def shingles(text: str | None, shingle: int, distinct: bool = False) -> list[bytes]:
     ws = words_of(text)
     if not ws:
-        return [0] * len(seeds)
+        return []
     whole = b" ".join(ws)
     sizes = np.fromiter(map(len, ws), dtype=np.int64, count=len(ws)) + 1
     ends = np.cumsum(sizes)
     n = max(1, len(ws) - shingle + 1)
     begin, end = (ends - sizes)[:n].tolist(), (ends[min(shingle, len(ws)) - 1 :] - 1).tolist()
     parts = [whole[a:b] for a, b in zip(begin, end)]
-    if distinct:
-        parts = list(set(parts))
-    out = []
-    for seed in seeds:
-        h = np.array([xxhash.xxh64_intdigest(x, seed) for x in parts], dtype=np.uint64)
-        ones = np.zeros(64, dtype=np.int64)
-        for i in range(0, len(h), 65_536):
-            ones += np.unpackbits(h[i : i + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0]))
-    return out
+    return list(set(parts)) if distinct else parts
+
+
+def hashes(parts: list[bytes], seed: int) -> np.ndarray:
+    import xxhash
+
+    return np.array([xxhash.xxh64_intdigest(x, seed) for x in parts], dtype=np.uint64)
+
+
+def _majority(h: np.ndarray) -> int:
+    ones = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(h), 65_536):
+        ones += np.unpackbits(h[i : i + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, shingle: int = 3, seeds: tuple[int, ...] = (42,), distinct: bool = False) -> list[int]:
+    """A 64-bit word for each seed."""
+    parts = shingles(text, shingle, distinct)
+    return [_majority(hashes(parts, seed)) for seed in seeds]
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seeds: tuple[int, ...] = (42,), distinct: bool = False) -> DataFrame:
-    """(doc_id, text_hash, w0, w1, ..) for each row."""
+    """(doc_id, text_hash, node, w0, w1, ..) for each row; the node stands for the distinct shingles if these are asked for, or else for the words."""
+    import xxhash
+
     names = [f"w{i}" for i in range(len(seeds))]
 
     def compute(batches):
         for batch in batches:
-            got = [fingerprint(t, shingle, seeds, distinct) for t in batch.column("text").to_pylist()]
-            words = np.array(got, dtype=np.uint64).reshape(-1, len(seeds)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *[pa.array(words[:, i]) for i in range(len(seeds))]], ["doc_id", "text_hash", *names])
+            got = []
+            for text in batch.column("text").to_pylist():
+                parts = shingles(text, shingle, distinct)
+                h = [hashes(parts, seed) for seed in seeds]
+                words = [_majority(x) for x in h]
+                got.append([xxhash.xxh64_intdigest(np.unique(h[0]).tobytes()) if distinct else 0, *words])
+            rows = np.array(got, dtype=np.uint64).reshape(-1, 1 + len(seeds)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *[pa.array(rows[:, i]) for i in range(1 + len(seeds))]], ["doc_id", "text_hash", "node", *names])
 
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    return docs.mapInArrow(compute, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, " + ", ".join(f"{n} long" for n in names))
+    got = docs.mapInArrow(compute, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, node long, " + ", ".join(f"{n} long" for n in names))
+    return got if distinct else got.withColumn("node", F.col("w0") if len(seeds) == 1 else F.xxhash64(*names))
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -203,10 +231,28 @@ def _shrunk(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return forest(np.arange(n), a, b)
 
 
-def links(distinct: DataFrame, words: int, radius: int) -> DataFrame:
-    """Edges (a, b) of nodes that connect all fingerprints within the radius, from rows (node, w0, w1, ..)."""
+def apart(left: np.ndarray, right: np.ndarray | None, tables: Tables, table: int):
+    """Yield all links of rows (node, w0, .., label, ..) with different labels, as two arrays of rows; each in the first table that finds it."""
+    index = Index(left if right is None else right, tables, table)
+    rows = index.rows if right is None else left
+    for x, y in index.near(rows, tables.keys(rows, table)):
+        if right is None:
+            x, y = x[x < y], y[x < y]
+        a, b = rows[x], index.rows[y]
+        new = a[:, 1 + tables.words] != b[:, 1 + tables.words]
+        for t in range(table):
+            new &= np.bitwise_count((tables.keys(a, t) ^ tables.keys(b, t)) & tables.mask) > tables.limit
+        yield a[new], b[new]
+
+
+def links(distinct: DataFrame, words: int, radius: int, pairs: bool = False) -> DataFrame:
+    """Edges (a, b) of nodes that connect all fingerprints within the radius, from rows (node, w0, w1, ..).
+
+    With ``pairs``, all links of rows (node, w0, .., label, bucket, part) whose
+    labels differ: (bucket, i, j, a, b), the lesser part first.
+    """
     tables = Tables(words, radius)
-    names = ["node", *[f"w{i}" for i in range(words)]]
+    names = ["node", *[f"w{i}" for i in range(words)], *(["label", "bucket", "part"] if pairs else [])]
     n = distinct.count()
     per = max(1, min(max(BLOCKS, -(-n // MOST)), n // FEWEST))
     m = len(tables.leads)
@@ -244,7 +290,7 @@ def links(distinct: DataFrame, words: int, radius: int) -> DataFrame:
         """Each block goes to every pair of blocks that it may have links in, with those rows that may be linked there."""
         for batch in batches:
             for me, t, data in zip(batch.column("id").to_pylist(), batch.column("t").to_pylist(), batch.column("data").to_pylist()):
-                rows = np.frombuffer(data, dtype=np.uint64).reshape(-1, words + 1)
+                rows = np.frombuffer(data, dtype=np.uint64).reshape(-1, len(names))
                 keys = tables.keys(rows, t)
                 for i in np.flatnonzero(ts == t):
                     other = int(ids[i])
@@ -254,23 +300,96 @@ def links(distinct: DataFrame, words: int, radius: int) -> DataFrame:
 
     def search(table: pa.Table) -> pa.Table:
         t, p, q = (table.column(x)[0].as_py() for x in ("t", "p", "q"))
-        sides = {x["second"]: np.frombuffer(x["data"], dtype=np.uint64).reshape(-1, words + 1) for x in table.select(["second", "data"]).to_pylist()}
+        sides = {x["second"]: np.frombuffer(x["data"], dtype=np.uint64).reshape(-1, len(names)) for x in table.select(["second", "data"]).to_pylist()}
         if p != q and len(sides) < 2:
             a = b = np.zeros(0, dtype=np.uint64)
         else:
             a, b = linked(sides[False], sides[True] if p != q else None, tables, t)
         return pa.table({"a": pa.array(a.astype(np.uint64).view(np.int64)), "b": pa.array(b.astype(np.uint64).view(np.int64))})
 
+    def search_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        t, p, q = (table.column(x)[0].as_py() for x in ("t", "p", "q"))
+        sides = {x["second"]: np.frombuffer(x["data"], dtype=np.uint64).reshape(-1, len(names)) for x in table.select(["second", "data"]).to_pylist()}
+        if p == q or len(sides) == 2:
+            for a, b in apart(sides[False], sides[True] if p != q else None, tables, t):
+                turn = a[:, -1] > b[:, -1]
+                a[turn], b[turn] = b[turn], a[turn]
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a[:, -2].copy(), a[:, -1].copy(), b[:, -1].copy(), a[:, 0].copy(), b[:, 0].copy())], ["bucket", "i", "j", "a", "b"])
+
     met = blocks.select("id", "t", "data").mapInArrow(meet, "p long, q long, t int, second boolean, data binary")
+    if pairs:
+        return met.groupBy("p", "q", "t").applyInArrow(search_pairs, "bucket long, i long, j long, a long, b long")
     return met.groupBy("p", "q", "t").applyInArrow(search, "a long, b long")
 
 
-def groups(docs: DataFrame, shingle: int = 3, radius: int = 2, seeds: tuple[int, ...] = (42,), distinct: bool = False) -> DataFrame:
-    """doc_id, text_hash, the fingerprint's words, root (of its group) and component_id for each row of ``docs``."""
+def shingle_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """(node, hashes) of rows (node, one): the distinct shingles' hashes in order, from the row of ``docs`` that ``one`` names."""
+
+    def compute(batches):
+        for batch in batches:
+            sets = [np.unique(hashes(shingles(t, shingle, True), SEEDS[0])).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "hashes"])
+
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    named = nodes.select("node", F.col("one.doc_id").alias("s_id"), F.col("one.text_hash").alias("s_hash"))
+    one = texts.join(named, texts["doc_id"].eqNullSafe(named["s_id"]) & (texts["text_hash"] == named["s_hash"]))
+    return one.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(compute, "node long, hashes binary")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The links (a, b) of rows (bucket, i, j, a, b) whose shingles' Jaccard similarity is high enough."""
+
+    def check(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        have = {k: np.frombuffer(v, dtype=np.uint64) for k, v in zip(right.column("node").to_pylist(), right.column("hashes").to_pylist())}
+        keep = np.zeros(len(left), dtype=bool)
+        for at, (a, b) in enumerate(zip(left.column("a").to_pylist(), left.column("b").to_pylist())):
+            x, y = have[a], have[b]
+            if min(len(x), len(y)) >= similarity * max(len(x), len(y)) * (1 - 1e-9):
+                both = np.concatenate([x, y])
+                both.sort()
+                n = int((both[1:] == both[:-1]).sum())
+                keep[at] = n / max(1, len(both) - n) >= similarity
+        return left.select(["a", "b"]).filter(pa.array(keep))
+
+    keys = ["bucket", "i", "j"]
+    wanted = pairs.select(*keys, F.explode(F.array("a", "b")).alias("node")).distinct()
+    held = wanted.join(sets, "node").select(*[F.col(k).alias(f"of_{k}") for k in keys], "node", "hashes")
+    return pairs.groupBy(*keys).cogroup(held.groupBy(*[f"of_{k}" for k in keys])).applyInArrow(check, "a long, b long")
+
+
+def checked_links(docs: DataFrame, each: DataFrame, words: int, radius: int, shingle: int, similarity: float) -> DataFrame:
+    """Edges (a, b) that connect what the links within the radius and of the similarity connect, from rows (node, w0, w1, .., one)."""
+    names = [f"w{i}" for i in range(words)]
+    proposed = materialise(links(each, words, radius).where("a <> b").distinct())
+    root = components(proposed)
+    sizes = materialise(root.groupBy("root").agg(F.count("*").alias("n")))
+    buckets = max(1, (sizes.agg(F.sum("n")).first()[0] or 0) // CHECKED)
+    # a large group has a bucket of its own (below zero), cut in parts
+    large = F.col("n") > CHECKED
+    bucket = F.when(large, -1 - F.pmod(F.xxhash64("root"), F.lit(1 << 62))).otherwise(F.pmod(F.xxhash64("root"), F.lit(buckets)))
+    part = F.when(large, F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CHECKED))).otherwise(0).cast("long")
+    some = materialise(each.join(root.join(sizes, "root").select("node", bucket.alias("bucket"), part.alias("part")), "node"))
+    sets = materialise(shingle_sets(docs, some, shingle))
+    end = lambda x, i: some.select(F.col("node").alias(x), F.col("bucket").alias(f"bucket_{x}"), F.col("part").alias(i))
+    first = proposed.join(end("a", "i"), "a").join(end("b", "j"), "b")
+    first = materialise(first.select(F.col("bucket_a").alias("bucket"), F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "a", "b"))
+    good = materialise(similar(first, sets, similarity))
+    again = some.join(components(good), "node", "left").select("node", *names, F.coalesce("root", "node").alias("label"), "bucket", "part")
+    rest = materialise(links(materialise(again), words, radius, pairs=True))
+    return good.unionByName(similar(rest, sets, similarity))
+
+
+def groups(docs: DataFrame, shingle: int = 3, radius: int = 2, seeds: tuple[int, ...] = (42,), similarity: float | None = None) -> DataFrame:
+    """doc_id, text_hash, the fingerprint's words, root (of its group) and component_id for each row of ``docs``.
+
+    With a similarity, fingerprints are those of the distinct shingles, and links are checked on these.
+    """
     names = [f"w{i}" for i in range(len(seeds))]
-    fps = materialise(fingerprints(docs, shingle, seeds, distinct).withColumn("node", F.col("w0") if len(seeds) == 1 else F.xxhash64(*names)))
-    each = materialise(fps.groupBy("node", *names).agg(F.min("doc_id").alias("least")))
-    root = components(links(each, len(seeds), radius))
+    fps = materialise(fingerprints(docs, shingle, seeds, similarity is not None))
+    one = [] if similarity is None else [F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("one")]
+    each = materialise(fps.groupBy("node", *names).agg(F.min("doc_id").alias("least"), *one))
+    root = components(links(each, len(seeds), radius) if similarity is None else checked_links(docs, each, len(seeds), radius, shingle, similarity))
     named = each.join(root, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     ids = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "root", "component_id")
     return fps.join(ids, "node").select("doc_id", "text_hash", *names, "root", "component_id")
@@ -279,12 +398,12 @@ def groups(docs: DataFrame, shingle: int = 3, radius: int = 2, seeds: tuple[int,
 #: For whole documents: five words, a similarity of 0.8 or more.  Two fingerprints of 64 bits differ in
 #: 128 * acos(2 * 0.8 / 1.8) / pi = 19.4 bits on average, give or take 4, where 0.8 of all distinct shingles
 #: are shared, and in 13.3, give or take 3.4, at 0.9; unrelated texts in 64, give or take 5.7.
-SHINGLE, WIDE_RADIUS = 5, 22
+SHINGLE, WIDE_RADIUS, SIMILARITY = 5, 22, 0.8
 
 
-def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = WIDE_RADIUS, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = WIDE_RADIUS, seeds: tuple[int, ...] = SEEDS, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: the one with the least doc_id (nulls last), then text hash."""
-    found = groups(docs, shingle, radius, seeds, distinct=True)
+    found = groups(docs, shingle, radius, seeds, similarity)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("m")
     stay = found.groupBy("root").agg(first).select(F.col("m.doc_id").alias("s_id"), F.col("m.text_hash").alias("s_hash")).distinct()
     keyed = docs.withColumn("near_duplicate_hash", F.xxhash64("text"))
