@@ -60,3 +60,19 @@ def test_pipeline_links_are_checked(spark, monkeypatch, most):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id for r in simhash.one_of_each(df).collect()}
     assert set(range(150)) <= got and got == want
+
+
+def test_pipeline_finds_pairs_at_the_similarity(spark):
+    rng = np.random.default_rng(12)
+    texts = []
+    while len(texts) < 500:  # single pairs, without a third copy to link them
+        a = words(rng, 300)
+        b = list(a)
+        at = int(rng.integers(0, 240))
+        b[at : at + 28] = words(rng, 28)
+        x, y = shingles(" ".join(a)), shingles(" ".join(b))
+        assert 0.8 <= len(x & y) / len(x | y) < 0.85
+        texts += [" ".join(a), " ".join(b)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id for r in simhash.one_of_each(df).collect()}
+    assert set(range(0, 500, 2)) <= got and sum(i not in got for i in range(1, 500, 2)) >= 0.98 * 250
