@@ -69,39 +69,51 @@ def near_pairs(prints: DataFrame, key: str, column: str, most: int, bands: int)
 
     Of ``bands`` parts of the bits at least one differs in at most
     most // bands bits; a print is filed under each such neighbour of each
-    part, so equal keys meet in an equi join.  Equal prints are joined once.
+    part, so equal keys meet in an equi join.  Distinct prints are joined, and
+    their keys put in afterwards.
     """
     size, near = 64 // bands, most // bands
     masks = [0]
     for _ in range(near):
         masks = sorted({m ^ (1 << b) for m in masks for b in range(size)} | set(masks))
     part = lambda i: F.shiftrightunsigned(F.col(column), size * i).bitwiseAND(F.lit((1 << size) - 1))
-    own = prints.select(key, column)
-    filed = own.select(key, column, F.posexplode(F.array(*[part(i) for i in range(bands)])).alias("band", "part"))
-    spread = filed.select(F.col(key).alias("other"), F.col(column).alias("other_bits"), "band", F.explode(F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: m.bitwiseXOR(F.col("part")))).alias("part"))
-    j = filed.join(spread, ["band", "part"]).where(F.col(key) < F.col("other"))
+    own = prints.select(key, column).where(F.col(column).isNotNull()).distinct()
+    filed = own.select(column).distinct().select(column, F.posexplode(F.array(*[part(i) for i in range(bands)])).alias("band", "part"))
+    spread = filed.select(F.col(column).alias("other_bits"), "band", F.explode(F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: m.bitwiseXOR(F.col("part")))).alias("part"))
     distance = F.bit_count(F.col(column).bitwiseXOR(F.col("other_bits")))
-    return j.select(key, "other", distance.alias("distance")).where(F.col("distance") <= most).distinct()
+    j = filed.join(spread, ["band", "part"]).where(F.col(column) <= F.col("other_bits"))
+    near = j.select(column, "other_bits", distance.alias("distance")).where(F.col("distance") <= most).distinct()
+    others = own.select(F.col(key).alias("other"), F.col(column).alias("other_bits"))
+    both = near.join(own, column).join(others, "other_bits").where(F.col(key) != F.col("other"))
+    return both.select(F.least(key, "other").alias(key), F.greatest(key, "other").alias("other"), "distance").distinct()
 
 
-def keep_first(pairs: DataFrame, items: DataFrame, key: str, rounds: int = 50) -> DataFrame:
+def kept(prints: DataFrame, key: str, column: str, most: int, bands: int) -> DataFrame:
+    """Keys kept when each, in order, is kept unless a kept one before it has a near print.
+
+    What is near a print's first key is near its other keys, so these go with it or
+    because of it, and only the first keys need to be joined.
+    """
+    first = prints.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(key).alias(key))
+    copies = prints.select(key, column).join(first.select(column, F.col(key).alias("first")), column).where(F.col(key) > F.col("first")).select(key)
+    return keep_first(near_pairs(first, key, column, most, bands), prints.select(key).join(copies, key, "left_anti"), key)
+
+
+def keep_first(pairs: DataFrame, items: DataFrame, key: str) -> DataFrame:
     """Items kept when each, in order, is kept unless a kept one before it is near.
 
     In rounds: undecided items without an undecided or kept earlier neighbour
-    are kept, their later neighbours go.  As many rounds as the longest chain.
+    are kept, their later neighbours go.  As many rounds as the longest chain
+    needs: the first undecided item is decided in each.
     """
     from kerbside.operators.lineage import cut
 
     left = cut(pairs.select(key, "other"))
     gone = None
-    for _ in range(rounds):
-        if not left.head(1):
-            break
+    while left.head(1):
         heads = left.select(key).distinct().join(left.select(F.col("other").alias(key)), key, "left_anti")
         out = left.join(heads, key, "left_semi").select(F.col("other").alias(key)).distinct()
         gone = cut(out if gone is None else gone.unionByName(out).distinct())
         left = left.join(heads, key, "left_anti").join(out, key, "left_anti")
         left = cut(left.join(out.select(F.col(key).alias("other")), "other", "left_anti").select(key, "other"))
-    else:
-        raise RuntimeError("chains are longer than the rounds")
     return items if gone is None else items.join(gone, key, "left_anti")

@@ -120,7 +120,7 @@ QUERIES = {
     "merged_sets": (lambda s, d: datasets.merged_sources({"images": images(s, d), "labels": label_stems(s, d)}, "doc_id"), "SELECT 'images_' || doc_id AS doc_id, 'images' AS source_set FROM documents UNION ALL SELECT 'labels_' || doc_id, 'labels' FROM labels"),
     "label_histogram": (lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", "source").join(s.read.parquet(f"{d}/labels.parquet"), "doc_id", "left").groupBy("source").agg(F.count("*").alias("n_images"), F.count("quality").alias("n_labelled"), F.count_if(F.col("quality").isNull()).alias("n_background"), F.count_if(F.col("quality") == 1).alias("n_class_1")), "SELECT source, count(*) AS n_images, count(quality) AS n_labelled, count(*) FILTER (quality IS NULL) AS n_background, count(*) FILTER (quality = 1) AS n_class_1 FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL"),
     "near_frames": (pairs, f"{PAIRS} SELECT * FROM pairs"),
-    "kept_frames": (lambda s, d: datasets.keep_first(pairs(s, d), prints(s, d).select("vec_id"), "vec_id"), None),
+    "kept_frames": (lambda s, d: datasets.kept(prints(s, d), "vec_id", "bits", 18, 8), None),
     "confusion_matrix": (lambda s, d: evaluation.confusion(evaluated(s, d), ["high", "low"]), f"{EVAL} SELECT truth, count(*) FILTER (pred = 'high') AS n_high, count(*) FILTER (pred = 'low') AS n_low, count(*) FILTER (pred = 'unknown') AS n_unknown, count(*) AS support FROM e GROUP BY ALL"),
     "class_metrics": (lambda s, d: evaluation.class_metrics(evaluated(s, d)), f"{EVAL}, m AS (SELECT t.truth AS class, tp::DOUBLE / support AS r, coalesce(tp::DOUBLE / nullif(predicted, 0), 0) AS p, support FROM (SELECT truth, count(*) AS support, count(*) FILTER (pred = truth) AS tp FROM e GROUP BY ALL) t LEFT JOIN (SELECT pred, count(*) AS predicted FROM e GROUP BY ALL) q ON q.pred = t.truth) SELECT class, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1, support FROM m"),
     "overall_accuracy": (lambda s, d: evaluation.accuracy(evaluated(s, d)), f"{EVAL} SELECT count(*) AS n, round(avg(CASE WHEN pred = truth THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy, round(avg(CASE WHEN pred = 'unknown' THEN 1.0::DOUBLE ELSE 0 END), 6) AS abstained FROM e"),
