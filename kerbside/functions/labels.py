@@ -43,6 +43,7 @@ MODEL_NAMES = {
 COCO_IDS = {1: "bicycle", 2: "car", 3: "motorcycle", 5: "bus", 7: "truck"}
 PLATE_CLASSES = ["car", "truck", "bus", "auto-rickshaw", "motorcycle", "scooter"]
 NO_PLATE_CLASSES = ["bicycle"]
+CROP_PASS_CLASSES = ["motorcycle", "scooter", "auto-rickshaw", "bike/motorcycle", "bike"]
 TWO_WHEELER_WORDS = "bike|motorcycle|scooter|two-wheeler|two_wheeler|moped"
 SMALL_VEHICLE_WORDS = "bike|motorcycle|scooter|two-wheeler|bicycle|auto|rickshaw|three-wheeler"
 HELMET_NAMES = {
@@ -53,11 +54,6 @@ HELMET_NAMES = {
     "helmet": "helmet",
     "no_helmet": "no_helmet",
     "head": "no_helmet",
-    "Helmet": "helmet",
-    "No_Helmet": "no_helmet",
-    "With Helmet": "helmet",
-    "Without Helmet": "no_helmet",
-    "Bike_Rider": "helmet",
 }
 OTHERS = "Others"
 

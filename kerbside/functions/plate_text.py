@@ -12,6 +12,8 @@ TO_LETTER = ("012456783", "OIZASGTBE")
 STANDARD = "^[A-Z]{2}[0-9]{1,2}[A-Z]{1,3}[0-9]{4}$"
 BHARAT = "^[0-9]{2}BH[0-9]{4}[A-HJ-NP-Z]{1,2}$"
 BHARAT_MARKS = ["BH", "8H", "B1", "81"]
+#: What may become a plate: digits, or letters that pass for them, where digits must stand.
+POSSIBLE = f"^..([0-9{TO_DIGIT[0]}].{{1,4}}|({'|'.join(BHARAT_MARKS)}))[0-9{TO_DIGIT[0]}]{{4}}.{{0,3}}$"
 MISREAD_STATES = {"MA": "MH", "CQ": "CG", "KB": "KA", "OL": "DL", "QL": "DL"}
 PRIOR_STATE = "KA"
 
@@ -34,24 +36,41 @@ def part(text: Column, first: int | Column, length: int | Column) -> Column:
 
 def _standard(s: Column) -> Column:
     n, fourth = F.length(s), digits(part(s, 4, 1))
-    two_digits = fourth.rlike("[0-9]")
-    series = F.when(two_digits, F.concat(fourth, letters(part(s, 5, n - 8)))).otherwise(letters(part(s, 4, n - 7)))
-    state = letters(part(s, 1, 2))
-    for wrong, right in MISREAD_STATES.items():
-        state = F.when(letters(part(s, 1, 2)) == wrong, right).otherwise(state)
-    out = F.concat(state, digits(part(s, 3, 1)), series, digits(part(s, n - 3, 4)))
-    return F.when(F.substr(out, F.lit(1), F.lit(2)).isin(STATES) & out.rlike(STANDARD), out)
+    series = F.when(fourth.rlike("[0-9]"), F.concat(fourth, letters(part(s, 5, n - 8)))).otherwise(letters(part(s, 4, n - 7)))
+    states = F.create_map(*[F.lit(x) for pair in MISREAD_STATES.items() for x in pair])
+    state = F.coalesce(F.try_element_at(states, letters(part(s, 1, 2))), letters(part(s, 1, 2)))
+    return F.concat(state, digits(part(s, 3, 1)), series, digits(part(s, n - 3, 4)))
 
 
 def _bharat(s: Column) -> Column:
     tail = F.translate(letters(part(s, 9, 3)), "IO", "AA")
-    out = F.concat(digits(part(s, 1, 2)), F.lit("BH"), digits(part(s, 5, 4)), tail)
-    return F.when(out.rlike(BHARAT), out)
+    return F.concat(digits(part(s, 1, 2)), F.lit("BH"), digits(part(s, 5, 4)), tail)
+
+
+def _form(s: Column) -> Column:
+    """Cleaned text of 8 to 11 characters with digits and letters where they must stand; null for other lengths.
+
+    The two forms cannot be taken for each other: the third character is a
+    digit in one and a B in the other.
+    """
+    return F.when(F.length(s).between(8, 11), F.when(part(s, 3, 2).isin(BHARAT_MARKS), _bharat(s)).otherwise(_standard(s)))
+
+
+def _valid(form: Column) -> Column:
+    return form.rlike(BHARAT) | (part(form, 1, 2).isin(STATES) & form.rlike(STANDARD))
+
+
+def _first_valid(candidates: Column) -> Column:
+    """The first form of an array of texts that is a plate; the lambda binds a form, so that it is built once.
+
+    Texts that no exchange of letters and digits can make a plate are passed over by one pattern first.
+    """
+    return F.get(F.filter(F.transform(F.filter(candidates, lambda x: x.rlike(POSSIBLE)), _form), _valid), F.lit(0))
 
 
 def correct(s: Column) -> Column:
     """A valid plate from cleaned text of 8 to 11 characters by what may stand where, or null."""
-    return F.when(F.length(s).between(8, 11), F.when(part(s, 3, 2).isin(BHARAT_MARKS), _bharat(s)).otherwise(_standard(s)))
+    return _first_valid(F.array(s))
 
 
 def _windows(s: Column, n: Column, size: int) -> Column:
@@ -61,10 +80,8 @@ def _windows(s: Column, n: Column, size: int) -> Column:
 def extract(s: Column) -> Column:
     """A valid plate in cleaned text: the whole, else the first of its windows of 10, 9 and 8 characters; or null."""
     n = F.length(s)
-    windows = [F.array(s)]
-    for w in (10, 9, 8):
-        windows.append(F.when((n >= w) & (n > 8), _windows(s, n, w)).otherwise(F.array().cast("array<string>")))
-    return F.get(F.filter(F.transform(F.flatten(F.array(*windows)), correct), lambda x: x.isNotNull()), F.lit(0))
+    windows = [F.when((n >= w) & (n > 8), _windows(s, n, w)).otherwise(F.array().cast("array<string>")) for w in (10, 9, 8)]
+    return F.coalesce(correct(s), _first_valid(F.flatten(F.array(*windows))))
 
 
 def repair(text: Column) -> Column:

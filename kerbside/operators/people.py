@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbside.functions import labels
+from kerbside.operators import spatial
 
 TRACK = ["camera_id", "track_id"]
 
@@ -61,15 +62,33 @@ def tally(votes: DataFrame) -> DataFrame:
     return votes.groupBy(word.alias("category")).agg(F.count("*").alias("n"))
 
 
-def adult_height(votes: DataFrame) -> DataFrame:
-    """Mean height of a frame's adults (else of everyone), carried over frames without one."""
-    label = labels.demographic(F.col("model_label"), F.col("conf"))
-    h = votes.groupBy("camera_id", "frame_idx").agg(F.avg(F.when(label.isin("male_adult", "female_adult"), F.col("h"))).alias("adults"), F.avg("h").alias("everyone"))
-    return h.select("camera_id", "frame_idx", F.round(F.coalesce("adults", "everyone"), 6).alias("mean_height"))
+def running_labels(accepted: DataFrame, window: int = 15, fewest: int = 3, share: float = 0.6) -> DataFrame:
+    """The label of a track after each of its votes: what the latest votes agree on, or unknown."""
+    r = rolling_votes(accepted, window)
+    return r.select(*TRACK, "frame_idx", F.when((F.col("n_window") >= fewest) & (F.col("share") >= share), F.col("leading")).otherwise("unknown").alias("label"))
+
+
+def adult_height(persons: DataFrame, accepted: DataFrame, frames: DataFrame) -> DataFrame:
+    """Mean height of those who count as adults by the votes so far (else of everyone), carried over frames without a person.
+
+    frames: (camera_id, frame_idx) of the frames to report; those before the
+    first person have none.
+    """
+    p = spatial.as_of(persons.select(*TRACK, "frame_idx", "h"), running_labels(accepted), TRACK, "frame_idx", "label")
+    h = p.groupBy("camera_id", "frame_idx").agg(F.avg(F.when(F.col("label").isin("male_adult", "female_adult"), F.col("h"))).alias("adults"), F.avg("h").alias("everyone"))
+    h = h.select("camera_id", "frame_idx", F.round(F.coalesce("adults", "everyone"), 6).alias("mean_height"))
+    return spatial.carried(frames.join(h, ["camera_id", "frame_idx"], "left"), ["camera_id"], "frame_idx", "mean_height")
+
 
+def median_counts(persons: DataFrame, seconds: int = 2, stretch: int = 3600) -> DataFrame:
+    """Rolling median, in whole numbers, of the persons of a frame over the seconds up to its first observation.
 
-def median_counts(persons: DataFrame, seconds: int = 2) -> DataFrame:
-    """Rolling median, in whole numbers, of the persons of a frame over the seconds up to it (a frame counts as one second)."""
-    per = persons.groupBy("camera_id", "frame_idx").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("camera_id").orderBy("frame_idx").rangeBetween(-seconds, 0)
-    return per.select("camera_id", "frame_idx", "n", F.floor(F.percentile("n", 0.5).over(w)).cast("long").alias("smoothed"))
+    A camera's frames are dealt into stretches of time; those that the next
+    stretch looks back on are dealt to it as well.
+    """
+    per = persons.groupBy("camera_id", "frame_idx").agg(F.count("*").alias("n"), F.unix_micros(F.min("ts").cast("timestamp")).alias("t"))
+    at = lambda t: F.floor(t / (stretch * 1_000_000))
+    own, later = at(F.col("t")), at(F.col("t") + seconds * 1_000_000)
+    dealt = per.withColumn("own", own).withColumn("stretch", F.explode(F.array_distinct(F.array(own, later))))
+    w = Window.partitionBy("camera_id", "stretch").orderBy("t").rangeBetween(-seconds * 1_000_000, 0)
+    return dealt.withColumn("smoothed", F.floor(F.percentile("n", 0.5).over(w)).cast("long")).where("own = stretch").select("camera_id", "frame_idx", "n", "smoothed")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbside.functions import plate_text as p
@@ -11,19 +11,28 @@ from kerbside.functions import plate_text as p
 TRACK = ["camera_id", "track_id"]
 
 
-def _distinct(reads: DataFrame, column: str, name: str, function) -> DataFrame:
-    """Reads with a function of their text, worked out once for each distinct text."""
-    once = reads.select(column).distinct().withColumn(name, function(F.col(column)))
-    return reads.join(once, [column], "left")
+def _bound(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a costly column, worked out once a row where it stands.
+
+    Filters on the column are not pushed below a generator, so they do not
+    work it out again; texts are skewed, so reads are not shuffled by them.
+    """
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
+def rounded(value: Column, places: int, even: bool = False) -> Column:
+    """A mean to so many places; what lies on a half does so however it was summed."""
+    scaled = F.round(value * 10**places, 9 - places)
+    return (F.bround(scaled, 0) if even else F.round(scaled, 0)) / 10**places
 
 
 def corrected(reads: DataFrame) -> DataFrame:
     """Reads with the valid plate in their text, or null."""
-    return _distinct(reads, "raw_text", "plate", lambda c: p.extract(p.clean(c)))
+    return _bound(reads, "plate", p.extract(p.clean(F.col("raw_text"))))
 
 
 def repaired(reads: DataFrame) -> DataFrame:
-    return _distinct(reads, "raw_text", "plate", p.repair)
+    return _bound(reads, "plate", p.repair(F.col("raw_text")))
 
 
 def variant_vote(reads: DataFrame, keys: list[str]) -> DataFrame:
@@ -33,16 +42,17 @@ def variant_vote(reads: DataFrame, keys: list[str]) -> DataFrame:
     longest and surest text of at least six characters is a partial plate.
     """
     r = repaired(reads).withColumn("cleaned", p.clean(F.col("raw_text")))
-    per = r.where("plate is not null").groupBy(*keys, "plate").agg(F.sum(F.col("ocr_conf") + 0.5).alias("s"), F.avg("ocr_conf").alias("conf"), F.count("*").alias("support"), F.min("event_id").alias("first"))
-    best = per.groupBy(*keys).agg(F.max_by(F.struct("plate", "conf", "support"), F.struct(F.round("s", 9), -F.col("first"))).alias("v"))
-    loose = r.where(F.length("cleaned") >= 6).groupBy(*keys).agg(F.max_by(F.struct(F.col("cleaned"), F.col("ocr_conf")), F.struct(F.round(F.length("cleaned") * F.col("ocr_conf"), 9), -F.col("event_id"))).alias("l"))
-    all_ = r.select(*keys).distinct().join(best, keys, "left").join(loose, keys, "left")
+    sure = F.struct(F.round(F.length("cleaned") * F.col("ocr_conf"), 9).alias("sure"), (-F.col("event_id")).alias("early"), "cleaned", "ocr_conf")
+    # reads without a plate are a group of their own, so both answers come from one pass
+    per = r.groupBy(*keys, "plate").agg(F.sum(F.col("ocr_conf") + 0.5).alias("s"), F.avg("ocr_conf").alias("conf"), F.count("*").alias("support"), F.min("event_id").alias("first"), F.max(F.when(F.length("cleaned") >= 6, sure)).alias("l"))
+    order = F.when(F.col("plate").isNotNull(), F.struct(F.round("s", 9), -F.col("first")))
+    all_ = per.groupBy(*keys).agg(F.max_by(F.struct("plate", "conf", "support"), order).alias("v"), F.max("l").alias("l"))
     valid, partial = F.col("v").isNotNull(), F.col("l").isNotNull()
     return all_.select(
         *keys,
         F.when(valid, "valid").when(partial, "partial").otherwise("none").alias("status"),
         F.coalesce("v.plate", "l.cleaned").alias("plate"),
-        F.round(F.coalesce("v.conf", "l.ocr_conf", F.lit(0.0)), 6).alias("conf"),
+        rounded(F.coalesce("v.conf", "l.ocr_conf", F.lit(0.0)), 6).alias("conf"),
         F.coalesce("v.support", F.lit(0).cast("long")).alias("support"),
     )
 
@@ -77,7 +87,7 @@ def exact_consensus(reads: DataFrame, least_conf: float = 0.45) -> DataFrame:
     per = r.groupBy(*TRACK, "plate").agg(F.sum("weight").alias("w"), F.count("*").alias("support"), F.max("ocr_conf").alias("top"), F.avg("ocr_conf").alias("conf"), F.min("frame_idx").alias("first"))
     ok = per.where((F.col("support") >= 2) | (F.col("top") >= least_conf))
     best = ok.groupBy(*TRACK).agg(F.max_by(F.struct("plate", "support", "conf"), F.struct(F.round("w", 6), -F.col("first"))).alias("b"))
-    return best.select(*TRACK, "b.plate", "b.support", F.bround("b.conf", 2).alias("conf"), (F.col("b.support") == 1).alias("provisional"))
+    return best.select(*TRACK, "b.plate", "b.support", rounded(F.col("b.conf"), 2, even=True).alias("conf"), (F.col("b.support") == 1).alias("provisional"))
 
 
 def _distance_within(a: str, b: str, most: int) -> bool:
@@ -119,20 +129,24 @@ def fold_reads(reads: list[tuple[str, float, float]], most_reads: int = 15, dist
 def trajectory_consensus(reads: DataFrame) -> DataFrame:
     """Plates of tracks from their reads in order: near texts join the first cluster within two edits, the heaviest cluster wins.
 
-    The fold depends on the order, so a track's first reads (15 at most, kept
-    by rank before the shuffle) go to one call.
+    A track is read 15 times at most, whether or not a read is a plate; empty
+    reads are not counted.  The fold depends on the order, so the plates among
+    these reads go to one call.
     """
-    r = corrected(reads).where("plate is not null")
     rank = F.row_number().over(Window.partitionBy(*TRACK).orderBy("frame_idx"))
-    r = r.withColumn("rank", rank).where("rank <= 15").withColumn("weight", F.col("det_conf") * F.col("ocr_conf") * F.sqrt(F.col("bbox_area").cast("double")))
+    r = reads.where("raw_text <> ''").withColumn("rank", rank).where("rank <= 15")
+    r = corrected(r).where("plate is not null").withColumn("weight", F.col("det_conf") * F.col("ocr_conf") * F.sqrt(F.col("bbox_area").cast("double")))
+
+    per = r.groupBy(*TRACK).agg(F.array_sort(F.collect_list(F.struct("rank", "plate", "weight", "ocr_conf"))).alias("reads"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank")
-        got = fold_reads(list(zip(pdf["plate"], pdf["weight"], pdf["ocr_conf"])))
-        rows = [] if got is None else [(pdf["camera_id"].iloc[0], pdf["track_id"].iloc[0], *got)]
-        return pd.DataFrame(rows, columns=["camera_id", "track_id", "plate", "support", "conf", "provisional"])
+    def fold(batches):
+        for batch in batches:
+            got = [fold_reads([(x["plate"], x["weight"], x["ocr_conf"]) for x in reads]) for reads in batch.column("reads").to_pylist()]
+            found = pa.array([i for i, x in enumerate(got) if x is not None], pa.int64())
+            values = zip(*[x for x in got if x is not None]) if len(found) else [[]] * 4
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(found) for k in TRACK], *[pa.array(list(v), t) for v, t in zip(values, (pa.string(), pa.int64(), pa.float64(), pa.bool_()))]], [*TRACK, "plate", "support", "conf", "provisional"])
 
-    return r.select(*TRACK, "rank", "plate", "weight", "ocr_conf").groupBy(*TRACK).applyInPandas(fold, "camera_id long, track_id long, plate string, support long, conf double, provisional boolean")
+    return per.mapInArrow(fold, "camera_id long, track_id long, plate string, support long, conf double, provisional boolean")
 
 
 def snapshot_or_live(snapshot: DataFrame, live: DataFrame) -> DataFrame:
@@ -155,9 +169,9 @@ def token_plates(tokens: DataFrame) -> DataFrame:
     line = F.floor((F.col("by") - F.col("ay")) / F.col("ah") + 0.5)
     text = F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct(line.alias("line"), F.col("bx"), F.col("text")))), lambda x: x["text"]))
     g = j.groupBy("image_id", "seed").agg(text.alias("raw_text"), F.avg("conf").alias("conf"))
-    g = _distinct(g, "raw_text", "plate", p.repair).where("plate is not null")
+    g = repaired(g).where("plate is not null")
     best = g.groupBy("image_id").agg(F.max_by(F.struct("plate", "conf"), F.struct(F.round(F.col("conf") * F.length("plate"), 9), -F.col("seed"))).alias("b"))
-    return best.select("image_id", "b.plate", F.round("b.conf", 6).alias("conf"))
+    return best.select("image_id", "b.plate", rounded(F.col("b.conf"), 6).alias("conf"))
 
 
 def text_lines(tokens: DataFrame) -> DataFrame:

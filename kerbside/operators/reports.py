@@ -109,16 +109,26 @@ def last_rows(df: DataFrame, n: int, order: str) -> DataFrame:
     return df.orderBy(F.col(order).desc()).limit(n)
 
 
-def frame_rate(df: DataFrame, keys: list[str], ts: str, keep: float = 0.9) -> DataFrame:
+def frame_rate(df: DataFrame, keys: list[str], ts: str, keep: float = 0.9, stretch: int = 3600) -> DataFrame:
     """Smoothed rate of a device: 0.9 of the last and 0.1 of one over the time step; steps of no time are passed over.
 
-    The average depends on all before it, so a device's steps are folded in order.
+    The average depends on all before it, but a stretch of time changes it by
+    a factor and a summand, so a device's stretches are folded each in a row of
+    its own, and then one after the other.
     """
-    w = Window.partitionBy(*keys).orderBy(ts)
-    seconds = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
-    d = df.select(*keys, ts).withColumn("dt", seconds - F.lag(seconds).over(w)).where("dt > 0")
-    g = d.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(ts, "dt"))).alias("s"))
-    return g.select(*keys, F.round(F.aggregate("s", F.lit(0.0), lambda a, x: a * keep + (1 - keep) / x["dt"]), 6).alias("rate"))
+    t = df.select(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("t")).distinct()
+    t = t.withColumn("stretch", F.floor(F.col("t") / (stretch * 1_000_000)))
+    per = t.groupBy(*keys, "stretch").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    before = F.lag(F.element_at("ts", -1)).over(Window.partitionBy(*keys).orderBy("stretch"))
+    start = lambda a, b: F.struct(a.alias("factor"), b.alias("sum"), F.col("first").alias("last"))
+    def step(a, x):
+        dt = (x - a["last"]) / 1e6
+        moved = F.struct((a["factor"] * keep).alias("factor"), (a["sum"] * keep + (1 - keep) / dt).alias("sum"), x.alias("last"))
+        return F.when(a["last"].isNull() | (dt <= 0), F.struct(a["factor"].alias("factor"), a["sum"].alias("sum"), x.alias("last"))).otherwise(moved)
+
+    per = per.withColumn("first", before).select(*keys, "stretch", F.aggregate("ts", start(F.lit(1.0), F.lit(0.0)), step).alias("f"))
+    g = per.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("stretch", "f.factor", "f.sum"))).alias("s"))
+    return g.select(*keys, F.round(F.aggregate("s", F.lit(0.0), lambda a, x: a * x["factor"] + x["sum"]), 6).alias("rate"))
 
 
 def report_lines(sections: dict[str, DataFrame], generated_at: str) -> DataFrame:

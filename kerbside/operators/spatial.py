@@ -6,7 +6,7 @@ further condition, so a frame's few dozen boxes are all that meet.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbside.functions import geometry as g
@@ -24,13 +24,25 @@ def plates_to_vehicles(plates: DataFrame, vehicles: DataFrame, least: float = 0.
     return best.select("plate_id", *FRAME, F.col("b.track_id").alias("track_id"), F.round("b.share", 6).alias("share"), "det_conf")
 
 
-def crop_pass(plates: DataFrame, vehicles: DataFrame, matched: DataFrame, most: int = 6) -> DataFrame:
-    """The best plate box centred in each of a frame's largest vehicles that have none yet."""
-    rest = vehicles.where(F.col("raw_class").isin(labels.PLATE_CLASSES)).join(matched.select(*FRAME, "track_id").distinct(), [*FRAME, "track_id"], "left_anti")
+def plausible(b: g.Box, least: float = 0.8, most: float = 6.5) -> Column:
+    """Whether a box has the shape of a plate."""
+    w, h = b[2] - b[0], b[3] - b[1]
+    return (w > 2) & (h > 2) & (w / F.nullif(h, F.lit(0))).between(least, most)
+
+
+def crop_pass(plates: DataFrame, vehicles: DataFrame, matched: DataFrame, most: int = 6, every: int = 2) -> DataFrame:
+    """The best plausible plate box centred in each of a frame's largest small vehicles that have none yet.
+
+    Two-wheelers and three-wheelers only, each in every second frame; a
+    vehicle of 8 pixels or less takes its place among the largest, but is not
+    looked at.
+    """
+    due = F.lower("raw_class").isin(labels.CROP_PASS_CLASSES) & ((F.col("frame_idx") + F.col("track_id")) % every == 0)
+    rest = vehicles.where(due).join(matched.select(*FRAME, "track_id").distinct(), [*FRAME, "track_id"], "left_anti")
     rank = F.row_number().over(Window.partitionBy(*FRAME).orderBy(g.area(g.box()).desc(), "track_id"))
-    top = rest.withColumn("rank", rank).where(F.col("rank") <= most)
+    top = rest.withColumn("rank", rank).where(F.col("rank") <= most).where("x2 - x1 > 8 and y2 - y1 > 8")
     v = top.select(*FRAME, "track_id", *[F.col(c).alias(f"v{c}") for c in ("x1", "y1", "x2", "y2")])
-    j = plates.select(*FRAME, F.col("event_id").alias("plate_id"), "px1", "py1", "px2", "py2", "det_conf").join(v, FRAME).where(g.centre_in(g.box("p"), g.box("v")))
+    j = plates.select(*FRAME, F.col("event_id").alias("plate_id"), "px1", "py1", "px2", "py2", "det_conf").where(plausible(g.box("p"))).join(v, FRAME).where(g.centre_in(g.box("p"), g.box("v")))
     return j.groupBy(*FRAME, "track_id").agg(F.max_by(F.struct("plate_id", "det_conf"), F.struct("det_conf", -F.col("plate_id"))).alias("b")).select(*FRAME, "track_id", "b.plate_id", "b.det_conf")
 
 
@@ -64,6 +76,22 @@ def compare_rules(persons: DataFrame, vehicles: DataFrame) -> DataFrame:
     return totals(pedestrians(persons, vehicles), "new").join(totals(pedestrians_by_iou(persons, vehicles), "old"), "metric", "full").select("metric", "old", "new", (F.col("new") - F.col("old")).alias("change"))
 
 
+def carried(df: DataFrame, keys: list[str], order: str, value: str, stretch: int = 10_000) -> DataFrame:
+    """``df`` with the latest value of its key that is not null, at or before each row.
+
+    A key's rows are dealt into stretches of the (whole-number) order, so that
+    one busy key does not end in one task; what a stretch begins with comes
+    from a window over one row for each stretch.
+    """
+    s = df.withColumn("_stretch", F.floor(F.col(order) / stretch))
+    ends = s.groupBy(*keys, "_stretch").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("_end"))
+    before = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_before", F.last("_end", ignorenulls=True).over(before)).drop("_end")
+    inside = Window.partitionBy(*keys, "_stretch").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    j = s.withColumn(value, F.last(value, ignorenulls=True).over(inside)).join(ends, [*keys, "_stretch"])
+    return j.withColumn(value, F.coalesce(value, "_before")).select(*df.columns)
+
+
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """Each left row with the latest value of its key at or before its place in the order (both sides once through one window)."""
     both = left.select("*", F.lit(None).cast(right.schema[value].dataType).alias(value), F.lit(1).alias("is_left")).unionByName(right.select(*keys, order, value, F.lit(0).alias("is_left")), allowMissingColumns=True)

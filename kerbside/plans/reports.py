@@ -24,23 +24,29 @@ def _rows_sql(tail: str, *more: str) -> str:
 
 
 def log(s, d):
-    """A snapshot log: for each camera and stretch of ten frames the classes seen, packed plates and violations."""
+    """A snapshot log: for each camera and stretch of ten frames (three more after the last) the classes seen, packed plates and violations, and who is in its last frame with people."""
     v, tick = o.vehicles(s, d), F.floor(F.col("frame_idx") / 10).alias("tick")
+    keys = ["camera_id", "tick"]
+    ticks = o.detections(s, d).groupBy("camera_id").agg(F.max(tick).alias("last")).select("camera_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last") + 3)).alias("tick"))
     n = lambda c: F.count_if(F.col("raw_class") == c).cast("int")
     seen = v.groupBy("camera_id", tick).agg(F.count("*").cast("int").alias("total_vehicles"), n("car").alias("cars"), n("truck").alias("trucks"), n("bus").alias("buses"), n("auto-rickshaw").alias("auto_rickshaws"), n("motorcycle").alias("motorcycles"), n("scooter").alias("scooters"), n("bicycle").alias("bicycles"))
-    r = o.plate_reads(s, d).where("event_id % 6 = 5").withColumn("tick", F.floor(F.col("frame_idx") / 10))
-    p = reports.packed(r, ["camera_id", "tick"], "track_id", F.col("truth"), "plates_detected")
-    h = helmets.violations(o.heads(s, d)).withColumn("tick", F.floor(F.col("frame_idx") / 10))
-    w = reports.packed(h, ["camera_id", "tick"], "track_id", F.col("type"), "violation_details")
-    keys = ["camera_id", "tick"]
-    out = seen.join(p.drop("n_plates_detected"), keys, "left").join(w, keys, "left")
-    return out.select(*keys, (F.col("tick") * 2 + F.col("camera_id")).alias("line_no"), *[c for c in seen.columns if c not in keys], F.coalesce("plates_detected", F.lit("none")).alias("plates_detected"), F.coalesce("n_violation_details", F.lit(0)).alias("helmet_violations"), F.coalesce("violation_details", F.lit("none")).alias("violation_details"), F.lit(0).alias("pedestrians_detected"), F.lit(1).alias("males"), F.lit(1).alias("females"), F.lit(0).alias("children"))
-
-
-LOG = f"""{vehicles.LIVE}, seen AS (SELECT camera_id, frame_idx // 10 AS tick, count(*)::INT AS total_vehicles, {", ".join(f"(count(*) FILTER (raw_class = '{c}'))::INT AS {n}" for c, n in (("car", "cars"), ("truck", "trucks"), ("bus", "buses"), ("auto-rickshaw", "auto_rickshaws"), ("motorcycle", "motorcycles"), ("scooter", "scooters"), ("bicycle", "bicycles")))} FROM vehicles GROUP BY ALL),
-pl AS (SELECT camera_id, frame_idx // 10 AS tick, string_agg(track_id || ':' || truth, '|' ORDER BY track_id, truth) AS plates_detected FROM plate_reads WHERE event_id % 6 = 5 GROUP BY ALL),
+    r = plates.corrected(o.plate_reads(s, d)).where("plate is not null").groupBy("camera_id", tick, "track_id").agg(F.max_by("plate", "frame_idx").alias("plate"))
+    p = reports.packed(r, keys, "track_id", F.col("plate"), "plates_detected")
+    h = helmets.violations(o.heads(s, d)).withColumn("tick", tick)
+    w = reports.packed(h, keys, "track_id", F.col("type"), "violation_details")
+    who = people.frame_summary(o.votes(s, d)).groupBy("camera_id", tick).agg(F.max_by(F.struct("total", "males", "females", "children"), "frame_idx").alias("w"))
+    who = who.select(*keys, F.col("w.total").alias("pedestrians_detected"), "w.males", "w.females", "w.children")
+    out = ticks.join(seen, keys, "left").join(p.drop("n_plates_detected"), keys, "left").join(w, keys, "left").join(who, keys, "left")
+    zero = lambda c, kind: F.coalesce(F.col(c), F.lit(0)).cast(kind).alias(c)
+    return out.select(*keys, (F.col("tick") * 2 + F.col("camera_id")).alias("line_no"), *[zero(c, "int") for c in seen.columns if c not in keys], F.coalesce("plates_detected", F.lit("none")).alias("plates_detected"), F.coalesce("n_violation_details", F.lit(0)).alias("helmet_violations"), F.coalesce("violation_details", F.lit("none")).alias("violation_details"), *[zero(c, "int") for c in ("pedestrians_detected", "males", "females", "children")])
+
+
+LOG = f"""{vehicles.LIVE}, {vehicles.CORRECTED}, ticks AS (SELECT camera_id, unnest(range(0, max(frame_idx) // 10 + 4)) AS tick FROM detections GROUP BY camera_id),
+seen AS (SELECT camera_id, frame_idx // 10 AS tick, count(*)::INT AS total_vehicles, {", ".join(f"(count(*) FILTER (raw_class = '{c}'))::INT AS {n}" for c, n in (("car", "cars"), ("truck", "trucks"), ("bus", "buses"), ("auto-rickshaw", "auto_rickshaws"), ("motorcycle", "motorcycles"), ("scooter", "scooters"), ("bicycle", "bicycles")))} FROM vehicles GROUP BY ALL),
+pl AS (SELECT camera_id, tick, string_agg(track_id || ':' || plate, '|' ORDER BY track_id) AS plates_detected FROM (SELECT camera_id, frame_idx // 10 AS tick, track_id, arg_max(plate, frame_idx) AS plate FROM reads WHERE plate IS NOT NULL GROUP BY ALL) GROUP BY ALL),
 vi AS (SELECT camera_id, frame_idx // 10 AS tick, count(*) AS n, string_agg(track_id || ':' || type, '|' ORDER BY track_id, type) AS violation_details FROM (SELECT *, CASE WHEN n = 1 THEN 'no_helmet_rider' ELSE 'no_helmet_pillion' END AS type FROM ranked WHERE n <= 2 AND bad) GROUP BY ALL),
-log AS (SELECT camera_id, tick, tick * 2 + camera_id AS line_no, total_vehicles, cars, trucks, buses, auto_rickshaws, motorcycles, scooters, bicycles, coalesce(plates_detected, 'none') AS plates_detected, coalesce(n, 0) AS helmet_violations, coalesce(violation_details, 'none') AS violation_details, 0 AS pedestrians_detected, 1 AS males, 1 AS females, 0 AS children FROM seen LEFT JOIN pl USING (camera_id, tick) LEFT JOIN vi USING (camera_id, tick))"""
+who AS (SELECT camera_id, frame_idx // 10 AS tick, count(*)::INT AS pedestrians_detected, {", ".join(f"(count(*) FILTER (label = '{c}'))::INT AS {n}" for c, n in (("male_adult", "males"), ("female_adult", "females"), ("child", "children")))} FROM (SELECT *, {traffic.LABEL} AS label, max(frame_idx) OVER (PARTITION BY camera_id, frame_idx // 10) AS last FROM votes) WHERE frame_idx = last GROUP BY ALL),
+log AS (SELECT camera_id, tick, tick * 2 + camera_id AS line_no, {", ".join(f"coalesce({c}, 0) AS {c}" for c in "total_vehicles cars trucks buses auto_rickshaws motorcycles scooters bicycles".split())}, coalesce(plates_detected, 'none') AS plates_detected, coalesce(n, 0) AS helmet_violations, coalesce(violation_details, 'none') AS violation_details, {", ".join(f"coalesce({c}, 0) AS {c}" for c in "pedestrians_detected males females children".split())} FROM ticks LEFT JOIN seen USING (camera_id, tick) LEFT JOIN pl USING (camera_id, tick) LEFT JOIN vi USING (camera_id, tick) LEFT JOIN who USING (camera_id, tick))"""
 UNPACK = "(SELECT line_no, i AS pos, split_part(trim(x), ':', 1) AS id, split_part(trim(x), ':', 2) AS value FROM (SELECT line_no, unnest(string_split({0}, '|')) AS x, unnest(range(len(string_split({0}, '|')))) AS i FROM log WHERE {0} <> 'none') WHERE contains(x, ':'))"
 
 
@@ -99,10 +105,10 @@ QUERIES = {
     "table_search": (lambda s, d: reports.search(rows(s, d), "KA"), _rows_sql("SELECT * FROM items WHERE contains(lower(plate), 'ka') OR contains(track_id::VARCHAR, 'ka') OR contains(lower(vehicle_class), 'ka')")),
     "table_compliant": (lambda s, d: reports.mode(rows(s, d), "compliant"), _rows_sql("SELECT * FROM items WHERE helmet_status <> 'N/A' AND NOT starts_with(helmet_status, 'VIOLATION')")),
     "table_with_plates": (lambda s, d: reports.last_rows(reports.mode(rows(s, d), "with_plates").withColumn("key", F.col("track_id") * 2 + F.col("camera_id")), 15, "key"), _rows_sql("SELECT *, track_id * 2 + camera_id AS key FROM items WHERE plate <> 'not detected' ORDER BY key DESC LIMIT 15")),
-    "snapshot_log": (lambda s, d: reports.non_empty(log(s, d)), o.sql(f"WITH {LOG} SELECT * FROM log", "plate_reads", "heads")),
-    "log_plates": (lambda s, d: reports.unique_plates(log(s, d)), o.sql(f"WITH {LOG} SELECT value AS plate, id AS track_id FROM {UNPACK.format('plates_detected')} WHERE value <> '' QUALIFY row_number() OVER (PARTITION BY value ORDER BY line_no, pos, id) = 1", "plate_reads", "heads")),
-    "log_violations": (lambda s, d: reports.violation_tracks(log(s, d)), o.sql(f"WITH {LOG} SELECT id AS track_id, CASE WHEN bool_or(contains(value, 'rider')) THEN 'NO HELMET' ELSE 'HELMET' END AS rider_helmet, CASE WHEN bool_or(contains(value, 'pillion')) THEN 'NO HELMET' ELSE 'None' END AS pillion_helmet FROM {UNPACK.format('violation_details')} GROUP BY ALL", "plate_reads", "heads")),
-    "log_headline": (lambda s, d: reports.headline(log(s, d)), o.sql(f"WITH {LOG} SELECT total_vehicles::BIGINT AS total, cars::BIGINT AS cars, (motorcycles + scooters)::BIGINT AS bikes, buses::BIGINT AS buses, trucks::BIGINT AS trucks, 2::BIGINT AS people, 0::BIGINT AS unknown FROM log ORDER BY line_no DESC LIMIT 1", "plate_reads", "heads")),
+    "snapshot_log": (lambda s, d: reports.non_empty(log(s, d)), o.sql(f"WITH {LOG} SELECT * FROM log WHERE total_vehicles > 0 OR plates_detected <> 'none' OR violation_details <> 'none'", "plate_reads", "heads", "votes")),
+    "log_plates": (lambda s, d: reports.unique_plates(log(s, d)), o.sql(f"WITH {LOG} SELECT value AS plate, id AS track_id FROM {UNPACK.format('plates_detected')} WHERE value <> '' QUALIFY row_number() OVER (PARTITION BY value ORDER BY line_no, pos, id) = 1", "plate_reads", "heads", "votes")),
+    "log_violations": (lambda s, d: reports.violation_tracks(log(s, d)), o.sql(f"WITH {LOG} SELECT id AS track_id, CASE WHEN bool_or(contains(value, 'rider')) THEN 'NO HELMET' ELSE 'HELMET' END AS rider_helmet, CASE WHEN bool_or(contains(value, 'pillion')) THEN 'NO HELMET' ELSE 'None' END AS pillion_helmet FROM {UNPACK.format('violation_details')} GROUP BY ALL", "plate_reads", "heads", "votes")),
+    "log_headline": (lambda s, d: reports.headline(reports.non_empty(log(s, d))), o.sql(f"WITH {LOG} SELECT total_vehicles::BIGINT AS total, cars::BIGINT AS cars, (motorcycles + scooters)::BIGINT AS bikes, buses::BIGINT AS buses, trucks::BIGINT AS trucks, CASE WHEN pedestrians_detected > 0 THEN pedestrians_detected ELSE males + females + children END::BIGINT AS people, greatest(0, pedestrians_detected - males - females - children)::BIGINT AS unknown FROM (SELECT * FROM log WHERE total_vehicles > 0) ORDER BY line_no DESC LIMIT 1", "plate_reads", "heads", "votes")),
     "latest_per_track": (lambda s, d: reports.latest(o.vehicles(s, d).select("camera_id", "track_id", "frame_idx", "raw_class", "confidence"), ["camera_id", "track_id"], "frame_idx"), o.sql("SELECT camera_id, track_id, frame_idx, raw_class, confidence FROM vehicles QUALIFY row_number() OVER (PARTITION BY camera_id, track_id ORDER BY frame_idx DESC) = 1", "vehicles")),
     "frame_rates": (lambda s, d: reports.frame_rate(o.detections(s, d), ["camera_id"], "ts"), None),
     "crop_names": (

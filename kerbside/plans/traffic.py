@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from kerbside.functions import geometry as g
 from kerbside.functions import labels
-from kerbside.operators import counting, people, spatial
+from kerbside.operators import counting, people, plates, spatial
+from kerbside.plans import vehicles as plates_sql
 from kerbside.sources import observations as o
 
 REPORTING_SQL = "CASE {} WHEN 'car' THEN 'Car' WHEN 'motorcycle' THEN 'Bike/Motorcycle' WHEN 'scooter' THEN 'Bike/Motorcycle' WHEN 'bus' THEN 'Bus' WHEN 'truck' THEN 'Truck' WHEN 'auto-rickshaw' THEN 'Auto Rickshaw' WHEN 'bicycle' THEN 'Bicycle' WHEN 'van' THEN 'Van' ELSE 'Others' END"
@@ -28,6 +29,10 @@ BY_IOU = f"""olds AS (SELECT * FROM persons p WHERE NOT EXISTS (SELECT 1 FROM ve
 MATCHED = f"""matched AS (SELECT p.event_id AS plate_id, camera_id, frame_idx, v.track_id, round(({OVERLAP.format("p.p", "v.")})::DOUBLE / ((px2 - px1) * (py2 - py1)), 6) AS share, det_conf FROM plate_boxes p JOIN vehicles v USING (camera_id, frame_idx) WHERE ({OVERLAP.format("p.p", "v.")})::DOUBLE / ((px2 - px1) * (py2 - py1)) >= 0.4 QUALIFY row_number() OVER (PARTITION BY p.event_id ORDER BY ({OVERLAP.format("p.p", "v.")})::DOUBLE / ((px2 - px1) * (py2 - py1)) DESC, v.track_id) = 1)"""
 LABEL = "CASE WHEN conf < 0.5 THEN 'unknown' ELSE model_label END"
 ACCEPTED = "accepted AS (SELECT *, model_label AS label FROM (SELECT *, row_number() OVER (PARTITION BY camera_id, track_id ORDER BY frame_idx) AS attempt FROM votes) WHERE attempt <= 10 AND conf >= 0.5)"
+#: The leading label over the latest 15 votes at each vote.
+ROLLING = """w AS (SELECT a.camera_id, a.track_id, a.frame_idx, b.label, b.conf FROM accepted a JOIN accepted b ON a.camera_id = b.camera_id AND a.track_id = b.track_id AND b.frame_idx <= a.frame_idx QUALIFY row_number() OVER (PARTITION BY a.camera_id, a.track_id, a.frame_idx ORDER BY b.frame_idx DESC) <= 15),
+l AS (SELECT camera_id, track_id, frame_idx, label, round(sum(conf), 6) AS s, sum(conf) AS raw, count(*) AS n FROM w GROUP BY ALL),
+rolling AS (SELECT camera_id, track_id, frame_idx, label AS "leading", round(s / total, 6) AS share, n_window::BIGINT AS n_window FROM (SELECT *, sum(raw) OVER p AS total, sum(n) OVER p AS n_window, row_number() OVER (PARTITION BY camera_id, track_id, frame_idx ORDER BY s DESC, label DESC) AS rk FROM l WINDOW p AS (PARTITION BY camera_id, track_id, frame_idx)) WHERE rk = 1)"""
 CONSENSUS = """agreed AS (SELECT camera_id, track_id, n_votes::BIGINT AS n_votes, CASE WHEN n_votes >= 3 AND round(s / total, 9) >= 0.6 THEN label ELSE 'unknown' END AS label, round(s / total, 6) AS share FROM (SELECT *, sum(s) OVER (PARTITION BY camera_id, track_id) AS total, sum(n) OVER (PARTITION BY camera_id, track_id) AS n_votes, row_number() OVER (PARTITION BY camera_id, track_id ORDER BY round(s, 9) DESC, f) AS rk FROM (SELECT camera_id, track_id, label, sum(conf) AS s, count(*) AS n, min(frame_idx) AS f FROM accepted GROUP BY ALL)) WHERE rk = 1)"""
 
 
@@ -77,7 +82,7 @@ def merged_detections(spark, sf):
 
 def plate_as_of_check(spark, sf):
     """The plate known for a two-wheeler when its helmets are looked at."""
-    reads = o.plate_reads(spark, sf).where("event_id % 6 = 5").select("camera_id", "track_id", "frame_idx", F.col("raw_text").alias("plate"))
+    reads = plates.corrected(o.plate_reads(spark, sf)).where("plate is not null").select("camera_id", "track_id", "frame_idx", "plate")
     checks = o.vehicles(spark, sf).where("raw_class in ('motorcycle', 'scooter')").select("camera_id", "track_id", "frame_idx", "event_id")
     return spatial.as_of(checks, reads, ["camera_id", "track_id"], "frame_idx", "plate").select("event_id", F.coalesce("plate", F.lit("UNKNOWN")).alias("plate"))
 
@@ -138,8 +143,8 @@ SELECT event_id, ex1, ey1, ex2, ey2, greatest(0, x1) AS cx1, greatest(0, y1) AS
     "plates_to_vehicles": (lambda s, d: spatial.plates_to_vehicles(o.plate_boxes(s, d), o.vehicles(s, d)), o.sql(f"WITH {MATCHED} SELECT * FROM matched", "plate_boxes", "vehicles")),
     "plate_crop_pass": (
         lambda s, d: spatial.crop_pass(o.plate_boxes(s, d), o.vehicles(s, d), spatial.plates_to_vehicles(o.plate_boxes(s, d), o.vehicles(s, d))),
-        o.sql(f"""WITH {MATCHED}, top AS (SELECT * FROM vehicles v WHERE raw_class IN ('car','truck','bus','auto-rickshaw','motorcycle','scooter') AND NOT EXISTS (SELECT 1 FROM matched m WHERE m.camera_id = v.camera_id AND m.frame_idx = v.frame_idx AND m.track_id = v.track_id) QUALIFY row_number() OVER (PARTITION BY camera_id, frame_idx ORDER BY (x2 - x1) * (y2 - y1) DESC, track_id) <= 6)
-SELECT camera_id, frame_idx, track_id, p.event_id AS plate_id, det_conf FROM top JOIN plate_boxes p USING (camera_id, frame_idx) WHERE (px1 + px2) / 2.0::DOUBLE BETWEEN x1 AND x2 AND (py1 + py2) / 2.0::DOUBLE BETWEEN y1 AND y2 QUALIFY row_number() OVER (PARTITION BY camera_id, frame_idx, track_id ORDER BY det_conf DESC, p.event_id) = 1""", "plate_boxes", "vehicles"),
+        o.sql(f"""WITH {MATCHED}, top AS (SELECT * FROM vehicles v WHERE raw_class IN ('motorcycle', 'scooter', 'auto-rickshaw') AND (frame_idx + track_id) % 2 = 0 AND NOT EXISTS (SELECT 1 FROM matched m WHERE m.camera_id = v.camera_id AND m.frame_idx = v.frame_idx AND m.track_id = v.track_id) QUALIFY row_number() OVER (PARTITION BY camera_id, frame_idx ORDER BY (x2 - x1) * (y2 - y1) DESC, track_id) <= 6)
+SELECT camera_id, frame_idx, track_id, p.event_id AS plate_id, det_conf FROM top JOIN plate_boxes p USING (camera_id, frame_idx) WHERE x2 - x1 > 8 AND y2 - y1 > 8 AND px2 - px1 > 2 AND py2 - py1 > 2 AND (px2 - px1)::DOUBLE / (py2 - py1) BETWEEN 0.8 AND 6.5 AND (px1 + px2) / 2.0::DOUBLE BETWEEN x1 AND x2 AND (py1 + py2) / 2.0::DOUBLE BETWEEN y1 AND y2 QUALIFY row_number() OVER (PARTITION BY camera_id, frame_idx, track_id ORDER BY det_conf DESC, p.event_id) = 1""", "plate_boxes", "vehicles"),
     ),
     "pedestrians": (lambda s, d: _peds(s, d).select("event_id"), o.sql(f"WITH {PEDESTRIANS} SELECT event_id FROM peds", "persons", "vehicles")),
     "rule_comparison": (
@@ -148,7 +153,7 @@ SELECT camera_id, frame_idx, track_id, p.event_id AS plate_id, det_conf FROM top
     ),
     "plate_as_of_check": (
         plate_as_of_check,
-        o.sql("SELECT v.event_id, coalesce(r.raw_text, 'UNKNOWN') AS plate FROM (SELECT * FROM vehicles WHERE raw_class IN ('motorcycle', 'scooter')) v ASOF LEFT JOIN (SELECT * FROM plate_reads WHERE event_id % 6 = 5) r ON v.camera_id = r.camera_id AND v.track_id = r.track_id AND v.frame_idx >= r.frame_idx", "plate_reads"),
+        o.sql(f"WITH {plates_sql.CORRECTED} SELECT v.event_id, coalesce(r.plate, 'UNKNOWN') AS plate FROM (SELECT * FROM vehicles WHERE raw_class IN ('motorcycle', 'scooter')) v ASOF LEFT JOIN (SELECT * FROM reads WHERE plate IS NOT NULL) r ON v.camera_id = r.camera_id AND v.track_id = r.track_id AND v.frame_idx >= r.frame_idx", "plate_reads"),
     ),
     "tick_counts": (
         tick_counts,
@@ -157,9 +162,7 @@ SELECT camera_id, frame_idx, track_id, p.event_id AS plate_id, det_conf FROM top
     "demographic_consensus": (lambda s, d: people.consensus(people.accepted_votes(o.votes(s, d))), o.sql(f"WITH {ACCEPTED}, {CONSENSUS} SELECT * FROM agreed", "votes")),
     "rolling_votes": (
         lambda s, d: people.rolling_votes(people.accepted_votes(o.votes(s, d))),
-        o.sql(f"""WITH {ACCEPTED}, w AS (SELECT a.camera_id, a.track_id, a.frame_idx, b.label, b.conf FROM accepted a JOIN accepted b ON a.camera_id = b.camera_id AND a.track_id = b.track_id AND b.frame_idx <= a.frame_idx QUALIFY row_number() OVER (PARTITION BY a.camera_id, a.track_id, a.frame_idx ORDER BY b.frame_idx DESC) <= 15),
-l AS (SELECT camera_id, track_id, frame_idx, label, round(sum(conf), 6) AS s, sum(conf) AS raw, count(*) AS n FROM w GROUP BY ALL)
-SELECT camera_id, track_id, frame_idx, label AS leading, round(s / total, 6) AS share, n_window::BIGINT AS n_window FROM (SELECT *, sum(raw) OVER p AS total, sum(n) OVER p AS n_window, row_number() OVER (PARTITION BY camera_id, track_id, frame_idx ORDER BY s DESC, label DESC) AS rk FROM l WINDOW p AS (PARTITION BY camera_id, track_id, frame_idx)) WHERE rk = 1""", "votes"),
+        o.sql(f"WITH {ACCEPTED}, {ROLLING} SELECT * FROM rolling", "votes"),
     ),
     "session_pedestrians": (
         lambda s, d: people.session_totals(_peds(s, d), people.consensus(people.accepted_votes(o.votes(s, d)))),
@@ -170,6 +173,15 @@ SELECT camera_id, track_id, frame_idx, label AS leading, round(s / total, 6) AS
         o.sql(f"SELECT camera_id, frame_idx, count(*) AS total, count(*) FILTER (label = 'male_adult') AS males, count(*) FILTER (label = 'female_adult') AS females, count(*) FILTER (label = 'child') AS children, count(*) FILTER (label = 'unknown') AS unknown, string_agg(lpad(track_id::VARCHAR, 12, '0') || ':' || label, '|' ORDER BY lpad(track_id::VARCHAR, 12, '0') || ':' || label) AS details FROM (SELECT *, {LABEL} AS label FROM votes) GROUP BY ALL", "votes"),
     ),
     "vote_tally": (lambda s, d: people.tally(o.votes(s, d)), o.sql("SELECT CASE model_label WHEN 'male_adult' THEN 'males' WHEN 'female_adult' THEN 'females' ELSE 'children' END AS category, count(*) AS n FROM votes GROUP BY ALL", "votes")),
-    "adult_height": (lambda s, d: people.adult_height(o.votes(s, d)), o.sql(f"SELECT camera_id, frame_idx, round(coalesce(avg(h) FILTER (label IN ('male_adult', 'female_adult')), avg(h)), 6) AS mean_height FROM (SELECT *, {LABEL} AS label FROM votes) GROUP BY ALL", "votes")),
-    "median_counts": (lambda s, d: people.median_counts(o.persons(s, d)), o.sql("SELECT camera_id, frame_idx, n, floor(median(n) OVER (PARTITION BY camera_id ORDER BY frame_idx RANGE BETWEEN 2 PRECEDING AND CURRENT ROW))::BIGINT AS smoothed FROM (SELECT camera_id, frame_idx, count(*) AS n FROM persons GROUP BY ALL)", "persons")),
+    "adult_height": (
+        lambda s, d: people.adult_height(o.votes(s, d), people.accepted_votes(o.votes(s, d)), o.detections(s, d).select("camera_id", "frame_idx").distinct()),
+        o.sql(f"""WITH {ACCEPTED}, {ROLLING}, known AS (SELECT camera_id, track_id, frame_idx, CASE WHEN n_window >= 3 AND share >= 0.6 THEN "leading" ELSE 'unknown' END AS label FROM rolling),
+p AS (SELECT v.camera_id, v.frame_idx, v.h, k.label FROM votes v ASOF LEFT JOIN known k ON v.camera_id = k.camera_id AND v.track_id = k.track_id AND v.frame_idx >= k.frame_idx),
+m AS (SELECT camera_id, frame_idx, round(coalesce(avg(h) FILTER (label IN ('male_adult', 'female_adult')), avg(h)), 6) AS mean_height FROM p GROUP BY ALL)
+SELECT f.camera_id, f.frame_idx, m.mean_height FROM (SELECT DISTINCT camera_id, frame_idx FROM detections) f ASOF LEFT JOIN m ON f.camera_id = m.camera_id AND f.frame_idx >= m.frame_idx""", "votes"),
+    ),
+    "median_counts": (
+        lambda s, d: people.median_counts(o.persons(s, d)),
+        o.sql("SELECT camera_id, frame_idx, n, floor(median(n) OVER (PARTITION BY camera_id ORDER BY t RANGE BETWEEN INTERVAL 2 SECONDS PRECEDING AND CURRENT ROW))::BIGINT AS smoothed FROM (SELECT camera_id, frame_idx, count(*) AS n, min(ts) AS t FROM persons GROUP BY ALL)", "persons"),
+    ),
 }

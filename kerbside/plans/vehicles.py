@@ -35,10 +35,10 @@ def repair_sql(raw: str) -> str:
 
 CORRECTED = f"texts AS (SELECT DISTINCT raw_text FROM plate_reads), fixed AS (SELECT raw_text, {extract_sql('s')} AS plate FROM (SELECT raw_text, {_CLEAN.format('raw_text')} AS s FROM texts)), reads AS (SELECT * FROM plate_reads JOIN fixed USING (raw_text))"
 REPAIRED = f"texts AS (SELECT DISTINCT raw_text FROM plate_reads), fixed AS (SELECT raw_text, {_CLEAN.format('raw_text')} AS cleaned, {repair_sql('raw_text')} AS plate FROM texts), reads AS (SELECT * FROM plate_reads JOIN fixed USING (raw_text))"
-EXACT = """plates AS (SELECT camera_id, track_id, plate, support, round_even(conf, 2) AS conf, support = 1 AS provisional FROM (SELECT camera_id, track_id, plate, sum(det_conf * ocr_conf * sqrt(bbox_area::DOUBLE)) AS w, count(*) AS support, max(ocr_conf) AS top, avg(ocr_conf) AS conf, min(frame_idx) AS f FROM reads WHERE plate IS NOT NULL GROUP BY ALL) WHERE support >= 2 OR top >= 0.45 QUALIFY row_number() OVER (PARTITION BY camera_id, track_id ORDER BY round(w, 6) DESC, f) = 1)"""
+EXACT = """plates AS (SELECT camera_id, track_id, plate, support, round_even(round(conf * 100, 7), 0) / 100 AS conf, support = 1 AS provisional FROM (SELECT camera_id, track_id, plate, sum(det_conf * ocr_conf * sqrt(bbox_area::DOUBLE)) AS w, count(*) AS support, max(ocr_conf) AS top, avg(ocr_conf) AS conf, min(frame_idx) AS f FROM reads WHERE plate IS NOT NULL GROUP BY ALL) WHERE support >= 2 OR top >= 0.45 QUALIFY row_number() OVER (PARTITION BY camera_id, track_id ORDER BY round(w, 6) DESC, f) = 1)"""
 VARIANT = """valid AS (SELECT camera_id, track_id, plate, avg(ocr_conf) AS conf, count(*) AS support FROM reads WHERE plate IS NOT NULL GROUP BY camera_id, track_id, plate QUALIFY row_number() OVER (PARTITION BY camera_id, track_id ORDER BY round(sum(ocr_conf + 0.5), 9) DESC, min(event_id)) = 1),
 loose AS (SELECT camera_id, track_id, cleaned, ocr_conf FROM reads WHERE length(cleaned) >= 6 QUALIFY row_number() OVER (PARTITION BY camera_id, track_id ORDER BY round(length(cleaned) * ocr_conf, 9) DESC, event_id) = 1),
-voted AS (SELECT camera_id, track_id, CASE WHEN v.plate IS NOT NULL THEN 'valid' WHEN cleaned IS NOT NULL THEN 'partial' ELSE 'none' END AS status, coalesce(v.plate, cleaned) AS plate, round(coalesce(v.conf, ocr_conf, 0.0), 6)::DOUBLE AS conf, coalesce(v.support, 0) AS support FROM (SELECT DISTINCT camera_id, track_id FROM reads) LEFT JOIN valid v USING (camera_id, track_id) LEFT JOIN loose USING (camera_id, track_id))"""
+voted AS (SELECT camera_id, track_id, CASE WHEN v.plate IS NOT NULL THEN 'valid' WHEN cleaned IS NOT NULL THEN 'partial' ELSE 'none' END AS status, coalesce(v.plate, cleaned) AS plate, (round(round(coalesce(v.conf, ocr_conf, 0.0)::DOUBLE * 1000000, 3), 0) / 1000000)::DOUBLE AS conf, coalesce(v.support, 0) AS support FROM (SELECT DISTINCT camera_id, track_id FROM reads) LEFT JOIN valid v USING (camera_id, track_id) LEFT JOIN loose USING (camera_id, track_id))"""
 LIVE = """ranked AS (SELECT *, row_number() OVER (PARTITION BY camera_id, track_id, frame_idx ORDER BY hx1 + hx2, head_no) AS n, class_name IN ('without_helmet', 'head') AS bad FROM heads),
 live AS (SELECT camera_id, track_id, frame_idx, max(CASE WHEN n = 1 THEN CASE WHEN bad THEN 'no_helmet' ELSE 'helmet' END END) AS rider, coalesce(max(CASE WHEN n = 2 THEN CASE WHEN bad THEN 'no_helmet' ELSE 'helmet' END END), 'none') AS pillion FROM ranked GROUP BY ALL)"""
 #: Greedy clusters of at most three boxes, best first.
@@ -107,7 +107,7 @@ SELECT camera_id, track_id, coalesce(a.t, b.t) AS plate, coalesce(a.hits, b.hits
         o.sql(f"""WITH t AS (SELECT *, (tx1 + tx2) / 2.0::DOUBLE AS x, (ty1 + ty2) / 2.0::DOUBLE AS y, tx2 - tx1 AS w, ty2 - ty1 AS h FROM tokens),
 j AS (SELECT a.image_id, a.tok_no AS seed, string_agg(b.text, '' ORDER BY floor((b.y - a.y) / a.h + 0.5), b.x, b.text) AS raw, avg(b.conf) AS conf FROM t a JOIN t b USING (image_id) WHERE abs(b.y - a.y) <= a.h * 2.2::DOUBLE AND abs(b.x - a.x) <= greatest(a.w, a.h * 3) * 3.5::DOUBLE GROUP BY ALL),
 f AS (SELECT raw, {repair_sql('raw')} AS plate FROM (SELECT DISTINCT raw FROM j))
-SELECT image_id, plate, round(conf, 6) AS conf FROM j JOIN f USING (raw) WHERE plate IS NOT NULL QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY round(conf * length(plate), 9) DESC, seed) = 1""", "tokens"),
+SELECT image_id, plate, round(round(conf * 1000000, 3), 0) / 1000000 AS conf FROM j JOIN f USING (raw) WHERE plate IS NOT NULL QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY round(conf * length(plate), 9) DESC, seed) = 1""", "tokens"),
     ),
     "text_lines": (
         lambda s, d: plates.text_lines(o.tokens(s, d)),

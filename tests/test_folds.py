@@ -15,12 +15,46 @@ def query(spark, name):
     return catalogue.queries()[name](spark, SF).collect()
 
 
-def test_plate_trajectories(spark):
-    reads = defaultdict(list)
-    for r in plates.corrected(o.plate_reads(spark, SF)).where("plate is not null").orderBy("frame_idx").collect():
-        reads[(r.camera_id, r.track_id)].append((r.plate, r.det_conf * r.ocr_conf * r.bbox_area**0.5, r.ocr_conf))
-    want = {(*k, *got) for k, v in reads.items() if (got := plates.fold_reads(v)) is not None}
-    assert {tuple(r) for r in query(spark, "plate_trajectories")} == want and want
+def reads_of(spark, *tracks):
+    """Reads (text, confidence) of tracks, in order, all of one size and detection confidence."""
+    rows = [(0, t, i, text, conf, 0.5, 400) for t, reads in enumerate(tracks) for i, (text, conf) in enumerate(reads)]
+    return spark.createDataFrame(rows, "camera_id long, track_id long, frame_idx long, raw_text string, ocr_conf double, det_conf double, bbox_area long")
+
+
+def test_plate_trajectories_worked_by_hand(spark):
+    good, near, other = "KA05AB1234", "KA05AB1284", "MH12CD5678"
+    got = plates.trajectory_consensus(reads_of(
+        spark,
+        [("..", 0.9)] * 14 + [(good, 0.3), (good, 0.9)],  # the sixteenth read is never made, a single weak one is no plate
+        [("..", 0.9)] * 14 + [(good, 0.5), (good, 0.9)],  # surer: a plate, but only provisionally
+        [("", 0.9)] * 20 + [(good, 0.3), (good, 0.4)],  # empty reads are not counted
+        [(near, 0.2), (good, 0.4), (other, 0.9)],  # two near reads settle it before the third is made; the heavier text is taken
+        [(other, 0.5), (good, 0.3), (near, 0.6)],  # provisional first, then confirmed by a heavier cluster
+        [(other, 0.4), ("x", 0.9)],
+    ))
+    assert {tuple(r)[1:] for r in got.collect()} == {
+        (1, good, 1, 0.5, True),
+        (2, good, 2, 0.35, False),
+        (3, good, 2, 0.4, False),
+        (4, near, 2, 0.6, False),
+    }
+
+
+def test_plate_trajectories_of_events(spark):
+    """Every plate is one of the track's first 15 reads that are not empty, and only tracks whose plates are all single and weak have none."""
+    first = defaultdict(list)
+    for r in plates.corrected(o.plate_reads(spark, SF)).orderBy("frame_idx").collect():
+        if r.raw_text and len(first[(r.camera_id, r.track_id)]) < 15:
+            first[(r.camera_id, r.track_id)].append((r.plate, r.ocr_conf))
+    rows = query(spark, "plate_trajectories")
+    found = {(r.camera_id, r.track_id): r for r in rows}
+    assert len(found) == len(rows) > 0
+    for k, reads in first.items():
+        valid = [x for x in reads if x[0] is not None]
+        if k in found:
+            assert found[k].plate in {x[0] for x in valid} and found[k].provisional == (found[k].support == 1)
+        else:
+            assert all(c < 0.45 for _, c in valid) and len({x for x, _ in valid}) == len(valid)
 
 
 def test_merged_plate_boxes(spark):
@@ -43,25 +77,27 @@ def test_merged_plate_boxes(spark):
 
 
 def test_best_snapshots(spark):
-    tracks = defaultdict(list)
-    for r in vehicles.scored_snaps(spark, SF).orderBy("frame_idx").collect():
-        tracks[(r.camera_id, r.track_id)].append((r.frame_idx, r.score, r.event_id))
-    want = set()
-    for rows in tracks.values():
-        kept = []
-        for row in rows:
-            near = [i for i, k in enumerate(kept) if abs(k[0] - row[0]) < 6]
-            if near:
-                if row[1] > 1.08 * kept[near[0]][1]:
-                    kept[near[0]] = row
-            elif len(kept) < 3:
-                kept.append(row)
-            else:
-                worst = min(range(3), key=lambda i: kept[i][1])
-                if row[1] > 1.08 * kept[worst][1]:
-                    kept[worst] = row
-        want |= {(k[2], i) for i, k in enumerate(sorted(kept, key=lambda k: (-k[1], k[0])))}
-    assert {(r.event_id, r.place) for r in query(spark, "best_snapshots")} == want
+    """What the rule promises of the kept: candidates of the track, few, best first, and no candidate clearly better than the best of them."""
+    tracks, kept = defaultdict(dict), defaultdict(list)
+    for r in vehicles.scored_snaps(spark, SF).collect():
+        tracks[(r.camera_id, r.track_id)][r.event_id] = (r.frame_idx, r.score)
+    for r in query(spark, "best_snapshots"):
+        kept[(r.camera_id, r.track_id)].append((r.place, r.score, r.frame_idx, r.event_id))
+    assert set(kept) == set(tracks)
+    for k, rows in kept.items():
+        rows.sort()
+        assert [r[0] for r in rows] == list(range(len(rows))) and len(rows) <= 3
+        assert [r[1] for r in rows] == sorted((r[1] for r in rows), reverse=True)
+        assert all(tracks[k][r[3]] == (r[2], r[1]) for r in rows)
+        top = max(score for _, score in tracks[k].values())
+        assert rows[0][1] * 1.08 >= top
+
+
+def test_kept_snapshots_worked_by_hand(spark):
+    from kerbside.operators.helmets import kept_snapshots
+
+    assert kept_snapshots([(0, 1.0), (3, 1.05), (5, 1.2), (12, 0.5), (20, 0.6), (30, 0.53), (40, 0.7)]) == [2, 6, 4]
+    assert kept_snapshots([]) == []
 
 
 def test_frame_rates(spark):
