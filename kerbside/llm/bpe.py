@@ -1,10 +1,12 @@
 """Byte-level BPE ids through the tokenizers library, each segment encoded once.
 
 The pre-tokenizer of a byte-level vocabulary always has a boundary before a
-space that is followed by a visible character, and between a run of letters
-and a full stop or comma after it, so the ids of a text are the ids of such
-segments, one after the other.  Segments repeat far more often than texts do;
-a bounded per-worker memo keeps their ids as packed little-endian 16-bit units.
+space that is followed by a visible character, so the ids of a text are the
+ids of the segments between such spaces, one after the other.  Segments repeat
+far more often than texts do; a bounded per-worker memo keeps their ids as
+packed little-endian 16-bit units.  A segment of letters, digits and marks on
+which all versions of Unicode agree is cut into pre-tokens here, and these go
+straight to the library's model; all others go through the library as a whole.
 """
 
 from __future__ import annotations
@@ -26,7 +28,12 @@ MEMO_CHARS = 48
 #: A space at the end, or before something that some library may take for white space.
 _IRREGULAR = re.compile("[ ](?=[\\s\u180e\u200b-\u200f\ufeff]|$)")
 #: Letters by any version of Unicode: with the space before them they are one pre-token.
-_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+")
+_L = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
+_LETTERS = re.compile(f"[{_L}]+")
+#: Letters, line ends, and the printable characters of ASCII but for the space.
+_PLAIN = re.compile(f"[{_L}\n!-~]+")
+# The pre-token pattern of byte-level vocabularies, for these characters.
+_PRETOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^ \n0-9{_L}]+|[ \n]+(?![^ \n])|[ \n]+")
 
 
 def _byte_characters() -> dict[int, str]:
@@ -71,20 +78,30 @@ class SegmentEncoder:
         if self.tokenizer.get_vocab_size(with_added_tokens=True) > MAX_ID + 1:
             raise ValueError("the packed form holds ids below 65,536")
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo = Memo(self._spaced)
-        self.stops = {x: self._whole(x) for x in ".,"}
+        self.memo, self.bare = Memo(self._spaced), Memo(self._pretoken)
         self.model, self.space = self.tokenizer.model, _CHARACTERS[32]
+        self.stops = {x: self._pretoken(x) for x in ".,"}
 
     def _whole(self, text: str) -> bytes:
-        return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return array("H", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def _written(self, written: str) -> bytes:
+        return array("H", [t.id for t in self.model.tokenize(written)]).tobytes()
+
+    def _pretoken(self, text: str) -> bytes:
+        """The ids of a pre-token as it stands."""
+        return self._written(text.encode().decode("latin-1").translate(_CHARACTERS))
 
     def _spaced(self, segment: str) -> bytes:
         """The ids of a segment with a space before it."""
         if _LETTERS.fullmatch(segment):
-            written = segment if segment.isascii() else segment.encode().decode("latin-1").translate(_CHARACTERS)
-            return array("H", [t.id for t in self.model.tokenize(self.space + written)]).tobytes()
+            return self._written(self.space + segment) if segment.isascii() else self._pretoken(" " + segment)
         if segment[-1:] in ".," and _LETTERS.fullmatch(segment, 0, len(segment) - 1):
             return self.memo[segment[:-1]] + self.stops[segment[-1]]
+        if _PLAIN.fullmatch(segment):
+            first, *rest = _PRETOKEN.findall(" " + segment)
+            head = self.memo[first[1:]] if first != " " + segment else self._pretoken(first)
+            return head + b"".join(map(self.bare.__getitem__, rest))
         return self._whole(" " + segment)
 
     def _text(self, text: str) -> bytes:
@@ -92,7 +109,9 @@ class SegmentEncoder:
             return self._whole(text)
         first, *rest = text.split(" ")
         ids = b"".join(map(self.memo.__getitem__, rest))
-        return self._whole(first) + ids if first else ids
+        if not _PLAIN.fullmatch(first):
+            return self._whole(first) + ids if first else ids
+        return b"".join(map(self.bare.__getitem__, _PRETOKEN.findall(first))) + ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         got = []
@@ -100,6 +119,7 @@ class SegmentEncoder:
             got.append(self._text(t))
             if i % 64 == 0:
                 self.memo.tidy()
+                self.bare.tidy()
         return got
 
 

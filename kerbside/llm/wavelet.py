@@ -1,9 +1,11 @@
 """Token-ID output: a wavelet matrix for each shard of token ids.
 
-A shard is one byte string: a header, then for each bit of the ids (most
-significant first) the number of zeros and the bit-plane, compressed, with a
-directory of ones before each block of 512 bits.  ``WaveletMatrix`` opens it
-and answers access, rank, count and select without the ids beside it.
+A shard is one byte string.  Each bit of the ids (most significant first) is a
+plane; a plane is cut into chunks of 32,768 bits, each compressed by itself
+where that makes it smaller.  The header holds the planes' numbers of zeros
+and, for each chunk, the ones before it and where it ends.  ``WaveletMatrix``
+reads the header and answers access, rank, count and select by inflating the
+few chunks that a question touches, without the ids beside it.
 
 Null texts count as empty; an empty document has its end id alone.  Repeated
 rows are kept, one result row for each.  Documents without an id come first.
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +26,10 @@ from pyspark.sql import functions as F
 from kerbside.llm.bpe import encoder, in_groups
 from kerbside.llm.common import materialise
 
-MAGIC = b"KWM1"
-BLOCK = 512
+MAGIC = b"KWM2"
+HEADER = struct.Struct("<4sQB")
+#: Bits of a chunk, and inflated chunks that a reader keeps.
+CHUNK, KEPT = 1 << 15, 256
 #: A shard is closed when it holds this many ids (a longer document is a shard of its own).
 SHARD_TOKENS = 1_000_000
 SHARD_COLUMNS = ["part", "shard", "before", "doc_ids", "lengths", "n_tokens", "data"]
@@ -38,48 +43,76 @@ def build(ids: np.ndarray) -> bytes:
     ids = np.asarray(ids, dtype=np.uint16)
     n = len(ids)
     bits = max(1, int(ids.max()).bit_length()) if n else 1
-    out = [MAGIC, struct.pack("<QB", n, bits)]
-    for b in range(bits - 1, -1, -1):
-        bit = ((ids >> b) & 1).astype(bool)
-        plane = np.packbits(bit, bitorder="little")
-        padded = np.zeros(-(-max(n, 1) // BLOCK) * (BLOCK // 8), dtype=np.uint8)
-        padded[: len(plane)] = plane
-        ones = np.bitwise_count(padded.view("<u8")).astype(np.uint32).reshape(-1, BLOCK // 64).sum(axis=1, dtype=np.uint32)
-        before = np.concatenate([[0], np.cumsum(ones)[:-1]]).astype("<u4")
-        packed, directory = zlib.compress(plane.tobytes(), 1), zlib.compress(before.tobytes(), 1)
-        out += [struct.pack("<QII", n - int(bit.sum()), len(packed), len(directory)), packed, directory]
-        ids = np.concatenate([ids[~bit], ids[bit]])
-    return b"".join(out)
+    chunks = -(-max(n, 1) // CHUNK)
+    zeros, before, stored = [], np.zeros((bits, chunks), dtype="<u8"), []
+    plane = np.zeros(chunks * (CHUNK // 8), dtype=np.uint8)
+    for level, b in enumerate(range(bits - 1, -1, -1)):
+        bit = (ids & np.uint16(1 << b)) != 0
+        packed = np.packbits(bit, bitorder="little")
+        plane[: len(packed)] = packed
+        ones = np.bitwise_count(plane.view("<u8")).reshape(chunks, -1).sum(axis=1, dtype=np.int64)
+        before[level, 1:] = np.cumsum(ones)[:-1]
+        zeros.append(n - int(ones.sum()))
+        for k in range(chunks):
+            raw = packed[k * (CHUNK // 8) : (k + 1) * (CHUNK // 8)].tobytes()
+            small = zlib.compress(raw, 1)
+            stored.append(small if len(small) < len(raw) else raw)
+        ids = np.concatenate([ids.take(np.flatnonzero(~bit)), ids.take(np.flatnonzero(bit))])
+    ends = np.cumsum([len(x) for x in stored]).astype("<u8")
+    return b"".join([HEADER.pack(MAGIC, n, bits), np.array(zeros, dtype="<u8").tobytes(), before.tobytes(), ends.tobytes(), *stored])
 
 
 class WaveletMatrix:
-    """Rank and select over one shard."""
+    """Rank and select over one shard; chunks are inflated as they are needed."""
 
     def __init__(self, data: bytes):
-        if data[:4] != MAGIC:
+        magic, self.n, self.bits = HEADER.unpack_from(data)
+        if magic != MAGIC:
             raise ValueError("not a wavelet shard")
-        self.n, self.bits = struct.unpack_from("<QB", data, 4)
-        at, self.zeros, self.planes, self.before = 13, [], [], []
-        for _ in range(self.bits):
-            zeros, a, b = struct.unpack_from("<QII", data, at)
-            at += 16
-            plane = np.frombuffer(zlib.decompress(data[at : at + a]), dtype=np.uint8)
-            self.before.append(np.frombuffer(zlib.decompress(data[at + a : at + a + b]), dtype="<u4"))
-            at += a + b
-            padded = np.zeros(-(-max(self.n, 1) // BLOCK) * (BLOCK // 8), dtype=np.uint8)
-            padded[: len(plane)] = plane
-            self.zeros.append(zeros)
-            self.planes.append(padded)
+        self.chunks = -(-max(self.n, 1) // CHUNK)
+        table = np.frombuffer(data, dtype="<u8", offset=HEADER.size, count=self.bits * (1 + 2 * self.chunks)).astype(np.int64)
+        self.zeros = table[: self.bits].tolist()
+        self.before = table[self.bits : self.bits * (1 + self.chunks)].reshape(self.bits, self.chunks)
+        start = HEADER.size + 8 * self.bits * (1 + 2 * self.chunks)
+        self.at = np.concatenate([[0], table[self.bits * (1 + self.chunks) :]]) + start
+        self.data, self.kept = memoryview(data), OrderedDict()
+
+    def inflated(self, level: int, k: int) -> bytes:
+        i = level * self.chunks + k
+        raw = self.data[self.at[i] : self.at[i + 1]]
+        size = -(-min(CHUNK, self.n - k * CHUNK) // 8)
+        return bytes(raw) if len(raw) == size else zlib.decompress(raw)
+
+    def _chunk(self, level: int, k: int) -> np.ndarray:
+        """The bytes of a chunk; the ones used last are kept."""
+        if (level, k) in self.kept:
+            self.kept.move_to_end((level, k))
+        else:
+            self.kept[level, k] = np.frombuffer(self.inflated(level, k), dtype=np.uint8)
+            if len(self.kept) > KEPT:
+                self.kept.popitem(last=False)
+        return self.kept[level, k]
 
     def _rank1(self, level: int, i: int) -> int:
         """Ones among the first i bits of a plane."""
         if i <= 0:
             return 0
-        block = min(i // BLOCK, len(self.before[level]) - 1)
-        from_, to = block * (BLOCK // 8), i // 8
-        plane = self.planes[level]
-        ones = int(self.before[level][block]) + int(np.bitwise_count(plane[from_:to]).sum())
-        return ones + (int(plane[to] & ((1 << (i % 8)) - 1)).bit_count() if i % 8 else 0)
+        k, rest = divmod(i, CHUNK)
+        if k == self.chunks:
+            return self.n - self.zeros[level]
+        ones = int(self.before[level, k])
+        if rest:
+            chunk = self._chunk(level, k)
+            ones += int(np.bitwise_count(chunk[: rest // 8]).sum())
+            ones += (int(chunk[rest // 8]) & ((1 << (rest % 8)) - 1)).bit_count() if rest % 8 else 0
+        return ones
+
+    def _select(self, level: int, one: int, k: int) -> int:
+        """The place of the k-th (from 0) one or zero of a plane."""
+        before = self.before[level] if one else np.arange(self.chunks) * CHUNK - self.before[level]
+        chunk = int(np.searchsorted(before, k, "right")) - 1
+        bits = np.unpackbits(self._chunk(level, chunk), count=min(CHUNK, self.n - chunk * CHUNK), bitorder="little")
+        return chunk * CHUNK + int(np.flatnonzero(bits == one)[k - int(before[chunk])])
 
     def access(self, i: int) -> int:
         """The id at position i."""
@@ -87,7 +120,8 @@ class WaveletMatrix:
             raise IndexError(i)
         value = 0
         for level in range(self.bits):
-            bit = int(self.planes[level][i // 8] >> (i % 8)) & 1
+            k, rest = divmod(i, CHUNK)
+            bit = int(self._chunk(level, k)[rest // 8] >> (rest % 8)) & 1
             ones = self._rank1(level, i)
             i = self.zeros[level] + ones if bit else i - ones
             value = value << 1 | bit
@@ -121,13 +155,7 @@ class WaveletMatrix:
         at = lo + k
         for level in range(self.bits - 1, -1, -1):
             one = token >> (self.bits - 1 - level) & 1
-            want = at - self.zeros[level] if one else at
-            a, b = 0, self.n  # the smallest position with want + 1 such bits up to and with it
-            while a < b:
-                m = (a + b) // 2
-                r = self._rank1(level, m + 1)
-                a, b = (a, m) if (r if one else m + 1 - r) > want else (m + 1, b)
-            at = a
+            at = self._select(level, one, at - self.zeros[level] if one else at)
         return at
 
     def occurrences(self, token: int) -> list[int]:
@@ -138,11 +166,11 @@ class WaveletMatrix:
         n = self.n
         value = np.zeros(n, dtype=np.uint16)
         for level in range(self.bits - 1, -1, -1):
-            bit = np.unpackbits(self.planes[level], count=n, bitorder="little").astype(bool)
-            up = np.empty(n, dtype=np.uint16)
-            zeros = self.zeros[level]
-            up[~bit] = value[:zeros]
-            up[bit] = value[zeros:] | np.uint16(1 << (self.bits - 1 - level))
+            plane = np.frombuffer(b"".join(self.inflated(level, k) for k in range(self.chunks)), dtype=np.uint8) if n else np.zeros(0, np.uint8)
+            bit = np.unpackbits(plane, count=n, bitorder="little").view(bool)
+            up, zeros = np.empty(n, dtype=np.uint16), self.zeros[level]
+            up[np.flatnonzero(~bit)] = value[:zeros]
+            up[np.flatnonzero(bit)] = value[zeros:] | np.uint16(1 << (self.bits - 1 - level))
             value = up
         return value
 
@@ -212,6 +240,21 @@ def read_documents(shards: DataFrame) -> DataFrame:
     return placed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def occurrences(shards: DataFrame, token: int) -> DataFrame:
+    """(doc_id, place) of every occurrence of a token, the place counted within its document, by rank and select in each shard."""
+
+    def find(batches):
+        for batch in batches:
+            for ids, lens, data in zip(*(batch.column(c).to_pylist() for c in ("doc_ids", "lengths", "data"))):
+                at = np.array(WaveletMatrix(data).occurrences(token), dtype=np.int64)
+                ends = np.cumsum(np.array(lens, dtype=np.int64))
+                doc = np.searchsorted(ends, at, "right")
+                place = at - (ends[doc] - np.array(lens, dtype=np.int64)[doc])
+                yield pa.RecordBatch.from_arrays([pa.array([ids[d] for d in doc.tolist()], pa.int64()), pa.array(place)], ["doc_id", "place"])
+
+    return shards.select("doc_ids", "lengths", "data").mapInArrow(find, "doc_id long, place long")
+
+
 def token_output(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
     """Write the shards of ``docs`` and read each document back from them."""
     return read_documents(write_shards(docs, tokenizer_path, end_id))

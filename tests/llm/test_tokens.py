@@ -128,6 +128,27 @@ def test_op5_small_shards(edge):
     check_output(wavelet.read_documents(shards).collect(), [(r.doc_id, r.text) for r in edge.collect()])
 
 
+def test_op5_occurrences(edge):
+    shards = wavelet.write_shards(edge, BYTE, 0, shard_tokens=50)
+    token = int(ids("the cat the cat", 0)[0])
+    want = Counter((r.doc_id, i) for r in edge.collect() for i, x in enumerate(ids(r.text, 0).tolist()) if x == token)
+    assert Counter(tuple(r) for r in wavelet.occurrences(shards, token).collect()) == want
+    ends = Counter((r.doc_id, len(ids(r.text, 0)) - 1) for r in edge.collect())
+    assert Counter(tuple(r) for r in wavelet.occurrences(shards, 0).collect()) >= ends
+
+
+def test_op5_questions_inflate_only_what_they_touch():
+    rng = np.random.default_rng(3)
+    values = rng.zipf(1.3, 300_000) % 50_000
+    w = wavelet.WaveletMatrix(wavelet.build(values))
+    i = 123_456
+    assert w.access(i) == values[i] and len(w.kept) <= w.bits
+    assert w.rank(int(values[i]), i) == int((values[:i] == values[i]).sum()) and len(w.kept) <= 3 * w.bits
+    k = w.rank(int(values[i]), i)
+    assert w.select(int(values[i]), k) == i
+    assert len(w.data) < 2 * len(values)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 65535) | st.integers(0, 5), max_size=1500))
 def test_op5_rank_and_select(values):
