@@ -5,9 +5,8 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-#: Used only where the session names no checkpoint folder, as in local tests.
+#: Used only by local sessions that name no checkpoint folder, as in tests; a cluster must name one.
 LOCAL_SHARED = "file:///tmp/kerbside-shared"
 
 
@@ -15,6 +14,8 @@ def shared_dir(spark: SparkSession) -> str:
     """A fresh path below the folder that driver and executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = LOCAL_SHARED
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/kerbside-{uuid.uuid4().hex}"
@@ -32,22 +33,13 @@ def materialise(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
-
-
 def text_bytes(value: str | None) -> bytes:
     return b"" if value is None else value.encode("utf-8")
 
 
-def without(df: DataFrame, *names: str) -> DataFrame:
-    """Drop the columns an operator is about to add, so that names cannot clash."""
-    return df.drop(*names)
-
-
-def null_safe(left: DataFrame, right: DataFrame, *names: str):
-    """A null-safe equality condition over columns of the same names."""
-    cond = F.lit(True)
-    for n in names:
-        cond = cond & left[n].eqNullSafe(right[n])
-    return cond
+def fresh(df: DataFrame, name: str) -> str:
+    """A name for a helper column that no column of ``df`` has, in any case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

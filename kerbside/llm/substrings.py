@@ -4,15 +4,21 @@ Only text that may repeat is sorted.  Each 200-byte window belongs to the
 least hash of its 64-byte strings, so equal windows share that key wherever
 they start, and neighbouring windows of one key form a run.  Keys are counted
 over the whole corpus; runs whose key occurs once are done with.  The runs that
-stay are grouped by key and content.  Equal runs repeat as wholes.  Runs of
-one key that differ (the ends of passages, the places of edits) go to a shard
-by their key; there the suffixes of the shard are put in order by external
-induced sorting (``suffixes``), and neighbours in that order that agree in 200
-bytes repeat.
+stay are grouped by key and content: equal runs repeat as wholes, and a key
+with one content has nothing else to be compared with.  Runs of one key that
+differ (the ends of passages, the places of edits) go to a shard by their key.
+A shard drops windows whose first and last 64 bytes occur once in it, keeps
+each of the stretches that are left once, with its number, and puts their
+suffixes in order by external induced sorting (``suffixes``): neighbours whose
+common prefix, carried through the induction, is 200 bytes repeat.
 
 Keys that very many runs share (a common line in ever new surroundings) are
 split by the bytes around it: windows that hold the line at much the same
 place must also agree in the 137 bytes that all of these have in common.
+Where the differing runs of one key still fill much of a shard, their windows
+are counted by Spark instead, over all tasks, and cut into stretches of which
+each distinct window has one only; equal stretches become one row before they
+are dealt, and different ones are dealt apart.
 
 Two bitmaps of a fixed size tell each scan which keys to pass on; what they
 let through by chance is dropped, or sorted to no effect, later on.
@@ -25,13 +31,14 @@ text, so a null id is no obstacle.  Other columns are not read.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.llm.common import materialise
+from kerbside.llm.common import fresh, materialise
 from kerbside.llm.suffixes import Store, suffix_order
 
 LENGTH, GRAM = 200, 64
@@ -41,23 +48,42 @@ HOT, PART = 1_000, 64
 CORE = LENGTH - PART + 1
 #: The bitmaps have so many bits: 16 MB and 2 MB, at any size of the corpus.
 BITS, HOT_BITS = 1 << 27, 1 << 24
-#: Bytes of a shard that is aimed at, and the most shards (beyond, they grow and sort on disk).
-SHARD_BYTES, MOST_SHARDS = 3_000_000, 20_000
+#: Bytes of a shard that is aimed at; a key's runs count as large from this part of it.
+SHARD_BYTES, LARGE = 3_000_000, 4
+#: Windows of a text that are looked at together, so that a long text takes no more memory than a short one.
+BLOCK = 400_000
+#: Rows of a table that may be broadcast (under 50 bytes each), and of a content that is not shuffled to its verdict.
+BROADCAST_ROWS, HEAVY = 500_000, 2_000
 _BYTE = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def runs(raw: bytes):
-    """(key, first window, windows, key's places) of each run, and all places with the run of each; None for a short text."""
-    n = len(raw) - LENGTH + 1
-    if n <= 0:
-        return None
+def grams(raw: bytes) -> np.ndarray:
+    """A hash of the 64-byte string at each place that has one."""
     h, step = _BYTE[np.frombuffer(raw, np.uint8)], 1
     while step < GRAM:
         later = h[step:]
         h = (h[:-step] * _A) ^ ((later >> np.uint64(29)) + later * _B)
         step *= 2
     h ^= h >> np.uint64(31)
+    return h
+
+
+def ends_of(raw: bytes) -> np.ndarray:
+    """A hash of the first and last 64 bytes of each window."""
+    h = grams(raw)
+    return (h[: len(h) - SPAN + 1] * _A) ^ h[SPAN - 1 :]
+
+
+def blocks(raw: bytes):
+    """(place, bytes) of parts of a text that hold each of its windows once."""
+    for at in range(0, len(raw) - LENGTH + 1, BLOCK):
+        yield at, raw[at : at + BLOCK + LENGTH - 1]
+
+
+def runs(raw: bytes):
+    """(key, first window, windows, key's places) of each run, and all places with the run of each; of a block."""
+    n, h = len(raw) - LENGTH + 1, grams(raw)
     least = _slide(h, np.minimum)
     first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     # a place is a key's if some window around it has its hash as the least
@@ -85,12 +111,15 @@ def has(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def pieces(raw: bytes, repeated: np.ndarray, hot: np.ndarray, wanted: np.ndarray | None = None):
     """(key, content, start, windows, itself) of the runs, or parts of runs, that may repeat; wanted keys only, where these are given."""
+    for at, part in blocks(raw):
+        for k, ch, begin, n, itself in _pieces(part, repeated, hot, wanted):
+            yield k, ch, at + begin, n, itself
+
+
+def _pieces(raw: bytes, repeated: np.ndarray, hot: np.ndarray, wanted: np.ndarray | None):
     import xxhash
 
-    got = runs(raw)
-    if got is None:
-        return
-    key, first, n, places, place, starts = got
+    key, first, n, places, place, starts = runs(raw)
     some = np.flatnonzero(has(repeated, key))
     is_hot = has(hot, key[some])
     if wanted is not None:
@@ -139,7 +168,8 @@ def key_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             keys, n = [], []
             for text in batch.column("text").to_pylist():
-                if (got := runs(_raw(text))) is not None:
+                for _, part in blocks(_raw(text)):
+                    got = runs(part)
                     keys.append(got[0])
                     n.append(got[3])
             if keys:
@@ -148,49 +178,122 @@ def key_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where("n > 1")
 
 
-def repeated_windows(text: np.ndarray, order: np.ndarray, valid: np.ndarray) -> np.ndarray:
-    """Of the valid places, in text order, those whose window equals that of another valid place."""
-    o = order[valid[order]]
-    view = np.lib.stride_tricks.sliding_window_view(text, LENGTH)
-    same = np.zeros(len(o) + 1, dtype=bool)
-    for i in range(0, len(o) - 1, 40_000):
-        rows = view[o[i : i + 40_001]]
-        same[i + 1 : i + len(rows)] = (rows[1:] == rows[:-1]).all(axis=1)
-    return np.sort(o[same[:-1] | same[1:]])
+def stretches(mask: np.ndarray) -> list[tuple[int, int]]:
+    """(first, number) of each row of neighbours that are set."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8)))
+    return list(zip(edges[::2].tolist(), (edges[1::2] - edges[::2]).tolist()))
+
+
+def again(values: np.ndarray) -> np.ndarray:
+    """Whether a value occurs more than once."""
+    order = np.argsort(values)
+    same = np.concatenate([[False], values[order][1:] == values[order][:-1], [False]])
+    out = np.zeros(len(values), dtype=bool)
+    out[order[same[1:] | same[:-1]]] = True
+    return out
+
+
+def repeated_windows(strings: list[bytes], store: Store) -> list[np.ndarray]:
+    """For each of the distinct strings, which of its windows also start elsewhere, from the suffix order of all."""
+    sizes = np.array([len(x) for x in strings])
+    begin = np.cumsum(sizes + 1) - sizes - 1
+    text = store.array(int(sizes.sum()) + len(sizes), np.uint16)
+    for a, raw in zip(begin.tolist(), strings):
+        text[a : a + len(raw)] = np.frombuffer(raw, np.uint8)
+        text[a : a + len(raw)] += 1
+        text[a + len(raw)] = 0
+    order, common = suffix_order(text, store)
+    alike = np.flatnonzero(common >= LENGTH)
+    hit = np.zeros(len(text), dtype=bool)
+    hit[order[alike]] = True
+    hit[order[alike - 1]] = True
+    return [hit[a : a + n - LENGTH + 1] for a, n in zip(begin.tolist(), sizes.tolist())]
 
 
 def sort_shard(batches):
-    """The repeated windows of each distinct run of a shard, as lists of first windows and numbers of windows."""
-    seen, parts, sizes, windows, keys = set(), [], [], [], []
+    """The repeated windows of each run of a shard (key, content, times it occurs, bytes), as lists of first windows and numbers of windows."""
+    rows: dict[tuple[int, int], list] = {}
     for batch in batches:
-        for k, ch, n, raw in zip(*(batch.column(x).to_pylist() for x in ("k", "ch", "n", "raw"))):
-            if (k, ch) not in seen:
-                seen.add((k, ch))
-                keys.append((k, ch))
-                parts.append(raw)
-                sizes.append(len(raw))
-                windows.append(n)
-    if not parts:
+        for k, ch, c, raw in zip(*(batch.column(x).to_pylist() for x in ("k", "ch", "c", "raw"))):
+            if (k, ch) not in rows or rows[k, ch][0] < c:
+                rows[k, ch] = [c, raw]
+    if not rows:
         return
+    many = np.repeat([c > 1 for c, _ in rows.values()], [len(raw) - LENGTH + 1 for _, raw in rows.values()])
+    stay = again(np.concatenate([ends_of(raw) for _, raw in rows.values()])) | many
+    found, times, at = [], Counter(), 0
+    for key, (c, raw) in rows.items():
+        n = len(raw) - LENGTH + 1
+        for a, m in stretches(stay[at : at + n]):
+            part = raw[a : a + m + LENGTH - 1]
+            found.append((key, a, part))
+            times[part] += c
+        at += n
+    rows.clear()
+    strings = list(times)
     with Store() as store:
-        size = sum(sizes) + len(sizes)
-        text, begin = store.array(size, np.int32), np.cumsum(np.array(sizes) + 1) - np.array(sizes) - 1
-        valid = np.zeros(size, dtype=bool)
-        for a, raw, n in zip(begin.tolist(), parts, windows):
-            text[a : a + len(raw)] = np.frombuffer(raw, np.uint8)
-            text[a : a + len(raw)] += 1
-            text[a + len(raw)] = 0
-            valid[a : a + n] = True
-        parts.clear()
-        at = repeated_windows(text, suffix_order(text, store), valid)
-        if not len(at):
-            return
-        owner = np.searchsorted(begin, at, "right") - 1
-        cut = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(owner) != 0)]))
-        length, start, owner = np.diff(np.append(cut, len(at))), (at - begin[owner])[cut], owner[cut]
-    for i in range(0, len(owner), 100_000):
-        own = owner[i : i + 100_000].tolist()
-        yield pa.RecordBatch.from_arrays([pa.array([keys[x][0] for x in own], pa.int64()), pa.array([keys[x][1] for x in own], pa.int64()), pa.array(start[i : i + 100_000]), pa.array(length[i : i + 100_000])], ["k", "ch", "off", "len"])
+        hits = dict(zip(strings, repeated_windows(strings, store))) if strings else {}
+    out = [(*key, a + b, m) for key, a, part in found for b, m in (stretches(hits[part]) if times[part] == 1 else [(0, len(part) - LENGTH + 1)])]
+    for i in range(0, len(out), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out[i : i + 100_000])], ["k", "ch", "off", "len"])
+
+
+SHARD_RESULT = "k long, ch long, off long, len long"
+
+
+def sorted_large(contents: DataFrame) -> DataFrame:
+    """The same for rows (k, ch, raw) of large keys, whose windows are counted over all tasks.
+
+    A stretch of repeated windows is cut where a window has more than one
+    window before it, or after it, anywhere: then each distinct window lies in
+    one distinct stretch only, wherever it occurs.  Equal stretches become one
+    row, and different ones need not meet, so no shard fills up with one key.
+    """
+    spark = contents.sparkSession
+
+    def hashed(k: int, raw: bytes) -> np.ndarray:
+        return ends_of(raw) ^ np.uint64(k % (1 << 64))
+
+    def count(batches):
+        for batch in batches:
+            for k, raw in zip(batch.column("k").to_pylist(), batch.column("raw").to_pylist()):
+                w = hashed(k, raw).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w, np.append(-1, w[:-1]), np.append(w[1:], -1))], ["w", "before", "after"])
+
+    seen = contents.mapInArrow(count, "w long, before long, after long").groupBy("w")
+    often = materialise(seen.agg(F.count("*").alias("c"), (F.min("before") != F.max("before")).alias("begins"), (F.min("after") != F.max("after")).alias("ends")).where("c > 1"))
+    repeated, begins, ends = (spark.sparkContext.broadcast(_bitmap(often.where(x), "w", BITS)) for x in ("true", "begins", "ends"))
+
+    def prune(batches):
+        import xxhash
+
+        for batch in batches:
+            out = [[], [], [], [], []]
+            for k, ch, raw in zip(*(batch.column(x).to_pylist() for x in ("k", "ch", "raw"))):
+                w = hashed(k, raw)
+                cut = has(begins.value, w) | np.append(False, has(ends.value, w)[:-1])
+                for first, m in stretches(has(repeated.value, w)):
+                    starts = [0, *(np.flatnonzero(cut[first + 1 : first + m]) + 1).tolist(), m]
+                    for a, b in zip(starts, starts[1:]):
+                        part = raw[first + a : first + b + LENGTH - 1]
+                        for o, v in zip(out, (k, ch, first + a, xxhash.xxh3_64_intdigest(part), part)):
+                            o.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), _signed(out[3]), pa.array(out[4], pa.binary())], ["k", "of", "at", "ch", "raw"])
+
+    parts = materialise(contents.mapInArrow(prune, "k long, of long, at long, ch long, raw binary"))
+    distinct = materialise(parts.groupBy("k", "ch").agg(F.count("*").alias("c"), F.first("raw").alias("raw")))
+    shards = _shards(distinct.agg(F.sum(F.length("raw"))).first()[0])
+    got = materialise(distinct.repartition(shards, "k", "ch").mapInArrow(sort_shard, SHARD_RESULT))
+    return _joined(parts.select("k", "ch", "of", "at"), got, ["k", "ch"]).select("k", F.col("of").alias("ch"), (F.col("at") + F.col("off")).alias("off"), "len")
+
+
+def _shards(size: int | None) -> int:
+    return max(1, -(-(size or 0) // SHARD_BYTES))
+
+
+def _joined(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """An inner join to a table that is broadcast up to a checked size."""
+    return left.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, on)
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -213,44 +316,59 @@ def spans(docs: DataFrame) -> DataFrame:
     ids = _identified(docs)
     found = materialise(ids.select("text", "r1", "r2").mapInArrow(candidates, "k long, ch long, begin long, n int, itself boolean, r1 long, r2 long"))
     contents = found.groupBy("k", "ch").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.max("itself").alias("itself"))
-    keys = contents.groupBy("k").agg((((F.count("*") > 1) & (F.min("c") == 1)) | F.max("itself")).alias("sort"), (F.sum("c") > 1).alias("many"))
-    verdict = contents.join(keys, "k").where("sort or many").select("k", "ch", "n", (F.col("c") > 1).alias("whole"), "sort")
+    keys = contents.groupBy("k").agg((((F.count("*") > 1) & (F.min("c") == 1)) | F.max("itself")).alias("sort"), (F.sum("c") > 1).alias("many"), F.sum(F.col("n") + LENGTH).alias("size"))
+    verdict = contents.join(keys, "k").where("sort or many").select("k", "ch", "c", "n", (F.col("c") > 1).alias("whole"), "sort", (F.col("size") * LARGE > SHARD_BYTES).alias("large"))
     verdict = materialise(verdict.where("whole or sort"))
-    size = verdict.where("sort").agg(F.sum(F.col("n") + LENGTH)).first()[0] or 0
-    shards = int(max(1, min(MOST_SHARDS, -(-size // SHARD_BYTES))))
+    sizes = {r["large"]: r["size"] for r in verdict.where("sort").groupBy("large").agg(F.sum(F.col("n") + LENGTH).alias("size")).collect()}
     wanted = spark.sparkContext.broadcast(_bitmap(verdict.where("sort").select("k"), "k", BITS))
+    large = spark.sparkContext.broadcast(_bitmap(verdict.where("sort and large").select("k"), "k", HOT_BITS))
 
     def texts(batches):
         seen: set = set()
         for batch in batches:
-            out = [[], [], [], []]
+            out = [[], [], []]
             for text in batch.column("text").to_pylist():
                 raw = _raw(text)
                 got = list(pieces(raw, repeated.value, hot.value, wanted.value))
                 for (k, ch, begin, n, _), yes in zip(got, has(wanted.value, np.array([x[0] for x in got], dtype=np.uint64))):
                     if yes and (k, ch) not in seen:
                         seen.add((k, ch))
-                        for o, v in zip(out, (k, ch, n, raw[begin : begin + n + LENGTH - 1])):
+                        for o, v in zip(out, (k, ch, raw[begin : begin + n + LENGTH - 1])):
                             o.append(v)
             if len(seen) > 300_000:
                 seen.clear()
             if out[0]:
-                yield pa.RecordBatch.from_arrays([_signed(out[0]), _signed(out[1]), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], ["k", "ch", "n", "raw"])
-
-    dealt = docs.select("text").mapInArrow(texts, "k long, ch long, n int, raw binary").repartition(shards, "k")
-    parts = materialise(dealt.mapInArrow(sort_shard, "k long, ch long, off long, len long"))
-    whole = found.join(verdict.where("whole").select("k", "ch"), ["k", "ch"]).select("r1", "r2", "begin", (F.col("begin") + F.col("n") + LENGTH - 1).alias("end"))
+                yield pa.RecordBatch.from_arrays([_signed(out[0]), _signed(out[1]), pa.array(out[2], pa.binary()), pa.array(has(large.value, np.array(out[0], dtype=np.uint64)))], ["k", "ch", "raw", "large"])
+
+    differing = docs.select("text").mapInArrow(texts, "k long, ch long, raw binary, large boolean")
+    if True in sizes:
+        differing = materialise(differing)
+    dealt = differing.where("not large").select("k", "ch", F.lit(1).cast("long").alias("c"), "raw").repartition(_shards(sizes.get(False)), "k")
+    parts = dealt.mapInArrow(sort_shard, SHARD_RESULT)
+    if True in sizes:
+        some = differing.where("large").groupBy("k", "ch").agg(F.first("raw").alias("raw"))
+        parts = parts.unionByName(sorted_large(materialise(some)))
+    parts = materialise(parts)
+    pieces_ = ["r1", "r2", "begin", (F.col("begin") + F.col("n") + LENGTH - 1).alias("end")]
+    # a content that very many rows share does not meet in one task: its verdict goes to the rows
+    whole = verdict.where("whole").select("k", "ch", "c")
+    heavy = materialise(whole.where(F.col("c") > HEAVY).select("k", "ch"))
+    if heavy.count() <= BROADCAST_ROWS:
+        light = found.join(F.broadcast(heavy), ["k", "ch"], "left_anti").join(whole.where(F.col("c") <= HEAVY).select("k", "ch"), ["k", "ch"])
+        done = light.select(*pieces_).unionByName(found.join(F.broadcast(heavy), ["k", "ch"], "left_semi").select(*pieces_))
+    else:
+        done = found.join(whole, ["k", "ch"]).select(*pieces_)
     # what repeats as a whole is done with; the others occur once, so a row has its own ranges only
     parts = parts.join(verdict.where("not whole").select("k", "ch"), ["k", "ch"], "left_semi")
     some = found.join(parts, ["k", "ch"]).select("r1", "r2", (F.col("begin") + F.col("off")).alias("begin"), (F.col("begin") + F.col("off") + F.col("len") + LENGTH - 1).alias("end"))
-    return whole.unionByName(some)
+    return done.unionByName(some)
 
 
-def _with_spans(docs: DataFrame) -> DataFrame:
-    """Every row of ``docs`` with its spans; a row has as many as its text has windows at most."""
-    per = spans(docs).groupBy(F.col("r1").alias("s1"), F.col("r2").alias("s2")).agg(F.collect_set(F.struct("begin", "end")).alias("repeated_spans"))
+def _with_spans(docs: DataFrame, name: str) -> DataFrame:
+    """Every row of ``docs`` with its spans in a further column; a row has as many as its text has windows at most."""
+    per = spans(docs).groupBy("r1", "r2").agg(F.collect_set(F.struct("begin", "end")).alias(name))
     r1, r2 = F.xxhash64(docs["doc_id"]), F.xxhash64(docs["doc_id"], docs["text"])
-    return docs.join(per, (r1 == per["s1"]) & (r2 == per["s2"]), "left").drop("s1", "s2")
+    return docs.join(per, (r1 == per["r1"]) & (r2 == per["r2"]), "left").select(*[docs[c] for c in docs.columns], per[name])
 
 
 def merged(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -282,7 +400,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     def digest(batches):
         for batch in batches:
             out = [[], [], [], []]
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("repeated_spans").to_pylist()):
+            for text, found in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
                 raw, cuts = _raw(text), _cuts(found)
                 for o, v in zip(out, (len(raw), sum(b - a for a, b in cuts), len(cuts), hashlib.sha256(kept(raw, cuts)).hexdigest())):
                     o.append(v)
@@ -290,18 +408,20 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _with_spans(docs).mapInArrow(digest, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_spans(docs, "spans").mapInArrow(digest, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def removed(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated bytes taken out of ``text`` (and what is left of a character that is cut)."""
 
+    name = fresh(docs, "spans")
+
     def cut(batches):
         for batch in batches:
             left = []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("repeated_spans").to_pylist()):
+            for text, found in zip(batch.column("text").to_pylist(), batch.column(name).to_pylist()):
                 left.append(text if not found else kept(_raw(text), _cuts(found)).decode("utf-8", "ignore"))
             i = batch.schema.get_field_index("text")
-            yield batch.set_column(i, "text", pa.array(left, pa.string())).select([c for c in batch.schema.names if c != "repeated_spans"])
+            yield batch.set_column(i, "text", pa.array(left, pa.string())).select([c for c in batch.schema.names if c != name])
 
-    return _with_spans(docs).mapInArrow(cut, docs.schema)
+    return _with_spans(docs, name).mapInArrow(cut, docs.schema)

@@ -1,12 +1,20 @@
-"""Suffix order of a set of strings by external induced sorting.
+"""Suffix order and common prefixes of a set of strings by external induced sorting.
 
 The strings stand one after the other, each closed by the symbol 0, at which
 every comparison ends.  The suffixes at the left-most smaller positions are
 ordered first: their substrings are sorted and named, and the string of names
-is ordered by the same procedure.  All other suffixes follow by induction from
-two priority queues, one upwards and one downwards.  A queue takes tuples of a
-symbol and a place in batches; it deals them into ranges of symbols, keeps a
-bounded number in memory, and appends the rest to a file for each range.
+is ordered by the same procedure (by doubling, once it fits in memory).  All
+other suffixes follow by induction from two priority queues, one upwards and
+one downwards.  A queue takes tuples of a symbol, a place and a common prefix
+in batches; it deals them into ranges of symbols, keeps a bounded number in
+memory, and appends the rest to a file for each range.
+
+The common prefix of two suffixes that are pushed one after the other to a
+symbol is one more than the least on the way between those that push them, so
+it travels with the tuples and no two suffixes are compared again; only the
+seeds' own prefixes come from the text.  Nothing beyond DEPTH is ordered or
+counted.  The files lie in a folder of the task's own and go with it; a lost
+task is run anew from its input.
 """
 
 from __future__ import annotations
@@ -18,18 +26,21 @@ import tempfile
 
 import numpy as np
 
-#: Tuples that a queue holds in memory, and elements of an array that is kept in memory.
-IN_MEMORY = 4_000_000
+#: Tuples that a queue holds in memory, elements of an array that is kept in memory, and names that are ordered in memory.
+IN_MEMORY, BASE = 4_000_000, 2_000_000
+#: Common prefixes are counted up to this.
+DEPTH = 200
 #: Tuples of a range of symbols, where a symbol has no more than that itself.
 RANGE = 16_384
 NONE = np.iinfo(np.int64).max
+FAR = np.uint8(255)
 
 
 class Store:
     """A folder for the files of one sort; it goes when the sort ends."""
 
-    def __init__(self, in_memory: int = IN_MEMORY):
-        self.in_memory, self.path, self.n = in_memory, None, 0
+    def __init__(self, in_memory: int = IN_MEMORY, base: int = BASE):
+        self.in_memory, self.base, self.path, self.n = in_memory, base, None, 0
 
     def file(self) -> str:
         if self.path is None:
@@ -49,7 +60,7 @@ class Store:
 
 
 class Queue:
-    """A priority queue of (symbol, place): least symbol first, among equals the first that came.
+    """A priority queue of (symbol, place, common prefix): least symbol first, among equals the first that came.
 
     What is pushed is never less than what was popped last.
     """
@@ -66,87 +77,133 @@ class Queue:
         self.alone = np.zeros(n, dtype=bool)
         self.alone[self.range_of[big]] = True
         self.first = np.searchsorted(self.range_of, np.arange(n))  # the least symbol of each range
-        self.blocks: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(n)]
+        self.blocks: list[list[tuple[np.ndarray, ...]]] = [[] for _ in range(n)]
         self.waiting: list[int] = []  # ranges with tuples, as a heap
         self.files: dict[int, str] = {}
         self.held, self.at = 0, -1
-        self.symbol, self.place = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.now = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8))
 
-    def push(self, symbol: np.ndarray, place: np.ndarray) -> None:
-        if not len(symbol):
+    def push(self, *tuples: np.ndarray) -> None:
+        if not len(tuples[0]):
             return
-        r = self.range_of[symbol]
+        r = self.range_of[tuples[0]]
         order = np.argsort(r, kind="stable")
-        r, symbol, place = r[order], symbol[order], place[order]
+        r, tuples = r[order], tuple(x[order] for x in tuples)
         cuts = np.flatnonzero(np.diff(r)) + 1
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(r)]):
-            k = int(r[a])
+            k, part = int(r[a]), tuple(x[a:b] for x in tuples)
             if k == self.at:
-                self._merge(symbol[a:b], place[a:b])
+                self._merge(part)
             else:
                 if not self.blocks[k] and k not in self.files:
                     heapq.heappush(self.waiting, k)
-                self.blocks[k].append((symbol[a:b], place[a:b]))
+                self.blocks[k].append(part)
                 self.held += b - a
         if self.held > self.store.in_memory:
             self._spill()
 
-    def _merge(self, symbol: np.ndarray, place: np.ndarray) -> None:
+    def _merge(self, new: tuple[np.ndarray, ...]) -> None:
+        now = self.now
         if not self.alone[self.at]:
-            order = np.argsort(symbol, kind="stable")
-            symbol, place = symbol[order], place[order]
-            if len(self.symbol) and symbol[0] < self.symbol[-1]:
-                at = np.searchsorted(self.symbol, symbol, "right")
-                self.symbol, self.place = np.insert(self.symbol, at, symbol), np.insert(self.place, at, place)
+            order = np.argsort(new[0], kind="stable")
+            new = tuple(x[order] for x in new)
+            if len(now[0]) and new[0][0] < now[0][-1]:
+                at = np.searchsorted(now[0], new[0], "right")
+                self.now = tuple(np.insert(x, at, y) for x, y in zip(now, new))
                 return
-        if len(self.symbol):
-            symbol, place = np.concatenate([self.symbol, symbol]), np.concatenate([self.place, place])
-        self.symbol, self.place = symbol, place
+        self.now = tuple(np.concatenate(x) for x in zip(now, new)) if len(now[0]) else new
 
     def _spill(self) -> None:
         for k, blocks in enumerate(self.blocks):
             if blocks:
                 with open(self.files.setdefault(k, self.files.get(k) or self.store.file()), "ab") as f:
                     for b in blocks:
-                        f.write(np.stack(b, axis=1).tobytes())
+                        f.write(np.stack([x.astype(np.int64) for x in b], axis=1).tobytes())
                 blocks.clear()
         self.held = 0
 
-    def head(self, seed: int | None) -> tuple[np.ndarray, np.ndarray]:
+    def head(self, seed: int | None) -> tuple[np.ndarray, ...]:
         """The rest of the current range, in order; the next range is opened if the next seed does not lie before it."""
-        if not len(self.symbol) and self.waiting and (seed is None or self.range_of[seed] >= self.waiting[0]):
+        if not len(self.now[0]) and self.waiting and (seed is None or self.range_of[seed] >= self.waiting[0]):
             self.at = k = heapq.heappop(self.waiting)
             parts = []
             if k in self.files:
-                parts.append(tuple(np.fromfile(self.files[k], np.int64).reshape(-1, 2).T))
+                symbol, place, prefix = np.fromfile(self.files[k], np.int64).reshape(-1, 3).T
+                parts.append((symbol, place, prefix.astype(np.uint8)))
                 os.unlink(self.files.pop(k))
             parts += self.blocks[k]
             self.held -= sum(len(b[0]) for b in self.blocks[k])
             self.blocks[k] = []
-            symbol, place = (np.concatenate(x) for x in zip(*parts))
-            order = np.argsort(symbol, kind="stable")
-            self.symbol, self.place = symbol[order], place[order]
-        return self.symbol, self.place
+            self.now = tuple(np.concatenate(x) for x in zip(*parts))
+            if not self.alone[k]:
+                order = np.argsort(self.now[0], kind="stable")
+                self.now = tuple(x[order] for x in self.now)
+        return self.now
 
     def limit(self) -> int:
         """The least symbol of the ranges that wait."""
         return int(self.first[self.waiting[0]]) if self.waiting else NONE
 
     def pop(self, n: int) -> None:
-        self.symbol, self.place = self.symbol[n:], self.place[n:]
+        self.now = tuple(x[n:] for x in self.now)
+
 
+class Least:
+    """For each symbol, the least common prefix since the last push to it."""
 
-def induce(text: np.ndarray, symbols: np.ndarray, wanted: np.ndarray, seeds: np.ndarray, most: int, store: Store) -> np.ndarray:
-    """The places of the wanted type in order, from the ordered seeds.
+    def __init__(self, most: int):
+        self.since = np.full(most + 1, FAR)
+
+    def pushed(self, prefix: np.ndarray, at: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """For pushes at these places of a batch, the least prefix since the push before to the same symbol."""
+        k = len(prefix)
+        out = np.empty(len(at), dtype=np.uint8)
+        before = np.minimum.accumulate(prefix)
+        if len(at):
+            order = np.argsort(symbol, kind="stable")
+            j, s = at[order], symbol[order]
+            first = np.concatenate([[True], s[1:] != s[:-1]])
+            got = np.empty(len(j), dtype=np.uint8)
+            got[first] = np.minimum(self.since[s[first]], before[j[first]])
+            again = np.flatnonzero(~first)
+            if len(again):
+                a, b = j[again - 1] + 1, j[again]
+                level = np.log2(b - a + 1).astype(np.int64)
+                table = [prefix]
+                for i in range(int(level.max())):
+                    x = table[-1].copy()
+                    x[: k - (1 << i)] = np.minimum(x[: k - (1 << i)], table[-1][1 << i :])
+                    table.append(x)
+                table = np.stack(table)
+                got[again] = np.minimum(table[level, a], table[level, b - (1 << level) + 1])
+            out[order] = got
+            last = np.append(np.flatnonzero(first)[1:], len(j)) - 1
+        if k:
+            np.minimum(self.since, before[-1], out=self.since)
+        if len(at):
+            after = np.append(np.minimum.accumulate(prefix[::-1])[::-1], FAR)
+            self.since[s[last]] = after[j[last] + 1]
+        return out
+
+
+def induce(symbols: np.ndarray, run: np.ndarray, wanted: np.ndarray, seeds: np.ndarray, seed_prefix: np.ndarray | None, most: int, store: Store) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the wanted type in order, from the ordered seeds, and the common prefix of each with the one before.
 
     symbols: the text's symbols, as the queue is to order them; a tuple comes
-    before a seed of its symbol.
+    before a seed of its symbol.  seed_prefix: common prefixes of the seeds, or
+    None if none are to be carried.
     """
+    carry = seed_prefix is not None
+    count = int(wanted.sum())
     queue = Queue(np.bincount(symbols[np.flatnonzero(wanted)], minlength=most + 1), store)
-    out, filled, at, batch = store.array(int(wanted.sum()), np.int64), 0, 0, 1_024
+    least = Least(most) if carry else None
+    out, prefixes, filled, at, batch = store.array(count, np.int64), store.array(count, np.uint8), 0, 0, 1_024
+    if not carry:
+        prefixes[:] = 0
     seed_symbols = symbols[seeds]
+    last_key, last_run = -1, 0
     while True:
-        qs, qp = queue.head(int(seed_symbols[at]) if at < len(seeds) else None)
+        qs, qp, ql = queue.head(int(seed_symbols[at]) if at < len(seeds) else None)
         if not len(qs) and at >= len(seeds):
             break
         ss = seed_symbols[at : at + batch]
@@ -154,19 +211,19 @@ def induce(text: np.ndarray, symbols: np.ndarray, wanted: np.ndarray, seeds: np.
             a, b = 0, int(np.searchsorted(ss, queue.limit(), "left"))
         elif queue.alone[queue.at]:  # all of one symbol, and before any seed of it
             b = int(np.searchsorted(ss, qs[0], "left"))
-            a = 0 if b else len(qs)
+            a = 0 if b else min(65_536, len(qs))
         else:
             a = min(batch, len(qs))
             b = int(np.searchsorted(ss, qs[a - 1], "right" if a == len(qs) else "left"))
             if b == len(ss) and at + b < len(seeds):  # more seeds may come in between
                 a = int(np.searchsorted(qs[:a], ss[b - 1], "right"))
-        ss = seed_symbols[at : at + b]
+        ss = ss[:b].astype(np.int64)
         if a and b:
-            key = np.concatenate([qs[:a] * 2, ss * 2 + 1])
+            key = np.concatenate([qs[:a].astype(np.int64) * 2, ss * 2 + 1])
             order = np.argsort(key, kind="stable")
             key, place = key[order], np.concatenate([qp[:a], seeds[at : at + b]])[order]
         else:
-            order, (key, place) = None, (qs[:a] * 2, qp[:a]) if a else (ss * 2 + 1, seeds[at : at + b])
+            order, (key, place) = None, (qs[:a].astype(np.int64) * 2, qp[:a]) if a else (ss * 2 + 1, seeds[at : at + b])
         before = place - 1
         push = (before >= 0) & wanted[before]
         gives = np.where(push, symbols[before], NONE >> 2)
@@ -176,32 +233,43 @@ def induce(text: np.ndarray, symbols: np.ndarray, wanted: np.ndarray, seeds: np.
             if stop.any():
                 k = int(np.argmax(stop)) + 1
         if order is None:
+            mine = slice(0, k if a else 0)
             from_queue = k if a else 0
-            done = place[:from_queue]
         else:
             mine = order[:k] < a
             from_queue = int(mine.sum())
-            done = place[:k][mine]
+        done = place[:k][mine]
         out[filled : filled + len(done)] = done
+        push = push[:k]
+        carried = np.zeros(k, dtype=np.uint8)
+        if carry:
+            own = ql[:a] if not b else seed_prefix[at : at + b] if not a else np.concatenate([ql[:a], seed_prefix[at : at + b]])[order]
+            key, runs = key[:k], run[place[:k]]
+            prior, prior_run = np.concatenate([[last_key], key[:-1]]), np.concatenate([[last_run], runs[:-1]]).astype(np.uint8)
+            prefix = np.where(key == prior, own[:k], np.where((key ^ 1) == prior, np.minimum(runs, prior_run), 0)).astype(np.uint8)
+            prefixes[filled : filled + len(done)] = prefix[mine]
+            pushed = np.flatnonzero(push)
+            carried[pushed] = np.minimum(least.pushed(prefix, pushed, gives[pushed]), DEPTH - 1) + 1
+            last_key, last_run = int(key[-1]), int(runs[-1])
         filled += len(done)
         queue.pop(from_queue)
         at += k - from_queue
-        push = push[:k]
-        queue.push(gives[:k][push], before[:k][push])
+        queue.push(gives[:k][push], before[:k][push], carried[push])
         batch = min(65_536, max(256, 2 * k))
-    assert filled == len(out)
-    return out
+    assert filled == count
+    return out, prefixes
 
 
-def types(text: np.ndarray) -> np.ndarray:
-    """True where a suffix is smaller than the next; the end of a string is."""
+def types(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place, whether its suffix is smaller than the next (the end of a string is), and the length of its run of equal symbols, DEPTH at most."""
     n = len(text)
-    change = np.flatnonzero(text[1:] != text[:-1])  # the last place of each run of equal symbols
+    change = np.flatnonzero(text[1:] != text[:-1])  # the last place of each run
     last = np.append(change, n - 1)
-    smaller = np.append(text[change] < text[change + 1], True)
-    out = np.repeat(smaller, np.diff(np.concatenate([[-1], last])))
-    out[text == 0] = True
-    return out
+    length = np.diff(np.concatenate([[-1], last]))
+    smaller = np.repeat(np.append(text[change] < text[change + 1], True), length)
+    smaller[text == 0] = True
+    left = np.repeat(last, length) - np.arange(n) + 1
+    return smaller, np.minimum(left, DEPTH).astype(np.uint8)
 
 
 def named(text: np.ndarray, small: np.ndarray, lms: np.ndarray) -> tuple[np.ndarray, bool]:
@@ -216,18 +284,17 @@ def named(text: np.ndarray, small: np.ndarray, lms: np.ndarray) -> tuple[np.ndar
     per = 62 // bits
 
     def packed(which, word):
-        key = np.zeros(len(which), dtype=np.int64)
+        key, at, left = np.zeros(len(which), dtype=np.int64), lms[which], length[which]
         for i in range(word * per, (word + 1) * per):
-            there = i < length[which]
-            p = np.minimum(lms[which] + i, len(text) - 1)
-            key = key << bits | np.where(there, text[p].astype(np.int64) * 2 + small[p], 0)
+            p = np.minimum(at + i, len(text) - 1)
+            key = key << bits | np.where(i < left, text[p].astype(np.int64) * 2 + small[p], 0)
         return key
 
     name = np.where(ends, 0, int(ends.sum())).astype(np.int64)  # of equal ones, how many are smaller
     which, word = np.flatnonzero(~ends), 0
     while len(which):
         key = packed(which, word)
-        order = np.lexsort((key, name[which]))
+        order = np.lexsort((key, name[which])) if word else np.argsort(key, kind="stable")
         which, key = which[order], key[order]
         group = name[which]
         new = np.concatenate([[True], (group[1:] != group[:-1]) | (key[1:] != key[:-1])])
@@ -239,30 +306,99 @@ def named(text: np.ndarray, small: np.ndarray, lms: np.ndarray) -> tuple[np.ndar
         sizes = np.diff(np.append(firsts, len(which)))
         word += 1
         which = which[np.repeat(sizes > 1, sizes) & (length[which] > word * per)]
-    unique, dense = np.unique(name, return_inverse=True)
+    order = np.argsort(name, kind="stable")
+    steps = np.diff(name[order], prepend=-1) != 0
+    dense = np.empty(len(name), dtype=np.int64)
+    dense[order] = np.cumsum(steps) - 1
     if ends.any():
-        return dense, len(unique) == len(lms) - int(ends.sum()) + 1
-    return dense + 1, len(unique) == len(lms)
+        return dense, int(steps.sum()) == len(lms) - int(ends.sum()) + 1
+    return dense + 1, int(steps.sum()) == len(lms)
+
+
+def doubled(names: np.ndarray) -> np.ndarray:
+    """Where the recursion ends: the order of a string of names that fits in memory, by doubling, to a depth of DEPTH names."""
+    n = len(names)
+    zero = np.flatnonzero(names == 0)
+    end = np.append(zero, n)[np.searchsorted(zero, np.arange(n))]  # of the own string
+    which = np.flatnonzero(names)
+    rank = np.zeros(n + 1, dtype=np.int64)
+    which = which[np.argsort(names[which], kind="stable")]
+    key, base, step = names[which], np.ones(len(which), dtype=np.int64), 1
+    while len(which):
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (base[1:] != base[:-1])])
+        own = np.concatenate([[True], base[1:] != base[:-1]])  # equal so far: places that follow each other from the base on
+        here = np.arange(len(which))
+        rank[which] = base + np.maximum.accumulate(np.where(new, here, 0)) - np.maximum.accumulate(np.where(own, here, 0))
+        firsts = np.flatnonzero(new)
+        sizes = np.diff(np.append(firsts, len(which)))
+        which = which[np.repeat(sizes > 1, sizes)]
+        if step >= DEPTH:
+            break
+        base, key = rank[which], rank[np.minimum(which + step, end[which])]
+        order = np.lexsort((key, base))
+        which, key, base = which[order], key[order], base[order]
+        step *= 2
+    some = np.flatnonzero(names)
+    return some[np.argsort(rank[some], kind="stable")]
+
+
+def common(text: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The common prefix of each of these places with the one before, DEPTH at most; it ends before a 0."""
+    out = np.zeros(len(order), dtype=np.uint8)
+    padded = np.concatenate([text, np.zeros(DEPTH, text.dtype)])
+    view = np.lib.stride_tricks.sliding_window_view(padded, DEPTH)
+    short = 16  # most end early
+    for i in range(1, len(order), 40_000):
+        a, b = order[i - 1 : i + 39_999], order[i : i + 40_000]
+        a = a[: len(b)]
+        for width in (short, DEPTH):
+            x, y = view[a, :width], view[b, :width]
+            differ = (x != y) | (x == 0)
+            found = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+            if width == short:
+                got, on = found, np.flatnonzero(found == short)
+                a, b = a[on], b[on]
+                if not len(on):
+                    break
+            else:
+                got[on] = found
+        out[i : i + len(got)] = got
+    return out
 
 
-def suffix_order(text: np.ndarray, store: Store) -> np.ndarray:
-    """The places of all suffixes that do not begin with 0, in order; equal ones in any order."""
+def suffix_order(text: np.ndarray, store: Store, carry: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all suffixes that do not begin with 0, in order to a depth of DEPTH, and the common prefix of each with the one before.
+
+    Common prefixes are DEPTH at most; without ``carry`` they are all 0.
+    """
     if not len(text) or not text.any():
-        return np.zeros(0, np.int64)
-    small = types(text)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint8)
+    small, run = types(text)
     start = np.ones(len(text), dtype=bool)
     start[1:] = ~small[:-1]
     lms = np.flatnonzero((small & start) | (text == 0))
     lms = lms[(lms > 0) | (text[lms] == 0)]
-    symbols = text.astype(np.int64)
-    most = int(symbols.max())
+    most = int(text.max())
     names, differ = named(text, small, lms)
     if differ:
         order = np.argsort(names, kind="stable")
     else:
-        order = np.concatenate([np.flatnonzero(names == 0), suffix_order(names, store)])
-    larger = induce(text, symbols, ~small, lms[order], most, store)
-    turned = most - symbols
-    smaller = induce(text, turned, small & (text != 0), np.ascontiguousarray(larger[::-1]), most, store)[::-1]
-    both = np.concatenate([larger, smaller])
-    return both[np.argsort(symbols[both] * 2 + small[both], kind="stable")]
+        rest = doubled(names) if len(names) <= store.base else suffix_order(names, store, False)[0]
+        order = np.concatenate([np.flatnonzero(names == 0), rest])
+    seeds = lms[order]
+    larger, lcp = induce(text, run, ~small, seeds, common(text, seeds) if carry else None, most, store)
+    turned = (most - text.astype(np.int64)).astype(text.dtype)
+    # downwards: a place's common prefix with the one before it is that of the next with it upwards
+    back = np.append(lcp[1:], 0)[::-1].astype(np.uint8) if carry else None
+    smaller, down = induce(turned, run, small & (text != 0), np.ascontiguousarray(larger[::-1]), back, most, store)
+    both = np.concatenate([larger, smaller[::-1]])
+    prefix = np.concatenate([lcp, np.append(down[1:], 0)[::-1].astype(np.uint8)])
+    merge = np.argsort((text[both].astype(np.int64) * 2 + small[both]).astype(np.uint32 if most < 1 << 30 else np.int64), kind="stable")
+    both, prefix = both[merge], prefix[merge]
+    if carry and len(both):
+        # where the larger of a symbol end and the smaller begin, both have a run of that symbol
+        turn = np.flatnonzero((text[both[1:]] == text[both[:-1]]) & (small[both[1:]] != small[both[:-1]])) + 1
+        prefix[turn] = np.minimum(run[both[turn]], run[both[turn - 1]])
+        prefix[np.flatnonzero(text[both[1:]] != text[both[:-1]]) + 1] = 0
+        prefix[0] = 0
+    return both, prefix

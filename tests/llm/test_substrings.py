@@ -6,12 +6,21 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.accumulators import AccumulatorParam
 
 from kerbside.llm import queries, substrings, suffixes
 
 L = 200
 
 
+class Longest(AccumulatorParam):
+    def zero(self, value):
+        return []
+
+    def addInPlace(self, a, b):
+        return a + b
+
+
 def brute(texts):
     raws = [(k, (t or "").encode()) for k, t in texts]
     seen = Counter(r[i : i + L] for _, r in raws for i in range(len(r) - L + 1))
@@ -53,9 +62,42 @@ def test_op3_made(spark, monkeypatch, hot):
     check(spark.createDataFrame(made(), "doc_id long, text string").repartition(5))
 
 
+def test_op3_large_keys_are_counted_by_spark(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "SHARD_BYTES", 2_000)
+    monkeypatch.setattr(substrings, "HEAVY", 1)
+    check(spark.createDataFrame(made(7), "doc_id long, text string").repartition(5))
+
+
+def test_op3_long_texts_go_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "BLOCK", 150)
+    check(spark.createDataFrame(made(8), "doc_id long, text string").repartition(3))
+
+
+def test_op3_a_footer_in_ever_new_surroundings_fills_no_shard(spark, monkeypatch):
+    """Shards are counted as they are sorted: none may hold over twice what is aimed at."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    footer = word(400)
+    df = spark.createDataFrame([(i, word(150) + footer + word(150)) for i in range(3_000)], "doc_id long, text string").repartition(6)
+    size, shard, seen = 50_000, substrings.sort_shard, spark.sparkContext.accumulator([], Longest())
+
+    def counted(batches):
+        batches = list(batches)
+        seen.add([sum(len(x) for b in batches for x in b.column("raw").to_pylist())])
+        return shard(iter(batches))
+
+    monkeypatch.setattr(substrings, "SHARD_BYTES", size)
+    monkeypatch.setattr(substrings, "sort_shard", counted)
+    check(df)
+    assert seen.value and max(seen.value) <= 2 * size
+
+
 def test_op3_edges(edge, empty):
     check(edge)
     assert substrings.repeats(empty).count() == 0
+    clash = edge.selectExpr("doc_id", "text", "1 AS s1", "2 AS r1", "3 AS spans", "4 AS SPANS_")
+    assert substrings.removed(clash).select("doc_id", "text").exceptAll(substrings.removed(edge).select("doc_id", "text")).count() == 0
+    assert {tuple(r)[2:] for r in substrings.removed(clash).collect()} == {(1, 2, 3, 4)} and substrings.removed(clash).columns == clash.columns
     left = {(r.doc_id, r.text) for r in substrings.removed(edge).collect()}
     assert {(7, ""), (8, ""), (1, None), (2, "")} <= left and substrings.removed(edge).columns == edge.columns
 
@@ -67,9 +109,13 @@ def test_suffix_order_of_any_strings():
         segs = [[rng.randint(1, k) for _ in range(rng.randint(0, rng.choice([3, 12, 40])))] for _ in range(rng.randint(1, 6))]
         t = [x for s in segs + segs[: rng.randint(0, 1)] for x in s + [0]]
         suffixes.RANGE = rng.choice([1, 2, 5, 2_048])
-        with suffixes.Store(rng.choice([5, 10**6])) as store:
-            order = suffixes.suffix_order(np.array(t), store).tolist()
+        with suffixes.Store(rng.choice([5, 10**6]), rng.choice([3, 20, 10**6])) as store:
+            order, common = suffixes.suffix_order(np.array(t), store)
+        order = order.tolist()
         suffixes.RANGE = 16_384
         key = lambda i: t[i : t.index(0, i) + 1]
         want = sorted((i for i in range(len(t)) if t[i]), key=key)
         assert [key(i) for i in order] == [key(i) for i in want] and len(set(order)) == len(want)
+        for a, b, n in zip(order, order[1:], common.tolist()[1:]):
+            x, y = key(a)[:-1], key(b)[:-1]
+            assert n == next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
