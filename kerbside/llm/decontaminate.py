@@ -2,12 +2,16 @@
 
 Words are runs of letters and digits after A-Z are lowered.  Every run of n
 words of a benchmark item (the whole item if it is shorter, but not empty) is
-a window; the windows' hashes are broadcast while they are few, and each
-document's windows are looked up by hash and then compared word by word.
+a window.  One pass over the documents looks the hash of every window up, for
+all lengths that occur, in the broadcast set of the benchmark's hashes (joined
+by key beyond a checked size); only the hash and the place of a window travel.
+The documents that were hit are then read again, and each hit is compared word
+by word before it counts.
 
 A null text has no words; documents and items without words are never hit.
-Repeated rows get equal results, one for each.  Null ids are kept.  Other
-columns are not read.  An empty benchmark leaves every document clean.
+Repeated rows get equal results, one for each.  Null document ids are kept.
+Items without an id count as one item, which the digest of ids leaves out.
+Other columns are not read.  An empty benchmark leaves every document clean.
 """
 
 from __future__ import annotations
@@ -17,9 +21,11 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kerbside.llm.common import materialise
+
 WINDOW = 10
-#: Benchmark windows that may be broadcast (some 200 bytes each); beyond it they are joined by key.
-BROADCAST_WINDOWS = 2_000_000
+#: Hashes of windows, or of documents that were hit, that may be broadcast (8 bytes each); beyond it they are joined by key.
+BROADCAST_HASHES = 2_000_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -28,10 +34,21 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(low, SEPARATORS), "")
 
 
-def _hashes(w: Column, n: Column, length: int) -> Column:
-    """The hash of each window of so many words; an empty array if there is none."""
-    at = F.sequence(F.lit(1), n - (length - 1))
-    return F.when(n >= length, F.transform(at, lambda i: F.xxhash64(F.slice(w, i, length)))).otherwise(F.array().cast("array<bigint>"))
+def _hash(hashes: Column, first: Column, length: int | Column) -> Column:
+    """The hash of a window of words, from the hashes of all words; first counts from 1."""
+    length = F.lit(length) if isinstance(length, int) else length
+    return F.xxhash64(F.slice(hashes, first, length), length)
+
+
+def _word_hashes(w: Column) -> Column:
+    return F.transform(w, lambda x: F.xxhash64(x))
+
+
+def _windows(hashes: Column, length: int) -> Column:
+    """(begin, length, hash) of each window of so many words; an empty array if there is none."""
+    at = F.sequence(F.lit(0), F.size(hashes) - length)
+    found = F.transform(at, lambda i: F.struct(i.alias("begin"), F.lit(length).alias("length"), _hash(hashes, i + 1, length).alias("hash")))
+    return F.when(F.size(hashes) >= length, found).otherwise(F.array().cast("array<struct<begin:int,length:int,hash:bigint>>"))
 
 
 def benchmark_windows(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
@@ -40,25 +57,37 @@ def benchmark_windows(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     b = b.withColumn("length", F.least("size", F.lit(n)))
     at = b.select("item", "w", "length", F.explode(F.sequence(F.lit(1), F.col("size") - F.col("length") + 1)).alias("i"))
     win = F.slice("w", F.col("i"), F.col("length"))
-    return at.select("length", F.xxhash64(win).alias("hash"), "item", win.alias("window")).distinct()
+    return at.select("length", _hash(_word_hashes(F.col("w")), F.col("i"), F.col("length")).alias("hash"), "item", win.alias("window")).distinct()
 
 
-def hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, begin, end, item) of every occurrence of a window; begin counts words from 0."""
-    few = windows.count() <= BROADCAST_WINDOWS
+def _known(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """The rows whose key is among the distinct keys, which are broadcast up to a checked size."""
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_HASHES else keys, name, "left_semi")
+
+
+def hits(docs: DataFrame, windows: DataFrame) -> DataFrame | None:
+    """(h_id, h_hash, found) for each distinct document that was hit; found holds begin, length and hash of its windows.
+
+    begin counts words from 0.  None if the benchmark has no window.
+    """
+    windows = materialise(windows)
     lengths = [r[0] for r in windows.select("length").distinct().orderBy("length").collect()]  # n of them at most
-    d = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w")).withColumn("n", F.size("w"))
-    found = None
-    for length in lengths:
-        some = windows.where(F.col("length") == length).select("hash", "item", "window")
-        one = d.where(F.col("n") >= length).select("doc_id", "text_hash", "w", F.posexplode(_hashes(F.col("w"), F.col("n"), length)).alias("begin", "hash"))
-        if not few:  # then the words of a window travel, and not those of its document
-            one = one.withColumn("w", F.slice("w", F.col("begin") + 1, length)).withColumn("begin", F.col("begin"))
-        same = (F.slice("w", F.col("begin") + 1, length) if few else F.col("w")) == F.col("window")
-        one = one.join(F.broadcast(some) if few else some, "hash").where(same)
-        one = one.select("doc_id", "text_hash", "begin", (F.col("begin") + length).alias("end"), "item")
-        found = one if found is None else found.unionByName(one)
-    return found
+    if not lengths:
+        return None
+    d = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _word_hashes(words(F.col("text"))).alias("hashes"))
+    every = F.concat(*[_windows(F.col("hashes"), n) for n in lengths])
+    each = d.select("doc_id", "text_hash", F.explode_outer(every).alias("x")).select("doc_id", "text_hash", "x.begin", "x.length", "x.hash")
+    hit = materialise(_known(each, windows.select("hash").distinct(), "hash"))
+    spelt = windows.select("hash", "length", "window").distinct()
+    # a document has as many windows of a length as words at most
+    per = hit.join(spelt, ["hash", "length"]).groupBy(F.col("doc_id").alias("h_id"), F.col("text_hash").alias("h_hash")).agg(F.collect_set(F.struct("begin", "length", "hash", "window")).alias("found"))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    texts = _known(texts, hit.select("text_hash").distinct(), "text_hash").dropDuplicates(["doc_id", "text_hash"])
+    both = texts.join(per, texts["doc_id"].eqNullSafe(per["h_id"]) & (texts["text_hash"] == per["h_hash"]))
+    both = both.select("h_id", "h_hash", words(F.col("text")).alias("w"), "found")
+    same = F.filter("found", lambda x: F.slice("w", x["begin"] + 1, x["length"]) == x["window"])
+    sure = both.select("h_id", "h_hash", F.transform(same, lambda x: F.struct(x["begin"].alias("begin"), x["length"].alias("length"), x["hash"].alias("hash"), x["window"].alias("window"))).alias("found"))
+    return materialise(sure.where(F.size("found") > 0))
 
 
 def _covered(spans: Column) -> Column:
@@ -70,25 +99,29 @@ def _covered(spans: Column) -> Column:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """One row for each document, with its words, its hit words and the items found in it."""
-    found = hits(docs, benchmark_windows(benchmark, n))
+    windows = materialise(benchmark_windows(benchmark, n))
+    found = hits(docs, windows)
     base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
     none = F.sha2(F.lit(""), 256)
     if found is None:
         return base.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), none.alias("items_sha256"), F.lit(False).alias("contaminated"))
-    # a document's hits are as many as its words at most
-    per = found.groupBy(F.col("doc_id").alias("h_id"), F.col("text_hash").alias("h_hash")).agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("spans"), F.sort_array(F.collect_set("item")).alias("items"))
-    per = per.select("h_id", "h_hash", _covered(F.col("spans")).alias("hit"), F.size("items").cast("long").alias("found"), F.sha2(F.concat_ws(",", "items"), 256).alias("digest"))
+    spans = F.sort_array(F.transform("found", lambda x: F.struct(x["begin"].alias("begin"), (x["begin"] + x["length"]).alias("end"))))
+    hit = found.select("h_id", "h_hash", _covered(spans).alias("hit"))
+    # a window that stands in a document many times brings its items once
+    seen = found.select("h_id", "h_hash", F.explode("found").alias("x")).select("h_id", "h_hash", "x.hash", "x.window").distinct()
+    items = seen.join(windows.select("hash", "window", "item"), ["hash", "window"]).groupBy("h_id", "h_hash").agg(F.sort_array(F.collect_set(F.struct("item"))).alias("items"))
+    items = items.select(F.col("h_id").alias("i_id"), F.col("h_hash").alias("i_hash"), F.size("items").cast("long").alias("found"), F.sha2(F.concat_ws(",", F.col("items.item")), 256).alias("digest"))
+    per = hit.join(items, hit["h_id"].eqNullSafe(items["i_id"]) & (hit["h_hash"] == items["i_hash"]))
     all_ = base.join(per, base["doc_id"].eqNullSafe(per["h_id"]) & (base["text_hash"] == per["h_hash"]), "left")
-    hit = F.coalesce("hit", F.lit(0).cast("long"))
-    return all_.select("doc_id", "n_words", hit.alias("n_hit"), F.coalesce("found", F.lit(0).cast("long")).alias("n_items"), F.coalesce("digest", none).alias("items_sha256"), (hit > 0).alias("contaminated"))
+    n_hit = F.coalesce("hit", F.lit(0).cast("long"))
+    return all_.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("found", F.lit(0).cast("long")).alias("n_items"), F.coalesce("digest", none).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """The documents in which no window occurs, as they were."""
-    found = hits(docs, benchmark_windows(benchmark, n))
-    if found is None:
+    bad = hits(docs, benchmark_windows(benchmark, n))
+    if bad is None:
         return docs
-    bad = found.select(F.col("doc_id").alias("h_id"), F.col("text_hash").alias("h_hash")).distinct()
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["h_id"]) & (F.xxhash64(docs["text"]) == bad["h_hash"]), "left_anti")
 
 

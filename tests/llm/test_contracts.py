@@ -161,6 +161,13 @@ def test_op8_edges(spark, edge, empty):
     want = Counter((r.doc_id, *brute_hits(r.text, [x for x in items if x[0] is not None] + [("", "x9")][:0])) for r in edge.collect())
     got = decontaminate.contamination(edge, bench.where("item_id is not null")).collect()
     assert want == Counter(tuple(r) for r in got)
+    con = duckdb.connect()
+    con.register("documents", edge.select("doc_id", "text").toArrow())
+    con.register("benchmark", bench.toArrow())
+    with_null = decontaminate.contamination(edge, bench)
+    assert Counter(con.sql(f"select {', '.join(with_null.columns)} from ({queries.oracle_sql()['op8_decontamination']})").fetchall()) == Counter(map(tuple, with_null.collect()))
+    only = decontaminate.contamination(edge, bench.where("item_id is null")).where("contaminated").collect()
+    assert [(r.doc_id, r.n_hit, r.n_items, r.items_sha256) for r in only] == [(5, 1, 1, hashlib.sha256(b"").hexdigest())]
     assert decontaminate.contamination(edge, bench.where("false")).where("contaminated").count() == 0
     assert decontaminate.contamination(empty, bench).count() == 0
     assert sorted(r.doc_id or 0 for r in decontaminate.clean(edge, bench.where("item_id = 2")).collect()) == [0, 1, 2, 3, 3, 4, 5, 6, 8, 9]
