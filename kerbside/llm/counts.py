@@ -94,12 +94,31 @@ def count_pieces(runs: DataFrame, path: str) -> DataFrame:
     return runs.mapInArrow(pieces, "run binary, freq long, pieces int")
 
 
+def least_hot(table: DataFrame, most: int) -> int:
+    """The frequency from which runs are hot, so that there are ``most`` of them at most.
+
+    Runs are counted by the leading bits of their frequency, so a few hundred
+    rows tell the frequency; no task sorts or gathers runs.
+    """
+    bits = F.length(F.bin("freq"))
+    lead = F.greatest(bits - 4, F.lit(0))
+    step = F.expr("shiftleft(shiftright(freq, lead), lead)")
+    steps = table.withColumn("lead", lead).groupBy(step.alias("least")).agg(F.count("*").alias("n"))
+    hot, least = 0, None
+    for r in sorted(steps.collect(), key=lambda r: -r["least"]):  # 16 rows for each power of two at most
+        hot += r["n"]
+        if hot > most:
+            break
+        least = r["least"]
+    return 1 << 62 if least is None else least
+
+
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, hot_runs: int = HOT_RUNS) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit for each row of ``docs``."""
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
     table = materialise(count_pieces(distinct_runs(docs, tokenizer_path), tokenizer_path))
-    top = table.orderBy(F.col("freq").desc(), "run").select("run", "pieces").limit(hot_runs).toArrow()
+    top = table.where(F.col("freq") >= least_hot(table, hot_runs)).select("run", "pieces").toArrow()
     hot = spark.sparkContext.broadcast(dict(zip(top.column("run").to_pylist(), top.column("pieces").to_pylist())))
 
     def split(batches):
