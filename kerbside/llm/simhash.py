@@ -36,16 +36,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.llm.common import materialise, text_bytes
+from kerbside.llm.common import fresh, materialise, text_bytes
 from kerbside.llm.components import components
 
 #: Blocks of a table: this many at least (if they have FEWEST rows), and so many that none holds over MOST rows.
 BLOCKS, FEWEST, MOST = 32, 256, 1_000_000
 FANOUT = 16
-#: Queries that go down a tree together.
-TOGETHER = 2_048
+#: Queries that go down a tree together, and nodes of a level that they look at together.
+TOGETHER, EXPANDED = 2_048, 500_000
 #: Nodes of a set whose candidate links are checked together.
 CHECKED = 1_000
+#: Groups whose ids may be broadcast (16 bytes each).
+BROADCAST_GROUPS = 1_000_000
 SEEDS = (42, 43)
 
 
@@ -164,31 +166,34 @@ class Index:
 
     def near(self, rows: np.ndarray, keys: np.ndarray):
         """Yield (query, found) places of rows within the radius, in chunks."""
-        t, limit = self.tables, self.tables.limit
+        t = self.tables
         for at in range(0, len(rows), TOGETHER):
             some = keys[at : at + TOGETHER]
-            q = np.arange(len(some))
-            node, far = np.zeros(len(some), dtype=np.int64), np.zeros(len(some), dtype=np.uint8)
-            for depth, (mask, pattern) in enumerate(self.levels):
-                if depth:
-                    q, far = np.repeat(q, FANOUT), np.repeat(far, FANOUT)
-                    node = (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
-                    there = node < len(mask)
-                    q, node, far = q[there], node[there], far[there]
-                far = far + np.bitwise_count((some[q] ^ pattern[node]) & mask[node])
-                keep = far <= limit
-                q, node, far = q[keep], node[keep], far[keep]
-            for i in range(0, len(q), 500_000):
-                a = np.repeat(q[i : i + 500_000], FANOUT)
-                b = (node[i : i + 500_000, None] * FANOUT + np.arange(FANOUT)).ravel()
-                there = b < len(self.keys)
-                a, b = a[there], b[there]
-                keep = np.bitwise_count((some[a] ^ self.keys[b]) & t.mask) <= limit
-                a, b = a[keep], b[keep]
+            mask, pattern = (x[0] for x in self.levels[0])
+            far = np.bitwise_count((some ^ pattern) & mask)
+            q = np.flatnonzero(far <= t.limit)
+            for a, b in self._down(some, q, np.zeros(len(q), dtype=np.int64), far[q], 1):
                 far_all = sum(np.bitwise_count(rows[at + a, 1 + w] ^ self.rows[b, 1 + w]).astype(np.int64) for w in range(t.words)) if len(a) else np.zeros(0)
                 keep = far_all <= t.radius
                 yield at + a[keep], b[keep]
 
+    def _down(self, keys: np.ndarray, q: np.ndarray, node: np.ndarray, far: np.ndarray, depth: int):
+        """Yield (query, leaf) below these nodes, so many children at a time that a dense block takes no more memory than a sparse one."""
+        for i in range(0, len(q), EXPANDED // FANOUT):
+            some = slice(i, i + EXPANDED // FANOUT)
+            a, below = np.repeat(q[some], FANOUT), (node[some, None] * FANOUT + np.arange(FANOUT)).ravel()
+            there = below < len(self.keys if depth == len(self.levels) else self.levels[depth][0])
+            a, below = a[there], below[there]
+            if depth == len(self.levels):
+                keep = np.bitwise_count((keys[a] ^ self.keys[below]) & self.tables.mask) <= self.tables.limit
+                yield a[keep], below[keep]
+                continue
+            mask, pattern = self.levels[depth]
+            f = np.repeat(far[some], FANOUT)[there] + np.bitwise_count((keys[a] ^ pattern[below]) & mask[below])
+            keep = f <= self.tables.limit
+            if keep.any():
+                yield from self._down(keys, a[keep], below[keep], f[keep], depth + 1)
+
 
 def forest(nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges of stars that connect what the pairs (a, b) of places connect."""
@@ -390,8 +395,11 @@ def groups(docs: DataFrame, shingle: int = 3, radius: int = 2, seeds: tuple[int,
     one = [] if similarity is None else [F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("one")]
     each = materialise(fps.groupBy("node", *names).agg(F.min("doc_id").alias("least"), *one))
     root = components(links(each, len(seeds), radius) if similarity is None else checked_links(docs, each, len(seeds), radius, shingle, similarity))
-    named = each.join(root, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    ids = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "root", "component_id")
+    named = each.join(root, "node", "left").select("node", "least", "root")
+    # one row for each group of two nodes or more; a large group's nodes do not meet in one task while this is small
+    mins = materialise(named.where("root is not null").groupBy("root").agg(F.min("least").alias("component_id")))
+    mins = F.broadcast(mins) if mins.count() <= BROADCAST_GROUPS else mins
+    ids = named.join(mins, "root", "left").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
     return fps.join(ids, "node").select("doc_id", "text_hash", *names, "root", "component_id")
 
 
@@ -407,9 +415,10 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = WIDE_RADI
     found = groups(docs, shingle, radius, seeds, similarity)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("m")
     stay = found.groupBy("root").agg(first).select(F.col("m.doc_id").alias("s_id"), F.col("m.text_hash").alias("s_hash")).distinct()
-    keyed = docs.withColumn("near_duplicate_hash", F.xxhash64("text"))
-    left = keyed.join(stay, keyed["doc_id"].eqNullSafe(stay["s_id"]) & (keyed["near_duplicate_hash"] == stay["s_hash"]), "left_semi")
-    return left.dropDuplicates(["doc_id", "near_duplicate_hash"]).select(*docs.columns)
+    name = fresh(docs, "near_duplicate_hash")
+    keyed = docs.withColumn(name, F.xxhash64("text"))
+    left = keyed.join(stay, keyed["doc_id"].eqNullSafe(stay["s_id"]) & (keyed[name] == stay["s_hash"]), "left_semi")
+    return left.dropDuplicates(["doc_id", name]).select(*docs.columns)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

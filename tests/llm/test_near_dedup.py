@@ -76,3 +76,22 @@ def test_pipeline_finds_pairs_at_the_similarity(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id for r in simhash.one_of_each(df).collect()}
     assert set(range(0, 500, 2)) <= got and sum(i not in got for i in range(1, 500, 2)) >= 0.98 * 250
+
+
+def test_dense_blocks_are_searched_in_chunks(monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = rng.integers(0, 1 << 63, (3_000, 3), dtype=np.uint64)
+    rows[:, 1] &= np.uint64(0xFFFF)  # all agree in the leading bits
+    tables = simhash.Tables(2, 31)
+    found = []
+    for expanded in (500_000, 160):
+        monkeypatch.setattr(simhash, "EXPANDED", expanded)
+        index = simhash.Index(rows, tables, 0)
+        found.append({(int(a), int(b)) for x, y in index.near(index.rows[:50], tables.keys(index.rows[:50], 0)) for a, b in zip(x, y)})
+    far = np.bitwise_count(index.rows[:50, None, 1:] ^ index.rows[None, :, 1:]).sum(axis=2)
+    assert found[0] == found[1] == {(int(a), int(b)) for a, b in zip(*np.nonzero(far <= 31))}
+
+
+def test_one_of_each_keeps_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 7), (2, "a b c d e f", 8), (3, "x", 9)], "doc_id long, text string, near_duplicate_hash int")
+    assert sorted(map(tuple, simhash.one_of_each(df).collect())) == [(1, "a b c d e f", 7), (3, "x", 9)]
