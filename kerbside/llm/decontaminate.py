@@ -34,6 +34,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(low, SEPARATORS), "")
 
 
+def bound(value: Column, function) -> Column:
+    """``function`` of a costly column that is worked out once, also where the function has lambdas that use it."""
+    return F.get(F.transform(F.array(value), function), F.lit(0))
+
+
 def _hash(hashes: Column, first: Column, length: int | Column) -> Column:
     """The hash of a window of words, from the hashes of all words; first counts from 1."""
     length = F.lit(length) if isinstance(length, int) else length
@@ -74,9 +79,8 @@ def hits(docs: DataFrame, windows: DataFrame) -> DataFrame | None:
     lengths = [r[0] for r in windows.select("length").distinct().orderBy("length").collect()]  # n of them at most
     if not lengths:
         return None
-    d = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _word_hashes(words(F.col("text"))).alias("hashes"))
-    every = F.concat(*[_windows(F.col("hashes"), n) for n in lengths])
-    each = d.select("doc_id", "text_hash", F.explode_outer(every).alias("x")).select("doc_id", "text_hash", "x.begin", "x.length", "x.hash")
+    every = bound(_word_hashes(words(F.col("text"))), lambda hashes: F.concat(*[_windows(hashes, n) for n in lengths]))
+    each = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode_outer(every).alias("x")).select("doc_id", "text_hash", "x.begin", "x.length", "x.hash")
     hit = materialise(_known(each, windows.select("hash").distinct(), "hash"))
     spelt = windows.select("hash", "length", "window").distinct()
     # a document has as many windows of a length as words at most
@@ -84,10 +88,8 @@ def hits(docs: DataFrame, windows: DataFrame) -> DataFrame | None:
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     texts = _known(texts, hit.select("text_hash").distinct(), "text_hash").dropDuplicates(["doc_id", "text_hash"])
     both = texts.join(per, texts["doc_id"].eqNullSafe(per["h_id"]) & (texts["text_hash"] == per["h_hash"]))
-    both = both.select("h_id", "h_hash", words(F.col("text")).alias("w"), "found")
-    same = F.filter("found", lambda x: F.slice("w", x["begin"] + 1, x["length"]) == x["window"])
-    sure = both.select("h_id", "h_hash", F.transform(same, lambda x: F.struct(x["begin"].alias("begin"), x["length"].alias("length"), x["hash"].alias("hash"), x["window"].alias("window"))).alias("found"))
-    return materialise(sure.where(F.size("found") > 0))
+    same = bound(words(F.col("text")), lambda w: F.filter("found", lambda x: F.slice(w, x["begin"] + 1, x["length"]) == x["window"]))
+    return materialise(both.select("h_id", "h_hash", same.alias("found"))).where(F.size("found") > 0)
 
 
 def _covered(spans: Column) -> Column:
