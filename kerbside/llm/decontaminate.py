@@ -79,8 +79,10 @@ def hits(docs: DataFrame, windows: DataFrame) -> DataFrame | None:
     lengths = [r[0] for r in windows.select("length").distinct().orderBy("length").collect()]  # n of them at most
     if not lengths:
         return None
-    every = bound(_word_hashes(words(F.col("text"))), lambda hashes: F.concat(*[_windows(hashes, n) for n in lengths]))
-    each = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode_outer(every).alias("x")).select("doc_id", "text_hash", "x.begin", "x.length", "x.hash")
+    # the generator has short columns beside it only: what stands there is copied for every window
+    d = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _word_hashes(words(F.col("text"))).alias("hashes"))
+    every = F.concat(*[_windows(F.col("hashes"), n) for n in lengths])
+    each = d.select("doc_id", "text_hash", F.explode_outer(every).alias("x")).select("doc_id", "text_hash", "x.begin", "x.length", "x.hash")
     hit = materialise(_known(each, windows.select("hash").distinct(), "hash"))
     spelt = windows.select("hash", "length", "window").distinct()
     # a document has as many windows of a length as words at most
