@@ -354,13 +354,15 @@ def spans(docs: DataFrame) -> DataFrame:
     whole = verdict.where("whole").select("k", "ch", "c")
     heavy = materialise(whole.where(F.col("c") > HEAVY).select("k", "ch"))
     if heavy.count() <= BROADCAST_ROWS:
-        light = found.join(F.broadcast(heavy), ["k", "ch"], "left_anti").join(whole.where(F.col("c") <= HEAVY).select("k", "ch"), ["k", "ch"])
+        rest = found.join(F.broadcast(heavy), ["k", "ch"], "left_anti")
+        light = rest.join(whole.where(F.col("c") <= HEAVY).select("k", "ch"), ["k", "ch"])
         done = light.select(*pieces_).unionByName(found.join(F.broadcast(heavy), ["k", "ch"], "left_semi").select(*pieces_))
     else:
+        rest = found
         done = found.join(whole, ["k", "ch"]).select(*pieces_)
     # what repeats as a whole is done with; the others occur once, so a row has its own ranges only
     parts = parts.join(verdict.where("not whole").select("k", "ch"), ["k", "ch"], "left_semi")
-    some = found.join(parts, ["k", "ch"]).select("r1", "r2", (F.col("begin") + F.col("off")).alias("begin"), (F.col("begin") + F.col("off") + F.col("len") + LENGTH - 1).alias("end"))
+    some = rest.join(parts, ["k", "ch"]).select("r1", "r2", (F.col("begin") + F.col("off")).alias("begin"), (F.col("begin") + F.col("off") + F.col("len") + LENGTH - 1).alias("end"))
     return done.unionByName(some)
 
 
