@@ -29,7 +29,10 @@ def test_stages(spark):
     single = stages["near_dedup"](spark, good, SF).cache()
     before, after = text(good), text(single)
     assert single.columns == columns and set(after) < set(before)
+    words = lambda t: re.findall(rb"[^\s]+", (t or "").lower().encode())
+    shingles = lambda t: {tuple(w[i : i + 5]) for w in [words(t)] for i in range(max(1, len(w) - 4))}
     ids = sorted(before)
+    sets = [shingles(before[i]) for i in ids]
     fps = np.array([simhash.fingerprint(before[i], 5, simhash.SEEDS, True) for i in ids], dtype=np.uint64)
     root = {i: i for i in ids}
 
@@ -41,14 +44,14 @@ def test_stages(spark):
     for a, i in enumerate(ids):
         near = np.flatnonzero(np.bitwise_count(fps[:a] ^ fps[a]).sum(axis=1) <= simhash.WIDE_RADIUS)
         for b in near.tolist():
+            if len(sets[a] & sets[b]) < 0.8 * len(sets[a] | sets[b]):  # a fingerprint only proposes
+                continue
             x, y = sorted((find(i), find(ids[b])))
             root[y] = x
     assert set(after) == {find(i) for i in ids}
-    words = lambda t: re.findall(rb"[^\s]+", (t or "").lower().encode())
-    shingles = lambda t: {tuple(w[i : i + 5]) for w in [words(t)] for i in range(max(1, len(w) - 4))}
     for i in set(before) - set(after):  # what goes resembles something of its group
         mine = shingles(before[i])
-        assert max(len(mine & (o := shingles(before[j]))) / len(mine | o) for j in ids if j != i and find(j) == find(i)) >= 0.5
+        assert max(len(mine & (o := shingles(before[j]))) / len(mine | o) for j in ids if j != i and find(j) == find(i)) >= 0.8
 
     cut = stages["substring_dedup"](spark, single, SF).cache()
     left = text(cut)
