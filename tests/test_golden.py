@@ -63,11 +63,13 @@ def test_consensus_and_median(spark):
     v = spark.createDataFrame([(0, 1, i, "male_adult", 0.9) for i in range(3)] + [(0, 2, 0, "child", 0.9), (0, 2, 1, "child", 0.9)] + [(0, 3, 0, "child", 0.9), (0, 3, 1, "male_adult", 0.9), (0, 3, 2, "child", 0.6), (0, 3, 3, "male_adult", 0.7)], "camera_id long, track_id long, frame_idx long, label string, conf double")
     assert {r.track_id: r.label for r in people.consensus(v).collect()} == {1: "male_adult", 2: "unknown", 3: "unknown"}
     p = spark.createDataFrame([(0, f) for f, n in enumerate([5, 5, 18]) for _ in range(n)] + [(1, f) for f, n in enumerate([2, 8, 8]) for _ in range(n)], "camera_id long, frame_idx long")
-    assert {(r.camera_id, r.smoothed) for r in people.median_counts(p).where("frame_idx = 2").collect()} == {(0, 5), (1, 8)}
+    assert {(r.camera_id, r.smoothed) for r in people.median_counts(p.withColumn("ts", F.timestamp_seconds("frame_idx"))).where("frame_idx = 2").collect()} == {(0, 5), (1, 8)}
 
 
-def test_greedy_and_snapshots():
-    assert helmets.greedy([(0, 0, 10, 10), (1, 0, 11, 10), (50, 50, 60, 60)], 0.35) == [0, 0, 2]
+def test_greedy_and_snapshots(spark):
+    boxes = spark.createDataFrame([(1, 0, 0.9, 0, 0, 10, 10), (1, 1, 0.8, 1, 0, 11, 10), (1, 2, 0.7, 50, 50, 60, 60)], "image long, no long, conf double, x1 long, y1 long, x2 long, y2 long")
+    got = helmets.suppressed(boxes, ["image"], "conf", ("x1", "y1", "x2", "y2"), "no", 0.35)
+    assert [r.cluster for r in got.orderBy("no").collect()] == [0, 0, 2]
     assert helmets.kept_snapshots([(0, 10.0), (3, 10.5), (4, 11.0), (10, 5.0), (20, 6.0), (30, 5.3), (40, 5.6)]) == [2, 6, 4]
 
 
