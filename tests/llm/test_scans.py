@@ -44,6 +44,81 @@ def test_op6_rules(spark, edge, empty, tmp_path):
     assert licences.scan(edge).count() == 11 and licences.scan(empty).count() == 0
 
 
+# Published wording, wrapped and commented as in source files.
+WRAPPED = {
+    "MIT": """Copyright (c) 2020 Some Writer
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+""",
+    "Apache-2.0": """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+""",
+    "BSD-2-Clause": """/*
+ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions
+ * are met:
+ * 1. Redistributions of source code must retain the above copyright
+ *    notice, this list of conditions and the following disclaimer.
+ * 2. Redistributions in binary form must reproduce the above copyright
+ *    notice, this list of conditions and the following disclaimer in the
+ *    documentation and/or other materials provided with the distribution.
+ */
+""",
+    "GPL-2.0-or-later": """// This program is free software; you can redistribute it and/or
+// modify it under the terms of the GNU General Public License
+// as published by the Free Software Foundation; either version 2
+// of the License, or (at your option) any later version.
+""",
+    "MPL-2.0": """; This Source Code Form is subject to the terms of the Mozilla Public\r
+; License, v. 2.0. If a copy of the MPL was not distributed with this\r
+; file, You can obtain one at https://mozilla.org/MPL/2.0/.\r
+""",
+    "ISC": "// SPDX-License-Identifier: ISC\nint main() { return 0; }\n",
+}
+
+
+def test_op6_wrapped_texts(spark, tmp_path):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(WRAPPED.values())], "doc_id long, text string")
+    got = sorted(licences.scan(df).collect())
+    assert [r.licences for r in got] == list(WRAPPED)
+    assert [r.left_over for r in got] == [""] * len(WRAPPED)
+    assert got[0].places == "1,2,3,4"
+    df.write.parquet(str(tmp_path / "d"))
+    assert Counter(by_sql(f"select * from '{tmp_path}/d/*.parquet'")) == Counter(map(tuple, got))
+
+
+def test_op6_own_tables(spark):
+    df = spark.createDataFrame([(0, "Take it; it is yours. No warranty!"), (1, "Help yourself!")], "doc_id long, text string")
+    sentences = [("Take", "Take it; it is yours"), ("Take", "Help yourself"), ("None", "No warranty")]
+    got = sorted(licences.scan(df, sentences, [("Gift-1.0", ["Take", "None"]), ("Gift-0", ["Take"])]).collect())
+    assert [r.licences for r in got] == ["Gift-1.0", "Gift-0"]
+
+
 def test_op10_against_brute_force(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     rows = {r.doc_id: r.text for r in docs.collect()}
