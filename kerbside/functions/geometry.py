@@ -80,6 +80,23 @@ def clipped(b: Box, width: int, height: int) -> Box:
     return F.greatest(F.lit(0), b[0]), F.greatest(F.lit(0), b[1]), F.least(F.lit(width), b[2]), F.least(F.lit(height), b[3])
 
 
+def padded(b: Box, width: int, height: int, across: float = 0.15, down: float = 0.25, least: int = 6) -> Box:
+    """A box with a margin of shares of its size, at least some pixels, clipped to the frame."""
+    x = F.greatest(F.lit(least), ((b[2] - b[0]) * across).cast("long"))
+    y = F.greatest(F.lit(least), ((b[3] - b[1]) * down).cast("long"))
+    return clipped((b[0] - x, b[1] - y, b[2] + x, b[3] + y), width, height)
+
+
+def to_crop(b: Box, ox: Column, oy: Column, scale: Column) -> Box:
+    """A box of the frame in the pixels of a crop that starts at (ox, oy) and is enlarged by a scale."""
+    return tuple(((v - o) * scale).cast("long") for v, o in zip(b, (ox, oy, ox, oy)))
+
+
+def to_frame(b: Box, ox: Column, oy: Column, scale: Column) -> Box:
+    """The way back from a crop: over the scale, whole pixels, moved by the crop's origin."""
+    return tuple((v / scale).cast("long") + o for v, o in zip(b, (ox, oy, ox, oy)))
+
+
 def snapshot_score(b: Box, sharpness: Column, confidence: Column, is_clipped: Column) -> Column:
     size = F.sqrt((area(b)).cast("double"))
     return size * (F.least(sharpness, F.lit(400)) / 400.0 + 0.2) * F.when(is_clipped, 0.5).otherwise(1.0) * (confidence + 0.5)

@@ -44,6 +44,14 @@ def capped(rows: DataFrame, keys: list[str], order: list, most: int, in_all: int
     return r if in_all is None else r.orderBy(*keys, "place").limit(in_all)
 
 
+def by_priority(items: DataFrame, name: str, words: list[str], default: int = 10) -> DataFrame:
+    """Items in order of the first of some words that their name holds, in any case; then by name."""
+    rank = F.lit(default)
+    for i, word in reversed(list(enumerate(words))):
+        rank = F.when(F.contains(F.lower(name), F.lit(word.lower())), i).otherwise(rank)
+    return items.withColumn("priority", rank).orderBy("priority", name)
+
+
 def merged_sources(sets: dict[str, DataFrame], key: str) -> DataFrame:
     """Several sets in one, their keys prefixed by the set's name."""
     out = None

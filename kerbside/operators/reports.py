@@ -85,6 +85,97 @@ def shares(rows: DataFrame) -> DataFrame:
     return n.join(F.broadcast(n.agg(F.sum("n").alias("total")))).select("vehicle_class", "n", F.round(F.col("n") * 100 / F.col("total"), 6).alias("percent"))
 
 
+def people_shares(people: DataFrame) -> DataFrame:
+    """Whole per cents of men, women and children; what is left of a hundred is unknown."""
+    part = lambda c: F.coalesce(labels.half_up(F.col(c) * 100 / F.nullif("total", F.lit(0))), F.lit(0)).cast("long")
+    p = people.select("total", part("males").alias("male_percent"), part("females").alias("female_percent"), part("children").alias("child_percent"))
+    left = F.greatest(F.lit(0), 100 - F.col("male_percent") - F.col("female_percent") - F.col("child_percent"))
+    return p.withColumn("unknown_percent", F.when(F.col("total") > 0, left).otherwise(0).cast("long"))
+
+
+def rolled(counts: DataFrame) -> DataFrame:
+    """Counts of classes with vans among the others."""
+    name = F.when(F.col("vehicle_class") == "Van", labels.OTHERS).otherwise(F.col("vehicle_class"))
+    return counts.groupBy(name.alias("vehicle_class")).agg(F.sum("n").cast("long").alias("n"))
+
+
+def active(counts: DataFrame) -> DataFrame:
+    """The classes that were seen at all."""
+    return counts.where("n > 0")
+
+
+def detailed_rows(rows: DataFrame, votes: DataFrame, verdicts: DataFrame, best: DataFrame) -> DataFrame:
+    """The table of analysed vehicles: plate with status, helmets of both seats, people, verdict and the best snapshot.
+
+    ``rows`` are counted tracks with vehicle_class, ``votes`` their plates by
+    ``plates.variant_vote``, ``best`` has the frame of a track's best snapshot.
+    """
+    two = labels.is_two_wheeler(F.col("vehicle_class"))
+    seat = lambda c: F.when(two, F.coalesce(c, F.lit("None"))).otherwise("N/A").alias(c)
+    sits = lambda c: F.coalesce(F.col(c) != "None", F.lit(False)).cast("long")
+    j = rows.select(*TRACK, "vehicle_class").join(votes.select(*TRACK, "plate", "status", "conf"), TRACK, "left")
+    j = j.join(verdicts, TRACK, "left").join(best.select(*TRACK, F.col("frame_idx").alias("snapshot_frame")), TRACK, "left")
+    return j.select(
+        *TRACK,
+        "vehicle_class",
+        F.coalesce("plate", F.lit(NOT_DETECTED)).alias("plate"),
+        F.coalesce("status", F.lit("none")).alias("plate_status"),
+        F.when(F.col("plate").isNotNull(), F.col("conf")).alias("plate_conf"),
+        seat("rider_helmet"),
+        seat("pillion_helmet"),
+        F.when(two, sits("rider_helmet") + sits("pillion_helmet")).otherwise(0).cast("long").alias("n_people"),
+        F.when(two, F.coalesce("verdict", F.lit("UNVERIFIED (no head detected)"))).otherwise("N/A").alias("verdict"),
+        "snapshot_frame",
+        F.when(F.col("snapshot_frame").isNotNull(), F.format_string("cam%d_t%d_f%d.jpg", "camera_id", "track_id", "snapshot_frame")).alias("snapshot"),
+    )
+
+
+# Columns of the table of analysed vehicles and of the sheet of figures.
+DETAILED = "track_id vehicle_class plate plate_status plate_conf rider_helmet pillion_helmet n_people verdict snapshot_frame snapshot".split()
+FIGURES = "timestamp total_vehicles cars trucks buses auto_rickshaws motorcycles scooters bicycles plates_detected".split()
+
+
+def _number() -> Column:
+    return F.concat(F.lit("#"), F.col("track_id").cast("string")).alias("Track ID")
+
+
+def plates_sheet(rows: DataFrame) -> DataFrame:
+    """Sheet of recognised plates; conf is a share."""
+    number = F.coalesce(F.concat(F.lit("#"), F.col("track_id").cast("string")), F.lit("N/A")).alias("Track ID")
+    percent = F.concat(labels.half_up(F.col("conf") * 100).cast("string"), F.lit("%")).alias("Confidence")
+    kind = F.coalesce("vehicle_class", F.lit("Car")).alias("Vehicle Classification")
+    return rows.select(number, kind, F.col("plate").alias("Number Plate"), percent, F.date_format("ts", "HH:mm:ss").alias("Detection Time"))
+
+
+def two_wheelers_sheet(rows: DataFrame) -> DataFrame:
+    """Sheet of two-wheelers from statuses helmet, no_helmet, none and unknown; one without a helmet makes a violation."""
+    bad = lambda c: F.col(c) == "no_helmet"
+    return rows.select(
+        _number(),
+        F.coalesce("vehicle_class", F.lit("Bike/Motorcycle")).alias("Vehicle Type"),
+        F.coalesce("plate", F.lit(NOT_DETECTED)).alias("Number Plate"),
+        F.when(bad("rider_helmet"), "NO HELMET").otherwise("HELMET").alias("Rider Helmet"),
+        F.when(bad("pillion_helmet"), "NO HELMET").when(F.col("pillion_helmet") == "helmet", "HELMET").otherwise("None").alias("Pillion Helmet"),
+        F.when(bad("rider_helmet") | bad("pillion_helmet"), "VIOLATION").otherwise("COMPLIANT").alias("Verdict"),
+    )
+
+
+def crossings_sheet(rows: DataFrame) -> DataFrame:
+    """Sheet of counted vehicles."""
+    text = lambda c, default, name: F.coalesce(c, F.lit(default)).alias(name)
+    return rows.select(_number(), text("vehicle_class", "Unknown", "Vehicle Type"), text("plate", NOT_DETECTED, "Number Plate"), text("helmet_status", "N/A", "Helmet Status"))
+
+
+def figures_sheet(log: DataFrame) -> DataFrame:
+    """Sheet of a log's figures, unquoted when written."""
+    return log.select(*FIGURES)
+
+
+def write_detailed(rows: DataFrame, path: str) -> None:
+    """The table of analysed vehicles as CSV in order of tracks; other columns stay out."""
+    rows.orderBy("track_id").select(*DETAILED).write.mode("overwrite").option("header", True).csv(path)
+
+
 def search(rows: DataFrame, term: str) -> DataFrame:
     """Rows whose plate, track or class holds the term, in any case."""
     t = F.lit(term.lower())
@@ -155,5 +246,6 @@ def write_report(lines: DataFrame, path: str) -> None:
     lines.orderBy("section_no", "row_no").select("line").coalesce(1).write.mode("overwrite").text(path)
 
 
-def write_csv(df: DataFrame, path: str, quoted: bool = False, by: tuple[str, ...] = ()) -> None:
-    df.write.mode("overwrite").partitionBy(*by).option("header", True).option("quoteAll", quoted).csv(path)
+def write_csv(df: DataFrame, path: str, quoted: bool = False, by: tuple[str, ...] = (), mode: str = "overwrite") -> None:
+    """CSV files with their header; mode "append" adds files to a log, and readers see each header once a file, never as a row."""
+    df.write.mode(mode).partitionBy(*by).option("header", True).option("quoteAll", quoted).csv(path)

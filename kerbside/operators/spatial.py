@@ -67,6 +67,19 @@ def pedestrians_by_iou(persons: DataFrame, vehicles: DataFrame, most: float = 0.
     return persons.join(v, same & (g.iou(g.box(), g.box("v")) >= most), "left_anti")
 
 
+def united_boxes(boxes: DataFrame, width: int, height: int, aspect: tuple[float, float], box=("px1", "py1", "px2", "py2")) -> DataFrame:
+    """Boxes found in the whole frame and in enlarged parts of it, in one frame of reference.
+
+    ``boxes`` carries beside the box the part's origin (ox, oy) and scale; boxes
+    of four pixels or less, and those of another shape, go; the rest are clipped.
+    """
+    moved = g.to_frame(tuple(F.col(c) for c in box), F.col("ox"), F.col("oy"), F.col("scale"))
+    d = boxes.withColumns(dict(zip(box, moved)))
+    w, h = F.col(box[2]) - F.col(box[0]), F.col(box[3]) - F.col(box[1])
+    kept = d.where((w > 4) & (h > 4) & (w / h).between(*aspect))
+    return kept.withColumns(dict(zip(box, g.clipped(tuple(F.col(c) for c in box), width, height)))).drop("ox", "oy", "scale")
+
+
 def compare_rules(persons: DataFrame, vehicles: DataFrame) -> DataFrame:
     """Totals of the two rules side by side."""
     def totals(df, name):

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("traffic", "vehicles", "reports")
+MODULES = ("traffic", "vehicles", "reports", "tables")
 
 
 def _all() -> dict:

@@ -8,6 +8,7 @@ track but counts.
 
 from __future__ import annotations
 
+import statistics
 from collections.abc import Iterator
 from typing import Any
 
@@ -48,6 +49,11 @@ def alerts(violations: DataFrame) -> DataFrame:
     return violations.withWatermark("ts", LATE).dropDuplicatesWithinWatermark(["camera_id", "track_id", "type"])
 
 
+def latest_alerts(violations: DataFrame, path: str, checkpoint: str) -> Any:
+    """The last alert of each track and type, as a table that each batch renews."""
+    return latest_feed(violations, ["camera_id", "track_id", "type"], "frame_idx", path, checkpoint)
+
+
 def _side(line, x: int, y: int) -> int:
     ax, ay, bx, by = line
     v = (y - ay) * (bx - ax) - (by - ay) * (x - ax)
@@ -161,9 +167,41 @@ def rolling_labels(votes: DataFrame, window: int = 15, fewest: int = 3, share: f
     return keyed.applyInPandasWithState(step, "camera_id long, track_id long, n_votes long, label string", state_schema, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_once(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Work off all that is there, write it and end; run again with the same checkpoint it goes on from there."""
-    df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+def rolling_median(counts: DataFrame, seconds: float = 2.0, idle_ms: int = 90_000) -> DataFrame:
+    """Each count of a camera with the whole-number median of the counts of the seconds up to it.
+
+    ``counts`` has camera_id, frame_idx, ts and n; state is the counts of that stretch of time.
+    """
+    columns = ["camera_id", "frame_idx", "n", "smoothed"]
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=columns)
+            return
+        times, values = map(list, state.get) if state.exists else ([], [])
+        all_, rows = pd.concat(list(frames)).sort_values(["ts", "frame_idx"]), []
+        for r in all_.itertuples(index=False):
+            now = int(r.ts.timestamp() * 1_000_000)
+            times, values = [*times, now], [*values, int(r.n)]
+            live = [i for i, t in enumerate(times) if t >= now - seconds * 1_000_000]
+            times, values = [times[i] for i in live], [values[i] for i in live]
+            rows.append((*key, int(r.frame_idx), int(r.n), int(statistics.median(values))))
+        state.update((times, values))
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(all_["ts"].max().timestamp() * 1000)) + idle_ms)
+        yield pd.DataFrame(rows, columns=columns)
+
+    keyed = counts.withWatermark("ts", LATE).groupBy("camera_id")
+    schema = "camera_id long, frame_idx long, n long, smoothed long"
+    return keyed.applyInPandasWithState(step, schema, "times array<long>, values array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def run_once(df: DataFrame, path: str, checkpoint: str, mode: str = "append", form: str = "parquet", **options: Any) -> None:
+    """Work off all that is there, write it and end; run again with the same checkpoint it goes on from there.
+
+    A log as CSV: ``form="csv", header=True``; each file has its header, and readers take it for one.
+    """
+    df.writeStream.format(form).options(**options).option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
 
 
 def latest_feed(df: DataFrame, keys: list[str], order: str, path: str, checkpoint: str) -> Any:

@@ -2,6 +2,8 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from kerbside.operators import datasets, evaluation, reports
 from kerbside.sources import files
 
@@ -95,3 +97,18 @@ def test_keep_first(spark):
         if not any((j, i) in pairs for j in want):
             want.add(i)
     assert kept == want
+
+
+def test_sheets_and_appended_logs(spark, tmp_path):
+    rows = spark.createDataFrame([(0, 7, "Car", None, None, "2024-05-01 10:20:30", 0.876, "no_helmet", "none"), (0, 2, None, "KA01AB1234", "COMPLIANT", "2024-05-01 00:00:00", 0.5, "helmet", "helmet")], "camera_id long, track_id long, vehicle_class string, plate string, helmet_status string, ts string, conf double, rider_helmet string, pillion_helmet string").withColumn("ts", F.col("ts").cast("timestamp"))
+    assert [tuple(r) for r in reports.plates_sheet(rows).collect()] == [("#7", "Car", None, "88%", "10:20:30"), ("#2", "Car", "KA01AB1234", "50%", "00:00:00")]
+    assert [tuple(r) for r in reports.two_wheelers_sheet(rows).collect()] == [("#7", "Car", "not detected", "NO HELMET", "None", "VIOLATION"), ("#2", "Bike/Motorcycle", "KA01AB1234", "HELMET", "HELMET", "COMPLIANT")]
+    assert [tuple(r) for r in reports.crossings_sheet(rows).collect()] == [("#7", "Car", "not detected", "N/A"), ("#2", "Unknown", "KA01AB1234", "COMPLIANT")]
+    for _ in range(2):
+        reports.write_csv(reports.crossings_sheet(rows), str(tmp_path / "log"), quoted=True, mode="append")
+    back = spark.read.option("header", True).csv(str(tmp_path / "log"))
+    assert back.count() == 4 and back.columns[0] == "Track ID" and back.where("`Track ID` = 'Track ID'").count() == 0
+    extra = rows.withColumns({c: F.lit("x") for c in reports.DETAILED if c not in rows.columns})
+    reports.write_detailed(extra, str(tmp_path / "detail"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "detail"))
+    assert back.columns == reports.DETAILED and [r.track_id for r in back.collect()] == ["2", "7"]

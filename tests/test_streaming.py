@@ -66,3 +66,25 @@ def test_plates_labels_alerts_and_feed(spark, tmp_path):
     last = max((tmp_path / "f").iterdir(), key=lambda p: int(p.name.split("=")[1]))
     feed = {(r.camera_id, r.track_id, r.order) for r in spark.read.parquet(str(last)).collect()}
     assert feed == {tuple(r) for r in spark.read.parquet(str(tmp_path / "a")).groupBy("camera_id", "track_id").agg(F.max("frame_idx")).collect()}
+
+
+def test_rolling_median_and_last_alerts(spark, tmp_path):
+    counts = o.persons(spark, SF).groupBy("camera_id", "frame_idx").agg(F.count("*").alias("n"))
+    landed(counts, tmp_path / "n")
+    s = live.observations(spark, str(tmp_path / "n"), "camera_id long, frame_idx long, n long, ts timestamp", 1)
+    live.run_once(live.rolling_median(s, 7), str(tmp_path / "no"), str(tmp_path / "nc"), form="csv", header=True)
+    got = {tuple(map(int, r)) for r in spark.read.option("header", True).csv(str(tmp_path / "no")).collect()}
+    rows = sorted(tuple(r) for r in counts.collect())
+    want = set()
+    for camera, frame, n in rows:  # a frame takes two seconds in the landed files
+        near = sorted(m for c, f, m in rows if c == camera and frame * 2 - 7 <= f * 2 <= frame * 2)
+        k = len(near)
+        want.add((camera, frame, n, near[k // 2] if k % 2 else (near[k // 2 - 1] + near[k // 2]) // 2))
+    assert got == want
+
+    landed(helmets.violations(o.heads(spark, SF)).select("camera_id", "track_id", "frame_idx", "type"), tmp_path / "a")
+    s = live.observations(spark, str(tmp_path / "a"), "camera_id long, track_id long, frame_idx long, type string, ts timestamp", 1)
+    live.latest_alerts(s, str(tmp_path / "f"), str(tmp_path / "fc")).awaitTermination()
+    last = max((tmp_path / "f").iterdir(), key=lambda p: int(p.name.split("=")[1]))
+    got = {(r.camera_id, r.track_id, r.type, r.order) for r in spark.read.parquet(str(last)).collect()}
+    assert got == {tuple(r) for r in spark.read.parquet(str(tmp_path / "a")).groupBy("camera_id", "track_id", "type").agg(F.max("frame_idx")).collect()}
