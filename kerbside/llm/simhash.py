@@ -363,8 +363,11 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.groupBy(*keys).cogroup(held.groupBy(*[f"of_{k}" for k in keys])).applyInArrow(check, "a long, b long")
 
 
-def checked_links(docs: DataFrame, each: DataFrame, words: int, radius: int, shingle: int, similarity: float) -> DataFrame:
-    """Edges (a, b) that connect what the links within the radius and of the similarity connect, from rows (node, w0, w1, .., one)."""
+def checked_components(docs: DataFrame, each: DataFrame, words: int, radius: int, shingle: int, similarity: float) -> DataFrame:
+    """(node, root) of what the links within the radius and of the similarity connect, from rows (node, w0, w1, .., one).
+
+    Links that the second search adds lie between components of the first, so only these components are joined anew.
+    """
     names = [f"w{i}" for i in range(words)]
     proposed = materialise(links(each, words, radius).where("a <> b").distinct())
     root = components(proposed)
@@ -380,9 +383,12 @@ def checked_links(docs: DataFrame, each: DataFrame, words: int, radius: int, shi
     first = proposed.join(end("a", "i"), "a").join(end("b", "j"), "b")
     first = materialise(first.select(F.col("bucket_a").alias("bucket"), F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "a", "b"))
     good = materialise(similar(first, sets, similarity))
-    again = some.join(components(good), "node", "left").select("node", *names, F.coalesce("root", "node").alias("label"), "bucket", "part")
-    rest = materialise(links(materialise(again), words, radius, pairs=True))
-    return good.unionByName(similar(rest, sets, similarity))
+    again = materialise(some.join(components(good), "node", "left").select("node", *names, F.coalesce("root", "node").alias("label"), "bucket", "part"))
+    rest = materialise(links(again, words, radius, pairs=True))
+    label = lambda x: again.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
+    more = similar(rest, sets, similarity).join(label("a"), "a").join(label("b"), "b")
+    merged = components(more.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
+    return again.join(merged.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("root", "label").alias("root"))
 
 
 def groups(docs: DataFrame, shingle: int = 3, radius: int = 2, seeds: tuple[int, ...] = (42,), similarity: float | None = None) -> DataFrame:
@@ -394,7 +400,7 @@ def groups(docs: DataFrame, shingle: int = 3, radius: int = 2, seeds: tuple[int,
     fps = materialise(fingerprints(docs, shingle, seeds, similarity is not None))
     one = [] if similarity is None else [F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("one")]
     each = materialise(fps.groupBy("node", *names).agg(F.min("doc_id").alias("least"), *one))
-    root = components(links(each, len(seeds), radius) if similarity is None else checked_links(docs, each, len(seeds), radius, shingle, similarity))
+    root = components(links(each, len(seeds), radius)) if similarity is None else checked_components(docs, each, len(seeds), radius, shingle, similarity)
     named = each.join(root, "node", "left").select("node", "least", "root")
     # one row for each group of two nodes or more; a large group's nodes do not meet in one task while this is small
     mins = materialise(named.where("root is not null").groupBy("root").agg(F.min("least").alias("component_id")))
