@@ -120,6 +120,11 @@ def track_of_file(name: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(name, r"_t(\d+)_", 1), F.lit("")).cast("long"), F.lit(-1).cast("long"))
 
 
+def run_folder(ts: Column) -> Column:
+    """The folder of a run that begins at a time, to the second."""
+    return F.date_format(ts, "'run_'yyyyMMdd_HHmmss")
+
+
 def percent_text(share: Column) -> Column:
     return F.concat(F.bround(share * 100, 1).cast("string"), F.lit("%"))
 

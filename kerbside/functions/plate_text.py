@@ -10,6 +10,7 @@ STATES = "AN AP AR AS BH BR CH CG DD DL DN GA GJ HR HP JK JH KA KL LA LD MP MH M
 TO_DIGIT = ("OQDILZSGBATJ", "000112568473")
 TO_LETTER = ("012456783", "OIZASGTBE")
 STANDARD = "^[A-Z]{2}[0-9]{1,2}[A-Z]{1,3}[0-9]{4}$"
+TWO_DIGIT = "^[A-Z]{2}[0-9]{2}[A-Z]{1,3}[0-9]{4}$"
 BHARAT = "^[0-9]{2}BH[0-9]{4}[A-HJ-NP-Z]{1,2}$"
 BHARAT_MARKS = ["BH", "8H", "B1", "81"]
 #: What may become a plate: digits, or letters that pass for them, where digits must stand.
@@ -97,6 +98,11 @@ def is_valid_length(text: Column) -> Column:
     return F.length(text).between(8, 10)
 
 
+def is_two_digit(text: Column) -> Column:
+    """Whether a text is a standard plate with a district of two digits; false for null."""
+    return F.coalesce(text.rlike(TWO_DIGIT), F.lit(False))
+
+
 def near(a: Column, b: Column, most: int = 2) -> Column:
     """Whether two strings are within an edit distance."""
     return F.levenshtein(a, b, most) >= 0

@@ -57,3 +57,26 @@ def markdown(metrics: DataFrame, confused: DataFrame, classes: list[str]) -> Dat
     head = spark.createDataFrame([(10_000, "| true | " + " | ".join([*classes, "unknown"]) + " |"), (10_001, "|-" * (len(classes) + 2) + "|")], "row_no long, line string")
     cells = F.concat_ws(" | ", *[F.col(f"n_{c}").cast("string") for c in [*classes, "unknown"]])
     return top.unionByName(body).unionByName(head).unionByName(confused.select(place("truth", 10_100), F.concat(F.lit("| "), "truth", F.lit(" | "), cells, F.lit(" |")).alias("line")))
+
+
+def training_report(curve: DataFrame, epoch: str, scores: dict[str, str], main: str) -> DataFrame:
+    """A training report as ordered lines: the best epoch by the score ``main``, the last one, and all epochs.
+
+    ``scores`` names a column of the curve (a share) for each title.  Missing values are
+    printed as a dash, rows without an epoch are left out; an empty curve gives the heads alone.
+    """
+    spark = curve.sparkSession
+    rows = curve.where(F.col(f"`{epoch}`").isNotNull()).select(F.col(f"`{epoch}`").cast("long").alias("epoch"), *[F.col(f"`{c}`").alias(f"s{i}") for i, c in enumerate(scores.values())])
+    shown = lambda c: F.when(c.isNull(), "-").otherwise(F.format_string("%.2f %%", c * 100))
+    by = F.col(f"s{list(scores).index(main)}")
+    all_of = F.struct("epoch", *[f"s{i}" for i in range(len(scores))])
+    ends = rows.agg(F.max_by(all_of, F.struct(by, -F.col("epoch"))).alias("best"), F.max_by(all_of, "epoch").alias("last")).where("last is not null")
+    lines = []
+    for at, name in ((10, "best"), (100, "last")):
+        lines.append((F.lit(at), F.format_string(f"## {name.title()} epoch: %d", F.col(f"{name}.epoch"))))
+        lines += [(F.lit(at + 1 + i), F.concat(F.lit(f"| {title} | "), shown(F.col(f"{name}.s{i}")), F.lit(" |"))) for i, title in enumerate(scores)]
+    lines.append((F.lit(50), F.concat(F.lit("Rating: "), rating(F.col(f"best.s{list(scores).index(main)}")))))
+    body = ends.select(F.explode(F.array(*[F.struct(n.cast("long").alias("row_no"), x.alias("line")) for n, x in lines])).alias("l")).select("l.*")
+    head = spark.createDataFrame([(0, "# Training"), (1_000, "| epoch | " + " | ".join(scores) + " |"), (1_001, "|-" * (len(scores) + 1) + "|")], "row_no long, line string")
+    cells = F.concat_ws(" | ", F.col("epoch").cast("string"), *[shown(F.col(f"s{i}")) for i in range(len(scores))])
+    return head.unionByName(body).unionByName(rows.select((F.col("epoch") + 10_000).alias("row_no"), F.concat(F.lit("| "), cells, F.lit(" |")).alias("line")))

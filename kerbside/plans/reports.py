@@ -92,7 +92,7 @@ def crop_names(s, d):
     from kerbside.sources.files import stem
 
     n = v.select("event_id", "ts", "confidence", name.alias("name"))
-    return n.select("event_id", stem(F.col("name")).alias("stem"), labels.track_of_file(F.col("name")).alias("track"), F.regexp_replace("name", "[^A-Za-z0-9._-]", "_").alias("safe"), labels.percent_text(F.col("confidence")).alias("percent"), labels.share_of_text(F.concat((F.bround(F.col("confidence") * 100, 0)).cast("int").cast("string"), F.lit("%"))).alias("share"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"), F.date_format("ts", "HH:mm:ss").alias("clock"), F.expr("timestampdiff(MILLISECOND, timestamp_ntz '1970-01-01 00:00:00', ts)").alias("millis"))
+    return n.select("event_id", stem(F.col("name")).alias("stem"), labels.track_of_file(F.col("name")).alias("track"), F.regexp_replace("name", "[^A-Za-z0-9._-]", "_").alias("safe"), labels.percent_text(F.col("confidence")).alias("percent"), labels.share_of_text(F.concat((F.bround(F.col("confidence") * 100, 0)).cast("int").cast("string"), F.lit("%"))).alias("share"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"), F.date_format("ts", "HH:mm:ss").alias("clock"), labels.run_folder(F.col("ts")).alias("run_folder"), F.expr("timestampdiff(MILLISECOND, timestamp_ntz '1970-01-01 00:00:00', ts)").alias("millis"))
 
 
 QUERIES = {
@@ -113,7 +113,7 @@ QUERIES = {
     "frame_rates": (lambda s, d: reports.frame_rate(o.detections(s, d), ["camera_id"], "ts"), None),
     "crop_names": (
         crop_names,
-        o.sql("WITH n AS (SELECT event_id, ts, confidence, '/data/Crops v1/cam' || camera_id || '_f' || lpad(frame_idx::VARCHAR, 5, '0') || CASE WHEN event_id % 4 = 0 THEN '' ELSE '_t' || track_id END || '_a.jpg' AS name FROM persons) SELECT event_id, regexp_extract(name, '([^/]+?)(\\.[^./]*)?$', 1) AS stem, coalesce(nullif(regexp_extract(name, '_t(\\d+)_', 1), '')::BIGINT, -1) AS track, regexp_replace(name, '[^A-Za-z0-9._-]', '_', 'g') AS safe, round_even(confidence * 100, 1)::VARCHAR || '%' AS percent, round_even(confidence * 100, 0) / 100 AS share, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso, strftime(ts, '%H:%M:%S') AS clock, epoch_us(ts) // 1000 AS millis FROM n", "persons"),
+        o.sql("WITH n AS (SELECT event_id, ts, confidence, '/data/Crops v1/cam' || camera_id || '_f' || lpad(frame_idx::VARCHAR, 5, '0') || CASE WHEN event_id % 4 = 0 THEN '' ELSE '_t' || track_id END || '_a.jpg' AS name FROM persons) SELECT event_id, regexp_extract(name, '([^/]+?)(\\.[^./]*)?$', 1) AS stem, coalesce(nullif(regexp_extract(name, '_t(\\d+)_', 1), '')::BIGINT, -1) AS track, regexp_replace(name, '[^A-Za-z0-9._-]', '_', 'g') AS safe, round_even(confidence * 100, 1)::VARCHAR || '%' AS percent, round_even(confidence * 100, 0) / 100 AS share, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso, strftime(ts, '%H:%M:%S') AS clock, strftime(ts, 'run_%Y%m%d_%H%M%S') AS run_folder, epoch_us(ts) // 1000 AS millis FROM n", "persons"),
     ),
     "matched_images": (lambda s, d: datasets.matched(images(s, d), label_stems(s, d), "doc_id"), "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)"),
     "images_without_label": (lambda s, d: datasets.without_label(images(s, d), label_stems(s, d), "doc_id"), "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"),

@@ -80,7 +80,7 @@ def merged_plate_boxes(s, d):
 
 QUERIES = {
     "corrected_plates": (lambda s, d: plates.corrected(o.plate_reads(s, d)).select("event_id", "plate", p.is_valid_length(F.col("plate")).alias("valid_length"), p.near(F.col("plate"), F.col("truth")).alias("near_truth")), o.sql(f"WITH {CORRECTED} SELECT event_id, plate, length(plate) BETWEEN 8 AND 10 AS valid_length, levenshtein(plate, truth) <= 2 AS near_truth FROM reads", "plate_reads")),
-    "repaired_plates": (lambda s, d: plates.repaired(o.plate_reads(s, d)).select("event_id", p.clean(F.col("raw_text")).alias("cleaned"), "plate"), o.sql(f"WITH {REPAIRED} SELECT event_id, cleaned, plate FROM reads", "plate_reads")),
+    "repaired_plates": (lambda s, d: plates.repaired(o.plate_reads(s, d)).select("event_id", p.clean(F.col("raw_text")).alias("cleaned"), "plate", p.is_two_digit(F.col("plate")).alias("two_digit")), o.sql(f"WITH {REPAIRED} SELECT event_id, cleaned, plate, coalesce(regexp_matches(plate, '{p.TWO_DIGIT}'), false) AS two_digit FROM reads", "plate_reads")),
     "plate_variant_vote": (lambda s, d: plates.variant_vote(o.plate_reads(s, d), ["camera_id", "track_id"]), o.sql(f"WITH {REPAIRED}, {VARIANT} SELECT * FROM voted", "plate_reads")),
     "plate_position_vote": (
         lambda s, d: plates.position_vote(o.plate_reads(s, d), ["camera_id", "track_id"]),

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from kerbside.functions import geometry as g
 from kerbside.functions import labels, plate_text
-from kerbside.operators import counting, helmets, people, plates
+from kerbside.operators import counting, evaluation, helmets, people, plates
 
 
 def one(spark, *columns):
@@ -77,3 +77,22 @@ def test_helmet_verdicts(spark):
     rows = [(0, 1, 0.9, 0.8, None, None), (0, 2, 0.1, 0.9, 0.9, 0.7), (0, 3, 0.9, 0.9, 0.9, 0.9), (0, 4, None, None, None, None), (0, 5, 0.4, 0.9, None, None), (0, 6, 0.1, 0.9, 0.2, 0.9)]
     d = spark.createDataFrame(rows, "camera_id long, track_id long, r_p double, r_conf double, p_p double, p_conf double")
     assert [r.verdict.split(" (")[0] + ("+" if "Rider + Pillion" in r.verdict else "") for r in helmets.verdict(d).orderBy("track_id").collect()] == ["VIOLATION", "VIOLATION", "VIOLATION+", "UNVERIFIED", "REVIEW", "COMPLIANT"]
+
+
+def test_training_report(spark):
+    rows = [(1.0, 0.5, 0.4), (2.0, 0.91, None), (3.0, 0.91, 0.6), (None, 0.99, 0.9)]
+    curve = spark.createDataFrame(rows, "epoch double, `metrics/mAP50(B)` double, `metrics/recall(B)` double")
+    scores = {"mAP@50": "metrics/mAP50(B)", "Recall": "metrics/recall(B)"}
+    lines = [r.line for r in evaluation.training_report(curve, "epoch", scores, "mAP@50").orderBy("row_no").collect()]
+    assert lines == [
+        "# Training",
+        "## Best epoch: 2", "| mAP@50 | 91.00 % |", "| Recall | - |", "Rating: EXCELLENT",
+        "## Last epoch: 3", "| mAP@50 | 91.00 % |", "| Recall | 60.00 % |",
+        "| epoch | mAP@50 | Recall |", "|-|-|-|", "| 1 | 50.00 % | 40.00 % |", "| 2 | 91.00 % | - |", "| 3 | 91.00 % | 60.00 % |",
+    ]
+    assert evaluation.training_report(curve.limit(0), "epoch", scores, "mAP@50").count() == 3
+
+
+@pytest.mark.parametrize("plate,two", [("KA05MH0134", True), ("DL1CAB1234", False), ("22BH1234AB", False), ("", False), (None, False)])
+def test_two_digit_plates(spark, plate, two):
+    assert spark.createDataFrame([(plate,)], "plate string").select(plate_text.is_two_digit(F.col("plate"))).first()[0] is two
