@@ -87,8 +87,25 @@ def running_votes(dets: DataFrame) -> DataFrame:
     return dets.select(*TRACK, "frame_idx", best["c"].alias("leading"), F.row_number().over(w).cast("long").alias("age"))
 
 
+def running_sum(df: DataFrame, keys: list[str], order: str, value: str, stretch: int = 10_000) -> DataFrame:
+    """``df`` with the sum of its key's values up to each row, rows of the same place in the order included.
+
+    A key's rows are dealt into stretches of the (whole-number) order, so that
+    one busy key does not end in one task; what a stretch begins with comes
+    from a window over one row for each stretch.  Null values add nothing, null
+    keys and places in the order are values like any other (null places first).
+    """
+    by = [*keys, "_stretch"]
+    s = df.withColumn("_stretch", F.floor(F.col(order) / stretch))
+    before = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    ends = s.groupBy(*by).agg(F.sum(value).alias("_sum")).withColumn("_before", F.sum("_sum").over(before))
+    ends = ends.select(*[F.col(k).alias(f"_of_{k}") for k in by], "_before")
+    inside = s.withColumn(value, F.sum(value).over(Window.partitionBy(*by).orderBy(order)))
+    j = inside.join(ends, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in by])
+    return j.withColumn(value, F.coalesce(value, F.lit(0)) + F.coalesce("_before", F.lit(0))).select(*df.columns)
+
+
 def cumulative_counts(crossed: DataFrame) -> DataFrame:
     """Crossed tracks of each class up to each frame with a crossing, for each camera."""
-    per = crossed.groupBy("camera_id", "vehicle_class", "frame_idx").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("camera_id", "vehicle_class").orderBy("frame_idx")
-    return per.select("camera_id", "vehicle_class", "frame_idx", F.sum("n").over(w).alias("n_so_far"))
+    per = crossed.groupBy("camera_id", "vehicle_class", "frame_idx").agg(F.count("*").alias("n_so_far"))
+    return running_sum(per, ["camera_id", "vehicle_class"], "frame_idx", "n_so_far")

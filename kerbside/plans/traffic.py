@@ -89,12 +89,10 @@ def plate_as_of_check(spark, sf):
 
 def tick_counts(spark, sf):
     """Ticks of ten frames, each with the newest count of crossed tracks."""
-    c = counting.crossings(o.vehicles(spark, sf)).groupBy("camera_id", "frame_idx").agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
-
-    c = c.withColumn("so_far", F.sum("n").over(Window.partitionBy("camera_id").orderBy("frame_idx")))
+    c = counting.crossings(o.vehicles(spark, sf)).groupBy("camera_id", "frame_idx").agg(F.count("*").alias("so_far"))
     ticks = o.vehicles(spark, sf).groupBy("camera_id").agg(F.max("frame_idx").alias("last")).select("camera_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"), F.lit(10).cast("long"))).alias("frame_idx"))
-    return spatial.as_of(ticks, c.select("camera_id", "frame_idx", "so_far"), ["camera_id"], "frame_idx", "so_far").select("camera_id", F.col("frame_idx").alias("tick"), F.coalesce("so_far", F.lit(0)).alias("so_far"))
+    both = ticks.select("*", F.lit(0).cast("long").alias("so_far"), F.lit(True).alias("is_tick")).unionByName(c.select("camera_id", "frame_idx", "so_far", F.lit(False).alias("is_tick")))
+    return counting.running_sum(both, ["camera_id"], "frame_idx", "so_far").where("is_tick").select("camera_id", F.col("frame_idx").alias("tick"), "so_far")
 
 
 def _peds(spark, sf):

@@ -96,3 +96,13 @@ def test_training_report(spark):
 @pytest.mark.parametrize("plate,two", [("KA05MH0134", True), ("DL1CAB1234", False), ("22BH1234AB", False), ("", False), (None, False)])
 def test_two_digit_plates(spark, plate, two):
     assert spark.createDataFrame([(plate,)], "plate string").select(plate_text.is_two_digit(F.col("plate"))).first()[0] is two
+
+
+def test_running_sum_over_stretches(spark):
+    rows = [(k, at, n) for k in ("a", None) for at, n in [(None, 3), (0, 1), (4, 2), (4, None), (5, 7), (23, 1)]]
+    df = spark.createDataFrame(rows, "k string, at long, n long")
+    low = lambda x: (x is not None, x or 0)
+    want = [(k, at, sum(m or 0 for q, b, m in rows if q == k and low(b) <= low(at))) for k, at, _ in rows]
+    got = [tuple(r) for r in counting.running_sum(df, ["k"], "at", "n", stretch=5).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert counting.running_sum(df.limit(0), ["k"], "at", "n").count() == 0
