@@ -99,9 +99,10 @@ def carried(df: DataFrame, keys: list[str], order: str, value: str, stretch: int
     s = df.withColumn("_stretch", F.floor(F.col(order) / stretch))
     ends = s.groupBy(*keys, "_stretch").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("_end"))
     before = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.withColumn("_before", F.last("_end", ignorenulls=True).over(before)).drop("_end")
+    by = [*keys, "_stretch"]
+    ends = ends.withColumn("_before", F.last("_end", ignorenulls=True).over(before)).select(*[F.col(k).alias(f"_of_{k}") for k in by], "_before")
     inside = Window.partitionBy(*keys, "_stretch").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    j = s.withColumn(value, F.last(value, ignorenulls=True).over(inside)).join(ends, [*keys, "_stretch"])
+    j = s.withColumn(value, F.last(value, ignorenulls=True).over(inside)).join(ends, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in by])
     return j.withColumn(value, F.coalesce(value, "_before")).select(*df.columns)
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from kerbside.functions import geometry as g
 from kerbside.functions import labels, plate_text
-from kerbside.operators import counting, evaluation, helmets, people, plates
+from kerbside.operators import counting, evaluation, helmets, people, plates, spatial
 
 
 def one(spark, *columns):
@@ -106,3 +106,10 @@ def test_running_sum_over_stretches(spark):
     got = [tuple(r) for r in counting.running_sum(df, ["k"], "at", "n", stretch=5).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert counting.running_sum(df.limit(0), ["k"], "at", "n").count() == 0
+
+
+def test_carried_over_stretches(spark):
+    rows = [(k, at, v) for k in ("a", None) for at, v in [(0, None), (1, 5), (7, None), (12, None), (13, 2), (40, None)]]
+    df = spark.createDataFrame(rows, "k string, at long, v long")
+    got = {(r.k, r["at"]): r.v for r in spatial.carried(df, ["k"], "at", "v", stretch=5).collect()}
+    assert got == {(k, at): v for k in ("a", None) for at, v in [(0, None), (1, 5), (7, 5), (12, 5), (13, 2), (40, 2)]}
