@@ -94,7 +94,7 @@ def carried(df: DataFrame, keys: list[str], order: str, value: str, stretch: int
 
     A key's rows are dealt into stretches of the (whole-number) order, so that
     one busy key does not end in one task; what a stretch begins with comes
-    from a window over one row for each stretch.
+    from a window over one row for each stretch.  A null key is a key like any other.
     """
     s = df.withColumn("_stretch", F.floor(F.col(order) / stretch))
     ends = s.groupBy(*keys, "_stretch").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("_end"))
