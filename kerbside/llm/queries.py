@@ -77,11 +77,48 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kerbside.llm import toxicity
+
+    return toxicity.toxic_documents(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kerbside.llm import collocations
+
+    return collocations.collocations(_docs(spark, sf_dir))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kerbside.llm import periods
+
+    return periods.periodic_runs(_docs(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_media_columns, op3_suffix_array_dedup, op4_simhash_near_dedup, op5_token_output, op6_licence_scan, op7_token_counts, op8_decontamination, op9_language_id, op10_quality_classifier)}
+    found = [
+        op1_packing,
+        op2_media_columns,
+        op3_suffix_array_dedup,
+        op4_simhash_near_dedup,
+        op5_token_output,
+        op6_licence_scan,
+        op7_token_counts,
+        op8_decontamination,
+        op9_language_id,
+        op10_quality_classifier,
+        op11_toxicity,
+        op12_collocations,
+        op13_periodic_runs,
+    ]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    from kerbside.llm import decontaminate, licences
+    from kerbside.llm import collocations, decontaminate, licences
 
-    return {"op6_licence_scan": licences.scan_sql(), "op8_decontamination": decontaminate.CONTAMINATION_SQL}
+    return {
+        "op6_licence_scan": licences.scan_sql(),
+        "op8_decontamination": decontaminate.CONTAMINATION_SQL,
+        "op12_collocations": collocations.COLLOCATIONS_SQL,
+    }
