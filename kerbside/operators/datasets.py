@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,62 +67,107 @@ def write_split(manifest: DataFrame, path: str) -> None:
     manifest.write.mode("overwrite").partitionBy("split").parquet(path)
 
 
-def sign_bits(vector: Column) -> Column:
-    """A 64-bit fingerprint: the signs of a vector's first 64 numbers."""
-    bits = F.transform(F.slice(vector, 1, 64), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+def words(bits: list[Column]) -> Column:
+    """A fingerprint as an array of longs, 64 bits in each, the first bit lowest."""
 
+    def word(part: list[Column]) -> Column:
+        shifted = [F.call_function("shiftleft", b.cast("long"), F.lit(i)) for i, b in enumerate(part)]
+        return F.aggregate(F.array(*shifted), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
 
-def near_pairs(prints: DataFrame, key: str, column: str, most: int, bands: int) -> DataFrame:
-    """Pairs of fingerprints within a Hamming distance.
+    return F.array(*[word(bits[i : i + 64]) for i in range(0, len(bits), 64)])
 
-    Of ``bands`` parts of the bits at least one differs in at most
-    most // bands bits; a print is filed under each such neighbour of each
-    part, so equal keys meet in an equi join.  Distinct prints are joined, and
-    their keys put in afterwards.
+
+def _stretch(print_: Column, first: int, end: int) -> Column:
+    """The bits of a fingerprint from ``first`` to ``end`` (63 at most) as one number."""
+    word, off = divmod(first, 64)
+    x = F.shiftrightunsigned(print_[word], off)
+    if off + end - first > 64:
+        x = x.bitwiseOR(F.call_function("shiftleft", print_[word + 1], F.lit(64 - off)))
+    return x.bitwiseAND(F.lit((1 << (end - first)) - 1))
+
+
+def representatives(prints: DataFrame, key: str, column: str) -> DataFrame:
+    """The first key of each distinct fingerprint; a null fingerprint has none."""
+    return prints.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(key).alias(key))
+
+
+def members(prints: DataFrame, key: str, column: str) -> DataFrame:
+    """Each key that is not its fingerprint's first, with the key that is."""
+    first = representatives(prints, key, column).select(F.col(key).alias("other"), column)
+    return prints.join(first, column).where(F.col(key) > F.col("other")).select(key, "other").distinct()
+
+
+def near_pairs(prints: DataFrame, key: str, column: str, most: int = 10, bits: int = 256) -> DataFrame:
+    """Pairs of fingerprints (arrays of longs) within a Hamming distance, by the first keys of both.
+
+    Of ``most`` + 1 stretches of the bits at least one is equal in both, so
+    prints meet in an equi join by stretch, and count where their first equal
+    stretch is.  Equal fingerprints are one here (see ``members``); null ones
+    are near nothing.
     """
-    size, near = 64 // bands, most // bands
-    masks = [0]
-    for _ in range(near):
-        masks = sorted({m ^ (1 << b) for m in masks for b in range(size)} | set(masks))
-    part = lambda i: F.shiftrightunsigned(F.col(column), size * i).bitwiseAND(F.lit((1 << size) - 1))
-    own = prints.select(key, column).where(F.col(column).isNotNull()).distinct()
-    filed = own.select(column).distinct().select(column, F.posexplode(F.array(*[part(i) for i in range(bands)])).alias("band", "part"))
-    spread = filed.select(F.col(column).alias("other_bits"), "band", F.explode(F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: m.bitwiseXOR(F.col("part")))).alias("part"))
-    distance = F.bit_count(F.col(column).bitwiseXOR(F.col("other_bits")))
-    j = filed.join(spread, ["band", "part"]).where(F.col(column) <= F.col("other_bits"))
-    near = j.select(column, "other_bits", distance.alias("distance")).where(F.col("distance") <= most).distinct()
-    others = own.select(F.col(key).alias("other"), F.col(column).alias("other_bits"))
-    both = near.join(own, column).join(others, "other_bits").where(F.col(key) != F.col("other"))
-    return both.select(F.least(key, "other").alias(key), F.greatest(key, "other").alias("other"), "distance").distinct()
-
-
-def kept(prints: DataFrame, key: str, column: str, most: int, bands: int) -> DataFrame:
+    edges = [i * bits // (most + 1) for i in range(most + 2)]
+    spans = list(zip(edges, edges[1:]))
+    filed = representatives(prints, key, column)
+    filed = filed.select(key, column, F.posexplode(F.array(*[_stretch(F.col(column), *s) for s in spans])).alias("band", "part"))
+    others = filed.select(F.col(key).alias("other"), F.col(column).alias("other_print"), "band", "part")
+    j = filed.join(others, ["band", "part"]).where(F.col(key) < F.col("other"))
+    apart = [F.col(column)[i].bitwiseXOR(F.col("other_print")[i]) for i in range(-(-bits // 64))]
+    distance = sum((F.bit_count(x) for x in apart[1:]), F.bit_count(apart[0]))
+    same = F.coalesce(*[F.when(_stretch(F.array(*apart), *s) == 0, i) for i, s in enumerate(spans)])
+    return j.where((distance <= most) & (F.col("band") == same)).select(key, "other", distance.alias("distance"))
+
+
+def kept(prints: DataFrame, key: str, column: str, most: int = 10, bits: int = 256) -> DataFrame:
     """Keys kept when each, in order, is kept unless a kept one before it has a near print.
 
     What is near a print's first key is near its other keys, so these go with it or
-    because of it, and only the first keys need to be joined.
+    because of it, and only the first keys need to be joined.  Null prints are kept.
     """
-    first = prints.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(key).alias(key))
-    copies = prints.select(key, column).join(first.select(column, F.col(key).alias("first")), column).where(F.col(key) > F.col("first")).select(key)
-    return keep_first(near_pairs(first, key, column, most, bands), prints.select(key).join(copies, key, "left_anti"), key)
+    items = prints.select(key).join(members(prints, key, column), key, "left_anti")
+    return keep_first(near_pairs(prints, key, column, most, bits), items, key)
+
+
+#: Pairs of items that one task settles at a time.
+SETTLED = 200_000
+
+
+def _settle(rows: pd.DataFrame) -> pd.DataFrame:
+    """Decides what the pairs of a stretch of the order allow: an item goes if one before it stays, and stays if all before it go."""
+    stays: dict = {}
+    for item, before in rows.groupby("item", sort=True)["before"]:
+        near = [stays.get(b) for b in before.dropna()]  # None: of another stretch, or not decided
+        stays[item] = False if True in near else None if None in near else True
+    known = [(k, v) for k, v in stays.items() if v is not None]
+    return pd.DataFrame(known, columns=["item", "stays"]).astype({"stays": "bool"})
 
 
 def keep_first(pairs: DataFrame, items: DataFrame, key: str) -> DataFrame:
     """Items kept when each, in order, is kept unless a kept one before it is near.
 
-    In rounds: undecided items without an undecided or kept earlier neighbour
-    are kept, their later neighbours go.  As many rounds as the longest chain
-    needs: the first undecided item is decided in each.
+    The order is cut into stretches of some SETTLED pairs.  In each round every
+    stretch decides, one item after the other, all that its own pairs and what
+    is known of earlier stretches allow; then pairs with a decided item go.  So a
+    chain takes as many rounds as it has stretches at most, however long it is.
+    ``pairs`` has ``key`` and the later item ``other``; all pairs of one item are in one stretch.
     """
     from kerbside.operators.lineage import cut
 
-    left = cut(pairs.select(key, "other"))
+    left = cut(pairs.select(F.col(key).alias("before"), F.col("other").alias("item")))
+    kind = left.schema["item"].dataType.simpleString()
+    parts = left.count() // SETTLED + 1
+    starts = []
+    if parts > 1:
+        ranged = left.select("item").repartitionByRange(int(parts), "item").groupBy(F.spark_partition_id().alias("part"))
+        starts = sorted(r["first"] for r in ranged.agg(F.min("item").alias("first")).collect())[1:]
+    stretch = F.size(F.filter(F.array(*map(F.lit, starts)), lambda b: b <= F.col("item"))) if starts else F.lit(0)
     gone = None
     while left.head(1):
-        heads = left.select(key).distinct().join(left.select(F.col("other").alias(key)), key, "left_anti")
-        out = left.join(heads, key, "left_semi").select(F.col("other").alias(key)).distinct()
+        marks = left.select(F.lit(None).cast(kind).alias("before"), F.col("before").alias("item")).distinct()
+        asked = left.select("before", "item").unionByName(marks).groupBy(stretch.alias("stretch"))
+        known = cut(asked.applyInPandas(_settle, f"item {kind}, stays boolean"))
+        stay = known.where("stays").select(F.col("item").alias("before"))
+        out = left.join(stay, "before", "left_semi").select("item").unionByName(known.where("not stays").select("item")).distinct()
         gone = cut(out if gone is None else gone.unionByName(out).distinct())
-        left = left.join(heads, key, "left_anti").join(out, key, "left_anti")
-        left = cut(left.join(out.select(F.col(key).alias("other")), "other", "left_anti").select(key, "other"))
-    return items if gone is None else items.join(gone, key, "left_anti")
+        left = left.join(known.select("item"), "item", "left_anti").join(gone, "item", "left_anti")
+        left = cut(left.join(gone.select(F.col("item").alias("before")), "before", "left_anti").select("before", "item"))
+    return items if gone is None else items.join(gone.select(F.col("item").alias(key)), key, "left_anti")

@@ -74,16 +74,35 @@ def curve(s, d):
 
 
 def prints(s, d):
-    e = s.read.parquet(f"{d}/embeddings.parquet")
-    return e.select("vec_id", datasets.sign_bits(F.col("embedding")).alias("bits"))
-
-
-#: Pairs and distances by counting the places where the signs differ.
-PAIRS = "WITH p AS (SELECT vec_id, list_transform(embedding[1:64], lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END) AS l FROM embeddings), b AS (SELECT vec_id, array_to_string(l, '')::BIT AS b FROM p), pairs AS (SELECT x.vec_id, y.vec_id AS other, bit_count(xor(x.b, y.b))::INT AS distance FROM b x JOIN b y ON x.vec_id < y.vec_id WHERE bit_count(xor(x.b, y.b)) <= 18)"
+    """Frames with a fingerprint of 256 bits: five of each vector, by what is larger of two of its numbers, with some bits changed."""
+    e = s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding")
+    e = e.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    changed = F.when(F.col("f") < 4, F.col("f") * 4).otherwise(F.when(F.col("vec_id") % 5 == 0, 0).otherwise(16))
+    at = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda j: F.when(j < changed, (F.col("vec_id") * 13 + j * 37) % 256))
+    up = [F.col("embedding")[i % 64] < F.col("embedding")[(i + 1 + i // 64) % 64] for i in range(256)]
+    e = e.select((F.col("vec_id") * 5 + F.col("f")).alias("frame_id"), at.alias("at"), F.array(*up).alias("up"))
+    bit = [(F.col("up")[i] != F.array_contains("at", F.lit(i).cast("long"))).cast("int") for i in range(256)]
+    return e.withColumn("at", F.filter("at", lambda x: x.isNotNull())).select("frame_id", datasets.words(bit).alias("bits"))
+
+
+#: The same frames, distances by counting the places where the bits differ; of equal ones the first stands for all.
+PAIRS = """WITH RECURSIVE e AS (SELECT vec_id, embedding, unnest([0, 1, 2, 3, 4]) AS f FROM embeddings),
+b AS MATERIALIZED (SELECT vec_id * 5 + f AS frame_id, array_to_string([CASE WHEN (embedding[1 + i % 64] < embedding[1 + (i + 1 + i // 64) % 64])
+  <> list_contains([(vec_id * 13 + j * 37) % 256 for j in range(0, CASE WHEN f < 4 THEN f * 4 WHEN vec_id % 5 = 0 THEN 0 ELSE 16 END)], i) THEN '1' ELSE '0' END for i in range(0, 256)], '')::BIT AS b FROM e),
+firsts AS MATERIALIZED (SELECT b, min(frame_id) AS frame_id FROM b GROUP BY b),
+pairs AS MATERIALIZED (SELECT x.frame_id, y.frame_id AS other, bit_count(xor(x.b, y.b))::INT AS distance FROM firsts x JOIN firsts y ON x.frame_id < y.frame_id WHERE bit_count(xor(x.b, y.b)) <= 10)"""
+#: Frames in order, each kept unless a kept one is near (or equal).
+KEPT = f"""{PAIRS}, near AS (SELECT other, list(frame_id) AS near FROM pairs GROUP BY other),
+items AS MATERIALIZED (SELECT f.frame_id, near, row_number() OVER (ORDER BY f.frame_id) AS n FROM firsts f LEFT JOIN near ON other = f.frame_id),
+walk AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS kept UNION ALL SELECT w.n + 1, CASE WHEN near IS NOT NULL AND list_has_any(kept, near) THEN kept ELSE list_append(kept, frame_id) END FROM walk w JOIN items i ON i.n = w.n + 1)
+SELECT unnest(kept) AS frame_id FROM (SELECT kept FROM walk ORDER BY n DESC LIMIT 1)"""
 
 
 def pairs(s, d):
-    return datasets.near_pairs(prints(s, d), "vec_id", "bits", 18, 8)
+    """Pairs of first frames, and each other frame with the first one of its fingerprint at distance 0."""
+    p = prints(s, d)
+    same = datasets.members(p, "frame_id", "bits").select(F.col("other").alias("frame_id"), F.col("frame_id").alias("other"), F.lit(0).alias("distance"))
+    return datasets.near_pairs(p, "frame_id", "bits").unionByName(same)
 
 
 def crop_names(s, d):
@@ -125,8 +144,8 @@ QUERIES = {
     ),
     "merged_sets": (lambda s, d: datasets.merged_sources({"images": images(s, d), "labels": label_stems(s, d)}, "doc_id"), "SELECT 'images_' || doc_id AS doc_id, 'images' AS source_set FROM documents UNION ALL SELECT 'labels_' || doc_id, 'labels' FROM labels"),
     "label_histogram": (lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", "source").join(s.read.parquet(f"{d}/labels.parquet"), "doc_id", "left").groupBy("source").agg(F.count("*").alias("n_images"), F.count("quality").alias("n_labelled"), F.count_if(F.col("quality").isNull()).alias("n_background"), F.count_if(F.col("quality") == 1).alias("n_class_1")), "SELECT source, count(*) AS n_images, count(quality) AS n_labelled, count(*) FILTER (quality IS NULL) AS n_background, count(*) FILTER (quality = 1) AS n_class_1 FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL"),
-    "near_frames": (pairs, f"{PAIRS} SELECT * FROM pairs"),
-    "kept_frames": (lambda s, d: datasets.kept(prints(s, d), "vec_id", "bits", 18, 8), None),
+    "near_frames": (pairs, f"{PAIRS} SELECT * FROM pairs UNION ALL SELECT f.frame_id, x.frame_id, 0 FROM b x JOIN firsts f USING (b) WHERE x.frame_id > f.frame_id"),
+    "kept_frames": (lambda s, d: datasets.kept(prints(s, d), "frame_id", "bits"), KEPT),
     "confusion_matrix": (lambda s, d: evaluation.confusion(evaluated(s, d), ["high", "low"]), f"{EVAL} SELECT truth, count(*) FILTER (pred = 'high') AS n_high, count(*) FILTER (pred = 'low') AS n_low, count(*) FILTER (pred = 'unknown') AS n_unknown, count(*) AS support FROM e GROUP BY ALL"),
     "class_metrics": (lambda s, d: evaluation.class_metrics(evaluated(s, d)), f"{EVAL}, m AS (SELECT t.truth AS class, tp::DOUBLE / support AS r, coalesce(tp::DOUBLE / nullif(predicted, 0), 0) AS p, support FROM (SELECT truth, count(*) AS support, count(*) FILTER (pred = truth) AS tp FROM e GROUP BY ALL) t LEFT JOIN (SELECT pred, count(*) AS predicted FROM e GROUP BY ALL) q ON q.pred = t.truth) SELECT class, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1, support FROM m"),
     "overall_accuracy": (lambda s, d: evaluation.accuracy(evaluated(s, d)), f"{EVAL} SELECT count(*) AS n, round(avg(CASE WHEN pred = truth THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy, round(avg(CASE WHEN pred = 'unknown' THEN 1.0::DOUBLE ELSE 0 END), 6) AS abstained FROM e"),

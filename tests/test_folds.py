@@ -93,11 +93,15 @@ def test_best_snapshots(spark):
         assert rows[0][1] * 1.08 >= top
 
 
-def test_kept_snapshots_worked_by_hand(spark):
-    from kerbside.operators.helmets import kept_snapshots
+def test_best_snapshots_worked_by_hand(spark):
+    """The second moment is replaced by a clearly better one near it; of a full set the worst goes for a clearly better one."""
+    from kerbside.operators import helmets
 
-    assert kept_snapshots([(0, 1.0), (3, 1.05), (5, 1.2), (12, 0.5), (20, 0.6), (30, 0.53), (40, 0.7)]) == [2, 6, 4]
-    assert kept_snapshots([]) == []
+    hand = {1: [(0, 1.0), (3, 1.05), (5, 1.2), (12, 0.5), (20, 0.6), (30, 0.53), (40, 0.7)], 2: [(0, 2.0), (6, 1.0), (12, 1.0), (18, 1.05), (24, 1.09)], 3: [(5, None), (9, 1.0), (None, 3.0)]}
+    rows = [(0, t, f, 100 * t + i, s) for t, all_ in hand.items() for i, (f, s) in enumerate(all_)]
+    got = helmets.best_snapshots(spark.createDataFrame(rows, "camera_id long, track_id long, frame_idx long, event_id long, score double"))
+    assert {(r.track_id, r.event_id, r.place) for r in got.collect()} == {(1, 102, 0), (1, 106, 1), (1, 104, 2), (2, 200, 0), (2, 204, 1), (2, 202, 2), (3, 301, 0)}
+    assert helmets.best_snapshots(spark.createDataFrame([], "camera_id long, track_id long, frame_idx long, event_id long, score double")).count() == 0
 
 
 def test_frame_rates(spark):
@@ -114,18 +118,9 @@ def test_frame_rates(spark):
     assert {r.camera_id: r.rate for r in query(spark, "frame_rates")} == want
 
 
-def test_kept_frames(spark):
-    near = {(r.vec_id, r.other) for r in reports.pairs(spark, SF).collect()}
-    kept = []
-    for v in sorted(r.vec_id for r in reports.prints(spark, SF).collect()):
-        if not any((k, v) in near for k in kept):
-            kept.append(v)
-    assert sorted(r.vec_id for r in query(spark, "kept_frames")) == kept
-
-
 def test_near_pairs_of_many_distances(spark):
     rows = [(i, sum(1 << b for b in range(i))) for i in range(40)]
-    df = spark.createDataFrame(rows, "k long, bits long")
-    got = {(r.k, r.other) for r in datasets.near_pairs(df, "k", "bits", 10, 4).collect()}
+    df = spark.createDataFrame([(k, [b]) for k, b in rows], "k long, bits array<long>")
+    got = {(r.k, r.other) for r in datasets.near_pairs(df, "k", "bits", 10, 64).collect()}
     assert got == {(a, b) for a in range(40) for b in range(a + 1, 40) if b - a <= 10}
     assert spark.range(1).select(g.iou(*[tuple(F.lit(v) for v in x) for x in ((0, 0, 2, 2), (0, 0, 2, 2))])).first()[0] == 1.0

@@ -70,7 +70,9 @@ def test_greedy_and_snapshots(spark):
     boxes = spark.createDataFrame([(1, 0, 0.9, 0, 0, 10, 10), (1, 1, 0.8, 1, 0, 11, 10), (1, 2, 0.7, 50, 50, 60, 60)], "image long, no long, conf double, x1 long, y1 long, x2 long, y2 long")
     got = helmets.suppressed(boxes, ["image"], "conf", ("x1", "y1", "x2", "y2"), "no", 0.35)
     assert [r.cluster for r in got.orderBy("no").collect()] == [0, 0, 2]
-    assert helmets.kept_snapshots([(0, 10.0), (3, 10.5), (4, 11.0), (10, 5.0), (20, 6.0), (30, 5.3), (40, 5.6)]) == [2, 6, 4]
+    null = spark.createDataFrame([(1, 0, None, 0, 0, 10, 10), (1, 1, 0.9, 1, 0, 11, 10), (1, 2, None, 50, 50, 60, 60)], boxes.schema)
+    got = helmets.suppressed(null, ["image"], "conf", ("x1", "y1", "x2", "y2"), "no", 0.35)
+    assert {(r.no, r.cluster) for r in got.collect()} == {(0, 1), (1, 1), (2, 2)}  # a box without a score comes last
 
 
 def test_helmet_verdicts(spark):
