@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,14 +69,17 @@ def write_split(manifest: DataFrame, path: str) -> None:
     manifest.write.mode("overwrite").partitionBy("split").parquet(path)
 
 
-def words(bits: list[Column]) -> Column:
-    """A fingerprint as an array of longs, 64 bits in each, the first bit lowest."""
+def words(bit: Callable[[Column], Column], size: int) -> Column:
+    """A fingerprint as an array of longs, 64 bits in each, the first lowest; ``bit`` gives the truth of a bit by its number."""
+
+    def word(k: Column) -> Column:
+        def with_bit(a: Column, i: Column) -> Column:
+            on = (k * 64 + i < size) & bit(k * 64 + i)
+            return F.when(on, a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))).otherwise(a)
 
-    def word(part: list[Column]) -> Column:
-        shifted = [F.call_function("shiftleft", b.cast("long"), F.lit(i)) for i, b in enumerate(part)]
-        return F.aggregate(F.array(*shifted), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), with_bit)
 
-    return F.array(*[word(bits[i : i + 64]) for i in range(0, len(bits), 64)])
+    return F.transform(F.sequence(F.lit(0), F.lit(-(-size // 64) - 1)), word)
 
 
 def _stretch(print_: Column, first: int, end: int) -> Column:
@@ -123,6 +128,9 @@ def kept(prints: DataFrame, key: str, column: str, most: int = 10, bits: int = 2
     What is near a print's first key is near its other keys, so these go with it or
     because of it, and only the first keys need to be joined.  Null prints are kept.
     """
+    from kerbside.operators.lineage import cut
+
+    prints = cut(prints.select(key, column))
     items = prints.select(key).join(members(prints, key, column), key, "left_anti")
     return keep_first(near_pairs(prints, key, column, most, bits), items, key)
 

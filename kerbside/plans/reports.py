@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kerbside.functions import labels
 from kerbside.operators import counting, datasets, evaluation, helmets, people, plates, reports, spatial
+from kerbside.operators.lineage import cut
 from kerbside.plans import traffic, vehicles
 from kerbside.sources import observations as o
 
@@ -78,11 +79,13 @@ def prints(s, d):
     e = s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding")
     e = e.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(4))))
     changed = F.when(F.col("f") < 4, F.col("f") * 4).otherwise(F.when(F.col("vec_id") % 5 == 0, 0).otherwise(16))
-    at = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda j: F.when(j < changed, (F.col("vec_id") * 13 + j * 37) % 256))
-    up = [F.col("embedding")[i % 64] < F.col("embedding")[(i + 1 + i // 64) % 64] for i in range(256)]
-    e = e.select((F.col("vec_id") * 5 + F.col("f")).alias("frame_id"), at.alias("at"), F.array(*up).alias("up"))
-    bit = [(F.col("up")[i] != F.array_contains("at", F.lit(i).cast("long"))).cast("int") for i in range(256)]
-    return e.withColumn("at", F.filter("at", lambda x: x.isNotNull())).select("frame_id", datasets.words(bit).alias("bits"))
+
+    def bit(i):
+        up = F.get("embedding", i % 64) < F.get("embedding", (i + 1 + F.floor(i / 64).cast("int")) % 64)
+        # bit i is the j-th that is changed, where i = 13 vec_id + 37 j (mod 256), and 173 is the inverse of 37
+        return up != (F.pmod((i - F.col("vec_id") * 13) * 173, F.lit(256)) < changed)
+
+    return e.select((F.col("vec_id") * 5 + F.col("f")).alias("frame_id"), datasets.words(bit, 256).alias("bits"))
 
 
 #: The same frames, distances by counting the places where the bits differ; of equal ones the first stands for all.
@@ -100,7 +103,7 @@ SELECT unnest(kept) AS frame_id FROM (SELECT kept FROM walk ORDER BY n DESC LIMI
 
 def pairs(s, d):
     """Pairs of first frames, and each other frame with the first one of its fingerprint at distance 0."""
-    p = prints(s, d)
+    p = cut(prints(s, d))
     same = datasets.members(p, "frame_id", "bits").select(F.col("other").alias("frame_id"), F.col("frame_id").alias("other"), F.lit(0).alias("distance"))
     return datasets.near_pairs(p, "frame_id", "bits").unionByName(same)
 
