@@ -27,18 +27,23 @@ def set_counts(images: DataFrame, labels: DataFrame, key: str) -> DataFrame:
 def split(items: DataFrame, key: str, seed: int = 42, train: float = 0.8, val: float = 0.1) -> DataFrame:
     """train, val and test by a hash order with whole cuts.
 
-    Ranks are needed over all items: they are dealt by ranges of their hash, and a
-    range's start is the number of items in the ranges before it (one small row each).
+    Items are dealt by 65,536 ranges of their hash, and a range's start is the
+    number of items in those before it.  Only the two ranges that a cut falls
+    into are ranked; all others lie on one side of it as a whole.  Equal keys
+    are ranked one after the other; a null key comes last.
     """
-    h = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"_{seed}")))
-    d = items.select(key, h.alias("h")).withColumn("bin", F.substr("h", F.lit(1), F.lit(2)))
-    bins = d.groupBy("bin").agg(F.count("*").alias("n"))  # 256 rows at most
+    h = F.coalesce(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"_{seed}"))), F.lit("~"))
+    d = items.select(key, h.alias("h")).withColumn("bin", F.substr("h", F.lit(1), F.lit(4)))
+    bins = d.groupBy("bin").agg(F.count("*").alias("n"))  # 65,537 rows at most
     w = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.select("bin", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
-    rank = F.row_number().over(Window.partitionBy("bin").orderBy("h", key)) + F.col("before")
-    r = d.join(F.broadcast(bins), "bin").withColumn("rank", rank)
+    bins = bins.select("bin", "n", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
     a, b = F.floor(F.col("total") * train), F.floor(F.col("total") * val)
-    return r.select(key, F.when(F.col("rank") <= a, "train").when(F.col("rank") <= a + b, "val").otherwise("test").alias("split"))
+    inside = lambda at: (at > F.col("before")) & (at < F.col("before") + F.col("n"))
+    bins = bins.select("bin", "before", a.alias("a"), (a + b).alias("b"), (inside(a) | inside(a + b)).alias("cut"))
+    d = d.join(F.broadcast(bins), "bin")
+    ranked = d.where("cut").withColumn("rank", F.row_number().over(Window.partitionBy("bin").orderBy("h", key)) + F.col("before"))
+    r = ranked.unionByName(d.where("not cut").withColumn("rank", (F.col("before") + 1).cast("long")))
+    return r.select(key, F.when(F.col("rank") <= F.col("a"), "train").when(F.col("rank") <= F.col("b"), "val").otherwise("test").alias("split"))
 
 
 def capped(rows: DataFrame, keys: list[str], order: list, most: int, in_all: int | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbside.functions import labels
+from kerbside.operators.lineage import numbered
 
 TRACK = ["camera_id", "track_id"]
 NOT_DETECTED = "not detected"
@@ -223,7 +224,10 @@ def frame_rate(df: DataFrame, keys: list[str], ts: str, keep: float = 0.9, stret
 
 
 def report_lines(sections: dict[str, DataFrame], generated_at: str) -> DataFrame:
-    """A session report as ordered lines (section_no, row_no, line), sections without rows left out (the counts have a TOTAL)."""
+    """A session report as ordered lines (section_no, row_no, line), sections that are not given left out (the counts have a TOTAL).
+
+    A section's rows come in order of their first column as a number, then as text; nulls are empty fields.
+    """
     spark = next(iter(sections.values())).sparkSession
     head = [(0, 0, ""), (0, 1, REPORT_TITLE), (0, 2, f"generated_at,{generated_at}"), (0, 3, "")]
     out = spark.createDataFrame(head, "section_no int, row_no long, line string")
@@ -232,9 +236,9 @@ def report_lines(sections: dict[str, DataFrame], generated_at: str) -> DataFrame
             continue
         df = sections[name].select(*columns)
         line = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-        place = F.row_number().over(Window.partitionBy(F.lit(i)).orderBy(F.col(columns[0]).try_cast("double"), columns[0], line))
         out = out.unionByName(spark.createDataFrame([(i, 0, f"-- {title} --"), (i, 1, ",".join(columns)), (i, 1 << 40, "")], "section_no int, row_no long, line string"))
-        out = out.unionByName(df.select(F.lit(i).alias("section_no"), (place + 1).cast("long").alias("row_no"), line.alias("line")))
+        body = numbered(df.select(F.col(columns[0]).try_cast("double").alias("n"), F.col(columns[0]).cast("string").alias("first"), line.alias("line")), ["n", "first", "line"], "place")
+        out = out.unionByName(body.select(F.lit(i).alias("section_no"), (F.col("place") + 1).cast("long").alias("row_no"), "line"))
         if name == "counts":
             total = df.agg(F.concat(F.lit("TOTAL,"), F.coalesce(F.sum("count"), F.lit(0)).cast("string")).alias("line"))
             out = out.unionByName(total.select(F.lit(i).alias("section_no"), F.lit((1 << 40) - 1).alias("row_no"), "line"))
@@ -242,8 +246,8 @@ def report_lines(sections: dict[str, DataFrame], generated_at: str) -> DataFrame
 
 
 def write_report(lines: DataFrame, path: str) -> None:
-    """One text file; a report is a page for people, of a row for each counted track."""
-    lines.orderBy("section_no", "row_no").select("line").coalesce(1).write.mode("overwrite").text(path)
+    """Text files that are the report when put together in order of their names; each is a range of its lines."""
+    lines.orderBy("section_no", "row_no").select("line").write.mode("overwrite").text(path)
 
 
 def write_csv(df: DataFrame, path: str, quoted: bool = False, by: tuple[str, ...] = (), mode: str = "overwrite") -> None:

@@ -20,21 +20,44 @@ def snapshot_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=LOG_SCHEMA, mode="PERMISSIVE", timestampFormat="yyyy-MM-dd'T'HH:mm:ss")
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line) of text files: a file is one row until its lines are told apart."""
-    whole = spark.read.text(path, wholetext=True).select(F.col(FILE).alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
+def written_log(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a log that was written by the source "headed_log"."""
+    return spark.read.csv(path, header=False, schema=LOG_SCHEMA, timestampFormat="yyyy-MM-dd'T'HH:mm:ss", recursiveFileLookup=True, pathGlobFilter="part-*")
 
 
-def parsed_log(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Time-series lines and report lines (with their section) of log files that end in a session report."""
-    w = Window.partitionBy("file").orderBy("line_no")
-    section = F.coalesce(*[F.when(F.col("line") == f"-- {title} --", name) for name, title, _ in SECTIONS])
-    d = lines.where("trim(line) <> ''").withColumn("in_report", F.max(F.contains("line", F.lit(REPORT_TITLE))).over(w)).withColumn("title", section)
-    d = d.withColumn("section", F.last("title", ignorenulls=True).over(w))
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, line) of text files, numbered from 0; a large file is read in blocks by many tasks.
+
+    Rows of a block have ids in a row, so a line's number is its place in the
+    block and the number of lines in the blocks of its file before it.
+    """
+    by = ["file", "block"]
+    lines = spark.read.text(path).select(F.col(FILE).alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    blocks = lines.groupBy(*by).agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(*by, "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return lines.join(blocks, by).select("file", (F.col("before") + F.col("at") - F.col("first")).alias("line_no"), "line")
+
+
+def parsed_log(lines: DataFrame, stretch: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    """Time-series lines and report lines (with their section) of log files that end in a session report.
+
+    A file's lines are looked through in stretches; whether a stretch begins in
+    the report, and in which section, comes from a row for each stretch before
+    it.  The first line that is not blank is the header.  Blank and null lines are left out.
+    """
+    by = ["file", "stretch"]
+    w = Window.partitionBy(*by).orderBy("line_no")
+    title = F.coalesce(*[F.when(F.col("line") == f"-- {title} --", name) for name, title, _ in SECTIONS])
+    d = lines.where("trim(line) <> ''").withColumns({"stretch": F.floor(F.col("line_no") / stretch), "is_report": F.contains("line", F.lit(REPORT_TITLE)), "title": title})
+    ends = d.groupBy(*by).agg(F.max("is_report").alias("is_report"), F.max_by("title", F.when(F.col("title").isNotNull(), F.col("line_no"))).alias("title"))
+    before = Window.partitionBy("file").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*by, F.max("is_report").over(before).alias("was_report"), F.last("title", ignorenulls=True).over(before).alias("was_section"))
+    d = d.withColumns({"nth": F.row_number().over(w), "in_report": F.max("is_report").over(w), "section": F.last("title", ignorenulls=True).over(w)}).join(ends, by)
+    d = d.withColumns({"in_report": F.col("in_report") | F.coalesce("was_report", F.lit(False)), "section": F.coalesce("section", "was_section")})
     heads = [",".join(c) for _, _, c in SECTIONS]
     body = d.where("in_report and section is not null and title is null").where(~F.col("line").isin(heads))
-    series = d.where("not in_report").withColumn("n", F.row_number().over(w)).where("n > 1")
+    series = d.where("not in_report and not (nth = 1 and was_report is null)")
     return series.select("file", "line_no", "line"), body.select("file", "line_no", "section", "line")
 
 
@@ -92,7 +115,7 @@ def training_curve(spark: SparkSession, path: str) -> DataFrame:
 
 
 def inventory(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(path, stem, folder, length) of the files below a folder; contents are not read, and files without a byte are not listed."""
+    """(path, stem, folder, length) of the files below a folder; contents are not read. Files without a byte are not listed: the source "file_listing" lists them too."""
     d = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
     return d.select("path", stem(F.col("path")).alias("stem"), F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("folder"), "length")
 
