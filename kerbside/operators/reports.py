@@ -105,29 +105,41 @@ def active(counts: DataFrame) -> DataFrame:
     return counts.where("n > 0")
 
 
-def detailed_rows(rows: DataFrame, votes: DataFrame, verdicts: DataFrame, best: DataFrame) -> DataFrame:
+def detailed_rows(rows: DataFrame, votes: DataFrame, live: DataFrame, verdicts: DataFrame, best: DataFrame) -> DataFrame:
     """The table of analysed vehicles: plate with status, helmets of both seats, people, verdict and the best snapshot.
 
-    ``rows`` are counted tracks with vehicle_class, ``votes`` their plates by
-    ``plates.variant_vote``, ``best`` has the frame of a track's best snapshot.
+    ``rows`` are counted tracks with vehicle_class, ``votes`` the plates of their
+    kept snapshots by ``plates.variant_vote``, ``live`` the plates of all frames,
+    ``best`` has the frame of a track's best snapshot.  A valid plate of the
+    snapshots goes before the live one, and that before a partial one, which
+    ends in a question mark.  A track without snapshots was not analysed: it has
+    neither plate of the snapshots nor verdict, and no file.
     """
     two = labels.is_two_wheeler(F.col("vehicle_class"))
-    seat = lambda c: F.when(two, F.coalesce(c, F.lit("None"))).otherwise("N/A").alias(c)
-    sits = lambda c: F.coalesce(F.col(c) != "None", F.lit(False)).cast("long")
-    j = rows.select(*TRACK, "vehicle_class").join(votes.select(*TRACK, "plate", "status", "conf"), TRACK, "left")
+    seen = lambda c: F.nullif(F.col(c), F.lit("None"))
+    sits = lambda c: seen(c).isNotNull().cast("long")
+    j = rows.select(*TRACK, "vehicle_class").join(votes.select(*TRACK, F.col("plate").alias("v_plate"), F.col("status").alias("v_status"), F.col("conf").alias("v_conf")), TRACK, "left")
+    j = j.join(live.select(*TRACK, F.col("plate").alias("l_plate"), F.col("conf").alias("l_conf")), TRACK, "left")
     j = j.join(verdicts, TRACK, "left").join(best.select(*TRACK, F.col("frame_idx").alias("snapshot_frame")), TRACK, "left")
+    valid, is_live, partial = F.col("v_status") == "valid", F.col("l_plate").isNotNull(), F.col("v_status") == "partial"
+    first = lambda v, l, p, none: F.when(valid, v).when(is_live, l).when(partial, p).otherwise(none)  # noqa: E731, E741
+    percent = lambda c: labels.percent_text(F.round(c, 6))
+    plate = first(F.col("v_plate"), F.col("l_plate"), F.concat("v_plate", F.lit("?")), F.lit(NOT_DETECTED))
+    tag = F.when(plate == NOT_DETECTED, "noplate").otherwise(F.replace(plate, F.lit("?"), F.lit("_partial")))
+    kind = F.translate("vehicle_class", "/ ", "-")
+    name = F.concat(F.format_string("cam%d_id%04d_", "camera_id", "track_id"), kind, F.lit("_"), tag, F.lit(".jpg"))
     return j.select(
         *TRACK,
         "vehicle_class",
-        F.coalesce("plate", F.lit(NOT_DETECTED)).alias("plate"),
-        F.coalesce("status", F.lit("none")).alias("plate_status"),
-        F.when(F.col("plate").isNotNull(), F.col("conf")).alias("plate_conf"),
-        seat("rider_helmet"),
-        seat("pillion_helmet"),
+        plate.alias("plate"),
+        first(F.lit("valid"), F.lit("live"), F.lit("partial"), F.lit("none")).alias("plate_status"),
+        first(percent(F.col("v_conf")), percent(F.col("l_conf")), percent(F.col("v_conf")), F.lit("")).alias("plate_conf"),
+        F.when(two, F.coalesce(seen("rider_helmet"), F.lit("NOT VISIBLE"))).otherwise("N/A").alias("rider_helmet"),
+        F.when(two, F.coalesce("pillion_helmet", F.lit("None"))).otherwise("N/A").alias("pillion_helmet"),
         F.when(two, sits("rider_helmet") + sits("pillion_helmet")).otherwise(0).cast("long").alias("n_people"),
         F.when(two, F.coalesce("verdict", F.lit("UNVERIFIED (no head detected)"))).otherwise("N/A").alias("verdict"),
         "snapshot_frame",
-        F.when(F.col("snapshot_frame").isNotNull(), F.format_string("cam%d_t%d_f%d.jpg", "camera_id", "track_id", "snapshot_frame")).alias("snapshot"),
+        F.when(F.col("snapshot_frame").isNotNull(), name).alias("snapshot"),
     )
 
 

@@ -21,7 +21,7 @@ items AS (SELECT camera_id, track_id, v.vehicle_class, coalesce(p.plate, 'not de
 
 
 def _rows_sql(tail: str, *more: str) -> str:
-    return o.sql(f"WITH {ROWS}, {tail}" if tail.startswith("x ") else f"WITH {ROWS} {tail}", "plate_reads", "heads", *more)
+    return o.sql(f"WITH {ROWS}, {tail}" if tail.startswith("x ") else f"WITH {ROWS} {tail}", "plate_reads", "heads", "snaps", *more)
 
 
 def log(s, d):
@@ -121,7 +121,7 @@ QUERIES = {
     "vehicle_rows": (rows, _rows_sql("SELECT * FROM items")),
     "session_kpis": (
         lambda s, d: reports.kpis(rows(s, d), people.session_totals(spatial.pedestrians(o.persons(s, d), o.vehicles(s, d)), people.consensus(people.accepted_votes(o.votes(s, d))))),
-        o.sql(f"WITH {ROWS}, {traffic.PEDESTRIANS}, ps AS (SELECT camera_id, track_id FROM peds WHERE h >= 60 GROUP BY ALL HAVING count(*) >= 8), k AS (SELECT count(*) AS vehicles, count(DISTINCT plate) FILTER (plate <> 'not detected') AS unique_plates, count(*) FILTER (starts_with(helmet_status, 'VIOLATION')) AS violations, count(*) FILTER (helmet_status <> 'N/A') AS tw FROM items) SELECT vehicles, unique_plates, violations, (SELECT count(*) FROM ps) AS pedestrians, CASE WHEN tw = 0 THEN 100 ELSE floor((tw - violations) * 100 / tw::DOUBLE + 0.5)::BIGINT END AS compliance FROM k", "plate_reads", "heads", "persons"),
+        o.sql(f"WITH {ROWS}, {traffic.PEDESTRIANS}, ps AS (SELECT camera_id, track_id FROM peds WHERE h >= 60 GROUP BY ALL HAVING count(*) >= 8), k AS (SELECT count(*) AS vehicles, count(DISTINCT plate) FILTER (plate <> 'not detected') AS unique_plates, count(*) FILTER (starts_with(helmet_status, 'VIOLATION')) AS violations, count(*) FILTER (helmet_status <> 'N/A') AS tw FROM items) SELECT vehicles, unique_plates, violations, (SELECT count(*) FROM ps) AS pedestrians, CASE WHEN tw = 0 THEN 100 ELSE floor((tw - violations) * 100 / tw::DOUBLE + 0.5)::BIGINT END AS compliance FROM k", "plate_reads", "heads", "snaps", "persons"),
     ),
     "class_shares": (lambda s, d: reports.shares(rows(s, d)), _rows_sql("SELECT vehicle_class, count(*) AS n, round(count(*) * 100 / sum(count(*)) OVER ()::DOUBLE, 6) AS percent FROM items GROUP BY vehicle_class")),
     "table_search": (lambda s, d: reports.search(rows(s, d), "KA"), _rows_sql("SELECT * FROM items WHERE contains(lower(plate), 'ka') OR contains(track_id::VARCHAR, 'ka') OR contains(lower(vehicle_class), 'ka')")),

@@ -51,8 +51,9 @@ def united_plate_boxes(s, d):
 def detailed(s, d):
     v = o.vehicles(s, d)
     rows = counting.crossings(v, counting.SHORT_LINE).join(counting.voted_class(v).select(*TRACK, "vehicle_class"), TRACK)
-    best = vehicles.scored_snaps(s, d).groupBy(*TRACK).agg(F.max_by("frame_idx", F.struct("score", -F.col("event_id"))).alias("frame_idx"))
-    return reports.detailed_rows(rows, plates.variant_vote(o.plate_reads(s, d), TRACK), vehicles.helmet_verdicts(s, d), best)
+    kept, reads = vehicles.shots(s, d), o.plate_reads(s, d)
+    votes = plates.variant_vote(reads.join(kept, [*TRACK, "frame_idx"], "left_semi"), TRACK)
+    return reports.detailed_rows(rows, votes, plates.exact_consensus(reads), vehicles.helmet_verdicts(s, d), kept.where("place = 1"))
 
 
 def clips(s, d):
@@ -80,13 +81,15 @@ QUERIES = {
     ),
     "detailed_rows": (
         detailed,
-        o.sql(f"""WITH {traffic.VOTED}, {traffic.crossed_sql(128)}, {vehicles.REPAIRED}, {vehicles.VARIANT.replace('voted AS', 'voted_plates AS')}, {vehicles.SEATS}, {vehicles.SCORED},
-best AS (SELECT camera_id, track_id, frame_idx AS snapshot_frame FROM scored QUALIFY row_number() OVER (PARTITION BY camera_id, track_id ORDER BY score DESC, event_id) = 1)
-SELECT c.camera_id, c.track_id, vehicle_class, coalesce(p.plate, 'not detected') AS plate, coalesce(p.status, 'none') AS plate_status, CASE WHEN p.plate IS NOT NULL THEN p.conf END AS plate_conf,
-CASE WHEN {_BIKE} THEN coalesce(rider_helmet, 'None') ELSE 'N/A' END AS rider_helmet, CASE WHEN {_BIKE} THEN coalesce(pillion_helmet, 'None') ELSE 'N/A' END AS pillion_helmet,
-CASE WHEN {_BIKE} THEN (coalesce(rider_helmet, 'None') <> 'None')::BIGINT + (coalesce(pillion_helmet, 'None') <> 'None')::BIGINT ELSE 0 END AS n_people, CASE WHEN {_BIKE} THEN coalesce(verdict, 'UNVERIFIED (no head detected)') ELSE 'N/A' END AS verdict,
-snapshot_frame, 'cam' || c.camera_id || '_t' || c.track_id || '_f' || snapshot_frame || '.jpg' AS snapshot
-FROM crossed c JOIN voted v USING (camera_id, track_id) LEFT JOIN voted_plates p USING (camera_id, track_id) LEFT JOIN verdicts h USING (camera_id, track_id) LEFT JOIN best b USING (camera_id, track_id)""", "vehicles", "plate_reads", "heads", "snaps"),
+        o.sql(f"""WITH {traffic.VOTED}, {traffic.crossed_sql(128)}, {vehicles.SEATS}, {vehicles.REPAIRED.replace("reads AS (", "repaired AS (")}, shot_reads AS (SELECT r.* FROM repaired r SEMI JOIN shots USING (camera_id, track_id, frame_idx)),
+{vehicles.VARIANT.replace("voted AS", "voted_plates AS").replace("FROM reads", "FROM shot_reads")}, {vehicles.CORRECTED.replace("texts", "texts2").replace("fixed", "fixed2")}, {vehicles.EXACT},
+j AS (SELECT *, CASE WHEN s.status = 'valid' THEN 1 WHEN l.plate IS NOT NULL THEN 2 WHEN s.status = 'partial' THEN 3 ELSE 4 END AS origin, s.plate AS s_plate, s.conf AS s_conf, l.plate AS l_plate, l.conf AS l_conf, b.frame_idx AS snapshot_frame
+FROM (SELECT camera_id, track_id, v.vehicle_class FROM crossed JOIN voted v USING (camera_id, track_id)) LEFT JOIN voted_plates s USING (camera_id, track_id) LEFT JOIN plates l USING (camera_id, track_id) LEFT JOIN verdicts h USING (camera_id, track_id) LEFT JOIN (SELECT * FROM shots WHERE place = 1) b USING (camera_id, track_id)),
+t AS (SELECT *, (['valid', 'live', 'partial', 'none'])[origin] AS plate_status, ([s_plate, l_plate, s_plate || '?', 'not detected'])[origin] AS shown, round_even(round(CASE WHEN origin = 2 THEN l_conf ELSE s_conf END, 6) * 100, 1)::VARCHAR || '%' AS percent FROM j)
+SELECT camera_id, track_id, vehicle_class, shown AS plate, plate_status, CASE WHEN origin = 4 THEN '' ELSE percent END AS plate_conf,
+CASE WHEN NOT {_BIKE} THEN 'N/A' WHEN coalesce(rider_helmet, 'None') = 'None' THEN 'NOT VISIBLE' ELSE rider_helmet END AS rider_helmet, CASE WHEN {_BIKE} THEN coalesce(pillion_helmet, 'None') ELSE 'N/A' END AS pillion_helmet,
+CASE WHEN {_BIKE} THEN (coalesce(rider_helmet, 'None') <> 'None')::BIGINT + (coalesce(pillion_helmet, 'None') <> 'None')::BIGINT ELSE 0 END AS n_people, CASE WHEN {_BIKE} THEN coalesce(verdict, 'UNVERIFIED (no head detected)') ELSE 'N/A' END AS verdict, snapshot_frame,
+CASE WHEN snapshot_frame IS NOT NULL THEN 'cam' || camera_id || '_id' || lpad(track_id::VARCHAR, greatest(4, length(track_id::VARCHAR))::INT, '0') || '_' || replace(replace(vehicle_class, '/', '-'), ' ', '') || '_' || CASE origin WHEN 4 THEN 'noplate' WHEN 3 THEN s_plate || '_partial' ELSE shown END || '.jpg' END AS snapshot FROM t""", "vehicles", "plate_reads", "heads", "snaps"),
     ),
     "table_violations": (lambda s, d: reports.mode(report_plans.rows(s, d), "violations"), report_plans._rows_sql("SELECT * FROM items WHERE starts_with(helmet_status, 'VIOLATION')")),
     "table_two_wheelers": (lambda s, d: reports.mode(report_plans.rows(s, d), "two_wheelers"), report_plans._rows_sql("SELECT * FROM items WHERE helmet_status <> 'N/A'")),

@@ -48,13 +48,15 @@ near AS (SELECT camera_id, track_id, frame_idx, coalesce(bool_or(near) FILTER (k
 owned AS (SELECT hs.*, CASE WHEN k = 1 THEN 1 WHEN k = 2 THEN CASE WHEN n12 THEN 1 ELSE 2 END ELSE CASE WHEN n13 THEN 1 WHEN n23 AND NOT n12 THEN 2 ELSE 3 END END AS c FROM hs LEFT JOIN near USING (camera_id, track_id, frame_idx)),
 clusters AS (SELECT camera_id, track_id, frame_idx, arg_min(head_no, k) AS cluster, arg_min((hx2 - hx1) * (hy2 - hy1), k) AS area, max(conf) AS conf, round(coalesce(max(conf) FILTER (bad), 0) / (coalesce(max(conf) FILTER (NOT bad), 0) + coalesce(max(conf) FILTER (bad), 0)), 9) AS p_no, arg_min((hx1 + hx2) / 2.0::DOUBLE, k) AS cx, arg_min((hy1 + hy2) / 2.0::DOUBLE, k) AS cy, any_value(x1) AS x1, any_value(x2) AS x2, any_value(y1) AS y1, any_value(y2) AS y2 FROM owned GROUP BY camera_id, track_id, frame_idx, c),
 kept AS (SELECT camera_id, track_id, frame_idx, cluster, area, conf, p_no FROM clusters WHERE area <= 0.30 * 640 * 1080 AND cx BETWEEN x1 - (x2 - x1) * 0.2::DOUBLE AND x2 + (x2 - x1) * 0.2::DOUBLE AND cy <= y1 + (y2 - y1) * 0.55::DOUBLE)"""
-SEATS = CLUSTERS + """, seats AS (SELECT camera_id, track_id, frame_idx, CASE WHEN row_number() OVER (PARTITION BY camera_id, track_id, frame_idx ORDER BY area DESC, top) = 1 THEN 'rider' ELSE 'pillion' END AS role, conf, p_no FROM (SELECT *, row_number() OVER (PARTITION BY camera_id, track_id, frame_idx ORDER BY conf DESC, cluster) AS top FROM kept) WHERE top <= 2),
+SCORED = "scored AS (SELECT *, round(sqrt((w * h)::DOUBLE) * (least(sharpness, 400) / 400.0::DOUBLE + 0.2::DOUBLE) * CASE WHEN x1 <= 2 OR y1 <= 2 OR x2 >= 638 OR y2 >= 1078 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END * (confidence + 0.5::DOUBLE), 6) AS score FROM snaps)"
+#: The best snapshot of each track and two more.
+SHOTS = SCORED + """, shots AS (SELECT camera_id, track_id, frame_idx, event_id, score, row_number() OVER (PARTITION BY camera_id, track_id ORDER BY score DESC, event_id) AS place FROM (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY camera_id, track_id, frame_idx // 6 ORDER BY score DESC, event_id) = 1) QUALIFY place <= 3)"""
+SEATS = SHOTS + ", " + CLUSTERS + """, seats AS (SELECT camera_id, track_id, frame_idx, CASE WHEN row_number() OVER (PARTITION BY camera_id, track_id, frame_idx ORDER BY area DESC, top) = 1 THEN 'rider' ELSE 'pillion' END AS role, conf, p_no FROM (SELECT *, row_number() OVER (PARTITION BY camera_id, track_id, frame_idx ORDER BY conf DESC, cluster) AS top FROM kept SEMI JOIN shots USING (camera_id, track_id, frame_idx)) WHERE top <= 2),
 per AS (SELECT camera_id, track_id, role, round(sum(p_no * conf) / sum(conf), 9) AS p_no, max(conf) AS conf, count(*) AS n FROM seats GROUP BY ALL),
-tw AS (SELECT camera_id, track_id, count(*) AS n_snapshots FROM vehicles WHERE raw_class IN ('motorcycle', 'scooter') GROUP BY ALL),
+tw AS (SELECT camera_id, track_id, count(*) AS n_snapshots FROM shots SEMI JOIN (SELECT * FROM vehicles WHERE raw_class IN ('motorcycle', 'scooter')) USING (camera_id, track_id) GROUP BY ALL),
 agg AS (SELECT camera_id, track_id, n_snapshots, r.p_no AS r_p, r.conf AS r_conf, CASE WHEN ok THEN q.p_no END AS p_p, CASE WHEN ok THEN q.conf END AS p_conf FROM tw LEFT JOIN (SELECT * FROM per WHERE role = 'rider') r USING (camera_id, track_id) LEFT JOIN (SELECT * FROM per WHERE role = 'pillion') q USING (camera_id, track_id), LATERAL (SELECT r.p_no IS NOT NULL AND (q.n >= CASE WHEN n_snapshots = 1 THEN 1 ELSE 2 END OR q.conf >= 0.6) AS ok)),
 verdicts AS (SELECT camera_id, track_id, CASE WHEN r_p IS NULL THEN 'None' ELSE CASE WHEN r_p >= 0.5 THEN 'NO HELMET' ELSE 'HELMET' END || ' (' || printf('%.2f', r_conf) || ')' END AS rider_helmet, CASE WHEN p_p IS NULL THEN 'None' ELSE CASE WHEN p_p >= 0.5 THEN 'NO HELMET' ELSE 'HELMET' END || ' (' || printf('%.2f', p_conf) || ')' END AS pillion_helmet,
 CASE WHEN r_p IS NULL THEN 'UNVERIFIED (no head detected)' WHEN r_p >= 0.5 AND coalesce(p_p >= 0.5, false) THEN 'VIOLATION (Rider + Pillion No Helmet)' WHEN r_p >= 0.5 THEN 'VIOLATION (Rider No Helmet)' WHEN coalesce(p_p >= 0.5, false) THEN 'VIOLATION (Pillion No Helmet)' WHEN r_conf < 0.45 OR (r_p > 0.35 AND r_p < 0.5) OR coalesce(p_conf < 0.45 OR (p_p > 0.35 AND p_p < 0.5), false) THEN 'REVIEW (low confidence)' ELSE 'COMPLIANT' END AS verdict FROM agg)"""
-SCORED = "scored AS (SELECT *, round(sqrt((w * h)::DOUBLE) * (least(sharpness, 400) / 400.0::DOUBLE + 0.2::DOUBLE) * CASE WHEN x1 <= 2 OR y1 <= 2 OR x2 >= 638 OR y2 >= 1078 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END * (confidence + 0.5::DOUBLE), 6) AS score FROM snaps)"
 
 
 def scored_snaps(s, d):
@@ -62,13 +64,17 @@ def scored_snaps(s, d):
     return o.snaps(s, d).withColumn("score", F.round(g.snapshot_score(g.box(), F.col("sharpness"), F.col("confidence"), is_clipped), 6))
 
 
-def snapshots_of_two_wheelers(s, d):
-    return o.vehicles(s, d).where("raw_class in ('motorcycle', 'scooter')").select("camera_id", "track_id", "frame_idx")
+def shots(s, d):
+    """The best snapshot of each track and two more."""
+    return helmets.bucket_snapshots(scored_snaps(s, d))
 
 
 def helmet_verdicts(s, d):
-    h = helmets.snapshot_heads(helmets.head_clusters(o.heads(s, d)))
-    return helmets.verdict(helmets.aggregate_helmets(snapshots_of_two_wheelers(s, d), h))
+    """Verdicts over the kept snapshots of tracks that were a two-wheeler in some frame."""
+    seen = o.vehicles(s, d).where("raw_class in ('motorcycle', 'scooter')").select(*helmets.TRACK)
+    kept = shots(s, d).select(*helmets.IMAGE).join(seen, helmets.TRACK, "left_semi")
+    h = o.heads(s, d).join(kept, helmets.IMAGE, "left_semi")
+    return helmets.verdict(helmets.aggregate_helmets(kept, helmets.snapshot_heads(helmets.head_clusters(h))))
 
 
 def merged_plate_boxes(s, d):
@@ -115,7 +121,7 @@ SELECT image_id, plate, round(round(conf * 1000000, 3), 0) / 1000000 AS conf FRO
     ),
     "merged_plate_boxes": (merged_plate_boxes, None),
     "head_clusters": (lambda s, d: helmets.head_clusters(o.heads(s, d)), o.sql(f"WITH {CLUSTERS} SELECT * FROM kept", "heads")),
-    "helmet_verdicts": (helmet_verdicts, o.sql(f"WITH {SEATS} SELECT * FROM verdicts", "heads")),
+    "helmet_verdicts": (helmet_verdicts, o.sql(f"WITH {SEATS} SELECT * FROM verdicts", "heads", "snaps")),
     "live_helmets": (lambda s, d: helmets.live_status(o.heads(s, d)), o.sql(f"WITH {LIVE} SELECT * FROM live", "heads")),
     "helmet_violations": (lambda s, d: helmets.violations(o.heads(s, d)), o.sql(f"WITH {LIVE} SELECT camera_id, track_id, frame_idx, CASE WHEN n = 1 THEN 'Rider' ELSE 'Pillion' END AS role, CASE WHEN n = 1 THEN 'no_helmet_rider' ELSE 'no_helmet_pillion' END AS type, hx1, hy1, hx2, hy2 FROM ranked WHERE n <= 2 AND bad", "heads")),
     "sticky_helmets": (
@@ -125,8 +131,8 @@ SELECT *, CASE WHEN rider_helmet = 'no_helmet' OR pillion_helmet = 'no_helmet' T
     ),
     "best_snapshots": (lambda s, d: helmets.best_snapshots(scored_snaps(s, d)), None),
     "bucket_snapshots": (
-        lambda s, d: helmets.bucket_snapshots(scored_snaps(s, d)),
-        o.sql(f"WITH {SCORED}, b AS (SELECT camera_id, track_id, event_id, score FROM scored QUALIFY row_number() OVER (PARTITION BY camera_id, track_id, frame_idx // 6 ORDER BY score DESC, event_id) = 1) SELECT *, row_number() OVER (PARTITION BY camera_id, track_id ORDER BY score DESC, event_id) AS place FROM b QUALIFY place <= 3", "snaps"),
+        shots,
+        o.sql(f"WITH {SHOTS} SELECT * FROM shots", "snaps"),
     ),
     "presences": (
         lambda s, d: helmets.presences(o.vehicles(s, d)),
