@@ -26,7 +26,7 @@ from pyspark.sql.types import StructType
 BATCH_ROWS, BATCH_BYTES = 10_000, 4 << 20
 
 
-def _open(path: str) -> tuple[files.FileSystem, str]:
+def opened(path: str) -> tuple[files.FileSystem, str]:
     return files.FileSystem.from_uri(path if re.match(r"[a-z0-9]+:/", path) else f"file://{os.path.abspath(path)}")
 
 
@@ -78,7 +78,7 @@ class GrowingLogsReader(DataSourceStreamReader):
         return {}
 
     def latestOffset(self) -> dict:
-        fs, root = _open(self.path)
+        fs, root = opened(self.path)
         found = [f for f in _listed(fs, root, True) if f.is_file and f.path.endswith(self.suffix)]
         return {f.path: _last_line_end(fs, f.path, f.size) for f in sorted(found, key=lambda f: f.path)}
 
@@ -91,7 +91,7 @@ class GrowingLogsReader(DataSourceStreamReader):
         return blocks
 
     def read(self, block: Block) -> Iterator[pa.RecordBatch]:
-        fs, _ = _open(self.path)
+        fs, _ = opened(self.path)
         with fs.open_input_file(block.file) as raw, io.BufferedReader(raw, 1 << 20) as stream:
             yield from _batches(block, _owned_lines(stream, block))
 
@@ -179,7 +179,7 @@ class FileListingReader(DataSourceReader):
         self.suffixes = tuple(s.strip().lower() for s in options.get("suffixes", "").split(",") if s.strip())
 
     def partitions(self) -> list[Folder]:
-        fs, root = _open(self.path)
+        fs, root = opened(self.path)
         level, found = [root], []
         for _ in range(self.depth):
             found += [Folder(p, False) for p in level]
@@ -187,7 +187,7 @@ class FileListingReader(DataSourceReader):
         return found + [Folder(p, True) for p in level]
 
     def read(self, part: Folder) -> Iterator[tuple[str, str, str, int]]:
-        fs, _ = _open(self.path)
+        fs, _ = opened(self.path)
         for f in _listed(fs, part.path, part.recursive):
             if f.is_file and (not self.suffixes or f.base_name.lower().endswith(self.suffixes)):
                 yield f.path, os.path.splitext(f.base_name)[0], os.path.basename(os.path.dirname(f.path)), f.size
@@ -239,7 +239,7 @@ class _Log:
         self.staging = f"_staging-{uuid.uuid4().hex}"
 
     def write(self, rows: Iterator) -> Written:
-        fs, root = _open(self.path)
+        fs, root = opened(self.path)
         task = TaskContext.get()
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.csv"
         fs.create_dir(f"{root}/{self.staging}")
@@ -251,7 +251,7 @@ class _Log:
 
     def publish(self, messages: list[Written | None], number: int | None) -> None:
         """Put what the tasks wrote in place; Spark may commit with another copy of the writer than wrote."""
-        fs, root = _open(self.path)
+        fs, root = opened(self.path)
         done = [m for m in messages if m is not None]
         self.staging = done[0].staging if done else self.staging
         fs.create_dir(f"{root}/{self.staging}")
@@ -278,7 +278,7 @@ class _Log:
 
     def discard(self) -> None:
         """Remove what was not put in place, of earlier writes that were lost too."""
-        fs, root = _open(self.path)
+        fs, root = opened(self.path)
         for f in _listed(fs, root, False):
             if f.base_name.startswith("_staging-"):
                 fs.delete_dir(f.path)

@@ -8,6 +8,7 @@ track but counts.
 
 from __future__ import annotations
 
+import hashlib
 import statistics
 from collections.abc import Iterator
 from typing import Any
@@ -20,6 +21,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from kerbside.functions import labels
 from kerbside.functions.geometry import line_pixels
 from kerbside.operators.counting import FULL_LINE
+from kerbside.streaming import feed
 
 LATE = "10 seconds"
 OBSERVATION = "event_id long, ts timestamp, camera_id long, track_id long, frame_idx long, obs_no long, x1 long, y1 long, x2 long, y2 long, w long, h long, kind string, confidence double, raw_class string"
@@ -205,19 +207,5 @@ def run_once(df: DataFrame, path: str, checkpoint: str, mode: str = "append", fo
 
 
 def latest_feed(df: DataFrame, keys: list[str], order: str, path: str, checkpoint: str) -> Any:
-    """Keep a table of the newest row of each key, as JSON beside its key; each batch merges with the table that is there.
-
-    Tables are numbered by batch, so a batch that is run again writes the same table again.
-    """
-    spark = df.sparkSession
-
-    def merge(batch: DataFrame, number: int) -> None:
-        from kerbside.operators.reports import latest
-
-        rest = [c for c in batch.columns if c not in keys]
-        now = batch.select(*keys, F.col(order).alias("order"), F.to_json(F.struct(*rest)).alias("payload"))
-        if number > 0:
-            now = now.unionByName(spark.read.parquet(f"{path}/batch={number - 1}"))
-        latest(now, keys, "order").write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return df.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Keep a table of the newest row of each key, as JSON beside its key, by parts (``feed.table`` reads it); the checkpoint is its session."""
+    return feed.keep(df, keys, order, path, checkpoint, hashlib.sha256(checkpoint.encode()).hexdigest()[:16])

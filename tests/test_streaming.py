@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from kerbside.operators import counting, helmets, people, plates
 from kerbside.sources import observations as o
-from kerbside.streaming import live
+from kerbside.streaming import feed, live
 
 SF = "/root/testdata/sf0.001"
 
@@ -63,9 +63,8 @@ def test_plates_labels_alerts_and_feed(spark, tmp_path):
     a = spark.read.parquet(str(tmp_path / "ao"))
     assert 0 < a.count() <= spark.read.parquet(str(tmp_path / "a")).count()
     live.latest_feed(s, ["camera_id", "track_id"], "frame_idx", str(tmp_path / "f"), str(tmp_path / "fc")).awaitTermination()
-    last = max((tmp_path / "f").iterdir(), key=lambda p: int(p.name.split("=")[1]))
-    feed = {(r.camera_id, r.track_id, r.order) for r in spark.read.parquet(str(last)).collect()}
-    assert feed == {tuple(r) for r in spark.read.parquet(str(tmp_path / "a")).groupBy("camera_id", "track_id").agg(F.max("frame_idx")).collect()}
+    newest = {(r.camera_id, r.track_id, r.order) for r in feed.table(spark, str(tmp_path / "f")).collect()}
+    assert newest == {tuple(r) for r in spark.read.parquet(str(tmp_path / "a")).groupBy("camera_id", "track_id").agg(F.max("frame_idx")).collect()}
 
 
 def test_rolling_median_and_last_alerts(spark, tmp_path):
@@ -85,6 +84,5 @@ def test_rolling_median_and_last_alerts(spark, tmp_path):
     landed(helmets.violations(o.heads(spark, SF)).select("camera_id", "track_id", "frame_idx", "type"), tmp_path / "a")
     s = live.observations(spark, str(tmp_path / "a"), "camera_id long, track_id long, frame_idx long, type string, ts timestamp", 1)
     live.latest_alerts(s, str(tmp_path / "f"), str(tmp_path / "fc")).awaitTermination()
-    last = max((tmp_path / "f").iterdir(), key=lambda p: int(p.name.split("=")[1]))
-    got = {(r.camera_id, r.track_id, r.type, r.order) for r in spark.read.parquet(str(last)).collect()}
+    got = {(r.camera_id, r.track_id, r.type, r.order) for r in feed.table(spark, str(tmp_path / "f")).collect()}
     assert got == {tuple(r) for r in spark.read.parquet(str(tmp_path / "a")).groupBy("camera_id", "track_id", "type").agg(F.max("frame_idx")).collect()}
