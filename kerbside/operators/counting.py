@@ -109,3 +109,16 @@ def cumulative_counts(crossed: DataFrame) -> DataFrame:
     """Crossed tracks of each class up to each frame with a crossing, for each camera."""
     per = crossed.groupBy("camera_id", "vehicle_class", "frame_idx").agg(F.count("*").alias("n_so_far"))
     return running_sum(per, ["camera_id", "vehicle_class"], "frame_idx", "n_so_far")
+
+
+def class_changes(dets: DataFrame, line=SHORT_LINE) -> DataFrame:
+    """What each observation does to the counts of crossed tracks: camera_id, frame_idx, vehicle_class, n (1 or -1).
+
+    A track counts from its crossing on under the class that leads its votes;
+    when another takes the lead, the old class loses one and the new one gains one.
+    """
+    since = crossings(dets, line).select(*TRACK, F.col("frame_idx").alias("crossed_at"))
+    now = running_votes(dets).join(since, list(TRACK)).where("frame_idx >= crossed_at").withColumn("now", labels.reporting_class(F.col("leading")))
+    d = now.withColumn("was", F.lag("now").over(Window.partitionBy(*TRACK).orderBy("frame_idx"))).where(~F.col("now").eqNullSafe(F.col("was")))
+    gain, loss = F.struct(F.col("now").alias("c"), F.lit(1).alias("n")), F.struct(F.col("was").alias("c"), F.lit(-1).alias("n"))
+    return d.select("camera_id", "frame_idx", F.explode(F.array(gain, loss)).alias("x")).where("x.c is not null").select("camera_id", "frame_idx", F.col("x.c").alias("vehicle_class"), F.col("x.n").cast("long").alias("n"))

@@ -24,30 +24,42 @@ def _rows_sql(tail: str, *more: str) -> str:
     return o.sql(f"WITH {ROWS}, {tail}" if tail.startswith("x ") else f"WITH {ROWS} {tail}", "plate_reads", "heads", "snaps", *more)
 
 
+# The log's columns of counts with their classes (scooters count as motorcycles).
+LOGGED = {"cars": "Car", "trucks": "Truck", "buses": "Bus", "auto_rickshaws": "Auto Rickshaw", "motorcycles": "Bike/Motorcycle", "scooters": "Scooter", "bicycles": "Bicycle"}
+
+
 def log(s, d):
-    """A snapshot log: for each camera and stretch of ten frames (three more after the last) the classes seen, packed plates and violations, and who is in its last frame with people."""
+    """A snapshot log: for each camera and stretch of ten frames (three more after the last) the tracks counted so far by class, packed plates and violations, and who is in its last frame with people."""
     v, tick = o.vehicles(s, d), F.floor(F.col("frame_idx") / 10).alias("tick")
     keys = ["camera_id", "tick"]
-    ticks = o.detections(s, d).groupBy("camera_id").agg(F.max(tick).alias("last")).select("camera_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last") + 3)).alias("tick"))
-    n = lambda c: F.count_if(F.col("raw_class") == c).cast("int")
-    seen = v.groupBy("camera_id", tick).agg(F.count("*").cast("int").alias("total_vehicles"), n("car").alias("cars"), n("truck").alias("trucks"), n("bus").alias("buses"), n("auto-rickshaw").alias("auto_rickshaws"), n("motorcycle").alias("motorcycles"), n("scooter").alias("scooters"), n("bicycle").alias("bicycles"))
+    seen = o.detections(s, d).groupBy("camera_id", tick).agg(F.max("ts").alias("ts"))
+    ticks = seen.groupBy("camera_id").agg(F.max("tick").alias("last")).select("camera_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last") + 3)).alias("tick"))
+    ticks = spatial.carried(ticks.join(seen, keys, "left"), ["camera_id"], "tick", "ts")
+    changes = counting.class_changes(v).groupBy("camera_id", tick, "vehicle_class").agg(F.sum("n").alias("n"))
+    classes = F.explode(F.array(*[F.lit(c) for c in ["total", *LOGGED.values()]])).alias("vehicle_class")
+    moves = changes.unionByName(changes.groupBy(*keys).agg(F.sum("n").alias("n")).withColumn("vehicle_class", F.lit("total"))).unionByName(ticks.select(*keys, classes, F.lit(0).cast("long").alias("n")))
+    per = counting.running_sum(moves.groupBy(*keys, "vehicle_class").agg(F.sum("n").alias("n")), ["camera_id", "vehicle_class"], "tick", "n")
+    n = lambda c: F.coalesce(F.max(F.when(F.col("vehicle_class") == c, F.col("n"))), F.lit(0)).cast("int")
+    counts = per.groupBy(*keys).agg(n("total").alias("total_vehicles"), *[n(c).alias(name) for name, c in LOGGED.items()])
     r = plates.corrected(o.plate_reads(s, d)).where("plate is not null").groupBy("camera_id", tick, "track_id").agg(F.max_by("plate", "frame_idx").alias("plate"))
     p = reports.packed(r, keys, "track_id", F.col("plate"), "plates_detected")
     h = helmets.violations(o.heads(s, d)).withColumn("tick", tick)
     w = reports.packed(h, keys, "track_id", F.col("type"), "violation_details")
-    who = people.frame_summary(o.votes(s, d)).groupBy("camera_id", tick).agg(F.max_by(F.struct("total", "males", "females", "children"), "frame_idx").alias("w"))
-    who = who.select(*keys, F.col("w.total").alias("pedestrians_detected"), "w.males", "w.females", "w.children")
-    out = ticks.join(seen, keys, "left").join(p.drop("n_plates_detected"), keys, "left").join(w, keys, "left").join(who, keys, "left")
+    who = people.frame_summary(o.votes(s, d)).groupBy("camera_id", tick).agg(F.max_by(F.struct("total", "males", "females", "children", "unknown"), "frame_idx").alias("w"))
+    who = who.select(*keys, F.col("w.total").alias("pedestrians_detected"), "w.males", "w.females", "w.children", F.col("w.unknown").alias("unknown_pedestrians"))
+    out = ticks.join(counts, keys, "left").join(p.drop("n_plates_detected"), keys, "left").join(w, keys, "left").join(who, keys, "left")
     zero = lambda c, kind: F.coalesce(F.col(c), F.lit(0)).cast(kind).alias(c)
-    return out.select(*keys, (F.col("tick") * 2 + F.col("camera_id")).alias("line_no"), *[zero(c, "int") for c in seen.columns if c not in keys], F.coalesce("plates_detected", F.lit("none")).alias("plates_detected"), F.coalesce("n_violation_details", F.lit(0)).alias("helmet_violations"), F.coalesce("violation_details", F.lit("none")).alias("violation_details"), *[zero(c, "int") for c in ("pedestrians_detected", "males", "females", "children")])
+    return out.select(*keys, (F.col("tick") * 2 + F.col("camera_id")).alias("line_no"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), *[zero(c, "int") for c in counts.columns if c not in keys], F.coalesce("plates_detected", F.lit("none")).alias("plates_detected"), F.coalesce("n_violation_details", F.lit(0)).alias("helmet_violations"), F.coalesce("violation_details", F.lit("none")).alias("violation_details"), *[zero(c, "int") for c in ("pedestrians_detected", "males", "females", "children", "unknown_pedestrians")])
 
 
-LOG = f"""{vehicles.LIVE}, {vehicles.CORRECTED}, ticks AS (SELECT camera_id, unnest(range(0, max(frame_idx) // 10 + 4)) AS tick FROM detections GROUP BY camera_id),
-seen AS (SELECT camera_id, frame_idx // 10 AS tick, count(*)::INT AS total_vehicles, {", ".join(f"(count(*) FILTER (raw_class = '{c}'))::INT AS {n}" for c, n in (("car", "cars"), ("truck", "trucks"), ("bus", "buses"), ("auto-rickshaw", "auto_rickshaws"), ("motorcycle", "motorcycles"), ("scooter", "scooters"), ("bicycle", "bicycles")))} FROM vehicles GROUP BY ALL),
+LOG = f"""{vehicles.LIVE}, {vehicles.CORRECTED}, {traffic.crossed_sql(128)}, ticks AS (SELECT camera_id, unnest(range(0, max(frame_idx) // 10 + 4)) AS tick FROM detections GROUP BY camera_id),
+stamped AS (SELECT t.camera_id, t.tick, (SELECT strftime(max_by(ts, k), '%Y-%m-%dT%H:%M:%S') FROM (SELECT camera_id, frame_idx // 10 AS k, max(ts) AS ts FROM detections GROUP BY ALL) d WHERE d.camera_id = t.camera_id AND k <= t.tick) AS timestamp FROM ticks t),
+led AS (SELECT camera_id, tick, track_id, raw_class FROM (SELECT t.camera_id, t.tick, v.track_id, v.raw_class, count(*) AS n, min(v.frame_idx) AS f FROM ticks t JOIN crossed c ON c.camera_id = t.camera_id AND c.frame_idx // 10 <= t.tick JOIN vehicles v ON v.camera_id = c.camera_id AND v.track_id = c.track_id AND v.frame_idx // 10 <= t.tick GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY camera_id, tick, track_id ORDER BY n DESC, f) = 1),
+seen AS (SELECT camera_id, tick, count(*)::INT AS total_vehicles, {", ".join(f"(count(*) FILTER (c = '{c}'))::INT AS {n}" for n, c in LOGGED.items())} FROM (SELECT *, {traffic.REPORTING_SQL.format("raw_class")} AS c FROM led) GROUP BY ALL),
 pl AS (SELECT camera_id, tick, string_agg(track_id || ':' || plate, '|' ORDER BY track_id) AS plates_detected FROM (SELECT camera_id, frame_idx // 10 AS tick, track_id, arg_max(plate, frame_idx) AS plate FROM reads WHERE plate IS NOT NULL GROUP BY ALL) GROUP BY ALL),
 vi AS (SELECT camera_id, frame_idx // 10 AS tick, count(*) AS n, string_agg(track_id || ':' || type, '|' ORDER BY track_id, type) AS violation_details FROM (SELECT *, CASE WHEN n = 1 THEN 'no_helmet_rider' ELSE 'no_helmet_pillion' END AS type FROM ranked WHERE n <= 2 AND bad) GROUP BY ALL),
-who AS (SELECT camera_id, frame_idx // 10 AS tick, count(*)::INT AS pedestrians_detected, {", ".join(f"(count(*) FILTER (label = '{c}'))::INT AS {n}" for c, n in (("male_adult", "males"), ("female_adult", "females"), ("child", "children")))} FROM (SELECT *, {traffic.LABEL} AS label, max(frame_idx) OVER (PARTITION BY camera_id, frame_idx // 10) AS last FROM votes) WHERE frame_idx = last GROUP BY ALL),
-log AS (SELECT camera_id, tick, tick * 2 + camera_id AS line_no, {", ".join(f"coalesce({c}, 0) AS {c}" for c in "total_vehicles cars trucks buses auto_rickshaws motorcycles scooters bicycles".split())}, coalesce(plates_detected, 'none') AS plates_detected, coalesce(n, 0) AS helmet_violations, coalesce(violation_details, 'none') AS violation_details, {", ".join(f"coalesce({c}, 0) AS {c}" for c in "pedestrians_detected males females children".split())} FROM ticks LEFT JOIN seen USING (camera_id, tick) LEFT JOIN pl USING (camera_id, tick) LEFT JOIN vi USING (camera_id, tick) LEFT JOIN who USING (camera_id, tick))"""
+who AS (SELECT camera_id, frame_idx // 10 AS tick, count(*)::INT AS pedestrians_detected, {", ".join(f"(count(*) FILTER (label = '{c}'))::INT AS {n}" for c, n in (("male_adult", "males"), ("female_adult", "females"), ("child", "children"), ("unknown", "unknown_pedestrians")))} FROM (SELECT *, {traffic.LABEL} AS label, max(frame_idx) OVER (PARTITION BY camera_id, frame_idx // 10) AS last FROM votes) WHERE frame_idx = last GROUP BY ALL),
+log AS (SELECT camera_id, tick, tick * 2 + camera_id AS line_no, timestamp, {", ".join(f"coalesce({c}, 0) AS {c}" for c in "total_vehicles cars trucks buses auto_rickshaws motorcycles scooters bicycles".split())}, coalesce(plates_detected, 'none') AS plates_detected, coalesce(n, 0) AS helmet_violations, coalesce(violation_details, 'none') AS violation_details, {", ".join(f"coalesce({c}, 0) AS {c}" for c in "pedestrians_detected males females children unknown_pedestrians".split())} FROM stamped LEFT JOIN seen USING (camera_id, tick) LEFT JOIN pl USING (camera_id, tick) LEFT JOIN vi USING (camera_id, tick) LEFT JOIN who USING (camera_id, tick))"""
 UNPACK = "(SELECT line_no, i AS pos, split_part(trim(x), ':', 1) AS id, split_part(trim(x), ':', 2) AS value FROM (SELECT line_no, unnest(string_split({0}, '|')) AS x, unnest(range(len(string_split({0}, '|')))) AS i FROM log WHERE {0} <> 'none') WHERE contains(x, ':'))"
 
 
