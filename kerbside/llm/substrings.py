@@ -49,7 +49,7 @@ CORE = LENGTH - PART + 1
 #: The bitmaps have so many bits: 16 MB and 2 MB, at any size of the corpus.
 BITS, HOT_BITS = 1 << 27, 1 << 24
 #: Bytes of a shard that is aimed at; a key's runs count as large from this part of it.
-SHARD_BYTES, LARGE = 3_000_000, 4
+SHARD_BYTES, LARGE = 8_000_000, 4
 #: Windows of a text that are looked at together, so that a long text takes no more memory than a short one.
 BLOCK = 400_000
 #: Rows of a table that may be broadcast (under 50 bytes each), and of a content that is not shuffled to its verdict.
@@ -184,13 +184,27 @@ def stretches(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), (edges[1::2] - edges[::2]).tolist()))
 
 
-def again(values: np.ndarray) -> np.ndarray:
-    """Whether a value occurs more than once."""
+def again(values: np.ndarray, store: Store) -> np.ndarray:
+    """Whether a value occurs more than once; many values are dealt by hash and looked at part by part."""
+    out = store.array(len(values), bool)
+    out[:] = False
+    parts = -(-2 * len(values) // store.in_memory)
+    if parts <= 1:
+        out[_twice(values)] = True
+        return out
+
+    def rows(a, b):
+        return (values[a:b] >> np.uint64(20)) % np.uint64(parts), values[a:b].view(np.int64), np.arange(a, b)
+
+    for _, (some, place) in store.dealt(len(values), parts, rows):
+        out[place[_twice(some)]] = True
+    return out
+
+
+def _twice(values: np.ndarray) -> np.ndarray:
     order = np.argsort(values)
     same = np.concatenate([[False], values[order][1:] == values[order][:-1], [False]])
-    out = np.zeros(len(values), dtype=bool)
-    out[order[same[1:] | same[:-1]]] = True
-    return out
+    return order[same[1:] | same[:-1]]
 
 
 def repeated_windows(strings: list[bytes], store: Store) -> list[np.ndarray]:
@@ -203,10 +217,12 @@ def repeated_windows(strings: list[bytes], store: Store) -> list[np.ndarray]:
         text[a : a + len(raw)] += 1
         text[a + len(raw)] = 0
     order, common = suffix_order(text, store)
-    alike = np.flatnonzero(common >= LENGTH)
-    hit = np.zeros(len(text), dtype=bool)
-    hit[order[alike]] = True
-    hit[order[alike - 1]] = True
+    hit = store.array(len(text), bool)
+    hit[:] = False
+    for a, b in store.spans(len(order)):
+        alike = a + np.flatnonzero(common[a:b] >= LENGTH)
+        hit[order[alike]] = True
+        hit[order[alike - 1]] = True
     return [hit[a : a + n - LENGTH + 1] for a, n in zip(begin.tolist(), sizes.tolist())]
 
 
@@ -219,23 +235,26 @@ def sort_shard(batches):
                 rows[k, ch] = [c, raw]
     if not rows:
         return
-    many = np.repeat([c > 1 for c, _ in rows.values()], [len(raw) - LENGTH + 1 for _, raw in rows.values()])
-    stay = again(np.concatenate([ends_of(raw) for _, raw in rows.values()])) | many
-    found, times, at = [], Counter(), 0
-    for key, (c, raw) in rows.items():
-        n = len(raw) - LENGTH + 1
-        for a, m in stretches(stay[at : at + n]):
-            part = raw[a : a + m + LENGTH - 1]
-            found.append((key, a, part))
-            times[part] += c
-        at += n
-    rows.clear()
-    strings = list(times)
     with Store() as store:
+        stay = again(store.gathered((ends_of(raw) for _, raw in rows.values()), np.uint64), store)
+        found, times, at = [], Counter(), 0
+        for key, (c, raw) in rows.items():
+            n = len(raw) - LENGTH + 1
+            for a, m in [(0, n)] if c > 1 else stretches(stay[at : at + n]):
+                part = raw[a : a + m + LENGTH - 1]
+                found.append((key, a, part))
+                times[part] += c
+            at += n
+        rows.clear()
+        del stay
+        strings = list(times)
         hits = dict(zip(strings, repeated_windows(strings, store))) if strings else {}
-    out = [(*key, a + b, m) for key, a, part in found for b, m in (stretches(hits[part]) if times[part] == 1 else [(0, len(part) - LENGTH + 1)])]
-    for i in range(0, len(out), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out[i : i + 100_000])], ["k", "ch", "off", "len"])
+        out = []
+        for key, a, part in found:
+            here = stretches(hits[part]) if times[part] == 1 else [(0, len(part) - LENGTH + 1)]
+            out += [(*key, a + b, m) for b, m in here]
+        for i in range(0, len(out), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out[i : i + 100_000])], ["k", "ch", "off", "len"])
 
 
 SHARD_RESULT = "k long, ch long, off long, len long"

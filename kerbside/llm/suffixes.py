@@ -13,7 +13,14 @@ The common prefix of two suffixes that are pushed one after the other to a
 symbol is one more than the least on the way between those that push them, so
 it travels with the tuples and no two suffixes are compared again; only the
 seeds' own prefixes come from the text.  Nothing beyond DEPTH is ordered or
-counted.  The files lie in a folder of the task's own and go with it; a lost
+counted.
+
+Types, names, orders and prefixes are arrays of a ``Store``: in files from a
+number of elements on, and read and written in blocks.  Substrings are sorted
+in ranges of their first symbols, each range in memory; a range that does not
+fit is dealt again, by the next symbols where all of it agree in these.  What
+is in memory at once is a few blocks, a range of a queue, and a few words for
+each file.  The files lie in a folder of the task's own and go with it; a lost
 task is run anew from its input.
 """
 
@@ -27,7 +34,9 @@ import tempfile
 import numpy as np
 
 #: Tuples that a queue holds in memory, elements of an array that is kept in memory, and names that are ordered in memory.
-IN_MEMORY, BASE = 4_000_000, 2_000_000
+IN_MEMORY, BASE = 500_000, 250_000
+#: Elements of an array in a file that are looked at together.
+BLOCK = 1 << 18
 #: Common prefixes are counted up to this.
 DEPTH = 200
 #: Tuples of a range of symbols, where a symbol has no more than that itself.
@@ -41,6 +50,7 @@ class Store:
 
     def __init__(self, in_memory: int = IN_MEMORY, base: int = BASE):
         self.in_memory, self.base, self.path, self.n = in_memory, base, None, 0
+        self.depth = self.spilled = 0  # levels of the recursion, tuples that a queue wrote
 
     def file(self) -> str:
         if self.path is None:
@@ -49,7 +59,64 @@ class Store:
         return os.path.join(self.path, str(self.n))
 
     def array(self, n: int, dtype) -> np.ndarray:
-        return np.empty(n, dtype) if n <= self.in_memory else np.memmap(self.file(), dtype, "w+", shape=(n,))
+        if n <= self.in_memory:
+            return np.empty(n, dtype)
+        name = self.file()
+        out = np.asarray(np.memmap(name, dtype, "w+", shape=(n,)))
+        os.unlink(name)  # the mapping keeps it; it goes with the array
+        return out
+
+    def spans(self, n: int):
+        """(first, end) of the blocks of an array."""
+        step = max(1, min(self.in_memory, BLOCK))
+        return [(a, min(a + step, n)) for a in range(0, n, step)]
+
+    def made(self, n: int, dtype, values) -> np.ndarray:
+        """An array whose blocks are values(first, end)."""
+        out = self.array(n, dtype)
+        for a, b in self.spans(n):
+            out[a:b] = values(a, b)
+        return out
+
+    def gathered(self, parts, dtype) -> np.ndarray:
+        """The parts one after the other; how many elements there will be need not be known."""
+        held, n, name, f = [], 0, None, None
+        for x in parts:
+            held.append(np.ascontiguousarray(x, dtype))
+            n += len(x)
+            if f is None and n > self.in_memory:
+                name = self.file()
+                f = open(name, "wb")
+            if f is not None:
+                for y in held:
+                    f.write(y.tobytes())
+                held.clear()
+        if f is None:
+            return np.concatenate(held) if held else np.zeros(0, dtype)
+        f.close()
+        out = np.asarray(np.memmap(name, dtype, "r+", shape=(n,)))
+        os.unlink(name)
+        return out
+
+    def dealt(self, n: int, parts: int, rows):
+        """(part, rows) in order of parts, from blocks of rows: rows(first, end) gives the part and the columns (long) of each."""
+        names: dict[int, str] = {}
+        for a, b in self.spans(n):
+            part, *columns = rows(a, b)
+            order = np.argsort(part, kind="stable")
+            part, table = part[order], np.stack([x[order] for x in columns], axis=1).astype(np.int64)
+            cuts = np.flatnonzero(np.diff(part)) + 1
+            for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)]):
+                k = int(part[x])
+                if k not in names:
+                    names[k] = self.file()
+                with open(names[k], "ab") as f:
+                    f.write(table[x:y].tobytes())
+        for k in sorted(names):
+            size = os.path.getsize(names[k]) // 8 // len(columns)
+            table = np.asarray(np.memmap(names[k], np.int64, "r+", shape=(size, len(columns))))
+            os.unlink(names[k])
+            yield k, table.T
 
     def __enter__(self):
         return self
@@ -68,15 +135,25 @@ class Queue:
     def __init__(self, counts: np.ndarray, store: Store):
         """counts: for each symbol the number of tuples that will come."""
         self.store = store
-        ends = np.cumsum(counts)
-        self.range_of = (ends - counts) // RANGE
-        big = counts > RANGE  # such a symbol is a range of its own
-        if big.any():
-            self.range_of = np.cumsum(np.concatenate([[0], (np.diff(self.range_of) > 0) | big[1:] | big[:-1]]))
-        n = int(self.range_of[-1]) + 1 if len(counts) else 0
+        self.range_of = store.array(len(counts), np.int64)
+        first, alone, at, before, base, was_big, r = [], [], 0, 0, 0, False, -1
+        for a, b in store.spans(len(counts)):
+            c = np.asarray(counts[a:b])
+            ends = before + np.cumsum(c)
+            bases, big = (ends - c) // RANGE, c > RANGE  # such a symbol is a range of its own
+            new = np.diff(bases, prepend=base) > 0
+            new |= big | np.append(was_big, big[:-1])
+            new[0] |= a == 0
+            here = r + np.cumsum(new)
+            self.range_of[a:b] = here
+            first.append(a + np.flatnonzero(new))
+            alone.append(here[big])
+            before, base, was_big, r = int(ends[-1]), int(bases[-1]), bool(big[-1]), int(here[-1])
+        n = r + 1
+        self.first = np.concatenate(first) if first else np.zeros(0, np.int64)  # the least symbol of each range
         self.alone = np.zeros(n, dtype=bool)
-        self.alone[self.range_of[big]] = True
-        self.first = np.searchsorted(self.range_of, np.arange(n))  # the least symbol of each range
+        for x in alone:
+            self.alone[x] = True
         self.blocks: list[list[tuple[np.ndarray, ...]]] = [[] for _ in range(n)]
         self.waiting: list[int] = []  # ranges with tuples, as a heap
         self.files: dict[int, str] = {}
@@ -87,6 +164,9 @@ class Queue:
         if not len(tuples[0]):
             return
         r = self.range_of[tuples[0]]
+        if r[0] == self.at and (len(r) == 1 or (r == self.at).all()):
+            self._merge(tuples)
+            return
         order = np.argsort(r, kind="stable")
         r, tuples = r[order], tuple(x[order] for x in tuples)
         cuts = np.flatnonzero(np.diff(r)) + 1
@@ -109,11 +189,15 @@ class Queue:
             new = tuple(x[order] for x in new)
             if len(now[0]) and new[0][0] < now[0][-1]:
                 at = np.searchsorted(now[0], new[0], "right")
-                self.now = tuple(np.insert(x, at, y) for x, y in zip(now, new))
+                if len(at) == 1:  # long repeats come one by one
+                    self.now = tuple(np.concatenate((x[: at[0]], y, x[at[0] :])) for x, y in zip(now, new))
+                else:
+                    self.now = tuple(np.insert(x, at, y) for x, y in zip(now, new))
                 return
         self.now = tuple(np.concatenate(x) for x in zip(now, new)) if len(now[0]) else new
 
     def _spill(self) -> None:
+        self.store.spilled += self.held
         for k, blocks in enumerate(self.blocks):
             if blocks:
                 with open(self.files.setdefault(k, self.files.get(k) or self.store.file()), "ab") as f:
@@ -186,27 +270,38 @@ class Least:
         return out
 
 
-def induce(symbols: np.ndarray, run: np.ndarray, wanted: np.ndarray, seeds: np.ndarray, seed_prefix: np.ndarray | None, most: int, store: Store) -> tuple[np.ndarray, np.ndarray]:
-    """The places of the wanted type in order, from the ordered seeds, and the common prefix of each with the one before.
+def tally(symbols: np.ndarray, wanted: np.ndarray, most: int, store: Store) -> np.ndarray:
+    """For each symbol, how many places of the wanted type it has."""
+    out = store.array(most + 1, np.int64)
+    out[:] = 0
+    for a, b in store.spans(len(symbols)):
+        np.add.at(out, symbols[a:b][wanted[a:b]], 1)
+    return out
+
+
+def induce(
+    symbols: np.ndarray, run: np.ndarray, wanted: np.ndarray, seeds: np.ndarray, seed_prefix: np.ndarray | None, counts: np.ndarray, store: Store
+) -> tuple[np.ndarray, np.ndarray | None]:
+    """The places of the wanted type in order, from the ordered seeds, and the common prefix of each with the one before (and a 0).
 
     symbols: the text's symbols, as the queue is to order them; a tuple comes
     before a seed of its symbol.  seed_prefix: common prefixes of the seeds, or
-    None if none are to be carried.
+    None if none are to be carried.  counts: the tally of what is wanted.
     """
     carry = seed_prefix is not None
-    count = int(wanted.sum())
-    queue = Queue(np.bincount(symbols[np.flatnonzero(wanted)], minlength=most + 1), store)
-    least = Least(most) if carry else None
-    out, prefixes, filled, at, batch = store.array(count, np.int64), store.array(count, np.uint8), 0, 0, 1_024
-    if not carry:
-        prefixes[:] = 0
-    seed_symbols = symbols[seeds]
+    count = int(counts.sum())
+    queue = Queue(counts, store)
+    least = Least(len(counts) - 1) if carry else None
+    out, filled, at, batch = store.array(count, np.int64), 0, 0, 1_024
+    prefixes = store.array(count + 1, np.uint8) if carry else None
+    if carry:
+        prefixes[count] = 0
     last_key, last_run = -1, 0
     while True:
-        qs, qp, ql = queue.head(int(seed_symbols[at]) if at < len(seeds) else None)
+        qs, qp, ql = queue.head(int(symbols[seeds[at]]) if at < len(seeds) else None)
         if not len(qs) and at >= len(seeds):
             break
-        ss = seed_symbols[at : at + batch]
+        ss = symbols[seeds[at : at + batch]]
         if not len(qs):  # seeds alone, up to the next range
             a, b = 0, int(np.searchsorted(ss, queue.limit(), "left"))
         elif queue.alone[queue.at]:  # all of one symbol, and before any seed of it
@@ -255,64 +350,120 @@ def induce(symbols: np.ndarray, run: np.ndarray, wanted: np.ndarray, seeds: np.n
         queue.pop(from_queue)
         at += k - from_queue
         queue.push(gives[:k][push], before[:k][push], carried[push])
-        batch = min(65_536, max(256, 2 * k))
+        batch = min(65_536, max(16, 4 * k))
     assert filled == count
     return out, prefixes
 
 
-def types(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def types(text: np.ndarray, store: Store) -> tuple[np.ndarray, np.ndarray]:
     """For each place, whether its suffix is smaller than the next (the end of a string is), and the length of its run of equal symbols, DEPTH at most."""
     n = len(text)
-    change = np.flatnonzero(text[1:] != text[:-1])  # the last place of each run
-    last = np.append(change, n - 1)
-    length = np.diff(np.concatenate([[-1], last]))
-    smaller = np.repeat(np.append(text[change] < text[change + 1], True), length)
-    smaller[text == 0] = True
-    left = np.repeat(last, length) - np.arange(n) + 1
-    return smaller, np.minimum(left, DEPTH).astype(np.uint8)
-
-
-def named(text: np.ndarray, small: np.ndarray, lms: np.ndarray) -> tuple[np.ndarray, bool]:
-    """The name of each substring from one left-most smaller place to the next, in order of the substrings, and whether all differ.
-
-    Ends of strings have the name 0.
-    """
-    ends = text[lms] == 0
-    length = np.diff(np.append(lms, lms[-1] + 1)) + 1
-    length[ends] = 1
-    bits = int(text.max()).bit_length() + 1
-    per = 62 // bits
-
-    def packed(which, word):
-        key, at, left = np.zeros(len(which), dtype=np.int64), lms[which], length[which]
-        for i in range(word * per, (word + 1) * per):
-            p = np.minimum(at + i, len(text) - 1)
-            key = key << bits | np.where(i < left, text[p].astype(np.int64) * 2 + small[p], 0)
+    small, run = store.array(n, bool), store.array(n, np.uint8)
+    after, after_small, after_run = -1, True, 0
+    for a, b in reversed(store.spans(n)):
+        t = text[a:b].astype(np.int64)
+        m, following = b - a, np.append(t[1:], after)
+        differ = np.flatnonzero(t != following)  # the last place of each run
+        here = np.arange(m)
+        end = np.append(differ, m)[np.searchsorted(differ, here)]
+        is_small = np.append(t < following, after_small)
+        if b == n:
+            is_small[m - 1] = True
+        is_small = is_small[end] | (t == 0)
+        length = np.where(end < m, end + 1, m + after_run) - here
+        small[a:b], run[a:b] = is_small, np.minimum(length, DEPTH)
+        after, after_small, after_run = int(t[0]), bool(is_small[0]), min(int(length[0]), DEPTH)
+    return small, run
+
+
+class Substrings:
+    """The substrings from one left-most smaller place to the next, by words of some symbols each."""
+
+    def __init__(self, text: np.ndarray, small: np.ndarray, lms: np.ndarray):
+        self.text, self.small, self.lms = text, small, lms
+        self.bits = int(text.max()).bit_length() + 1
+        self.per = 62 // self.bits
+
+    def lengths(self, which: np.ndarray) -> np.ndarray:
+        lms = self.lms
+        return np.where(which + 1 < len(lms), lms[np.minimum(which + 1, len(lms) - 1)], lms[-1] + 1) - lms[which] + 1
+
+    def words(self, which: np.ndarray, word: int) -> np.ndarray:
+        key, at, left = np.zeros(len(which), dtype=np.int64), self.lms[which], self.lengths(which)
+        for i in range(word * self.per, (word + 1) * self.per):
+            p = np.minimum(at + i, len(self.text) - 1)
+            key = key << self.bits | np.where(i < left, self.text[p].astype(np.int64) * 2 + self.small[p], 0)
         return key
 
-    name = np.where(ends, 0, int(ends.sum())).astype(np.int64)  # of equal ones, how many are smaller
-    which, word = np.flatnonzero(~ends), 0
-    while len(which):
-        key = packed(which, word)
-        order = np.lexsort((key, name[which])) if word else np.argsort(key, kind="stable")
-        which, key = which[order], key[order]
-        group = name[which]
-        new = np.concatenate([[True], (group[1:] != group[:-1]) | (key[1:] != key[:-1])])
-        first_of_group = np.concatenate([[True], group[1:] != group[:-1]])
-        here = np.arange(len(which))
-        start = np.maximum.accumulate(np.where(first_of_group, here, 0))
-        name[which] = group + np.maximum.accumulate(np.where(new, here, 0)) - start
-        firsts = np.flatnonzero(new)
-        sizes = np.diff(np.append(firsts, len(which)))
-        word += 1
-        which = which[np.repeat(sizes > 1, sizes) & (length[which] > word * per)]
-    order = np.argsort(name, kind="stable")
-    steps = np.diff(name[order], prepend=-1) != 0
-    dense = np.empty(len(name), dtype=np.int64)
-    dense[order] = np.cumsum(steps) - 1
-    if ends.any():
-        return dense, int(steps.sum()) == len(lms) - int(ends.sum()) + 1
-    return dense + 1, int(steps.sum()) == len(lms)
+    def ordered(self, which: np.ndarray, word: int, store: Store):
+        """(substrings, whether each differs from the one before) in parts, for some that agree in all words before this one."""
+        n = len(which)
+        if n <= max(2, store.in_memory):
+            yield self._in_memory(np.asarray(which), word)
+            return
+        sample = np.sort(self.words(np.asarray(which[:: max(1, n // 65_536)]), word))
+        cuts = np.unique(sample[:: max(1, len(sample) // (4 * n // store.in_memory + 1))])
+
+        def rows(a, b):
+            key = self.words(which[a:b], word)
+            at = np.searchsorted(cuts, key, "left")
+            same = cuts[np.minimum(at, len(cuts) - 1)] == key
+            return 2 * at + (same & (at < len(cuts))), which[a:b]
+
+        for part, (some,) in store.dealt(n, 2 * len(cuts) + 1, rows):
+            if part % 2 == 0:
+                yield from self.ordered(some, word, store)
+            elif int(self.lengths(some[:1])[0]) > (word + 1) * self.per:
+                yield from self.ordered(some, word + 1, store)
+            else:
+                for a, b in store.spans(len(some)):
+                    new = np.zeros(b - a, dtype=bool)
+                    new[0] = a == 0
+                    yield some[a:b], new
+
+    def _in_memory(self, which: np.ndarray, word: int) -> tuple[np.ndarray, np.ndarray]:
+        length, n = self.lengths(which), len(which)
+        name = np.zeros(n, dtype=np.int64)  # of those that are equal so far, how many in all are smaller
+        open_, first = np.arange(n), True
+        while len(open_):
+            key = self.words(which[open_], word)
+            order = np.argsort(key, kind="stable") if first else np.lexsort((key, name[open_]))
+            open_, key, first = open_[order], key[order], False
+            group = name[open_]
+            own = np.concatenate([[True], group[1:] != group[:-1]])
+            new = own | np.concatenate([[True], key[1:] != key[:-1]])
+            here = np.arange(len(open_))
+            name[open_] = group + np.maximum.accumulate(np.where(new, here, 0)) - np.maximum.accumulate(np.where(own, here, 0))
+            sizes = np.diff(np.append(np.flatnonzero(new), len(open_)))
+            word += 1
+            open_ = open_[np.repeat(sizes > 1, sizes) & (length[open_] > word * self.per)]
+        order = np.argsort(name, kind="stable")
+        return which[order], np.diff(name[order], prepend=-1) != 0
+
+
+def named(text: np.ndarray, small: np.ndarray, lms: np.ndarray, store: Store) -> tuple[np.ndarray, np.ndarray | None]:
+    """The name of each substring from one left-most smaller place to the next, in order of the substrings; their order, if all differ.
+
+    Ends of strings have the name 0 and come first.
+    """
+    names, spans = store.array(len(lms), np.int64), store.spans(len(lms))
+    names[:] = 0
+    ends = store.gathered((a + np.flatnonzero(text[lms[a:b]] == 0) for a, b in spans), np.int64)
+    others = store.gathered((a + np.flatnonzero(text[lms[a:b]]) for a, b in spans), np.int64)
+    last = 0
+
+    def numbered():
+        nonlocal last
+        for a, b in store.spans(len(ends)):
+            yield ends[a:b]
+        if len(others):
+            for which, new in Substrings(text, small, lms).ordered(others, 0, store):
+                names[which] = last + np.cumsum(new)
+                last += int(new.sum())
+                yield which
+
+    order = store.gathered(numbered(), np.int64)
+    return names, order if last == len(others) else None
 
 
 def doubled(names: np.ndarray) -> np.ndarray:
@@ -342,10 +493,13 @@ def doubled(names: np.ndarray) -> np.ndarray:
     return some[np.argsort(rank[some], kind="stable")]
 
 
-def common(text: np.ndarray, order: np.ndarray) -> np.ndarray:
+def common(text: np.ndarray, order: np.ndarray, store: Store) -> np.ndarray:
     """The common prefix of each of these places with the one before, DEPTH at most; it ends before a 0."""
-    out = np.zeros(len(order), dtype=np.uint8)
-    padded = np.concatenate([text, np.zeros(DEPTH, text.dtype)])
+    out = store.array(len(order), np.uint8)
+    out[:1] = 0
+    padded = store.array(len(text) + DEPTH, text.dtype)
+    padded[: len(text)] = text
+    padded[len(text) :] = 0
     view = np.lib.stride_tricks.sliding_window_view(padded, DEPTH)
     short = 16  # most end early
     for i in range(1, len(order), 40_000):
@@ -366,39 +520,72 @@ def common(text: np.ndarray, order: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_order(text: np.ndarray, store: Store, carry: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def suffix_order(text: np.ndarray, store: Store, carry: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
     """The places of all suffixes that do not begin with 0, in order to a depth of DEPTH, and the common prefix of each with the one before.
 
-    Common prefixes are DEPTH at most; without ``carry`` they are all 0.
+    Common prefixes are DEPTH at most; without ``carry`` there are none.
     """
     if not len(text) or not text.any():
         return np.zeros(0, np.int64), np.zeros(0, np.uint8)
-    small, run = types(text)
-    start = np.ones(len(text), dtype=bool)
-    start[1:] = ~small[:-1]
-    lms = np.flatnonzero((small & start) | (text == 0))
-    lms = lms[(lms > 0) | (text[lms] == 0)]
-    most = int(text.max())
-    names, differ = named(text, small, lms)
-    if differ:
-        order = np.argsort(names, kind="stable")
-    else:
-        rest = doubled(names) if len(names) <= store.base else suffix_order(names, store, False)[0]
-        order = np.concatenate([np.flatnonzero(names == 0), rest])
-    seeds = lms[order]
-    larger, lcp = induce(text, run, ~small, seeds, common(text, seeds) if carry else None, most, store)
-    turned = (most - text.astype(np.int64)).astype(text.dtype)
+    n, most = len(text), int(text.max())
+    small, run = types(text, store)
+
+    def places():
+        for a, b in store.spans(n):
+            t, before = text[a:b], np.append(a > 0 and small[a - 1], small[a : b - 1])
+            first = small[a:b] & ~before
+            first[0] &= a > 0
+            yield a + np.flatnonzero(first | (t == 0))
+
+    lms = store.gathered(places(), np.int64)
+    names, order = named(text, small, lms, store)
+    if order is None:
+        store.depth += 1
+        rest = doubled(np.asarray(names)) if len(names) <= store.base else suffix_order(names, store, False)[0]
+
+        def ends_first():
+            for a, b in store.spans(len(names)):
+                yield a + np.flatnonzero(names[a:b] == 0)
+            for a, b in store.spans(len(rest)):
+                yield rest[a:b]
+
+        order = store.gathered(ends_first(), np.int64)
+        del rest
+    seeds = store.made(len(order), np.int64, lambda a, b: lms[order[a:b]])
+    del names, order, lms
+    larger_places = store.made(n, bool, lambda a, b: ~small[a:b])
+    n_larger = tally(text, larger_places, most, store)
+    larger, lcp = induce(text, run, larger_places, seeds, common(text, seeds, store) if carry else None, n_larger, store)
+    del seeds
+    turned = store.made(n, text.dtype, lambda a, b: most - text[a:b].astype(np.int64))
+    smaller_places = store.made(n, bool, lambda a, b: small[a:b] & (text[a:b] != 0))
+    n_smaller = tally(turned, smaller_places, most, store)
     # downwards: a place's common prefix with the one before it is that of the next with it upwards
-    back = np.append(lcp[1:], 0)[::-1].astype(np.uint8) if carry else None
-    smaller, down = induce(turned, run, small & (text != 0), np.ascontiguousarray(larger[::-1]), back, most, store)
-    both = np.concatenate([larger, smaller[::-1]])
-    prefix = np.concatenate([lcp, np.append(down[1:], 0)[::-1].astype(np.uint8)])
-    merge = np.argsort((text[both].astype(np.int64) * 2 + small[both]).astype(np.uint32 if most < 1 << 30 else np.int64), kind="stable")
-    both, prefix = both[merge], prefix[merge]
-    if carry and len(both):
-        # where the larger of a symbol end and the smaller begin, both have a run of that symbol
-        turn = np.flatnonzero((text[both[1:]] == text[both[:-1]]) & (small[both[1:]] != small[both[:-1]])) + 1
-        prefix[turn] = np.minimum(run[both[turn]], run[both[turn - 1]])
-        prefix[np.flatnonzero(text[both[1:]] != text[both[:-1]]) + 1] = 0
+    smaller, down = induce(turned, run, smaller_places, larger[::-1], lcp[1:][::-1] if carry else None, n_smaller, store)
+    del turned, smaller_places, larger_places
+    return _merged(text, small, run, (larger, lcp, n_larger), (smaller[::-1], down[1:][::-1] if carry else None, n_smaller[::-1]), store)
+
+
+def _merged(text, small, run, larger, smaller, store: Store) -> tuple[np.ndarray, np.ndarray | None]:
+    """Both types as one: of each symbol first the larger, then the smaller."""
+    (large, lcp, n_large), (less, down, n_less) = larger, smaller
+    size = len(large) + len(less)
+    both, prefix = store.array(size, np.int64), store.array(size, np.uint8) if lcp is not None else None
+    through, below = store.array(len(n_large), np.int64), store.array(len(n_less), np.int64)
+    np.cumsum(n_large, out=through)
+    np.cumsum(n_less, out=below)
+    below -= n_less
+    for places, shift, own in ((large, below, lcp), (less, through, down)):
+        for a, b in store.spans(len(places)):
+            to = np.arange(a, b) + shift[text[places[a:b]]]
+            both[to] = places[a:b]
+            if own is not None:
+                prefix[to] = own[a:b]
+    if prefix is not None and size:
         prefix[0] = 0
+        for a, b in store.spans(size - 1):  # where the larger of a symbol end and the smaller begin, both have a run of that symbol
+            x, y = both[a:b], both[a + 1 : b + 1]
+            same, turn = text[x] == text[y], small[x] != small[y]
+            got = np.where(turn, np.minimum(run[x], run[y]), prefix[a + 1 : b + 1])
+            prefix[a + 1 : b + 1] = np.where(same, got, 0)
     return both, prefix

@@ -92,6 +92,68 @@ def test_op3_a_footer_in_ever_new_surroundings_fills_no_shard(spark, monkeypatch
     assert seen.value and max(seen.value) <= 2 * size
 
 
+def test_op3_recursion_and_queues_on_disk_of_the_registered_query(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(3_000)]
+    made = []
+    for i in range(1_600):  # copies in pairs to tens, each with edits of its own
+        if i % 16 == 0:
+            base = rng.choices(words, k=500)
+        text = list(base)
+        for _ in range(6):
+            text[rng.randrange(500)] = str(rng.random())
+        made.append((i, " ".join(text)))
+    spark.createDataFrame(made, "doc_id long, text string").coalesce(4).write.parquet(f"{tmp_path}/documents.parquet")
+    seen = spark.sparkContext.accumulator([], Longest())
+
+    def noted(batches):
+        class Noted(suffixes.Store):
+            def __exit__(self, *error):
+                seen.add([(self.depth, self.spilled, self.n)])
+                super().__exit__(*error)
+
+        substrings.Store = Noted
+        try:
+            yield from substrings.sort_shard(batches)  # a worker's own, not this one
+        finally:
+            substrings.Store = suffixes.Store
+
+    monkeypatch.setattr(substrings, "sort_shard", noted)
+    got = Counter(tuple(r) for r in queries.op3_suffix_array_dedup(spark, str(tmp_path)).collect())
+    assert max(x[0] for x in seen.value) >= 2 and max(x[1] for x in seen.value) > 0 and max(x[2] for x in seen.value) > 0
+    assert got == brute(made)
+
+
+def test_a_shard_of_twenty_times_the_memory_is_sorted(monkeypatch):
+    monkeypatch.setattr(suffixes, "RANGE", 256)
+    rng = np.random.default_rng(3)
+    part = rng.integers(1, 60, 6_000)
+    text = np.concatenate([np.append(part[a : a + 900], 0) for a in rng.integers(0, 5_100, 60)]).astype(np.uint16)
+    with suffixes.Store() as store:
+        expected = suffixes.suffix_order(text, store)
+        assert store.depth == 1 and not store.spilled
+    with suffixes.Store(len(text) // 20, 1_000) as store:
+        got = suffixes.suffix_order(text, store)
+        assert store.depth > 1 and store.spilled
+    assert (got[1] == expected[1]).all()
+    view = np.lib.stride_tricks.sliding_window_view(np.append(text, np.zeros(200, np.uint16)), 200)
+    ends = np.append(text, 0) == 0
+    end = np.flatnonzero(ends)[np.searchsorted(np.flatnonzero(ends), np.arange(len(text)))]
+
+    def cut(p):
+        return tuple(view[p][: min(200, end[p] - p)])
+
+    assert [cut(p) for p in got[0]] == [cut(p) for p in expected[0]]
+
+
+def test_values_that_occur_again():
+    values = np.random.default_rng(1).integers(0, 3_000, 5_000).astype(np.uint64) * np.uint64(1 << 40)
+    n = Counter(values.tolist())
+    for in_memory in (7, 700, 10**6):
+        with suffixes.Store(in_memory) as store:
+            assert substrings.again(values, store).tolist() == [n[x] > 1 for x in values.tolist()]
+
+
 def test_op3_edges(edge, empty):
     check(edge)
     assert substrings.repeats(empty).count() == 0
