@@ -279,6 +279,19 @@ def tally(symbols: np.ndarray, wanted: np.ndarray, most: int, store: Store) -> n
     return out
 
 
+def preceding(symbols: np.ndarray, store: Store) -> np.ndarray:
+    """For each place, how many of the same symbol stand directly before it."""
+    out, before, length = store.array(len(symbols), np.int32), -1, 0
+    for a, b in store.spans(len(symbols)):
+        t, here = symbols[a:b], np.arange(b - a)
+        new = np.append(t[0] != before, t[1:] != t[:-1])
+        start = np.maximum.accumulate(np.where(new, here, -1))
+        got = np.where(start >= 0, here - start, here + length)
+        out[a:b] = got
+        before, length = t[-1], int(got[-1]) + 1
+    return out
+
+
 def induce(
     symbols: np.ndarray, run: np.ndarray, wanted: np.ndarray, seeds: np.ndarray, seed_prefix: np.ndarray | None, counts: np.ndarray, store: Store
 ) -> tuple[np.ndarray, np.ndarray | None]:
@@ -291,6 +304,7 @@ def induce(
     carry = seed_prefix is not None
     count = int(counts.sum())
     queue = Queue(counts, store)
+    same = None if carry else preceding(symbols, store)
     least = Least(len(counts) - 1) if carry else None
     out, filled, at, batch = store.array(count, np.int64), 0, 0, 1_024
     prefixes = store.array(count + 1, np.uint8) if carry else None
@@ -309,6 +323,8 @@ def induce(
             a = 0 if b else min(65_536, len(qs))
         else:
             a = min(batch, len(qs))
+            if not carry and a < len(qs):  # all tuples of a symbol
+                a = int(np.searchsorted(qs, qs[a - 1], "right"))
             b = int(np.searchsorted(ss, qs[a - 1], "right" if a == len(qs) else "left"))
             if b == len(ss) and at + b < len(seeds):  # more seeds may come in between
                 a = int(np.searchsorted(qs[:a], ss[b - 1], "right"))
@@ -322,17 +338,31 @@ def induce(
         before = place - 1
         push = (before >= 0) & wanted[before]
         gives = np.where(push, symbols[before], NONE >> 2)
+        ours = order < a if order is not None else np.full(len(key), a > 0)
+        own_queue, whole = ours, 1
+        if not carry and a and not queue.alone[queue.at]:
+            whole = 0  # a symbol waits until all its tuples have come
+            again = ours & (gives * 2 == key)
+            if again.any():
+                # a run of one symbol follows at once: first each tuple, then the place before each, and so on
+                more = np.where(again, same[place], 0)
+                which = np.repeat(np.arange(len(key)), more + 1)
+                step = np.arange(len(which)) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
+                at_once = np.lexsort((step, key[which])) if len(which) else which
+                which, step = which[at_once], step[at_once]
+                key, place, ours, own_queue = key[which], place[which] - step, ours[which], ours[which] & (step == 0)
+                before = place - 1
+                push = (before >= 0) & wanted[before]
+                gives = np.where(push, symbols[before], NONE >> 2)
+                push &= ~ours | (gives * 2 != key)
+                gives[~push] = NONE >> 2
         k = len(key)
         if k > 1:
-            stop = key[1:] > 2 * np.minimum.accumulate(gives)[:-1]
+            stop = key[1:] - whole >= 2 * np.minimum.accumulate(gives)[:-1]
             if stop.any():
                 k = int(np.argmax(stop)) + 1
-        if order is None:
-            mine = slice(0, k if a else 0)
-            from_queue = k if a else 0
-        else:
-            mine = order[:k] < a
-            from_queue = int(mine.sum())
+        mine, from_queue = ours[:k], int(own_queue[:k].sum())
+        seeds_done = k - int(mine.sum())
         done = place[:k][mine]
         out[filled : filled + len(done)] = done
         push = push[:k]
@@ -348,7 +378,7 @@ def induce(
             last_key, last_run = int(key[-1]), int(runs[-1])
         filled += len(done)
         queue.pop(from_queue)
-        at += k - from_queue
+        at += seeds_done
         queue.push(gives[:k][push], before[:k][push], carried[push])
         batch = min(65_536, max(16, 4 * k))
     assert filled == count
