@@ -15,11 +15,14 @@ A pair of blocks hands on a spanning forest of its links, never all pairs, and
 the components are found by Spark.
 
 Where a similarity is asked for, fingerprints only propose: each candidate link
-is checked on the two texts' distinct shingles before it counts.  The forest's
-links come first; a second search hands on every pair of what these leave apart,
-so no link is lost for having been proposed by way of another.  Texts with the
-same distinct shingles are one node.  Pairs are checked in groups of two sets of
-some CHECKED nodes, so that no task holds a large group of candidates.
+is checked on the two texts' distinct shingles before it counts.  A first search
+links within blocks only; a second one, between blocks, passes over what the
+first has linked and hands on a forest of the first one's groups.  The nodes of
+a group so proposed then meet in sets of some CHECKED nodes, two sets at a time,
+with their shingles: each task finds the links within the radius anew, checks
+them, and hands on a forest of the good ones, so pairs are never rows.  Only a
+large group of few links has these listed.  Texts with the same distinct
+shingles are one node.
 
 A text that is null or has no word has the
 fingerprint zero, linked like any other; of repeated rows each has a result;
@@ -46,6 +49,8 @@ FANOUT = 16
 TOGETHER, EXPANDED = 2_048, 500_000
 #: Nodes of a set whose candidate links are checked together.
 CHECKED = 1_000
+#: A large group's links are listed if its blocks have fewer than this share of the rows that its sets would take.
+LISTED = 0.25
 #: Groups whose ids may be broadcast (16 bytes each).
 BROADCAST_GROUPS = 1_000_000
 SEEDS = (42, 43)
@@ -147,15 +152,21 @@ def agreed(keys: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class Index:
     """The tree over the Gray-ordered rows of a block."""
 
-    def __init__(self, rows: np.ndarray, tables: Tables, table: int):
+    def __init__(self, rows: np.ndarray, tables: Tables, table: int, labelled: bool = False):
+        """Rows (node, w0, .., label, ..), where labelled, are not near those of their own label."""
         keys = tables.keys(rows, table)
         order = np.argsort(gray_rank(keys), kind="stable")
-        self.rows, self.tables = rows[order], tables
+        self.rows, self.tables, self.labelled = rows[order], tables, labelled
         keys = keys[order]
-        self.levels, step = [], FANOUT
+        self.levels, self.alone, step = [], [], FANOUT
         while True:  # from the leaves' groups up to a single root
-            mask, pattern = agreed(keys, np.arange(0, len(keys), step))
+            groups = np.arange(0, len(keys), step)
+            mask, pattern = agreed(keys, groups)
             self.levels.insert(0, [mask & tables.mask, pattern & tables.mask])
+            if labelled:
+                label = self.rows[:, 1 + tables.words]
+                least = np.minimum.reduceat(label, groups)
+                self.alone.insert(0, (least == np.maximum.reduceat(label, groups), least))
             if step >= len(keys):
                 break
             step *= FANOUT
@@ -172,12 +183,13 @@ class Index:
             mask, pattern = (x[0] for x in self.levels[0])
             far = np.bitwise_count((some ^ pattern) & mask)
             q = np.flatnonzero(far <= t.limit)
-            for a, b in self._down(some, q, np.zeros(len(q), dtype=np.int64), far[q], 1):
+            label = rows[at : at + TOGETHER, 1 + t.words] if self.labelled else None
+            for a, b in self._down(some, q, np.zeros(len(q), dtype=np.int64), far[q], 1, label):
                 far_all = sum(np.bitwise_count(rows[at + a, 1 + w] ^ self.rows[b, 1 + w]).astype(np.int64) for w in range(t.words)) if len(a) else np.zeros(0)
                 keep = far_all <= t.radius
                 yield at + a[keep], b[keep]
 
-    def _down(self, keys: np.ndarray, q: np.ndarray, node: np.ndarray, far: np.ndarray, depth: int):
+    def _down(self, keys: np.ndarray, q: np.ndarray, node: np.ndarray, far: np.ndarray, depth: int, label: np.ndarray | None):
         """Yield (query, leaf) below these nodes, so many children at a time that a dense block takes no more memory than a sparse one."""
         for i in range(0, len(q), EXPANDED // FANOUT):
             some = slice(i, i + EXPANDED // FANOUT)
@@ -186,13 +198,18 @@ class Index:
             a, below = a[there], below[there]
             if depth == len(self.levels):
                 keep = np.bitwise_count((keys[a] ^ self.keys[below]) & self.tables.mask) <= self.tables.limit
+                if label is not None:
+                    keep &= label[a] != self.rows[below, 1 + self.tables.words]
                 yield a[keep], below[keep]
                 continue
             mask, pattern = self.levels[depth]
             f = np.repeat(far[some], FANOUT)[there] + np.bitwise_count((keys[a] ^ pattern[below]) & mask[below])
             keep = f <= self.tables.limit
+            if label is not None:  # a node of one label has nothing for queries of that label
+                alone, least = self.alone[depth]
+                keep &= ~alone[below] | (least[below] != label[a])
             if keep.any():
-                yield from self._down(keys, a[keep], below[keep], f[keep], depth + 1)
+                yield from self._down(keys, a[keep], below[keep], f[keep], depth + 1, label)
 
 
 def forest(nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,52 +229,68 @@ def forest(nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
     return nodes[child], nodes[label[child]]
 
 
-def linked(left: np.ndarray, right: np.ndarray | None, tables: Tables, table: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links within one block (right is None), or between two."""
-    index = Index(left if right is None else right, tables, table)
+def linked(left: np.ndarray, right: np.ndarray | None, tables: Tables, table: int, labelled: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A spanning forest of the links within one block (right is None), or between two; a tree's first edge has the number of its links.
+
+    Where rows are labelled, the forest is of their labels.
+    """
+    index = Index(left if right is None else right, tables, table, labelled)
     rows = index.rows if right is None else left
-    shift = 0 if right is None else len(rows)
-    nodes = index.rows[:, 0] if right is None else np.concatenate([rows[:, 0], index.rows[:, 0]])
-    a, b, n = [], [], 0
+    shift, col = 0 if right is None else len(rows), 1 + tables.words if labelled else 0
+    nodes = index.rows[:, col] if right is None else np.concatenate([rows[:, col], index.rows[:, col]])
+    place = np.arange(len(nodes))
+    if labelled:
+        nodes, place = np.unique(nodes, return_inverse=True)
+    a, b, n, count = [], [], 0, np.zeros(len(nodes), dtype=np.int64)
     for x, y in index.near(rows, tables.keys(rows, table)):
         if right is None:
             x, y = x[x < y], y[x < y]
-        a.append(x)
-        b.append(y + shift)
+        a.append(place[x])
+        b.append(place[y + shift])
+        count += np.bincount(a[-1], minlength=len(nodes))
         n += len(x)
         if n > 2_000_000:  # links so far give way to their forest
             a, b, n = *([z] for z in _shrunk(len(nodes), np.concatenate(a), np.concatenate(b))), 0
     if not a:
-        return nodes[:0], nodes[:0]
-    return forest(nodes, np.concatenate(a), np.concatenate(b))
+        return nodes[:0], nodes[:0], count[:0]
+    child, root = _shrunk(len(nodes), np.concatenate(a), np.concatenate(b))
+    tree = np.arange(len(nodes))
+    tree[child] = root
+    per = np.bincount(tree, weights=count, minlength=len(nodes)).astype(np.int64)
+    first, at = np.unique(root, return_index=True)
+    number = np.zeros(len(child), dtype=np.int64)
+    number[at] = per[first]
+    return nodes[child], nodes[root], number
 
 
 def _shrunk(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return forest(np.arange(n), a, b)
 
 
-def apart(left: np.ndarray, right: np.ndarray | None, tables: Tables, table: int):
-    """Yield all links of rows (node, w0, .., label, ..) with different labels, as two arrays of rows; each in the first table that finds it."""
+def listed(left: np.ndarray, right: np.ndarray | None, tables: Tables, table: int):
+    """Yield all links as two arrays of rows; each in the first table that finds it."""
     index = Index(left if right is None else right, tables, table)
     rows = index.rows if right is None else left
     for x, y in index.near(rows, tables.keys(rows, table)):
         if right is None:
             x, y = x[x < y], y[x < y]
         a, b = rows[x], index.rows[y]
-        new = a[:, 1 + tables.words] != b[:, 1 + tables.words]
+        new = np.ones(len(a), dtype=bool)
         for t in range(table):
             new &= np.bitwise_count((tables.keys(a, t) ^ tables.keys(b, t)) & tables.mask) > tables.limit
         yield a[new], b[new]
 
 
-def links(distinct: DataFrame, words: int, radius: int, pairs: bool = False) -> DataFrame:
-    """Edges (a, b) of nodes that connect all fingerprints within the radius, from rows (node, w0, w1, ..).
+def links(distinct: DataFrame, words: int, radius: int, kind: str = "all") -> DataFrame:
+    """Edges (a, b, n) that connect all fingerprints within the radius, from rows (node, w0, w1, ..); n adds up to the links found in some table.
 
-    With ``pairs``, all links of rows (node, w0, .., label, bucket, part) whose
-    labels differ: (bucket, i, j, a, b), the lesser part first.
+    With ``within``, only those that share a block in some table; with
+    ``between``, those of different blocks and labels, from rows (node, w0, ..,
+    label), as edges of labels.  With ``pairs``, every link once, from rows
+    (node, w0, .., bucket, part): (bucket, i, j, a, b), the lesser part first.
     """
     tables = Tables(words, radius)
-    names = ["node", *[f"w{i}" for i in range(words)], *(["label", "bucket", "part"] if pairs else [])]
+    names = ["node", *[f"w{i}" for i in range(words)], *{"between": ["label"], "pairs": ["bucket", "part"]}.get(kind, [])]
     n = distinct.count()
     per = max(1, min(max(BLOCKS, -(-n // MOST)), n // FEWEST))
     m = len(tables.leads)
@@ -269,22 +302,34 @@ def links(distinct: DataFrame, words: int, radius: int, pairs: bool = False) ->
                 rank = (gray_rank(tables.keys(rows, t)) ^ np.uint64(1 << 63)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([t] * len(rows), pa.int32()), pa.array(rank), *[batch.column(x) for x in names]], ["t", "rank", *names])
 
-    def block(batches):
-        from pyspark import TaskContext
-
-        part, parts = TaskContext.get().partitionId(), {}
+    def by_table(batches):
+        parts = {}
         for batch in batches:
             rows = np.stack([batch.column(x).to_numpy(zero_copy_only=False).view(np.uint64) for x in names], axis=1)
             t = batch.column("t").to_numpy(zero_copy_only=False)
             for k in np.unique(t):
                 parts.setdefault(int(k), []).append(rows[t == k])
-        for k, x in parts.items():
-            rows = np.concatenate(x)
+        return {k: np.concatenate(x) for k, x in parts.items()}
+
+    def edges(a, b, n):
+        return {"a": pa.array(a.astype(np.uint64).view(np.int64)), "b": pa.array(b.astype(np.uint64).view(np.int64)), "n": pa.array(n, pa.int64())}
+
+    def inside(batches):
+        for t, rows in by_table(batches).items():
+            yield pa.RecordBatch.from_pydict(edges(*linked(rows, None, tables, t)))
+
+    def block(batches):
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        for k, rows in by_table(batches).items():
             mask, pattern = agreed(tables.keys(rows, k), np.array([0]))
             yield pa.RecordBatch.from_arrays([pa.array([part * m + k], pa.int64()), pa.array([k], pa.int32()), pa.array((mask & tables.mask).view(np.int64)), pa.array((pattern & tables.mask).view(np.int64)), pa.array([rows.tobytes()], pa.binary())], ["id", "t", "mask", "pattern", "data"])
 
     cols = ", ".join(f"{x} long" for x in names)
     dealt = distinct.select(*names).mapInArrow(keyed, f"t int, rank long, {cols}").repartitionByRange(per * m, "t", "rank")
+    if kind == "within":
+        return dealt.mapInArrow(inside, "a long, b long, n long")
     blocks = materialise(dealt.mapInArrow(block, "id long, t int, mask long, pattern long, data binary"))
     # some dozen bytes for each block, of which there are BLOCKS a table, or one for each million fingerprints
     roots = blocks.select("id", "t", "mask", "pattern").orderBy("t", "id").toArrow()
@@ -299,6 +344,8 @@ def links(distinct: DataFrame, words: int, radius: int, pairs: bool = False) ->
                 keys = tables.keys(rows, t)
                 for i in np.flatnonzero(ts == t):
                     other = int(ids[i])
+                    if other == me and kind == "between":
+                        continue
                     part = rows if other == me else rows[np.bitwise_count((keys ^ patterns[i]) & masks[i]) <= tables.limit]
                     if len(part):
                         yield pa.RecordBatch.from_arrays([pa.array([min(me, other)], pa.int64()), pa.array([max(me, other)], pa.int64()), pa.array([t], pa.int32()), pa.array([me > other], pa.bool_()), pa.array([part.tobytes()], pa.binary())], ["p", "q", "t", "second", "data"])
@@ -306,26 +353,23 @@ def links(distinct: DataFrame, words: int, radius: int, pairs: bool = False) ->
     def search(table: pa.Table) -> pa.Table:
         t, p, q = (table.column(x)[0].as_py() for x in ("t", "p", "q"))
         sides = {x["second"]: np.frombuffer(x["data"], dtype=np.uint64).reshape(-1, len(names)) for x in table.select(["second", "data"]).to_pylist()}
-        if p != q and len(sides) < 2:
-            a = b = np.zeros(0, dtype=np.uint64)
-        else:
-            a, b = linked(sides[False], sides[True] if p != q else None, tables, t)
-        return pa.table({"a": pa.array(a.astype(np.uint64).view(np.int64)), "b": pa.array(b.astype(np.uint64).view(np.int64))})
+        none = np.zeros(0, dtype=np.uint64)
+        return pa.table(edges(*(linked(sides[False], sides[True] if p != q else None, tables, t, kind == "between") if p == q or len(sides) == 2 else (none, none, none))))
 
     def search_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(batches)
         t, p, q = (table.column(x)[0].as_py() for x in ("t", "p", "q"))
         sides = {x["second"]: np.frombuffer(x["data"], dtype=np.uint64).reshape(-1, len(names)) for x in table.select(["second", "data"]).to_pylist()}
         if p == q or len(sides) == 2:
-            for a, b in apart(sides[False], sides[True] if p != q else None, tables, t):
+            for a, b in listed(sides[False], sides[True] if p != q else None, tables, t):
                 turn = a[:, -1] > b[:, -1]
                 a[turn], b[turn] = b[turn], a[turn]
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a[:, -2].copy(), a[:, -1].copy(), b[:, -1].copy(), a[:, 0].copy(), b[:, 0].copy())], ["bucket", "i", "j", "a", "b"])
 
     met = blocks.select("id", "t", "data").mapInArrow(meet, "p long, q long, t int, second boolean, data binary")
-    if pairs:
+    if kind == "pairs":
         return met.groupBy("p", "q", "t").applyInArrow(search_pairs, "bucket long, i long, j long, a long, b long")
-    return met.groupBy("p", "q", "t").applyInArrow(search, "a long, b long")
+    return met.groupBy("p", "q", "t").applyInArrow(search, "a long, b long, n long")
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
@@ -363,32 +407,91 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.groupBy(*keys).cogroup(held.groupBy(*[f"of_{k}" for k in keys])).applyInArrow(check, "a long, b long")
 
 
-def checked_components(docs: DataFrame, each: DataFrame, words: int, radius: int, shingle: int, similarity: float) -> DataFrame:
-    """(node, root) of what the links within the radius and of the similarity connect, from rows (node, w0, w1, .., one).
+class Sets:
+    """Sorted distinct hashes of some nodes, by the hash."""
 
-    Links that the second search adds lie between components of the first, so only these components are joined anew.
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(x) for x in sets], dtype=np.int64)
+        self.begin = np.concatenate([[0], np.cumsum(self.size)])
+        _, self.word = np.unique(np.concatenate([*sets, np.zeros(0, dtype=np.uint64)]), return_inverse=True)
+        self.holder = np.repeat(np.arange(len(sets)), self.size)[np.argsort(self.word, kind="stable")]
+        self.n = np.bincount(self.word)
+        self.at = np.cumsum(self.n) - self.n
+
+    def similarity(self, x: int) -> np.ndarray:
+        """Jaccard, of the x-th with each."""
+        word = self.word[self.begin[x] : self.begin[x + 1]]
+        n = self.n[word]
+        held = np.repeat(self.at[word] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(self.holder[held], minlength=len(self.size))
+        return both / np.maximum(1, self.size[x] + self.size - both)
+
+
+def similar_among(nodes: DataFrame, sets: DataFrame, words: int, radius: int, similarity: float) -> DataFrame:
+    """A forest (a, b) of the links within the radius and of the similarity, within each root of rows (node, w0, .., bucket, part, parts)."""
+    names = [f"w{i}" for i in range(words)]
+
+    def check(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        i, j = key[1].as_py(), key[2].as_py()
+        part = table.column("part").to_numpy()
+        order = np.argsort(part, kind="stable")  # the first set's nodes come first
+        fps = np.stack([table.column(x).to_numpy().view(np.uint64) for x in names], axis=1)[order]
+        held = table.column("hashes").to_pylist()
+        sets = Sets([np.frombuffer(held[k], dtype=np.uint64) for k in order])
+        one = int((part == i).sum())
+        tree, a, b = np.arange(len(fps)), [], []
+        for x in range(one):
+            rest = slice(x + 1 if i == j else one, None)
+            y = np.flatnonzero((np.bitwise_count(fps[rest] ^ fps[x]).sum(axis=1) <= radius) & (tree[rest] != tree[x])) + rest.start
+            if not len(y):
+                continue
+            y = y[sets.similarity(x)[y] >= similarity]
+            if len(y):
+                trees, first = np.unique(tree[y], return_index=True)
+                a += [x] * len(first)
+                b += y[first].tolist()
+                tree[np.isin(tree, trees)] = tree[x]
+        node = table.column("node").to_numpy()[order]
+        return pa.table({"a": pa.array(node[np.array(a, dtype=np.int64)]), "b": pa.array(node[np.array(b, dtype=np.int64)])})
+
+    cells = nodes.join(sets, "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    cells = cells.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", *names, "hashes")
+    return cells.groupBy("bucket", "i", "j").applyInArrow(check, "a long, b long")
+
+
+def proposed_groups(each: DataFrame, words: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(node, root) of what links within the radius connect, and (root, n, found): its nodes, and links in the same block.
+
+    Nodes without a link are left out.
     """
     names = [f"w{i}" for i in range(words)]
-    proposed = materialise(links(each, words, radius).where("a <> b").distinct())
-    root = components(proposed)
-    sizes = materialise(root.groupBy("root").agg(F.count("*").alias("n")))
-    buckets = max(1, (sizes.agg(F.sum("n")).first()[0] or 0) // CHECKED)
+    near = materialise(links(each, words, radius, "within"))
+    label = components(near.select("a", "b")).withColumnRenamed("root", "label")
+    labelled = materialise(each.join(label, "node", "left").select("node", *names, F.coalesce("label", "node").alias("label"), F.col("label").isNotNull().alias("linked")))
+    joined = components(links(labelled, words, radius, "between").select("a", "b")).withColumnRenamed("node", "label")
+    root = labelled.join(joined, "label", "left").where("linked or root is not null").select("node", F.coalesce("root", "label").alias("root"))
+    root = materialise(root)
+    counted = root.join(near.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n")), "node", "left")
+    return root, materialise(counted.groupBy("root").agg(F.count("*").alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("found")))
+
+
+def checked_components(docs: DataFrame, each: DataFrame, words: int, radius: int, shingle: int, similarity: float) -> DataFrame:
+    """(node, root) of what the links within the radius and of the similarity connect, from rows (node, w0, w1, .., one)."""
+    root, sizes = proposed_groups(each, words, radius)
     # a large group has a bucket of its own (below zero), cut in parts
-    large = F.col("n") > CHECKED
+    large, parts = F.col("n") > CHECKED, F.ceil(F.col("n") / CHECKED)
+    sparse = large & (F.col("found") < LISTED * F.col("n") * parts)
+    total, lists = sizes.agg(F.sum("n"), F.count(F.when(sparse, 1))).first()
+    buckets = max(1, (total or 0) // CHECKED)
     bucket = F.when(large, -1 - F.pmod(F.xxhash64("root"), F.lit(1 << 62))).otherwise(F.pmod(F.xxhash64("root"), F.lit(buckets)))
-    part = F.when(large, F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CHECKED))).otherwise(0).cast("long")
-    some = materialise(each.join(root.join(sizes, "root").select("node", bucket.alias("bucket"), part.alias("part")), "node"))
+    part = F.when(large, F.pmod(F.xxhash64("node"), parts)).otherwise(0).cast("long")
+    dealt = root.join(sizes, "root").select("node", bucket.alias("bucket"), part.alias("part"), F.when(large, parts).otherwise(1).cast("long").alias("parts"), sparse.alias("sparse"))
+    some = materialise(each.join(dealt, "node"))
     sets = materialise(shingle_sets(docs, some, shingle))
-    end = lambda x, i: some.select(F.col("node").alias(x), F.col("bucket").alias(f"bucket_{x}"), F.col("part").alias(i))
-    first = proposed.join(end("a", "i"), "a").join(end("b", "j"), "b")
-    first = materialise(first.select(F.col("bucket_a").alias("bucket"), F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "a", "b"))
-    good = materialise(similar(first, sets, similarity))
-    again = materialise(some.join(components(good), "node", "left").select("node", *names, F.coalesce("root", "node").alias("label"), "bucket", "part"))
-    rest = materialise(links(again, words, radius, pairs=True))
-    label = lambda x: again.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
-    more = similar(rest, sets, similarity).join(label("a"), "a").join(label("b"), "b")
-    merged = components(more.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
-    return again.join(merged.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("root", "label").alias("root"))
+    good = similar_among(some.where("not sparse"), sets, words, radius, similarity)
+    if lists:
+        good = good.unionByName(similar(materialise(links(some.where("sparse"), words, radius, "pairs")), sets, similarity))
+    return components(good)
 
 
 def groups(docs: DataFrame, shingle: int = 3, radius: int = 2, seeds: tuple[int, ...] = (42,), similarity: float | None = None) -> DataFrame:

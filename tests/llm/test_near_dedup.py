@@ -95,3 +95,27 @@ def test_dense_blocks_are_searched_in_chunks(monkeypatch):
 def test_one_of_each_keeps_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b c d e f", 7), (2, "a b c d e f", 8), (3, "x", 9)], "doc_id long, text string, near_duplicate_hash int")
     assert sorted(map(tuple, simhash.one_of_each(df).collect())) == [(1, "a b c d e f", 7), (3, "x", 9)]
+
+
+@pytest.mark.parametrize("share", [0.25, 1e9])
+def test_pairs_of_a_large_group_are_not_rows(spark, monkeypatch, share):
+    for name, value in (("CHECKED", 150), ("BLOCKS", 6), ("FEWEST", 16)):
+        monkeypatch.setattr(simhash, name, value)
+    if share > 1:  # a large group's links are listed
+        monkeypatch.setattr(simhash, "LISTED", share)
+    rng = np.random.default_rng(13)
+    base = words(rng, 150)
+    texts = [" ".join(edited(rng, base, int(n))) for n in rng.integers(1, 7, 500)] + [" ".join(words(rng, 60)) for _ in range(100)]
+    want, _ = brute(texts, simhash.WIDE_RADIUS)
+    sizes, written = [], simhash.materialise
+
+    def noted(df, *args):
+        out = written(df, *args)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "materialise", noted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id for r in simhash.one_of_each(df).collect()}
+    assert got == want and 100 < len(want) < 550
+    assert max(sizes) > 20_000 if share > 1 else max(sizes) <= 8 * len(texts)
