@@ -310,6 +310,41 @@ def _shards(size: int | None) -> int:
     return max(1, -(-(size or 0) // SHARD_BYTES))
 
 
+class Contents:
+    """A set of pairs (key, content), looked up by their ranks."""
+
+    def __init__(self, pairs: pa.Table):
+        k, ch = (pairs.column(x).to_numpy() for x in ("k", "ch"))
+        self.k, self.ch = np.unique(k), np.unique(ch)
+        self.both = np.unique(np.searchsorted(self.k, k) * len(self.ch) + np.searchsorted(self.ch, ch))
+
+    def has(self, k: np.ndarray, ch: np.ndarray) -> np.ndarray:
+        if not len(self.both):
+            return np.zeros(len(k), dtype=bool)
+        a, b = (np.minimum(np.searchsorted(x, y), len(x) - 1) for x, y in ((self.k, k), (self.ch, ch)))
+        both = a * len(self.ch) + b
+        there = self.both[np.minimum(np.searchsorted(self.both, both), len(self.both) - 1)] == both
+        return there & (self.k[a] == k) & (self.ch[b] == ch)
+
+
+def covered(found: DataFrame, contents: DataFrame) -> DataFrame:
+    """(r1, r2, begin, end) of the runs with one of these few contents; neighbours in a text are one span."""
+    known = found.sparkSession.sparkContext.broadcast(Contents(contents.toArrow()))
+
+    def cover(batches):
+        for batch in batches:
+            k, ch, begin, n, r1, r2 = (batch.column(x).to_numpy() for x in ("k", "ch", "begin", "n", "r1", "r2"))
+            some = known.value.has(k, ch)
+            begin, r1, r2 = begin[some], r1[some], r2[some]
+            end = begin + n[some] + LENGTH - 1
+            if len(begin):
+                new = (r1[1:] != r1[:-1]) | (r2[1:] != r2[:-1]) | (begin[1:] < begin[:-1]) | (begin[1:] > end[:-1])
+                first = np.flatnonzero(np.concatenate([[True], new]))
+                yield pa.RecordBatch.from_arrays([pa.array(r1[first]), pa.array(r2[first]), pa.array(begin[first]), pa.array(np.maximum.reduceat(end, first))], ["r1", "r2", "begin", "end"])
+
+    return found.mapInArrow(cover, "r1 long, r2 long, begin long, end long")
+
+
 def _joined(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """An inner join to a table that is broadcast up to a checked size."""
     return left.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, on)
@@ -375,7 +410,7 @@ def spans(docs: DataFrame) -> DataFrame:
     if heavy.count() <= BROADCAST_ROWS:
         rest = found.join(F.broadcast(heavy), ["k", "ch"], "left_anti")
         light = rest.join(whole.where(F.col("c") <= HEAVY).select("k", "ch"), ["k", "ch"])
-        done = light.select(*pieces_).unionByName(found.join(F.broadcast(heavy), ["k", "ch"], "left_semi").select(*pieces_))
+        done = light.select(*pieces_).unionByName(covered(found, heavy))
     else:
         rest = found
         done = found.join(whole, ["k", "ch"]).select(*pieces_)

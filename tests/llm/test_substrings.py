@@ -181,3 +181,23 @@ def test_suffix_order_of_any_strings():
         for a, b, n in zip(order, order[1:], common.tolist()[1:]):
             x, y = key(a)[:-1], key(b)[:-1]
             assert n == next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+
+
+def test_runs_of_heavy_contents_are_one_span(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "HEAVY", 20)
+    rng = random.Random(31)
+    letters = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    passage = letters(6_000)
+    texts = [letters(rng.randrange(50)) + passage + letters(rng.randrange(50)) for _ in range(60)] + [passage[:700] + letters(40) + passage[900:1500]] * 2 + [None, passage]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(2)
+    check(df)
+    assert substrings.spans(df).count() <= 6 * len(texts)
+
+
+def test_contents_are_looked_up_as_pairs():
+    import pyarrow as pa
+
+    some = substrings.Contents(pa.table({"k": [5, -7, 5], "ch": [1, 2, 1 << 62]}))
+    k, ch = np.array([5, 5, -7, -7, 5, 9, 1 << 62]), np.array([1, 2, 2, 1, 1 << 62, 1, 5])
+    assert some.has(k, ch).tolist() == [True, False, True, False, True, False, False]
+    assert not substrings.Contents(pa.table({"k": pa.array([], pa.int64()), "ch": pa.array([], pa.int64())})).has(k, ch).any()
