@@ -15,14 +15,14 @@ A pair of blocks hands on a spanning forest of its links, never all pairs, and
 the components are found by Spark.
 
 Where a similarity is asked for, fingerprints only propose: each candidate link
-is checked on the two texts' distinct shingles before it counts.  A first search
-links within blocks only; a second one, between blocks, passes over what the
-first has linked and hands on a forest of the first one's groups.  The nodes of
-a group so proposed then meet in sets of some CHECKED nodes, two sets at a time,
-with their shingles: each task finds the links within the radius anew, checks
-them, and hands on a forest of the good ones, so pairs are never rows.  Only a
-large group of few links has these listed.  Texts with the same distinct
-shingles are one node.
+is checked on the two texts' distinct shingles before it counts.  So wide a
+radius lets a fixed share of all pairs through any such table, so there the
+fingerprints meet in blocks of shared shingles (``blocks``), which no pair of
+that similarity misses.  The nodes of a group so proposed then meet in sets of
+some CHECKED nodes, two sets at a time, with their shingles: each task finds the
+links within the radius anew, checks them, and hands on a forest of the good
+ones, so pairs are never rows.  Only a large group of few links has these
+listed.  Texts with the same distinct shingles are one node.
 
 A text that is null or has no word has the
 fingerprint zero, linked like any other; of repeated rows each has a result;
@@ -39,6 +39,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kerbside.llm import blocks
+from kerbside.llm.blocks import forest
 from kerbside.llm.common import fresh, materialise, text_bytes
 from kerbside.llm.components import components
 
@@ -92,25 +94,35 @@ def fingerprint(text: str | None, shingle: int = 3, seeds: tuple[int, ...] = (42
     return [_majority(hashes(parts, seed)) for seed in seeds]
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, seeds: tuple[int, ...] = (42,), distinct: bool = False) -> DataFrame:
-    """(doc_id, text_hash, node, w0, w1, ..) for each row; the node stands for the distinct shingles if these are asked for, or else for the words."""
+def fingerprints(docs: DataFrame, shingle: int = 3, seeds: tuple[int, ...] = (42,), distinct: bool = False, order: blocks.Order | None = None) -> DataFrame:
+    """(doc_id, text_hash, node, w0, w1, ..) for each row; the node stands for the distinct shingles if these are asked for, or else for the words.
+
+    With an order of shingles, which are distinct then, also how many they are and their keys in that order: (size, keys).
+    """
     import xxhash
 
     names = [f"w{i}" for i in range(len(seeds))]
+    more = [] if order is None else ["size", "keys"]
 
     def compute(batches):
         for batch in batches:
-            got = []
+            got, sizes, keys = [], [], []
             for text in batch.column("text").to_pylist():
                 parts = shingles(text, shingle, distinct)
                 h = [hashes(parts, seed) for seed in seeds]
                 words = [_majority(x) for x in h]
-                got.append([xxhash.xxh64_intdigest(np.unique(h[0]).tobytes()) if distinct else 0, *words])
+                one = np.unique(h[0]) if distinct else None
+                got.append([xxhash.xxh64_intdigest(one.tobytes()) if distinct else 0, *words])
+                if more:
+                    sizes.append(len(one))
+                    keys.append(order.keys(one).tobytes())
             rows = np.array(got, dtype=np.uint64).reshape(-1, 1 + len(seeds)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *[pa.array(rows[:, i]) for i in range(1 + len(seeds))]], ["doc_id", "text_hash", "node", *names])
+            cols = [batch.column("doc_id"), batch.column("text_hash"), *[pa.array(rows[:, i]) for i in range(1 + len(seeds))]]
+            yield pa.RecordBatch.from_arrays(cols + ([pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())] if more else []), ["doc_id", "text_hash", "node", *names, *more])
 
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    got = docs.mapInArrow(compute, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, node long, " + ", ".join(f"{n} long" for n in names))
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, node long, " + ", ".join(f"{n} long" for n in names)
+    got = docs.mapInArrow(compute, schema + (", size long, keys binary" if more else ""))
     return got if distinct else got.withColumn("node", F.col("w0") if len(seeds) == 1 else F.xxhash64(*names))
 
 
@@ -152,21 +164,16 @@ def agreed(keys: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class Index:
     """The tree over the Gray-ordered rows of a block."""
 
-    def __init__(self, rows: np.ndarray, tables: Tables, table: int, labelled: bool = False):
-        """Rows (node, w0, .., label, ..), where labelled, are not near those of their own label."""
+    def __init__(self, rows: np.ndarray, tables: Tables, table: int):
         keys = tables.keys(rows, table)
         order = np.argsort(gray_rank(keys), kind="stable")
-        self.rows, self.tables, self.labelled = rows[order], tables, labelled
+        self.rows, self.tables = rows[order], tables
         keys = keys[order]
-        self.levels, self.alone, step = [], [], FANOUT
+        self.levels, step = [], FANOUT
         while True:  # from the leaves' groups up to a single root
             groups = np.arange(0, len(keys), step)
             mask, pattern = agreed(keys, groups)
             self.levels.insert(0, [mask & tables.mask, pattern & tables.mask])
-            if labelled:
-                label = self.rows[:, 1 + tables.words]
-                least = np.minimum.reduceat(label, groups)
-                self.alone.insert(0, (least == np.maximum.reduceat(label, groups), least))
             if step >= len(keys):
                 break
             step *= FANOUT
@@ -183,13 +190,12 @@ class Index:
             mask, pattern = (x[0] for x in self.levels[0])
             far = np.bitwise_count((some ^ pattern) & mask)
             q = np.flatnonzero(far <= t.limit)
-            label = rows[at : at + TOGETHER, 1 + t.words] if self.labelled else None
-            for a, b in self._down(some, q, np.zeros(len(q), dtype=np.int64), far[q], 1, label):
+            for a, b in self._down(some, q, np.zeros(len(q), dtype=np.int64), far[q], 1):
                 far_all = sum(np.bitwise_count(rows[at + a, 1 + w] ^ self.rows[b, 1 + w]).astype(np.int64) for w in range(t.words)) if len(a) else np.zeros(0)
                 keep = far_all <= t.radius
                 yield at + a[keep], b[keep]
 
-    def _down(self, keys: np.ndarray, q: np.ndarray, node: np.ndarray, far: np.ndarray, depth: int, label: np.ndarray | None):
+    def _down(self, keys: np.ndarray, q: np.ndarray, node: np.ndarray, far: np.ndarray, depth: int):
         """Yield (query, leaf) below these nodes, so many children at a time that a dense block takes no more memory than a sparse one."""
         for i in range(0, len(q), EXPANDED // FANOUT):
             some = slice(i, i + EXPANDED // FANOUT)
@@ -198,99 +204,43 @@ class Index:
             a, below = a[there], below[there]
             if depth == len(self.levels):
                 keep = np.bitwise_count((keys[a] ^ self.keys[below]) & self.tables.mask) <= self.tables.limit
-                if label is not None:
-                    keep &= label[a] != self.rows[below, 1 + self.tables.words]
                 yield a[keep], below[keep]
                 continue
             mask, pattern = self.levels[depth]
             f = np.repeat(far[some], FANOUT)[there] + np.bitwise_count((keys[a] ^ pattern[below]) & mask[below])
             keep = f <= self.tables.limit
-            if label is not None:  # a node of one label has nothing for queries of that label
-                alone, least = self.alone[depth]
-                keep &= ~alone[below] | (least[below] != label[a])
             if keep.any():
-                yield from self._down(keys, a[keep], below[keep], f[keep], depth + 1, label)
-
-
-def forest(nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of stars that connect what the pairs (a, b) of places connect."""
-    label = np.arange(len(nodes))
-    while True:
-        before = label.copy()
-        low = np.minimum(label[a], label[b])
-        np.minimum.at(label, label[a], low)
-        np.minimum.at(label, label[b], low)
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        label = label[label]
-        if (label == before).all():
-            break
-    child = np.flatnonzero(label != np.arange(len(nodes)))
-    return nodes[child], nodes[label[child]]
-
-
-def linked(left: np.ndarray, right: np.ndarray | None, tables: Tables, table: int, labelled: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A spanning forest of the links within one block (right is None), or between two; a tree's first edge has the number of its links.
-
-    Where rows are labelled, the forest is of their labels.
-    """
-    index = Index(left if right is None else right, tables, table, labelled)
+                yield from self._down(keys, a[keep], below[keep], f[keep], depth + 1)
+
+
+def linked(left: np.ndarray, right: np.ndarray | None, tables: Tables, table: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links within one block (right is None), or between two."""
+    index = Index(left if right is None else right, tables, table)
     rows = index.rows if right is None else left
-    shift, col = 0 if right is None else len(rows), 1 + tables.words if labelled else 0
-    nodes = index.rows[:, col] if right is None else np.concatenate([rows[:, col], index.rows[:, col]])
-    place = np.arange(len(nodes))
-    if labelled:
-        nodes, place = np.unique(nodes, return_inverse=True)
-    a, b, n, count = [], [], 0, np.zeros(len(nodes), dtype=np.int64)
+    shift = 0 if right is None else len(rows)
+    nodes = index.rows[:, 0] if right is None else np.concatenate([rows[:, 0], index.rows[:, 0]])
+    a, b, n = [], [], 0
     for x, y in index.near(rows, tables.keys(rows, table)):
         if right is None:
             x, y = x[x < y], y[x < y]
-        a.append(place[x])
-        b.append(place[y + shift])
-        count += np.bincount(a[-1], minlength=len(nodes))
+        a.append(x)
+        b.append(y + shift)
         n += len(x)
         if n > 2_000_000:  # links so far give way to their forest
             a, b, n = *([z] for z in _shrunk(len(nodes), np.concatenate(a), np.concatenate(b))), 0
     if not a:
-        return nodes[:0], nodes[:0], count[:0]
-    child, root = _shrunk(len(nodes), np.concatenate(a), np.concatenate(b))
-    tree = np.arange(len(nodes))
-    tree[child] = root
-    per = np.bincount(tree, weights=count, minlength=len(nodes)).astype(np.int64)
-    first, at = np.unique(root, return_index=True)
-    number = np.zeros(len(child), dtype=np.int64)
-    number[at] = per[first]
-    return nodes[child], nodes[root], number
+        return nodes[:0], nodes[:0]
+    return forest(nodes, np.concatenate(a), np.concatenate(b))
 
 
 def _shrunk(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return forest(np.arange(n), a, b)
 
 
-def listed(left: np.ndarray, right: np.ndarray | None, tables: Tables, table: int):
-    """Yield all links as two arrays of rows; each in the first table that finds it."""
-    index = Index(left if right is None else right, tables, table)
-    rows = index.rows if right is None else left
-    for x, y in index.near(rows, tables.keys(rows, table)):
-        if right is None:
-            x, y = x[x < y], y[x < y]
-        a, b = rows[x], index.rows[y]
-        new = np.ones(len(a), dtype=bool)
-        for t in range(table):
-            new &= np.bitwise_count((tables.keys(a, t) ^ tables.keys(b, t)) & tables.mask) > tables.limit
-        yield a[new], b[new]
-
-
-def links(distinct: DataFrame, words: int, radius: int, kind: str = "all") -> DataFrame:
-    """Edges (a, b, n) that connect all fingerprints within the radius, from rows (node, w0, w1, ..); n adds up to the links found in some table.
-
-    With ``within``, only those that share a block in some table; with
-    ``between``, those of different blocks and labels, from rows (node, w0, ..,
-    label), as edges of labels.  With ``pairs``, every link once, from rows
-    (node, w0, .., bucket, part): (bucket, i, j, a, b), the lesser part first.
-    """
+def links(distinct: DataFrame, words: int, radius: int) -> DataFrame:
+    """Edges (a, b) that connect all fingerprints within the radius, from rows (node, w0, w1, ..)."""
     tables = Tables(words, radius)
-    names = ["node", *[f"w{i}" for i in range(words)], *{"between": ["label"], "pairs": ["bucket", "part"]}.get(kind, [])]
+    names = ["node", *[f"w{i}" for i in range(words)]]
     n = distinct.count()
     per = max(1, min(max(BLOCKS, -(-n // MOST)), n // FEWEST))
     m = len(tables.leads)
@@ -311,12 +261,8 @@ def links(distinct: DataFrame, words: int, radius: int, kind: str = "all") -> Da
                 parts.setdefault(int(k), []).append(rows[t == k])
         return {k: np.concatenate(x) for k, x in parts.items()}
 
-    def edges(a, b, n):
-        return {"a": pa.array(a.astype(np.uint64).view(np.int64)), "b": pa.array(b.astype(np.uint64).view(np.int64)), "n": pa.array(n, pa.int64())}
-
-    def inside(batches):
-        for t, rows in by_table(batches).items():
-            yield pa.RecordBatch.from_pydict(edges(*linked(rows, None, tables, t)))
+    def edges(a, b):
+        return {"a": pa.array(a.astype(np.uint64).view(np.int64)), "b": pa.array(b.astype(np.uint64).view(np.int64))}
 
     def block(batches):
         from pyspark import TaskContext
@@ -328,8 +274,6 @@ def links(distinct: DataFrame, words: int, radius: int, kind: str = "all") -> Da
 
     cols = ", ".join(f"{x} long" for x in names)
     dealt = distinct.select(*names).mapInArrow(keyed, f"t int, rank long, {cols}").repartitionByRange(per * m, "t", "rank")
-    if kind == "within":
-        return dealt.mapInArrow(inside, "a long, b long, n long")
     blocks = materialise(dealt.mapInArrow(block, "id long, t int, mask long, pattern long, data binary"))
     # some dozen bytes for each block, of which there are BLOCKS a table, or one for each million fingerprints
     roots = blocks.select("id", "t", "mask", "pattern").orderBy("t", "id").toArrow()
@@ -344,8 +288,6 @@ def links(distinct: DataFrame, words: int, radius: int, kind: str = "all") -> Da
                 keys = tables.keys(rows, t)
                 for i in np.flatnonzero(ts == t):
                     other = int(ids[i])
-                    if other == me and kind == "between":
-                        continue
                     part = rows if other == me else rows[np.bitwise_count((keys ^ patterns[i]) & masks[i]) <= tables.limit]
                     if len(part):
                         yield pa.RecordBatch.from_arrays([pa.array([min(me, other)], pa.int64()), pa.array([max(me, other)], pa.int64()), pa.array([t], pa.int32()), pa.array([me > other], pa.bool_()), pa.array([part.tobytes()], pa.binary())], ["p", "q", "t", "second", "data"])
@@ -354,22 +296,10 @@ def links(distinct: DataFrame, words: int, radius: int, kind: str = "all") -> Da
         t, p, q = (table.column(x)[0].as_py() for x in ("t", "p", "q"))
         sides = {x["second"]: np.frombuffer(x["data"], dtype=np.uint64).reshape(-1, len(names)) for x in table.select(["second", "data"]).to_pylist()}
         none = np.zeros(0, dtype=np.uint64)
-        return pa.table(edges(*(linked(sides[False], sides[True] if p != q else None, tables, t, kind == "between") if p == q or len(sides) == 2 else (none, none, none))))
-
-    def search_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches)
-        t, p, q = (table.column(x)[0].as_py() for x in ("t", "p", "q"))
-        sides = {x["second"]: np.frombuffer(x["data"], dtype=np.uint64).reshape(-1, len(names)) for x in table.select(["second", "data"]).to_pylist()}
-        if p == q or len(sides) == 2:
-            for a, b in listed(sides[False], sides[True] if p != q else None, tables, t):
-                turn = a[:, -1] > b[:, -1]
-                a[turn], b[turn] = b[turn], a[turn]
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a[:, -2].copy(), a[:, -1].copy(), b[:, -1].copy(), a[:, 0].copy(), b[:, 0].copy())], ["bucket", "i", "j", "a", "b"])
+        return pa.table(edges(*(linked(sides[False], sides[True] if p != q else None, tables, t) if p == q or len(sides) == 2 else (none, none))))
 
     met = blocks.select("id", "t", "data").mapInArrow(meet, "p long, q long, t int, second boolean, data binary")
-    if kind == "pairs":
-        return met.groupBy("p", "q", "t").applyInArrow(search_pairs, "bucket long, i long, j long, a long, b long")
-    return met.groupBy("p", "q", "t").applyInArrow(search, "a long, b long, n long")
+    return met.groupBy("p", "q", "t").applyInArrow(search, "a long, b long")
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
@@ -439,18 +369,20 @@ def similar_among(nodes: DataFrame, sets: DataFrame, words: int, radius: int, si
         held = table.column("hashes").to_pylist()
         sets = Sets([np.frombuffer(held[k], dtype=np.uint64) for k in order])
         one = int((part == i).sum())
-        tree, a, b = np.arange(len(fps)), [], []
-        for x in range(one):
-            rest = slice(x + 1 if i == j else one, None)
-            y = np.flatnonzero((np.bitwise_count(fps[rest] ^ fps[x]).sum(axis=1) <= radius) & (tree[rest] != tree[x])) + rest.start
-            if not len(y):
-                continue
-            y = y[sets.similarity(x)[y] >= similarity]
-            if len(y):
-                trees, first = np.unique(tree[y], return_index=True)
-                a += [x] * len(first)
-                b += y[first].tolist()
-                tree[np.isin(tree, trees)] = tree[x]
+        left, a, b = np.arange(len(fps)), [], []  # left: not reached yet
+        while len(left):
+            queue, left = [int(left[0])], left[1:]
+            while queue and len(left):
+                x = queue.pop()
+                y = left if i == j else left[(left >= one) == (x < one)]
+                y = y[np.bitwise_count(fps[y] ^ fps[x]).sum(axis=1) <= radius]
+                if len(y):
+                    y = y[sets.similarity(x)[y] >= similarity]
+                if len(y):
+                    a += [x] * len(y)
+                    b += y.tolist()
+                    queue += y.tolist()
+                    left = np.setdiff1d(left, y, assume_unique=True)
         node = table.column("node").to_numpy()[order]
         return pa.table({"a": pa.array(node[np.array(a, dtype=np.int64)]), "b": pa.array(node[np.array(b, dtype=np.int64)])})
 
@@ -459,25 +391,27 @@ def similar_among(nodes: DataFrame, sets: DataFrame, words: int, radius: int, si
     return cells.groupBy("bucket", "i", "j").applyInArrow(check, "a long, b long")
 
 
-def proposed_groups(each: DataFrame, words: int, radius: int) -> tuple[DataFrame, DataFrame]:
-    """(node, root) of what links within the radius connect, and (root, n, found): its nodes, and links in the same block.
+def proposed_groups(keyed: DataFrame, words: int, radius: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(node, root) of what links within the radius connect, from rows (node, size, keys, w0, ..), and (root, n, found): its nodes, and some number of links.
 
     Nodes without a link are left out.
     """
-    names = [f"w{i}" for i in range(words)]
-    near = materialise(links(each, words, radius, "within"))
-    label = components(near.select("a", "b")).withColumnRenamed("root", "label")
-    labelled = materialise(each.join(label, "node", "left").select("node", *names, F.coalesce("label", "node").alias("label"), F.col("label").isNotNull().alias("linked")))
-    joined = components(links(labelled, words, radius, "between").select("a", "b")).withColumnRenamed("node", "label")
-    root = labelled.join(joined, "label", "left").where("linked or root is not null").select("node", F.coalesce("root", "label").alias("root"))
-    root = materialise(root)
+    near = materialise(blocks.links(keyed, words, radius, similarity))
+    root = materialise(components(near.select("a", "b")))
     counted = root.join(near.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n")), "node", "left")
-    return root, materialise(counted.groupBy("root").agg(F.count("*").alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("found")))
+    return root, materialise(counted.groupBy("root").agg(F.count("*").alias("n"), F.coalesce(F.sum("n"), F.lit(0.0)).alias("found")))
+
+
+def listed_links(keyed: DataFrame, some: DataFrame, words: int, radius: int, similarity: float) -> DataFrame:
+    """(bucket, i, j, a, b): the links between rows (node, bucket, part), the lesser part first."""
+    found = blocks.links(keyed.join(some.select("node"), "node", "left_semi"), words, radius, similarity, listed=True)
+    left, right = (some.select(F.col("node").alias(x), "bucket", F.col("part").alias(f"part_{x}")) for x in "ab")
+    return found.join(left, "a").join(right, ["b", "bucket"]).select("bucket", F.least("part_a", "part_b").alias("i"), F.greatest("part_a", "part_b").alias("j"), "a", "b")
 
 
-def checked_components(docs: DataFrame, each: DataFrame, words: int, radius: int, shingle: int, similarity: float) -> DataFrame:
-    """(node, root) of what the links within the radius and of the similarity connect, from rows (node, w0, w1, .., one)."""
-    root, sizes = proposed_groups(each, words, radius)
+def checked_components(docs: DataFrame, fps: DataFrame, each: DataFrame, words: int, radius: int, shingle: int, similarity: float) -> DataFrame:
+    """(node, root) of what the links within the radius and of the similarity connect, from rows (node, w0, w1, .., one); ``fps`` has their keys."""
+    root, sizes = proposed_groups(fps, words, radius, similarity)
     # a large group has a bucket of its own (below zero), cut in parts
     large, parts = F.col("n") > CHECKED, F.ceil(F.col("n") / CHECKED)
     sparse = large & (F.col("found") < LISTED * F.col("n") * parts)
@@ -490,7 +424,7 @@ def checked_components(docs: DataFrame, each: DataFrame, words: int, radius: int
     sets = materialise(shingle_sets(docs, some, shingle))
     good = similar_among(some.where("not sparse"), sets, words, radius, similarity)
     if lists:
-        good = good.unionByName(similar(materialise(links(some.where("sparse"), words, radius, "pairs")), sets, similarity))
+        good = good.unionByName(similar(materialise(listed_links(fps, some.where("sparse"), words, radius, similarity)), sets, similarity))
     return components(good)
 
 
@@ -500,10 +434,11 @@ def groups(docs: DataFrame, shingle: int = 3, radius: int = 2, seeds: tuple[int,
     With a similarity, fingerprints are those of the distinct shingles, and links are checked on these.
     """
     names = [f"w{i}" for i in range(len(seeds))]
-    fps = materialise(fingerprints(docs, shingle, seeds, similarity is not None))
+    order = None if similarity is None else blocks.fitted_order(docs, lambda text: hashes(shingles(text, shingle, True), seeds[0]), similarity)
+    fps = materialise(fingerprints(docs, shingle, seeds, similarity is not None, order))
     one = [] if similarity is None else [F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("one")]
     each = materialise(fps.groupBy("node", *names).agg(F.min("doc_id").alias("least"), *one))
-    root = components(links(each, len(seeds), radius)) if similarity is None else checked_components(docs, each, len(seeds), radius, shingle, similarity)
+    root = components(links(each, len(seeds), radius)) if similarity is None else checked_components(docs, fps, each, len(seeds), radius, shingle, similarity)
     named = each.join(root, "node", "left").select("node", "least", "root")
     # one row for each group of two nodes or more; a large group's nodes do not meet in one task while this is small
     mins = materialise(named.where("root is not null").groupBy("root").agg(F.min("least").alias("component_id")))
@@ -514,8 +449,8 @@ def groups(docs: DataFrame, shingle: int = 3, radius: int = 2, seeds: tuple[int,
 
 #: For whole documents: five words, a similarity of 0.8 or more.  Two fingerprints of 64 bits differ in
 #: 128 * acos(2 * 0.8 / 1.8) / pi = 19.4 bits on average, give or take 4, where 0.8 of all distinct shingles
-#: are shared, and in 13.3, give or take 3.4, at 0.9; unrelated texts in 64, give or take 5.7.  The radius is
-#: the widest whose eight tables look no further than three bits in 16: it proposes 99.6 % of pairs at 0.8.
+#: are shared, and in 13.3, give or take 3.4, at 0.9; unrelated texts in 64, give or take 5.7.  The radius
+#: proposes 99.6 % of pairs at 0.8.
 SHINGLE, WIDE_RADIUS, SIMILARITY = 5, 31, 0.8
 
 
