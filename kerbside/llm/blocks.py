@@ -31,7 +31,9 @@ from kerbside.llm.common import materialise
 #: Texts on which the order is fitted, how often a shingle occurs there to be common, and common ones that are told apart.
 FITTED, COMMON, TOLD = 20_000, 8, 500_000
 #: Key rows (32 bytes each) of a task, and parts that a task works through one after the other.
-KEYED, PARTS = 500_000, 8
+KEYED, PARTS = 500_000, 4
+#: Texts whose rows a task packs at once.
+TOGETHER = 1_000
 #: Blocks up to SMALL rows are compared all at once; those over PIECE rows are cut.
 SMALL, PIECE = 64, 16_384
 #: Links that are held before they give way to their forest.
@@ -56,6 +58,12 @@ def forest(nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
     return nodes[child], nodes[label[child]]
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), TOGETHER):
+            yield batch.slice(at, TOGETHER)
+
+
 def packed(part: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows (part, data), one for each part."""
     order = np.argsort(part, kind="stable")
@@ -65,11 +73,11 @@ def packed(part: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 
 def unpacked(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int, np.ndarray]]:
-    """What ``packed`` has made, gathered by part."""
+    """What ``packed`` has made, gathered by part; nothing is copied before its part's turn."""
     parts = {}
     for batch in batches:
-        for part, data in zip(batch.column("part").to_pylist(), batch.column("data").to_pylist()):
-            parts.setdefault(part, []).append(np.frombuffer(data, dtype=np.uint64).reshape(-1, width))
+        for part, data in zip(batch.column("part").to_pylist(), batch.column("data")):
+            parts.setdefault(part, []).append(np.frombuffer(data.as_buffer(), dtype=np.uint64).reshape(-1, width))
     while parts:
         part, rows = parts.popitem()
         yield part, np.concatenate(rows)
@@ -99,7 +107,7 @@ def fitted_order(docs: DataFrame, hashed: Callable[[str | None], np.ndarray], si
     """The order for ``docs``; ``hashed`` gives a text's distinct hashes."""
 
     def dealt(batches):
-        for batch in batches:
+        for batch in slices(batches):
             h = np.concatenate([*map(hashed, batch.column("text").to_pylist()), np.zeros(0, dtype=np.uint64)])
             yield from packed(h % np.uint64(64), h)
 
@@ -204,7 +212,7 @@ def links(keyed: DataFrame, words: int, radius: int, similarity: float, listed:
     parts = np.uint64(tasks * PARTS)
 
     def dealt(batches):
-        for batch in batches:
+        for batch in slices(batches):
             _, one = np.unique(batch.column("node").to_numpy(), return_index=True)
             batch = batch.take(pa.array(one))
             keys = [np.frombuffer(x, dtype=np.uint64) for x in batch.column("keys").to_pylist()]
